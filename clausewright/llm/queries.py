@@ -6,6 +6,11 @@ from importlib import import_module
 
 _WHERE = {
     "op1_language_id": "langid",
+    "op7_mixing": "mixing",
+}
+
+_SQL = {
+    "op7_mixing": ("mixing", "OP7_SQL"),
 }
 
 
@@ -22,4 +27,7 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    found = {}
+    for name, (module, constant) in _SQL.items():
+        found[name] = getattr(import_module(f"{__package__}.{module}"), constant)
+    return found

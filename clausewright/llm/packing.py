@@ -124,26 +124,32 @@ def _trace(lens: np.ndarray, item: np.ndarray, room: int) -> list[int]:
     return out
 
 
-def fractional(lens: np.ndarray, need: np.ndarray, room: int, rounds: int = 120, eps: float = 0.03, rate: float = 8.0) -> dict[tuple[int, ...], float]:
+def fractional(lens: np.ndarray, need: np.ndarray, room: int, rounds: int = 120, eps: float = 0.05, rate: float = 1.0, pace: float = 0.1) -> dict[tuple[int, ...], float]:
     """Configurations (indexes of lens, ascending) and how often each is used, about covering need."""
     worth = lens / room
     used: dict[tuple[int, ...], float] = {}
     covered = np.zeros(len(lens))
     for _ in range(rounds):
-        best, item = _price(lens, worth, room)
-        value = worth + best[room - lens]
+        wanted = np.where(covered < need, worth, 0.0)  # what is covered is worth nothing
+        best, item = _price(lens, wanted, room)
+        value = wanted + best[room - lens]
         good = np.flatnonzero(value >= (1 - eps) * value.max())
-        for j in good:
-            config = tuple(sorted([int(j), *_trace(lens, item, room - int(lens[j]))]))
-            which, times = np.unique(config, return_counts=True)
-            step = float((need[which] / times).min()) / rounds * max(1.0, rounds / 20)
+        configs = sorted({tuple(sorted([int(j), *_trace(lens, item, room - int(lens[j]))])) for j in good})
+        parts = [np.unique(config, return_counts=True) for config in configs]
+        asked = np.zeros(len(lens))
+        for which, times in parts:
+            asked[which] += times
+        before = covered.copy()
+        for config, (which, times) in zip(configs, parts, strict=True):
+            step = pace * float((need[which] / asked[which]).min())
             used[config] = used.get(config, 0.0) + step
             covered[which] += times * step
-            worth[which] *= np.exp(-rate * times * step / need[which])
+        worth *= np.exp(-rate * (covered - before) / need)
         worth /= worth.max()
         if (covered >= need).all():
             break
-    return used
+    scale = float((need / np.maximum(covered, 1e-300)).min())  # so that no length is used more than there is
+    return {config: x * min(1.0, scale) for config, x in used.items()}
 
 
 def plan(counts: dict[int, int], room: int = SEQUENCE, rounds: int = 120) -> list[tuple[tuple[int, ...], int]]:
@@ -161,7 +167,7 @@ def plan(counts: dict[int, int], room: int = SEQUENCE, rounds: int = 120) -> lis
         # rounded down, the fullest first
         for config, times in sorted(used.items(), key=lambda x: (-int(lens[list(x[0])].sum()), -x[1], x[0])):
             sizes = lens[list(config)]
-            if sizes.sum() < room - max(2, room // 512):
+            if sizes.sum() < room:
                 continue  # the rest fills better
             which, each = np.unique(sizes, return_counts=True)
             if n := min(int(times), int((left[which] // each).min())):

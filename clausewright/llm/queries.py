@@ -7,6 +7,7 @@ from importlib import import_module
 _WHERE = {
     "op1_language_id": "langid",
     "op7_mixing": "mixing",
+    "op9_fingerprints": "fingerprint",
     "op10_packing": "packing",
 }
 

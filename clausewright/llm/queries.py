@@ -6,12 +6,14 @@ from importlib import import_module
 
 _WHERE = {
     "op1_language_id": "langid",
+    "op5_near_duplicates": "neardup",
     "op7_mixing": "mixing",
     "op9_fingerprints": "fingerprint",
     "op10_packing": "packing",
 }
 
 _SQL = {
+    "op5_near_duplicates": ("neardup", "OP5_SQL"),
     "op7_mixing": ("mixing", "OP7_SQL"),
 }
 

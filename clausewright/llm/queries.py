@@ -6,6 +6,7 @@ from importlib import import_module
 
 _WHERE = {
     "op1_language_id": "langid",
+    "op4_warc": "warc",
     "op5_near_duplicates": "neardup",
     "op7_mixing": "mixing",
     "op9_fingerprints": "fingerprint",
@@ -13,6 +14,7 @@ _WHERE = {
 }
 
 _SQL = {
+    "op4_warc": ("warc", "OP4_SQL"),
     "op5_near_duplicates": ("neardup", "OP5_SQL"),
     "op7_mixing": ("mixing", "OP7_SQL"),
 }

@@ -9,6 +9,7 @@ _WHERE = {
     "op4_warc": "warc",
     "op5_near_duplicates": "neardup",
     "op7_mixing": "mixing",
+    "op8_lm_scoring": "lm",
     "op9_fingerprints": "fingerprint",
     "op10_packing": "packing",
 }

@@ -7,6 +7,7 @@ from importlib import import_module
 _WHERE = {
     "op1_language_id": "langid",
     "op2_nearest": "ann",
+    "op3_pii": "pii",
     "op4_warc": "warc",
     "op5_near_duplicates": "neardup",
     "op7_mixing": "mixing",

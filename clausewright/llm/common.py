@@ -165,12 +165,12 @@ def salted_rank(df: DataFrame, keys: list[str], order: list[Column], salt_from:
     dealt = attach(df, counted, [], "_parts", "_group").withColumn("_part", F.pmod(salt_from, F.col("_parts")))
     sizes = dealt.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_n"))
     before = sizes.withColumn("_before", F.sum("_n").over(Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)))
-    ranked = dealt.withColumn("_row", F.row_number().over(Window.partitionBy(*keys, "_part").orderBy(*order)) - 1)
+    ranked = dealt.withColumn("_nth", F.row_number().over(Window.partitionBy(*keys, "_part").orderBy(*order)) - 1)
     out = attach(ranked, before, [F.col("l._part") == F.col("r._part")], "_before")
-    out = out.withColumn(name, F.coalesce(F.col("_before"), F.lit(0)) + F.col("_row"))
+    out = out.withColumn(name, F.coalesce(F.col("_before"), F.lit(0)) + F.col("_nth"))
     if kept_counts:
         out = out.withColumn(kept_counts, F.col("_group"))
-    return out.drop("_parts", "_part", "_row", "_before", "_group")
+    return out.drop("_parts", "_part", "_nth", "_before", "_group")
 
 
 def fields(names: str) -> pa.Schema:

@@ -25,6 +25,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import common as C
+
 KINDS = ("email", "ip", "card", "phone")
 SNIPPETS = 6000
 ROUNDS = 24
@@ -289,8 +291,10 @@ def op3_pii(spark, sf_dir: str) -> DataFrame:
 def redacted(docs: DataFrame, model=None) -> DataFrame:
     """docs with each span in text replaced by its kind in brackets; of spans that overlap, the one that begins first."""
     keep = docs.columns
-    rows = found(docs.withColumn("_whole", F.col("text")), [*keep], model).drop("_row")
-    ordered = F.array_sort(F.transform("spans", lambda x: F.struct(x["start"].alias("start"), x["finish"].alias("finish"), x["kindno"].alias("kindno"))))
+    rows = docs.withColumn("_pii_row", F.monotonically_increasing_id())
+    taken = C.cut(found(rows.select("_pii_row", "text"), ["_pii_row"], model).where(F.size("spans") > 0).select("_pii_row", F.col("spans").alias("_spans")))
+    rows = rows.join(taken, "_pii_row", "left")
+    ordered = F.array_sort(F.transform("_spans", lambda x: F.struct(x["start"].alias("start"), x["finish"].alias("finish"), x["kindno"].alias("kindno"))))
     kinds = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
     zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out"))
 
@@ -300,4 +304,4 @@ def redacted(docs: DataFrame, model=None) -> DataFrame:
         return F.when(mine, F.struct(x["finish"].cast("long").alias("at"), F.concat(acc["out"], F.array(piece)).alias("out"))).otherwise(F.struct(F.greatest(acc["at"], x["finish"].cast("long")).alias("at"), acc["out"].alias("out")))
 
     text = F.aggregate(ordered, zero, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(F.col("text"), (acc["at"] + 1).cast("int"), F.length("text"))))
-    return rows.withColumn("text", F.when(F.size("spans") > 0, text).otherwise(F.col("text"))).select(*keep)
+    return rows.withColumn("text", F.when(F.size("_spans") > 0, text).otherwise(F.col("text"))).select(*keep)

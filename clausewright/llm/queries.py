@@ -10,6 +10,7 @@ _WHERE = {
     "op3_pii": "pii",
     "op4_warc": "warc",
     "op5_near_duplicates": "neardup",
+    "op6_quality": "quality",
     "op7_mixing": "mixing",
     "op8_lm_scoring": "lm",
     "op9_fingerprints": "fingerprint",

@@ -13,37 +13,40 @@ ALONE = 1.4054651081081644
 
 def grams(x: Column, bigrams: bool = True) -> Column:
     """Tokens of two word characters or more, and pairs of neighbours."""
-    t = F.regexp_extract_all(F.lower(F.coalesce(x, F.lit(""))), F.lit(r"\b\w\w+\b"), F.lit(0))
+    t = F.regexp_extract_all(F.lower(F.coalesce(x, F.lit(""))), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0))
     if not bigrams:
         return t
     pairs = F.transform(F.sequence(F.lit(1), F.size(t) - 1), lambda i: F.concat_ws(" ", F.get(t, i - 1), F.get(t, i)))
     return F.when(F.size(t) > 1, F.concat(t, pairs)).otherwise(t)
 
 
+def bound(x: Column, f) -> Column:
+    """f of x, with x computed once however often f uses it."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
 def gram_weights(x: Column, bigrams: bool = True, sublinear: bool = True) -> Column:
     """map from gram to its term weight in the text."""
-    g = grams(x, bigrams)
 
-    def weight(w: Column) -> Column:
-        n = F.size(F.filter(g, lambda y: y == w)).cast("double")
-        return 1 + F.log(n) if sublinear else n
+    def weigh(g: Column) -> Column:
+        n = lambda w: F.size(F.filter(g, lambda y: y == w)).cast("double")
+        return bound(F.array_distinct(g), lambda k: F.map_from_arrays(k, F.transform(k, lambda w: 1 + F.log(n(w)) if sublinear else n(w))))
 
-    return F.map_from_arrays(F.array_distinct(g), F.transform(F.array_distinct(g), weight))
+    return bound(grams(x, bigrams), weigh)
 
 
 def pair_cosine(a: Column, b: Column) -> Column:
     """TF-IDF cosine of two weight maps where the two texts are the corpus; 0 if either has no gram."""
     zero = F.lit(0.0)
-    total = lambda xs, f: F.aggregate(xs, zero, lambda s, x: s + f(x))
-    shared = F.array_intersect(F.map_keys(a), F.map_keys(b))
-    at = lambda m, k: F.element_at(m, k)
-    dot = total(shared, lambda k: at(a, k) * at(b, k))
+    square = lambda m, keys: F.aggregate(keys, zero, lambda s, k: s + F.element_at(m, k) * F.element_at(m, k))
+    every = lambda m: F.aggregate(F.map_values(m), zero, lambda s, v: s + v * v)
 
-    def norm(m: Column) -> Column:
-        both = total(shared, lambda k: at(m, k) * at(m, k))
-        return both + F.lit(ALONE**2) * (total(F.map_values(m), lambda v: v * v) - both)
+    def cosine(shared: Column) -> Column:
+        dot = F.aggregate(shared, zero, lambda s, k: s + F.element_at(a, k) * F.element_at(b, k))
+        norm = lambda m: bound(square(m, shared), lambda both: both + F.lit(ALONE**2) * (every(m) - both))
+        return dot / F.sqrt(norm(a) * norm(b))
 
-    return F.when((F.size(a) > 0) & (F.size(b) > 0), dot / F.sqrt(norm(a) * norm(b))).otherwise(zero)
+    return F.when((F.size(a) > 0) & (F.size(b) > 0), bound(F.array_intersect(F.map_keys(a), F.map_keys(b)), cosine)).otherwise(zero)
 
 
 def modality_conflict(a: Column, b: Column) -> Column:
@@ -163,12 +166,15 @@ def draft_scores(sem, prop, mod, neg, cond, party, overlap, jac, core, exception
 # --- durations ----------------------------------------------------------------------------------------------------
 def temporal_conflict(text_a, text_b, party_a, party_b, mod_a, mod_b, more_stop: tuple[str, ...] = ()) -> Column:
     """struct(score, type, same_party, shared_terms, first: the first pair of like units with unlike values)."""
-    ta, tb = T.durations(text_a), T.durations(text_b)
     shared = F.array_sort(F.array_intersect(T.stem_tokens(text_a, more_stop), T.stem_tokens(text_b, more_stop)))
-    pairs = F.flatten(F.transform(ta, lambda x: F.transform(tb, lambda y: F.struct(x.alias("a"), y.alias("b")))))
+    pairs = bound(T.durations(text_b), lambda tb: F.flatten(F.transform(T.durations(text_a), lambda x: F.transform(tb, lambda y: F.struct(x.alias("a"), y.alias("b"))))))
     differ = F.get(F.filter(pairs, lambda p: (T.unit_family(p["a"]["unit"]) == T.unit_family(p["b"]["unit"])) & (p["a"]["value"] != p["b"]["value"])), F.lit(0))
     party = same_party(party_a, party_b)
     mods = F.when(((mod_a == "obligation") & (mod_b == "permission")) | ((mod_a == "permission") & (mod_b == "obligation")), 0.10).when((mod_a == "obligation") & (mod_b == "obligation"), 0.05).otherwise(0.0)
-    hit = differ.isNotNull() & (F.size(shared) > 0)
-    score = F.when(hit, F.least(F.lit(1.0), F.lit(0.75) + F.when(party, 0.10).otherwise(0.0) + mods)).otherwise(0.0)
-    return F.struct(score.alias("score"), F.when(hit, "temporal_deadline_conflict").alias("type"), party.alias("same_party"), shared.alias("shared_terms"), F.when(hit, differ).alias("first"))
+
+    def result(e: Column) -> Column:
+        hit = e["differ"].isNotNull() & (F.size(e["shared"]) > 0)
+        score = F.when(hit, F.least(F.lit(1.0), F.lit(0.75) + F.when(party, 0.10).otherwise(0.0) + mods)).otherwise(0.0)
+        return F.struct(score.alias("score"), F.when(hit, "temporal_deadline_conflict").alias("type"), party.alias("same_party"), e["shared"].alias("shared_terms"), F.when(hit, e["differ"]).alias("first"))
+
+    return bound(F.struct(differ.alias("differ"), shared.alias("shared")), result)

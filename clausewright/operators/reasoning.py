@@ -13,8 +13,8 @@ INTERACTIVE = {"weights": (0.25, 0.25, 0.50), "threshold": 0.50}
 
 
 def prepared(clauses: DataFrame) -> DataFrame:
-    """clauses with the map of gram weights that pairs are compared by, made once for each clause."""
-    return clauses.withColumn("grams", X.gram_weights(F.col("text")))
+    """clauses with the maps of gram weights that pairs are compared by, made once for each clause."""
+    return clauses.withColumn("grams", X.gram_weights(F.col("text"))).withColumn("cgrams", X.gram_weights(F.col("condition"), False, False))
 
 
 def pairs_within(clauses: DataFrame, ordered: bool = False) -> DataFrame:
@@ -32,7 +32,7 @@ def analyzed(pairs: DataFrame, similarity: Column | None = None, threshold: floa
         a("document_id").alias("document_id"), a("clause_id").alias("clause_a"), b("clause_id").alias("clause_b"), a("text").alias("text_a"), b("text").alias("text_b"),
         a("party").alias("party_a"), b("party").alias("party_b"), a("modality").alias("modality_a"), b("modality").alias("modality_b"),
         sem.alias("semantic_similarity"), X.modality_conflict(a("modality"), b("modality")).alias("modality_conflict"), X.negation_conflict(a("text"), b("text")).alias("negation_conflict"),
-        X.same_party(a("party"), b("party")).alias("same_party"), X.condition_similarity(a("condition"), b("condition")).alias("condition_similarity"),
+        X.same_party(a("party"), b("party")).alias("same_party"), X.pair_cosine(a("cgrams"), b("cgrams")).alias("condition_similarity"),
     )
     c = F.col
     rows = rows.withColumn("structured_score", X.structured_score(c("semantic_similarity"), c("modality_conflict"), c("negation_conflict"), c("same_party"), c("condition_similarity")))

@@ -80,29 +80,29 @@ FACTS = f"""{SYNTH}, facts AS (
 
 
 def grams(source: str, key: str, text: str = "text", bigrams: bool = True) -> str:
-    toks = f"regexp_extract_all(lower({text}), '\\b\\w\\w+\\b')"
+    toks = f"regexp_extract_all(lower({text}), '[\\p{{L}}\\p{{N}}_]{{2,}}')"
     both = f"list_concat({toks}, list_transform(range(1, len({toks})), lambda i: {toks}[i] || ' ' || {toks}[i + 1]))" if bigrams else toks
     return f"SELECT {key}, unnest({both}) AS g FROM {source}"
 
 
 #: Pairs of a document's clauses with the structured features.
 PAIRS = f"""{FACTS}, tf AS (
-  SELECT clause_id, g, 1 + ln(count(*)) AS t FROM ({grams("synth", "clause_id")}) GROUP BY ALL
+  SELECT document_id, rn, clause_id, g, 1 + ln(count(*)) AS t FROM ({grams("synth", "document_id, rn, clause_id")}) GROUP BY ALL
 ), size2 AS (
   SELECT clause_id, sum(t * t) AS s2 FROM tf GROUP BY clause_id
 ), pairs AS (
   SELECT a.document_id, a.clause_id AS clause_a, b.clause_id AS clause_b, a.text AS text_a, b.text AS text_b, a.modality AS ma, b.modality AS mb, a.party AS pa, b.party AS pb, a.condition AS ca, b.condition AS cb, a.negated AS na, b.negated AS nb
   FROM facts a JOIN facts b ON a.document_id = b.document_id AND a.rn < b.rn
 ), dots AS (
-  SELECT p.clause_a, p.clause_b, sum(x.t * y.t) AS dot, sum(x.t * x.t) AS sa, sum(y.t * y.t) AS sb
-  FROM pairs p JOIN tf x ON x.clause_id = p.clause_a JOIN tf y ON y.clause_id = p.clause_b AND y.g = x.g GROUP BY ALL
+  SELECT x.clause_id AS clause_a, y.clause_id AS clause_b, sum(x.t * y.t) AS dot, sum(x.t * x.t) AS sa, sum(y.t * y.t) AS sb
+  FROM tf x JOIN tf y ON x.document_id = y.document_id AND x.g = y.g AND x.rn < y.rn GROUP BY ALL
 ), ctf AS (
-  SELECT clause_id, g, count(*)::DOUBLE AS t FROM ({grams("facts", "clause_id", "condition", False)}) GROUP BY ALL
+  SELECT document_id, rn, clause_id, g, count(*)::DOUBLE AS t FROM ({grams("facts", "document_id, rn, clause_id", "condition", False)}) GROUP BY ALL
 ), cs2 AS (
   SELECT clause_id, sum(t * t) AS s2 FROM ctf GROUP BY clause_id
 ), cdots AS (
-  SELECT p.clause_a, p.clause_b, sum(x.t * y.t) AS dot, sum(x.t * x.t) AS sa, sum(y.t * y.t) AS sb
-  FROM pairs p JOIN ctf x ON x.clause_id = p.clause_a JOIN ctf y ON y.clause_id = p.clause_b AND y.g = x.g GROUP BY ALL
+  SELECT x.clause_id AS clause_a, y.clause_id AS clause_b, sum(x.t * y.t) AS dot, sum(x.t * x.t) AS sa, sum(y.t * y.t) AS sb
+  FROM ctf x JOIN ctf y ON x.document_id = y.document_id AND x.g = y.g AND x.rn < y.rn GROUP BY ALL
 ), featured AS (
   SELECT p.*,
     coalesce(d.dot / sqrt((d.sa + {LN3_2}::DOUBLE ** 2 * (u.s2 - d.sa)) * (d.sb + {LN3_2}::DOUBLE ** 2 * (v.s2 - d.sb))), 0) AS sem,
@@ -161,7 +161,7 @@ GRAPH = f"""{TEMPORAL}, edges AS (
 ), adj AS (
   SELECT src AS node_id, dst AS other, weight AS w FROM edges WHERE relationship = 'conflict' UNION ALL SELECT dst, src, weight FROM edges WHERE relationship = 'conflict'
 ), base AS (
-  SELECT s.clause_id AS node_id, coalesce(least(max(w), 1), 0) AS direct, count(w) AS degree FROM synth s LEFT JOIN adj ON adj.node_id = s.clause_id GROUP BY s.clause_id
+  SELECT s.clause_id AS node_id, CASE WHEN count(w) > 0 THEN least(max(w), 1) ELSE 0 END AS direct, count(w) AS degree FROM synth s LEFT JOIN adj ON adj.node_id = s.clause_id GROUP BY s.clause_id
 )""" + "".join(
     f""", r{i} AS (
   SELECT b.node_id, least(greatest(any_value(b.direct) * 0.70::DOUBLE + 0.30::DOUBLE * coalesce(sum(a.w * p.score) / nullif(sum(a.w), 0), 0), 0), 1) AS score

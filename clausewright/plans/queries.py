@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -117,18 +118,17 @@ def b31(spark, d):
     return synth_clauses(spark, d).select("clause_id", T.subject_action_object(F.col("text")).alias("s")).select("clause_id", "s.*")
 
 
-@query("c18_word_sets", "SELECT doc_id, len(list_distinct(regexp_extract_all(lower(text), '\\b[a-z]{3,}\\b')))::BIGINT AS n FROM documents WHERE lang = 'en'")
+@query("c18_word_sets", "SELECT doc_id, len(list_distinct(regexp_extract_all(regexp_replace(lower(text), '[^\\x00-\\x7F]', '_', 'g'), '\\b[a-z]{3,}\\b')))::BIGINT AS n FROM documents WHERE lang = 'en'")
 def c18(spark, d):
     docs = spark.read.parquet(f"{d}/documents.parquet").where("lang = 'en'")
     return docs.select("doc_id", F.size(T.words(F.col("text"))).cast("long").alias("n"))
 
 
 # --- C: representation and retrieval ----------------------------------------------------------------------------------
-_TFIDF = f"""{O.SYNTH}, tfs AS (SELECT clause_id, g, count(*) AS tf FROM ({O.grams("synth", "clause_id")}) GROUP BY ALL),
+_TFIDF = f"""{O.SYNTH}, tfs AS (SELECT document_id, clause_id, g, count(*) AS tf FROM ({O.grams("synth", "document_id, clause_id")}) GROUP BY ALL),
  dfs AS (SELECT g, count(*) AS df, sum(tf) AS total FROM tfs GROUP BY g), vocab AS (SELECT g, ln((1 + (SELECT count(*) FROM synth)) / (1 + df)::DOUBLE) + 1 AS idf FROM (SELECT * FROM dfs ORDER BY total DESC, g LIMIT 20000)),
- raw AS (SELECT clause_id, g, (1 + ln(tf)) * idf AS w FROM tfs JOIN vocab USING (g)), weights AS (SELECT clause_id, g, w / sqrt(sum(w * w) OVER (PARTITION BY clause_id)) AS weight FROM raw)"""
-_TOP = f"""{_TFIDF}, dots0 AS (SELECT x.clause_id AS qi, y.clause_id AS ci, sum(x.weight * y.weight) AS dot FROM weights x JOIN synth sx ON sx.clause_id = x.clause_id JOIN synth sy ON sy.document_id = sx.document_id AND sy.clause_id <> sx.clause_id
-   JOIN weights y ON y.clause_id = sy.clause_id AND y.g = x.g GROUP BY ALL),
+ raw AS (SELECT document_id, clause_id, g, (1 + ln(tf)) * idf AS w FROM tfs JOIN vocab USING (g)), weights AS (SELECT document_id, clause_id, g, w / sqrt(sum(w * w) OVER (PARTITION BY clause_id)) AS weight FROM raw)"""
+_TOP = f"""{_TFIDF}, dots0 AS (SELECT x.clause_id AS qi, y.clause_id AS ci, sum(x.weight * y.weight) AS dot FROM weights x JOIN weights y ON x.document_id = y.document_id AND x.g = y.g AND x.clause_id <> y.clause_id GROUP BY ALL),
  ranked AS (SELECT a.document_id, a.clause_id AS query_id, b.clause_id AS candidate_id, coalesce(dot, 0) AS score, row_number() OVER (PARTITION BY a.clause_id ORDER BY round(coalesce(dot, 0), 9) DESC, b.clause_id) AS rank
    FROM synth a JOIN synth b ON a.document_id = b.document_id AND a.clause_id <> b.clause_id LEFT JOIN dots0 ON qi = a.clause_id AND ci = b.clause_id)"""
 
@@ -209,7 +209,7 @@ _QW, _CW = _W.format("a.text"), _W.format("b.text")
 _LEGAL = f"list_filter({_QW}, lambda w: {O.within('w', T.LEGAL_TERMS)})"
 
 
-@query("c22_legal_rerank", f"""WITH {O.FACTS}, {_TOP.split(",", 1)[1] if False else _TOP[len(O.SYNTH) + 2:]}, parts AS (SELECT r.query_id, r.candidate_id, r.score AS sparse,
+@query("c22_legal_rerank", f"""WITH {O.FACTS}, {_TOP[len(O.SYNTH) + 2 :]}, parts AS (SELECT r.query_id, r.candidate_id, r.score AS sparse,
    CASE WHEN len({_LEGAL}) > 0 THEN len(list_intersect({_LEGAL}, {_CW})) / len({_LEGAL})::DOUBLE ELSE 0 END AS legal,
    CASE WHEN len({_QW}) > 0 THEN len(list_intersect({_QW}, {_CW})) / len({_QW})::DOUBLE ELSE 0 END AS context,
    (contains(lower(a.text), coalesce(b.modality, 'none')) OR list_contains({_QW}, coalesce(b.modality, 'none')))::INT::DOUBLE AS hit
@@ -226,3 +226,315 @@ def c22(spark, d):
         X.modality_match(F.col("qt"), F.col("qw"), F.col("cm")).alias("modality_hit"),
     )
     return S.rerank(both).select("query_id", "candidate_id", F.round("rerank_score", 6).alias("rerank_score"), F.col("rank").cast("long").alias("rank"))
+
+
+# --- D, E: pairs, conflicts, durations --------------------------------------------------------------------------------
+def _analyzed(spark, d):
+    return R.analyzed(R.pairs_within(R.prepared(C.extract(synth_clauses(spark, d)))))
+
+
+def _hybrid(spark, d):
+    return R.hybrid(R.rule_inference(_analyzed(spark, d)))
+
+
+@query("d11_structured_pairs", f"""WITH {O.PAIRS} SELECT clause_a, clause_b, round(sem, 6) AS semantic_similarity, mod AS modality_conflict, neg AS negation_conflict, party AS same_party, round(cond, 6) AS condition_similarity,
+ round(score, 6) AS score, kind AS conflict_type, score >= 0.5 AND kind <> 'no_clear_conflict' AS is_conflict FROM scored""")
+def d11(spark, d):
+    return _analyzed(spark, d).select("clause_a", "clause_b", F.round("semantic_similarity", 6).alias("semantic_similarity"), "modality_conflict", "negation_conflict", "same_party", F.round("condition_similarity", 6).alias("condition_similarity"), F.round("structured_score", 6).alias("score"), F.col("structured_type").alias("conflict_type"), F.col("is_structured_conflict").alias("is_conflict"))
+
+
+@query("d10_reasons")
+def d10(spark, d):
+    return _analyzed(spark, d).select("clause_a", "clause_b", "reasons")
+
+
+@query("d16_hybrid_pairs", f"""WITH {O.TEMPORAL} SELECT clause_a, clause_b, p AS p_contradiction, round(hybrid, 6) AS hybrid_score, final AS conflict_type, hybrid >= 0.71 AS is_conflict,
+ CASE WHEN hybrid >= 0.75 THEN 'High' WHEN hybrid >= 0.50 THEN 'Medium' ELSE 'Low' END AS confidence_level FROM hybrid""")
+def d16(spark, d):
+    return _hybrid(spark, d).select("clause_a", "clause_b", "p_contradiction", F.round("hybrid_score", 6).alias("hybrid_score"), "conflict_type", "is_conflict", "confidence_level")
+
+
+@query("d19_first_of_pair", f"""WITH {_TOP}, keyed AS (SELECT *, row_number() OVER (PARTITION BY least(query_id, candidate_id), greatest(query_id, candidate_id) ORDER BY query_id, candidate_id) AS n FROM ranked WHERE rank <= 2)
+ SELECT query_id, candidate_id, round(score, 6) AS score FROM keyed WHERE n = 1""")
+def d19(spark, d):
+    return R.first_of_pair(_ranked(spark, d, 2)[1], ["query_id", "candidate_id"], "query_id", "candidate_id").select("query_id", "candidate_id", F.round("score", 6).alias("score"))
+
+
+@query("d20_best_of_pair", f"""WITH {_TOP}, keyed AS (SELECT *, row_number() OVER (PARTITION BY least(query_id, candidate_id), greatest(query_id, candidate_id) ORDER BY rank, query_id, candidate_id) AS n FROM ranked WHERE rank <= 2)
+ SELECT query_id, candidate_id, rank FROM keyed WHERE n = 1""")
+def d20(spark, d):
+    rows = _ranked(spark, d, 2)[1].withColumn("better", -F.col("rank"))
+    return R.best_of_pair(rows, "better", ["query_id", "candidate_id"], "query_id", "candidate_id").select("query_id", "candidate_id", F.col("rank").cast("long").alias("rank"))
+
+
+@query("d25_conflict_rate", f"WITH {O.TEMPORAL} SELECT count(*) AS pairs, count(*) FILTER (WHERE hybrid >= 0.71) AS conflicts, round(avg((hybrid >= 0.71)::INT), 6) AS rate FROM hybrid")
+def d25(spark, d):
+    return _hybrid(spark, d).agg(F.count(F.lit(1)).alias("pairs"), F.count_if("is_conflict").alias("conflicts"), F.round(F.avg(F.col("is_conflict").cast("int")), 6).alias("rate"))
+
+
+@query("d26_conflict_types", f"WITH {O.TEMPORAL} SELECT final AS conflict_type, count(*) AS n FROM hybrid WHERE hybrid >= 0.71 GROUP BY 1")
+def d26(spark, d):
+    rows = R.with_texts(_hybrid(spark, d).where("is_conflict"), synth_clauses(spark, d))
+    return rows.where("found_a <> '[CLAUSE TEXT NOT FOUND]'").groupBy("conflict_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+_DRAFT = f"""{O.SYNTH}, made AS (SELECT document_id, rn, clause_id, text, coalesce({O.first_class("text", (("prohibition", T.DRAFT_PROHIBITION), ("obligation", T.DRAFT_OBLIGATION), ("permission", T.DRAFT_PERMISSION)))}, 'none') AS m,
+   list_distinct({O.all_of("lower(text)", [rf"{chr(92)}b{p}{chr(92)}b" for p in T.DRAFT_PARTIES])}) AS parties,
+   list_distinct(list_filter(regexp_extract_all(lower(text), '\\b[a-z]{{3,}}\\b'), lambda w: NOT ({O.within("w", T.PROPOSITION_STOP)}))) AS prop FROM synth),
+ dp AS (SELECT a.clause_id AS clause_a, b.clause_id AS clause_b,
+   CASE WHEN (a.m = 'prohibition' AND b.m IN ('obligation', 'permission')) OR (b.m = 'prohibition' AND a.m IN ('obligation', 'permission')) THEN 1.0 ELSE 0.0 END::DOUBLE AS mod,
+   len(list_intersect(a.prop, b.prop)) AS i, len(list_distinct(list_concat(a.prop, b.prop))) AS u, least(len(a.prop), len(b.prop)) AS s,
+   CASE WHEN len(a.parties) = 0 AND len(b.parties) = 0 THEN 1.0 WHEN len(a.parties) = 0 OR len(b.parties) = 0 THEN 0.5 WHEN len(list_intersect(a.parties, b.parties)) > 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS scope
+   FROM made a JOIN made b ON a.document_id = b.document_id AND a.rn < b.rn AND a.text <> b.text)"""
+
+
+@query("d27_draft_pair_features", f"""WITH {_DRAFT} SELECT clause_a, clause_b, mod, round(CASE WHEN u > 0 THEN i / u::DOUBLE ELSE 0 END, 6) AS jaccard, round(CASE WHEN s > 0 THEN i / s::DOUBLE ELSE 0 END, 6) AS overlap, scope,
+ ((CASE WHEN u > 0 THEN i / u::DOUBLE ELSE 0 END) >= 0.30 AND mod = 1)::INT AS aligned FROM dp""")
+def d27(spark, d):
+    rows = R.draft_pairs(synth_clauses(spark, d))
+    return rows.select("clause_a", "clause_b", "mod", F.round("prop", 6).alias("jaccard"), F.round("overlap", 6).alias("overlap"), "scope", F.col("aligned_conflict").alias("aligned"))
+
+
+@query("d30_score_families")
+def d30(spark, d):
+    rows = R.draft_pairs(synth_clauses(spark, d))
+    names = ["structured_score", "final_structured_score", "structured_conflict_score", "strict_conflict_score", "aligned_conflict_score", "scope_aware_score", "clause_reasoning_score"]
+    return rows.select("clause_a", "clause_b", *names, R.class_of(F.col("strict_conflict_score")).alias("class"))
+
+
+@query("e04_temporal_conflicts", f"WITH {O.TEMPORAL} SELECT clause_a, clause_b, round(temporal, 6) AS score, va AS value_a, vb AS value_b, shared::BIGINT AS shared FROM timed WHERE temporal > 0")
+def e04(spark, d):
+    rows = _hybrid(spark, d).where("temporal_score > 0")
+    return rows.select("clause_a", "clause_b", F.round("temporal_score", 6).alias("score"), F.col("temporal.first.a.value").alias("value_a"), F.col("temporal.first.b.value").alias("value_b"), F.size("temporal.shared_terms").cast("long").alias("shared"))
+
+
+@query("e01_durations", f"WITH {O.SYNTH} SELECT clause_id, array_to_string(list_sort(regexp_extract_all(lower(text), {O.q(chr(92) + 'b' + T._DAY_UNITS)})), '|') AS days, array_to_string(list_sort(regexp_extract_all(lower(text), {O.q(chr(92) + 'b' + T._CLOCK_UNITS)})), '|') AS clock FROM synth")
+def e01(spark, d):
+    t = T.durations(F.col("text"))
+    short = lambda x: T.unit_family(x["unit"]) == "short"
+    names = lambda keep: F.array_join(F.array_sort(F.transform(F.filter(t, keep), lambda x: x["text"])), "|")
+    return synth_clauses(spark, d).select("clause_id", names(lambda x: ~short(x)).alias("days"), names(short).alias("clock"))
+
+
+# --- F, G, H: graph, risk, resolutions --------------------------------------------------------------------------------
+def _graph(spark, d):
+    rows = synth_clauses(spark, d)
+    edges = G.edges_of(_hybrid(spark, d)).persist(StorageLevel.MEMORY_AND_DISK)  # read once a round; recomputed if lost
+    nodes = G.nodes_of(rows)
+    return nodes, edges, G.propagate(nodes, edges)
+
+
+def _risk(spark, d):
+    _, edges, p = _graph(spark, d)
+    return G.node_risk(p, edges)
+
+
+@query("f03_unknown_endpoints", f"WITH {O.GRAPH} SELECT count(*) AS n FROM (SELECT src AS x FROM edges UNION SELECT dst FROM edges) WHERE x NOT IN (SELECT clause_id FROM synth)")
+def f03(spark, d):
+    nodes, edges, _ = _graph(spark, d)
+    return G.unknown_endpoints(nodes, edges).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("f07_neighbours", f"WITH {O.GRAPH} SELECT node_id, array_to_string(list_sort(list_distinct(list(other))), '|') AS neighbours FROM (SELECT src AS node_id, dst AS other FROM edges UNION ALL SELECT dst, src FROM edges) GROUP BY node_id")
+def f07(spark, d):
+    return G.neighbours(_graph(spark, d)[1]).select("node_id", F.array_join("neighbours", "|").alias("neighbours"))
+
+
+@query("f14_propagation", f"WITH {O.GRAPH} SELECT node_id, round(direct, 6) AS direct, round(propagated, 6) AS propagated, degree, hotspot FROM propagated")
+def f14(spark, d):
+    return _graph(spark, d)[2].select("node_id", F.round("direct", 6).alias("direct"), F.round("propagated", 6).alias("propagated"), "degree", "hotspot")
+
+
+@query("f16_hotspot_counts", f"WITH {O.GRAPH} SELECT v.hotspot, count(p.node_id) AS n FROM (VALUES ('high'), ('medium'), ('low'), ('none')) v(hotspot) LEFT JOIN propagated p USING (hotspot) GROUP BY 1")
+def f16(spark, d):
+    levels = spark.sql("SELECT explode(array('high', 'medium', 'low', 'none')) AS hotspot")
+    counts = _graph(spark, d)[2].groupBy("hotspot").agg(F.count(F.lit(1)).alias("n"))
+    return levels.join(counts, "hotspot", "left").select("hotspot", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+@query("f17_strongest_edges", f"WITH {O.GRAPH} SELECT src, dst, round(weight, 6) AS weight, conflict_type FROM edges WHERE relationship = 'conflict' ORDER BY round(weight, 9) DESC, src, dst LIMIT 10")
+def f17(spark, d):
+    edges = _graph(spark, d)[1].where("relationship = 'conflict'")
+    return edges.orderBy(F.desc(F.round("weight", 9)), "src", "dst").limit(10).select("src", "dst", F.round("weight", 6).alias("weight"), "conflict_type")
+
+
+@query("g04_node_risk", f"WITH {O.RISK} SELECT node_id, round(coalesce(density, 0), 6) AS density, severity, round(risk, 6) AS risk, {O.LEVEL.format('risk')} AS level FROM risk")
+def g04(spark, d):
+    return _risk(spark, d).select("node_id", F.round("density", 6).alias("density"), "severity", F.round("risk", 6).alias("risk"), "level")
+
+
+@query("g06_risk_summary", f"WITH {O.RISK}, one AS (SELECT count(*) AS nodes, round(avg(risk), 4) AS mean_risk, round(max(risk), 4) AS max_risk FROM risk) SELECT *, {O.LEVEL.format('max_risk')} AS overall FROM one")
+def g06(spark, d):
+    return G.summarized(_risk(spark, d))
+
+
+@query("g08_document_risk", f"""WITH {O.RISK}, doc AS (SELECT string_split(node_id, '_clause_')[1] AS document_id, count(*) AS clauses, max(risk) AS mx, avg(risk) AS mean_risk, count(*) FILTER (WHERE risk >= 0.60) AS high_risk, count(*) FILTER (WHERE degree > 0) AS connected FROM risk GROUP BY 1)
+ SELECT document_id, clauses, round(mx, 6) AS max_risk, round(mean_risk, 6) AS mean_risk, high_risk, connected, {O.LEVEL.format('mx')} AS level FROM doc""")
+def g08(spark, d):
+    return G.document_risk(_risk(spark, d)).select("document_id", "clauses", F.round("max_risk", 6).alias("max_risk"), F.round("mean_risk", 6).alias("mean_risk"), "high_risk", "connected", "level")
+
+
+_ADVICE = "CASE conflict_type " + " ".join(f"WHEN {O.q(k)} THEN {O.q(v)}" for k, v in G.ADVICE.items()) + f" ELSE {O.q(G.REVIEW)} END"
+
+
+@query("h03_resolutions", f"""WITH {O.GRAPH} SELECT src, dst, conflict_type, CASE WHEN conflict_type = 'temporal_deadline_conflict' THEN 'high' WHEN weight >= 0.90 THEN 'Critical' WHEN weight >= 0.70 THEN 'High' WHEN weight >= 0.50 THEN 'Medium' ELSE 'Low' END AS severity, {_ADVICE} AS advice FROM edges""")
+def h03(spark, d):
+    return G.resolved(_graph(spark, d)[1]).select("src", "dst", "conflict_type", "severity", "advice")
+
+
+@query("h04_explanations", f"""WITH {O.RISK} SELECT node_id, concat_ws(' ', CASE WHEN direct > 0 THEN CASE WHEN direct >= 0.80 THEN 'very strong' WHEN direct >= 0.60 THEN 'strong' WHEN direct >= 0.40 THEN 'moderate' ELSE 'weak' END || ' direct conflict' END,
+ CASE WHEN degree = 0 THEN 'no propagation' WHEN propagated >= 0.80 THEN 'strong propagation' WHEN propagated >= 0.50 THEN 'moderate propagation' ELSE 'limited propagation' END,
+ CASE WHEN severity > 0 THEN CASE WHEN severity >= 0.80 THEN 'severe type' WHEN severity >= 0.50 THEN 'notable type' ELSE 'minor type' END END, types) AS explanation,
+ CASE WHEN risk >= 0.60 THEN CASE WHEN degree > 1 THEN 'resolve together with its neighbours' ELSE 'resolve first' END WHEN risk >= 0.35 THEN 'review' ELSE 'monitor' END AS action FROM risk""")
+def h04(spark, d):
+    return G.explained(_risk(spark, d)).select("node_id", "explanation", "action")
+
+
+# --- I, J: evaluation, estimators -------------------------------------------------------------------------------------
+_GOLD = f"""{O.SEGMENTS}, cleaned AS (SELECT doc_id, length({O.clean("text")}) AS n FROM documents), offs AS (SELECT doc_id, pos, length(piece) AS l, sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY pos) AS e, piece FROM tiled)"""
+
+
+@query("i05_interval_join")
+def i05(spark, d):
+    docs = _docs(spark, d)
+    rows = C.segment(docs).withColumn("clause_id", F.col("rn"))
+    gold = docs.select("document_id", F.explode(F.array(*[F.struct(F.lit(k).alias("query_id"), (F.length("text") * k / 4).cast("int").alias("start"), (F.length("text") * k / 4 + 40).cast("int").alias("finish")) for k in range(3)])).alias("g")).select("document_id", "g.*")
+    return E.relevant(rows, gold)
+
+
+@query("i07_ranking_metrics", f"""WITH {_DENSE}, hits AS (SELECT query_id, min(CASE WHEN hit THEN rank END) AS r FROM dense GROUP BY query_id)
+ SELECT count(*) AS queries, round(avg((coalesce(r <= 1, false))::INT), 6) AS recall_1, round(avg((coalesce(r <= 2, false))::INT), 6) AS recall_2, round(avg((coalesce(r <= 5, false))::INT), 6) AS recall_5, round(avg((coalesce(r <= 10, false))::INT), 6) AS recall_10, round(avg(coalesce(1.0::DOUBLE / r, 0)), 6) AS mrr FROM hits""")
+def i07(spark, d):
+    m = E.ranking_metrics(E.first_hits(_dense(spark, d), ["query_id"]))
+    return m.select("queries", *[F.round(c, 6).alias(c) for c in m.columns if c != "queries"])
+
+
+@query("i09_threshold_grid", f"""WITH {_DENSE}, g AS (SELECT * FROM (VALUES (0.0::DOUBLE), (0.1::DOUBLE), (0.2::DOUBLE)) t(threshold), (VALUES (1), (2), (5)) k(k)),
+ own AS (SELECT threshold, k, query_id, count(*) FILTER (WHERE rank <= k AND score >= threshold) AS n, max((rank <= k AND score >= threshold AND hit)::INT) AS found FROM dense, g GROUP BY ALL)
+ SELECT threshold, k, round(avg(found), 6) AS recall, round(avg(n), 6) AS mean_candidates, round(avg((n = 0)::INT), 6) AS none_rate FROM own GROUP BY ALL""")
+def i09(spark, d):
+    m = E.threshold_grid(_dense(spark, d), (0.0, 0.1, 0.2), (1, 2, 5))
+    return m.select("threshold", "k", *[F.round(c, 6).alias(c) for c in ("recall", "mean_candidates", "none_rate")])
+
+
+@query("i10_failures", f"""WITH {_DENSE}, hits AS (SELECT query_id, min(CASE WHEN hit THEN rank END) AS r FROM dense GROUP BY query_id)
+ SELECT query_id, r AS first_rank, coalesce(r, 999999)::BIGINT AS key FROM hits WHERE r IS NULL OR r > 2 ORDER BY coalesce(r, 999999) DESC, query_id LIMIT 50""")
+def i10(spark, d):
+    return E.failures(E.first_hits(_dense(spark, d), ["query_id"])).select("query_id", F.col("first_rank").cast("long").alias("first_rank"), F.col("key").cast("long").alias("key"))
+
+
+def _labelled(spark, d):
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    return labels.join(docs.select("doc_id", "n_chars", "source"), "doc_id").select("doc_id", "source", "n_chars", F.col("quality").alias("label"), (F.col("n_chars") / (F.col("n_chars") + 1000)).alias("score"))
+
+
+_LABELLED = "lab AS (SELECT doc_id, source, n_chars, quality AS label, n_chars / (n_chars + 1000)::DOUBLE AS score FROM labels JOIN documents USING (doc_id))"
+_SWEEP = f"""{_LABELLED}, th AS (SELECT * FROM (VALUES (0.2::DOUBLE), (0.4::DOUBLE), (0.6::DOUBLE), (0.8::DOUBLE)) v(threshold)),
+ cnt AS (SELECT threshold, count(*) FILTER (WHERE score >= threshold AND label = 1) AS tp, count(*) FILTER (WHERE score >= threshold AND label <> 1) AS fp, count(*) FILTER (WHERE score < threshold AND label = 1) AS fn FROM lab, th GROUP BY threshold),
+ pr AS (SELECT *, coalesce(tp / nullif(tp + fp, 0)::DOUBLE, 0) AS p, coalesce(tp / nullif(tp + fn, 0)::DOUBLE, 0) AS r FROM cnt)"""
+
+
+@query("i14_threshold_sweep", f"WITH {_SWEEP} SELECT threshold, tp, fp, fn, round(p, 6) AS precision, round(r, 6) AS recall, round(coalesce(2 * p * r / nullif(p + r, 0), 0), 6) AS f1 FROM pr")
+def i14(spark, d):
+    m = E.sweep(_labelled(spark, d), (0.2, 0.4, 0.6, 0.8))
+    return m.select("threshold", "tp", "fp", "fn", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
+
+
+@query("i15_areas", f"""WITH {_LABELLED}, c AS (SELECT score, count(*) FILTER (WHERE label = 1) AS pos, count(*) FILTER (WHERE label <> 1) AS neg FROM lab GROUP BY score),
+ u AS (SELECT *, sum(pos) OVER (ORDER BY score DESC) AS tp, sum(neg) OVER (ORDER BY score DESC) AS fp FROM c)
+ SELECT round(sum(neg * (tp - pos / 2.0::DOUBLE)) / (sum(pos) * sum(neg)), 6) AS auc, round(sum(pos * tp / (tp + fp)::DOUBLE) / sum(pos), 6) AS average_precision FROM u""")
+def i15(spark, d):
+    return E.areas(_labelled(spark, d)).select(F.round("auc", 6).alias("auc"), F.round("average_precision", 6).alias("average_precision"))
+
+
+@query("i16_confusion", f"""WITH {_LABELLED}, c AS (SELECT count(*) FILTER (WHERE label = 1 AND score >= 0.5) AS tp, count(*) FILTER (WHERE label <> 1 AND score >= 0.5) AS fp, count(*) FILTER (WHERE label = 1 AND score < 0.5) AS fn, count(*) FILTER (WHERE label <> 1 AND score < 0.5) AS tn FROM lab)
+ SELECT *, round((tp + tn) / (tp + fp + fn + tn)::DOUBLE, 6) AS accuracy, round((tp / (tp + fn)::DOUBLE + tn / (tn + fp)::DOUBLE) / 2, 6) AS balanced_accuracy FROM c""")
+def i16(spark, d):
+    m = E.confusion(_labelled(spark, d).withColumn("predicted", (F.col("score") >= 0.5).cast("int")))
+    return m.withColumns({c: F.round(c, 6) for c in ("accuracy", "balanced_accuracy")})
+
+
+@query("i18_group_features", f"WITH {_LABELLED} SELECT doc_id, round(avg(score) OVER (PARTITION BY source), 6) AS score_mean, round(max(score) OVER (PARTITION BY source), 6) AS score_max, count(*) OVER (PARTITION BY source) AS score_count FROM lab")
+def i18(spark, d):
+    rows = J.grouped_features(_labelled(spark, d), ["score"], ["source"])
+    return rows.select("doc_id", F.round("score_mean", 6).alias("score_mean"), F.round("score_max", 6).alias("score_max"), "score_count")
+
+
+@query("i19_group_top_k", f"WITH {_LABELLED}, r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY score DESC, doc_id) AS rank FROM lab) SELECT source, doc_id, rank FROM r WHERE rank <= 3")
+def i19(spark, d):
+    w = Window.partitionBy("source").orderBy(F.desc("score"), "doc_id")
+    return _labelled(spark, d).withColumn("rank", F.row_number().over(w).cast("long")).where("rank <= 3").select("source", "doc_id", "rank")
+
+
+@query("i20_unpivot_best", f"WITH {O.PAIRS}, u AS (SELECT clause_a AS clause_id, score FROM scored UNION ALL SELECT clause_b, score FROM scored) SELECT clause_id, round(max(score), 6) AS best FROM u GROUP BY 1")
+def i20(spark, d):
+    rows = _analyzed(spark, d)
+    both = rows.select(F.explode(F.array("clause_a", "clause_b")).alias("clause_id"), "structured_score")
+    return both.groupBy("clause_id").agg(F.round(F.max("structured_score"), 6).alias("best"))
+
+
+@query("i24_describe", "SELECT lang, count(n_chars) AS count, round(avg(n_chars), 6) AS mean, round(stddev_samp(n_chars), 6) AS std, min(n_chars) AS min, quantile_cont(n_chars, 0.25) AS q25, quantile_cont(n_chars, 0.5) AS q50, quantile_cont(n_chars, 0.75) AS q75, max(n_chars) AS max FROM documents GROUP BY lang")
+def i24(spark, d):
+    m = E.described(spark.read.parquet(f"{d}/documents.parquet"), "n_chars", ["lang"])
+    return m.withColumn("mean", F.round("mean", 6)).withColumn("std", F.round("std", 6))
+
+
+@query("i25_value_counts", "SELECT source, count(*) AS n, round(count(*) / sum(count(*)) OVER ()::DOUBLE, 6) AS share FROM documents WHERE source IS NOT NULL GROUP BY source")
+def i25(spark, d):
+    return E.value_counts(spark.read.parquet(f"{d}/documents.parquet"), "source").withColumn("share", F.round("share", 6))
+
+
+@query("i26_drop_duplicates", "SELECT min(doc_id) AS doc_id, source, lang FROM documents GROUP BY source, lang")
+def i26(spark, d):
+    w = Window.partitionBy("source", "lang").orderBy("doc_id")
+    return spark.read.parquet(f"{d}/documents.parquet").withColumn("n", F.row_number().over(w)).where("n = 1").select("doc_id", "source", "lang")
+
+
+@query("i27_semi_join", "SELECT doc_id, source FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 0)")
+def i27(spark, d):
+    bad = spark.read.parquet(f"{d}/labels.parquet").where("quality = 0").select("doc_id")
+    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "source").join(bad, "doc_id", "left_semi")
+
+
+@query("i28_hashed_sample", "SELECT doc_id FROM documents ORDER BY md5(doc_id::VARCHAR), doc_id LIMIT 100")
+def i28(spark, d):
+    return E.hashed_sample(spark.read.parquet(f"{d}/documents.parquet").select("doc_id"), "doc_id", 100)
+
+
+@query("i29_score_histogram", f"""WITH {_TOP} SELECT count(*) FILTER (WHERE round(score, 9) = 0) AS zero, count(*) FILTER (WHERE round(score, 9) > 0) AS positive, count(*) FILTER (WHERE score >= 0.05) AS from_05, count(*) FILTER (WHERE score >= 0.10) AS from_10, count(*) FILTER (WHERE score >= 0.15) AS from_15,
+ round(min(score), 6) AS least, round(max(score), 6) AS most, round(avg(score), 6) AS mean FROM ranked WHERE rank <= 2""")
+def i29(spark, d):
+    s = F.col("score")
+    return _ranked(spark, d, 2)[1].agg(
+        F.count_if(F.round(s, 9) == 0).alias("zero"), F.count_if(F.round(s, 9) > 0).alias("positive"), F.count_if(s >= 0.05).alias("from_05"), F.count_if(s >= 0.10).alias("from_10"), F.count_if(s >= 0.15).alias("from_15"),
+        F.round(F.min(s), 6).alias("least"), F.round(F.max(s), 6).alias("most"), F.round(F.avg(s), 6).alias("mean"),
+    )
+
+
+@query("i30_token_lengths", "SELECT lang, round(avg(n), 6) AS mean, max(n) AS most, count(*) FILTER (WHERE n > 512) AS over_512 FROM (SELECT lang, len(string_split(text, ' ')) AS n FROM documents) GROUP BY lang")
+def i30(spark, d):
+    rows = spark.read.parquet(f"{d}/documents.parquet").select("lang", F.size(F.split("text", " ")).cast("long").alias("n"))
+    return rows.groupBy("lang").agg(F.round(F.avg("n"), 6).alias("mean"), F.max("n").alias("most"), F.count_if(F.col("n") > 512).alias("over_512"))
+
+
+@query("j05_class_weights", "SELECT quality, count(*) AS n, round(sum(count(*)) OVER () / (count(*) OVER () * count(*))::DOUBLE, 6) AS weight FROM labels GROUP BY quality")
+def j05(spark, d):
+    return E.class_weights(spark.read.parquet(f"{d}/labels.parquet"), "quality").withColumn("weight", F.round("weight", 6))
+
+
+@query("j06_forest")
+def j06(spark, d):
+    rows = _labelled(spark, d).withColumn("n_chars", F.col("n_chars").cast("double"))
+    rows = rows.join(E.class_weights(rows, "label").select("label", "weight"), "label")
+    model = J.forest(rows, ["n_chars", "score"], trees=20)
+    return J.class_probability(model.transform(rows)).select("doc_id", "p_conflict")
+
+
+@query("p01_batch_risk")
+def p01(spark, d):
+    return P.risks(synth_clauses(spark, d)).select("node_id", "direct", "propagated", "degree", "risk", "level")
+
+
+@query("p02_interactive_risk")
+def p02(spark, d):
+    return P.risks(synth_clauses(spark, d), P.INTERACTIVE).select("node_id", "direct", "propagated", "degree", "risk", "level")

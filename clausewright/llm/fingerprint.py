@@ -86,11 +86,9 @@ def _phrases(names: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarr
     begin = np.zeros(len(names), dtype=bool)
     if len(names) > 2:
         begin[1:-1] = (label[1:-1] < label[:-2]) & (label[1:-1] <= label[2:])
-    begin[first] = True
-    # the label of a text's first symbol comes from no neighbour: the second begins nothing by it
-    second = first + 1
-    inside = second[second < len(names)]
-    begin[inside] = False
+    # a text's first symbol has a label from no neighbour, its last one none to compare with: nothing begins by them
+    begin[np.minimum(first + 1, len(names) - 1)] = False
+    begin[np.append(first[1:], len(names)) - 1] = False
     begin[first] = True
     at = np.flatnonzero(begin)
     place = np.arange(len(names), dtype=np.uint64) - np.repeat(at.astype(np.uint64), np.diff(np.append(at, len(names))))

@@ -164,10 +164,12 @@ def draft_scores(sem, prop, mod, neg, cond, party, overlap, jac, core, exception
 
 
 # --- durations ----------------------------------------------------------------------------------------------------
-def temporal_conflict(text_a, text_b, party_a, party_b, mod_a, mod_b, more_stop: tuple[str, ...] = ()) -> Column:
-    """struct(score, type, same_party, shared_terms, first: the first pair of like units with unlike values)."""
-    shared = F.array_sort(F.array_intersect(T.stem_tokens(text_a, more_stop), T.stem_tokens(text_b, more_stop)))
-    pairs = bound(T.durations(text_b), lambda tb: F.flatten(F.transform(T.durations(text_a), lambda x: F.transform(tb, lambda y: F.struct(x.alias("a"), y.alias("b"))))))
+def temporal_conflict(times_a, times_b, stems_a, stems_b, party_a, party_b, mod_a, mod_b) -> Column:
+    """struct(score, type, same_party, shared_terms, first: the first pair of like units with unlike values).
+
+    times are text.durations() and stems text.stem_tokens() of the two clauses, made once for each clause."""
+    shared = F.array_sort(F.array_intersect(stems_a, stems_b))
+    pairs = F.flatten(F.transform(times_a, lambda x: F.transform(times_b, lambda y: F.struct(x.alias("a"), y.alias("b")))))
     differ = F.get(F.filter(pairs, lambda p: (T.unit_family(p["a"]["unit"]) == T.unit_family(p["b"]["unit"])) & (p["a"]["value"] != p["b"]["value"])), F.lit(0))
     party = same_party(party_a, party_b)
     mods = F.when(((mod_a == "obligation") & (mod_b == "permission")) | ((mod_a == "permission") & (mod_b == "obligation")), 0.10).when((mod_a == "obligation") & (mod_b == "obligation"), 0.05).otherwise(0.0)

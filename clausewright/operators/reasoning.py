@@ -13,8 +13,9 @@ INTERACTIVE = {"weights": (0.25, 0.25, 0.50), "threshold": 0.50}
 
 
 def prepared(clauses: DataFrame) -> DataFrame:
-    """clauses with the maps of gram weights that pairs are compared by, made once for each clause."""
-    return clauses.withColumn("grams", X.gram_weights(F.col("text"))).withColumn("cgrams", X.gram_weights(F.col("condition"), False, False))
+    """clauses with what pairs are compared by, made once for each clause: gram weights, durations, stems."""
+    x = F.col("text")
+    return clauses.withColumns({"grams": X.gram_weights(x), "cgrams": X.gram_weights(F.col("condition"), False, False), "times": T.durations(x), "stems": T.stem_tokens(x), "negated": T.contains_negation(x)})
 
 
 def pairs_within(clauses: DataFrame, ordered: bool = False) -> DataFrame:
@@ -31,8 +32,9 @@ def analyzed(pairs: DataFrame, similarity: Column | None = None, threshold: floa
     rows = pairs.select(
         a("document_id").alias("document_id"), a("clause_id").alias("clause_a"), b("clause_id").alias("clause_b"), a("text").alias("text_a"), b("text").alias("text_b"),
         a("party").alias("party_a"), b("party").alias("party_b"), a("modality").alias("modality_a"), b("modality").alias("modality_b"),
-        sem.alias("semantic_similarity"), X.modality_conflict(a("modality"), b("modality")).alias("modality_conflict"), X.negation_conflict(a("text"), b("text")).alias("negation_conflict"),
+        sem.alias("semantic_similarity"), X.modality_conflict(a("modality"), b("modality")).alias("modality_conflict"), (a("negated") != b("negated")).cast("double").alias("negation_conflict"),
         X.same_party(a("party"), b("party")).alias("same_party"), X.pair_cosine(a("cgrams"), b("cgrams")).alias("condition_similarity"),
+        a("times").alias("times_a"), b("times").alias("times_b"), a("stems").alias("stems_a"), b("stems").alias("stems_b"),
     )
     c = F.col
     rows = rows.withColumn("structured_score", X.structured_score(c("semantic_similarity"), c("modality_conflict"), c("negation_conflict"), c("same_party"), c("condition_similarity")))
@@ -50,7 +52,7 @@ def rule_inference(rows: DataFrame) -> DataFrame:
 def hybrid(rows: DataFrame, weights=BATCH["weights"], threshold: float = BATCH["threshold"]) -> DataFrame:
     """analyzed() rows with probabilities and nli_label, and the temporal and hybrid results."""
     c = F.col
-    rows = rows.withColumn("temporal", X.temporal_conflict(c("text_a"), c("text_b"), c("party_a"), c("party_b"), c("modality_a"), c("modality_b")))
+    rows = rows.withColumn("temporal", X.temporal_conflict(c("times_a"), c("times_b"), c("stems_a"), c("stems_b"), c("party_a"), c("party_b"), c("modality_a"), c("modality_b")))
     rows = rows.withColumn("temporal_score", c("temporal.score")).withColumn("temporal_type", c("temporal.type"))
     rows = rows.withColumn("p_contradiction", X.contradiction_probability(c("probabilities"), c("nli_label")))
     rows = rows.withColumn("hybrid_score", X.hybrid_score(c("p_contradiction"), c("structured_score"), c("temporal_score"), weights))

@@ -3,10 +3,11 @@
 Tokens are the lower-cased words of a text and an end. Their counts cover all training documents. The model's units
 are the most frequent words, the end, and one unit for each shape of the other words (how they end, length, letters
 beyond ASCII). A unit is predicted from the two before it: context matrices map their embeddings to a vector whose
-product with a unit's embedding, and a bias, is its score. Noise-contrastive estimation fits the embeddings on a
-bounded sample of whole training documents (SAMPLE of them on average, by hash of the id; noise is the units' counts
-over the whole corpus). A word behind a shape then has its share of the shape's counts, with half a count for each word
-and for all that is unseen, so the model's probabilities of all texts sum to one.
+product with a unit's embedding, and a bias, is its score. Noise-contrastive estimation fits the embeddings (noise is
+the units' counts over the whole corpus): the driver makes a start on SAMPLE documents on average, by hash of the id,
+then each partition goes on from it over all of its training documents, and the parameters are averaged by tokens. A
+word behind a shape then has its share of the shape's counts, with half a count for each word and for all that is
+unseen, so the model's probabilities of all texts sum to one.
 
 Scores are normalised: with E1 and E2 the exponentials of the two contexts' scores, the normalisers of all pairs of
 contexts are one matrix product. Counts of the HEAD most frequent words are sent to all executors; those of other
@@ -30,9 +31,11 @@ from . import common as C
 
 HEAD = 262_144  # words whose counts every executor has
 WORDS = 1_480  # of them units of the model
-SAMPLE = 3_000  # training documents that the embeddings are fitted on, on average
+SAMPLE = 3_000  # training documents that the driver starts the embeddings on, on average; then come all
 SHAPES = 48
 DIM = 32
+HELD_TOKENS = 1 << 18  # tokens that are shuffled and trained on at a time in a partition
+SUMMED = 32  # partial averages of the partitions' parameters that the driver gets
 
 
 def _shapes(buf: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -204,41 +207,98 @@ def _gather(index: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def train(tokens: np.ndarray, unit_counts: np.ndarray, dim: int = DIM, epochs: int = 2, batch: int = 2048, noise: int = 256, rate: float = 0.08, seed: int = 7) -> dict[str, np.ndarray]:
-    """Noise-contrastive estimation with AdaGrad; a batch shares its noise. tokens: rows target, before, before that."""
-    rng = np.random.default_rng(seed)
+def _start(unit_counts: np.ndarray, dim: int, rng: np.random.Generator) -> tuple[dict[str, np.ndarray], dict[str, np.ndarray]]:
+    """Parameters before training, and AdaGrad's sums of squares."""
     n = len(unit_counts)
-    p_noise = unit_counts / unit_counts.sum()
     m = {
-        "inp": rng.normal(0, 0.1, (n + 1, dim)), "out": rng.normal(0, 0.1, (n, dim)), "bias": np.log(p_noise)[:, None].copy(),
+        "inp": rng.normal(0, 0.1, (n + 1, dim)), "out": rng.normal(0, 0.1, (n, dim)), "bias": np.log(unit_counts / unit_counts.sum())[:, None].copy(),
         "one": np.eye(dim) + rng.normal(0, 0.02, (dim, dim)), "two": np.eye(dim) * 0.5 + rng.normal(0, 0.02, (dim, dim)),
     }
     m = {k: v.astype(np.float32) for k, v in m.items()}
-    square = {k: np.full_like(v, 1e-6) for k, v in m.items()}
+    return m, {k: np.full_like(v, 1e-6) for k, v in m.items()}
+
+
+def _epoch(m: dict[str, np.ndarray], square: dict[str, np.ndarray], tokens: np.ndarray, unit_counts: np.ndarray, rng: np.random.Generator, batch: int, noise: int, rate: float) -> None:
+    """One pass over tokens, which changes m and square."""
+    n = len(unit_counts)
+    p_noise = unit_counts / unit_counts.sum()
     log_kp = np.log(noise * p_noise).astype(np.float32)
     edges = np.cumsum(p_noise)
     size = tokens.shape[1]
-    for _ in range(epochs if size else 0):
-        order = rng.permutation(size)
-        for at in range(0, size, batch):
-            w, a, b = tokens[:, order[at : at + batch]]
-            k = np.minimum(np.searchsorted(edges, rng.random(noise)), n - 1)
-            qa, qb = m["inp"][a], m["inp"][b]
-            r = qa @ m["one"] + qb @ m["two"]
-            pw, pk = m["out"][w], m["out"][k]
-            up = 1 / (1 + np.exp((r * pw).sum(1) + m["bias"][w, 0] - log_kp[w]))  # 1 - probability that it is data
-            down = -1 / (1 + np.exp(-(r @ pk.T + m["bias"][k, 0] - log_kp[k])))
-            scale = np.float32(1 / len(w))
-            dr = (up[:, None] * pw + down @ pk) * scale
-            grads = {
-                "out": _gather(w, up[:, None] * r * scale, n) + _gather(k, down.T @ r * scale, n),
-                "bias": _gather(w, up[:, None] * scale, n) + _gather(k, down.sum(0)[:, None] * scale, n),
-                "one": qa.T @ dr, "two": qb.T @ dr, "inp": _gather(a, dr @ m["one"].T, n + 1) + _gather(b, dr @ m["two"].T, n + 1),
-            }
-            for name, g in grads.items():
-                square[name] += g * g
-                m[name] += np.float32(rate) * g / np.sqrt(square[name])
-    return m
+    order = rng.permutation(size)
+    for at in range(0, size, batch):
+        w, a, b = tokens[:, order[at : at + batch]]
+        k = np.minimum(np.searchsorted(edges, rng.random(noise)), n - 1)
+        qa, qb = m["inp"][a], m["inp"][b]
+        r = qa @ m["one"] + qb @ m["two"]
+        pw, pk = m["out"][w], m["out"][k]
+        up = 1 / (1 + np.exp((r * pw).sum(1) + m["bias"][w, 0] - log_kp[w]))  # 1 - probability that it is data
+        down = -1 / (1 + np.exp(-(r @ pk.T + m["bias"][k, 0] - log_kp[k])))
+        scale = np.float32(1 / len(w))
+        dr = (up[:, None] * pw + down @ pk) * scale
+        grads = {
+            "out": _gather(w, up[:, None] * r * scale, n) + _gather(k, down.T @ r * scale, n),
+            "bias": _gather(w, up[:, None] * scale, n) + _gather(k, down.sum(0)[:, None] * scale, n),
+            "one": qa.T @ dr, "two": qb.T @ dr, "inp": _gather(a, dr @ m["one"].T, n + 1) + _gather(b, dr @ m["two"].T, n + 1),
+        }
+        for name, g in grads.items():
+            square[name] += g * g
+            m[name] += np.float32(rate) * g / np.sqrt(square[name])
+
+
+def train(tokens: np.ndarray, unit_counts: np.ndarray, dim: int = DIM, epochs: int = 2, batch: int = 2048, noise: int = 256, rate: float = 0.08, seed: int = 7, docs: DataFrame | None = None, head: Head | None = None) -> dict[str, np.ndarray]:
+    """Noise-contrastive estimation with AdaGrad; a batch shares its noise. tokens: rows target, before, before that.
+
+    With docs (text) and head, all of docs are trained on after tokens, each partition by itself, and averaged."""
+    rng = np.random.default_rng(seed)
+    m, square = _start(unit_counts, dim, rng)
+    for _ in range(epochs if tokens.shape[1] else 0):
+        _epoch(m, square, tokens, unit_counts, rng, batch, noise, rate)
+    return m if docs is None else _averaged(docs, head, m, square, unit_counts, batch, noise, rate, seed)
+
+
+def _averaged(docs: DataFrame, head: Head, m: dict[str, np.ndarray], square: dict[str, np.ndarray], unit_counts: np.ndarray, batch: int, noise: int, rate: float, seed: int) -> dict[str, np.ndarray]:
+    """m after each partition of docs was trained on from it: the mean of theirs by tokens."""
+    sent = docs.sparkSession.sparkContext.broadcast((head, m, square, unit_counts))
+    row = lambda part, n, x: pa.record_batch([pa.array([part], pa.int64()), pa.array([n], pa.int64()), pa.array([x.astype(np.float32).tobytes()], pa.binary())], names=["part", "n", "x"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        head, m, square, unit_counts = sent.value
+        m, square = ({k: v.copy() for k, v in x.items()} for x in (m, square))
+        part = TaskContext.get().partitionId()
+        rng = np.random.default_rng([seed, part])
+        some, held, n = [], 0, 0
+        for got in batches:
+            for _, _, parts in C.text_blocks(got.column(0)):
+                h, shape, count = _tokens(parts)
+                some.append(np.stack(_sequences(_units(head, h, shape)[0], count, head)).astype(np.int16))
+                held += some[-1].shape[1]
+                if held >= HELD_TOKENS:
+                    _epoch(m, square, np.concatenate(some, axis=1).astype(np.int64), unit_counts, rng, batch, noise, rate)
+                    some, held, n = [], 0, n + held
+        if held:
+            _epoch(m, square, np.concatenate(some, axis=1).astype(np.int64), unit_counts, rng, batch, noise, rate)
+        if n + held:
+            yield row(part, n + held, np.concatenate([v.ravel() for v in m.values()]))
+
+    def mean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, n, total = 0, 0, 0.0
+        for got in batches:
+            for p, k, x in zip(*(c.to_pylist() for c in got.columns), strict=True):
+                part, n, total = p, n + k, total + k * np.frombuffer(x, dtype=np.float32).astype(np.float64)
+        if n:
+            yield row(part, n, total / n)
+
+    ddl = "part long, n long, x binary"
+    got = docs.select("text").mapInArrow(run, ddl).repartition(SUMMED, "part").mapInArrow(mean, ddl).collect()
+    if not got:
+        return m
+    got.sort(key=lambda r: r["part"])
+    flat = sum(r["n"] * np.frombuffer(r["x"], dtype=np.float32).astype(np.float64) for r in got) / sum(r["n"] for r in got)
+    cuts = np.split(flat.astype(np.float32), np.cumsum([v.size for v in m.values()])[:-1])
+    return {k: x.reshape(v.shape) for (k, v), x in zip(m.items(), cuts, strict=True)}
 
 
 def tables(m: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -312,7 +372,7 @@ def scored(docs: DataFrame, training: DataFrame, head: int = HEAD, words: int =
     ends = training.count()
     top = head_of(counts, ends, head, words)
     tokens = _sampled(training, top, sample, ends)
-    return score(docs, counts, top, tables(train(tokens, top.unit_counts(), **options)))
+    return score(docs, counts, top, tables(train(tokens, top.unit_counts(), docs=training, head=top, **options)))
 
 
 def op8_lm_scoring(spark, sf_dir: str) -> DataFrame:

@@ -259,6 +259,17 @@ def test_lm_base_and_normalisation(spark, odd, none):
     assert lm.scored(odd, none).count() == 8 and lm.scored(none.withColumn("held_out", F.lit(True)), odd).count() == 0
 
 
+def test_lm_learns_from_all_documents(spark):
+    rng = random.Random(5)
+    names = [f"w{i}" for i in range(20)]
+    ids = spark.range(200).withColumn("first", F.pmod(F.xxhash64(C.id_text(F.col("id"))), F.lit(200)) == 0).collect()
+    # the documents that the start is on are in no order; only the others can teach the order of words
+    text = lambda first: " ".join(rng.choice(names) if first else names[j % 20] for j in range(1000))
+    docs = table(spark, [(r.id, text(r.first), "en", "s") for r in ids]).withColumn("held_out", F.lit(False)).repartition(4)
+    got = lm.scored(docs, docs, sample=1).agg(F.sum("n_tokens").alias("n"), F.sum("base_score").alias("base"), F.sum("score").alias("score")).first()
+    assert (got.score - got.base) / got.n > 0.5
+
+
 def test_fingerprints(spark, odd, none):
     rng = random.Random(10)
     fresh = lambda n: " ".join("".join(rng.choice("abcdeé") for _ in range(rng.randint(2, 8))) for _ in range(n))

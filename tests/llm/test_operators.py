@@ -340,6 +340,15 @@ def test_salted_rank(spark):
     assert len(got) == 300 and all(sorted(x) == list(range(len(x))) for x in by.values())
 
 
+def test_pipeline_drops_copies_of_four_fifths(spark):
+    import corpus_pipeline as P
+
+    one = [f"w{i}" for i in range(100)]
+    two = ["x" if i in (30, 60) else w for i, w in enumerate(one)]  # 86 of 106 shingles in both
+    docs = table(spark, [(1, " ".join(one), "en", "s"), (2, " ".join(two), "en", "s"), (3, "another text of its own", "en", "s")])
+    assert sorted(r.doc_id for r in P.drop_near_duplicates(spark, docs, "").collect()) == [1, 3]
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline as P
 

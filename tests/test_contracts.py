@@ -137,3 +137,13 @@ def test_text_helpers(spark):
         T.is_heading(F.col("h")).alias("h"), T.document_id_of(F.col("s")).alias("s"), T.parse_int_set(F.col("p")).alias("p"), T.safe_number(F.col("n")).alias("n")
     ).first()
     assert (r.h, r.s, r.p, r.n) == (True, "a_b_c_v2", [1, 3], 0.0)
+
+
+def test_dense_ranking_sees_all_vectors(spark, tmp_path):
+    from clausewright.plans.queries import QUERIES
+
+    v = [[(i * 37 % 101) / 101, (i * 53 % 97) / 97] for i in range(120)]
+    spark.createDataFrame([(i, x, i % 3) for i, x in enumerate(v)], "vec_id long, embedding array<double>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    score = lambda a, b: round(v[a][0] * v[b][0] + v[a][1] * v[b][1], 9)
+    want = {(q, c, k + 1) for q in (0, 50, 100) for k, c in enumerate(sorted((c for c in range(120) if c != q), key=lambda c: (-score(q, c), c))[:10])}
+    assert {(r.query_id, r.candidate_id, r["rank"]) for r in QUERIES["c13_dense_ranking"](spark, str(tmp_path)).collect()} == want

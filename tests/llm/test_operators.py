@@ -168,6 +168,21 @@ def test_near_duplicates_against_brute_force(spark, options):
     assert got == near_brute(rows)
 
 
+def test_near_duplicates_behind_unlike_pivots(spark):
+    rng = random.Random(3)
+    passages = [[f"p{k}w{i}" for i in range(60)] for k in range(80)]
+    text = lambda ks: " ".join(w for k in ks for w in passages[k])
+    # the first passage is the rarest; larger documents that have it are the pivots, and nobody is like them
+    rows = []
+    for i in range(120):
+        some = rng.sample(range(1, 80), 16)
+        rows.append((10 + i, text([0, *some[1:]] if i < 6 else some)))
+    rows += [(1, text(range(12))), (2, text(range(11, -1, -1)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(docs, short=1).collect()}
+    assert got == near_brute(rows) and got[2][1] == 1
+
+
 def test_near_duplicates_odd(spark, odd, none):
     got = neardup.near_duplicates(odd).collect()
     assert len(got) == 8 and Counter(r.component_id for r in got)[4] == 3

@@ -147,3 +147,15 @@ def test_dense_ranking_sees_all_vectors(spark, tmp_path):
     score = lambda a, b: round(v[a][0] * v[b][0] + v[a][1] * v[b][1], 9)
     want = {(q, c, k + 1) for q in (0, 50, 100) for k, c in enumerate(sorted((c for c in range(120) if c != q), key=lambda c: (-score(q, c), c))[:10])}
     assert {(r.query_id, r.candidate_id, r["rank"]) for r in QUERIES["c13_dense_ranking"](spark, str(tmp_path)).collect()} == want
+
+
+def test_all_documents_and_hypotheses(spark, tmp_path):
+    from clausewright.plans.queries import QUERIES
+
+    text = "The Supplier shall deliver the goods. The Customer shall pay the invoice. Each party can end this agreement."
+    spark.createDataFrame([(1, text, "en"), (2, text, "de"), (3, text, None)], "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, "The Supplier shall deliver the goods."), (2, "The Customer shall pay the invoice."), (50, "Each party can end this agreement.")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = QUERIES["c08_rank_for_hypotheses"](spark, str(tmp_path)).collect()
+    assert len(got) == 27  # three clauses for each of nine pairs
+    assert {(r.doc_id, r.item_id): (r.rn, r.score) for r in got if r["rank"] == 1} == {(d, i): (rn, 1.0) for d in (1, 2, 3) for i, rn in ((1, 1), (2, 2), (50, 3))}
+    assert {r.doc_id for r in QUERIES["c18_word_sets"](spark, str(tmp_path)).collect()} == {1, 2, 3}

@@ -107,7 +107,7 @@ def scored(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, good: f
     others = F.least(F.greatest((F.col("s") - F.col("own") + F.col("host_posterior") * k_path) / (F.col("n") - 1 + k_path), F.lit(1e-4)), F.lit(1 - 1e-4))
     odds = F.col("odds") + F.log(others / (1 - others)) - F.lit(float(np.log(min(max(prior, 1e-4), 1 - 1e-4) / (1 - min(max(prior, 1e-4), 1 - 1e-4)))))
     out = C.cut(site.select("doc_id", "own", "host_posterior", "path_posterior", (1 / (1 + F.exp(-odds))).alias("score")))
-    level = out.join(sample.where("quality > 0"), "doc_id").agg(F.percentile_approx("score", 1 - good, 10_000)).first()[0]
+    level = out.join(known.where("quality > 0"), "doc_id").agg(F.percentile_approx("score", 1 - good, 10_000)).first()[0]
     return out.withColumn("kept", F.col("score") >= F.lit(min(0.5, level if level is not None else 0.5)))
 
 

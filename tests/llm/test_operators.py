@@ -221,6 +221,16 @@ def test_quality_shrinks_sparse_sites(spark):
     assert quality.scored(docs, labels.where("quality > 5")).where("own = 0.5").count() == 203
 
 
+def test_quality_level_is_of_all_good_labels(spark):
+    rng = random.Random(6)
+    rows = [(i, "".join(rng.choice("etaoin " if rng.random() < i / 400 else "*$#& 1") for _ in range(200)), f"h{i % 4}", "p") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, host string, path string")
+    labels = spark.createDataFrame([(i, int(rng.random() < 0.2 + i / 600)) for i in range(400)], "doc_id long, quality int")
+    got = C.cut(quality.scored(docs, labels, labelled=40))
+    level = got.join(labels.where("quality > 0"), "doc_id").agg(F.percentile_approx("score", 0.02, 10_000)).first()[0]
+    assert level < 0.5 and got.where(F.col("kept") != (F.col("score") >= level)).isEmpty()
+
+
 def test_mixing(spark, odd, none):
     rng = random.Random(6)
     rows = [(i, "w " * rng.choice([1, 5, 40, 300]), None, rng.choice(["a", "a", "a", "a", "b", "c", None])) for i in range(600)]

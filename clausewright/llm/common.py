@@ -2,32 +2,44 @@
 
 from __future__ import annotations
 
+import atexit
 import os
-import tempfile
+import shutil
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Bytes of text that a vectorised kernel takes at once; a longer document is a block of its own.
 BLOCK_BYTES = 1 << 19
 
-_local_dirs: dict[str, str] = {}
+#: Tasks that add arrays up before one does; the driver gets that one's sum.
+ADDING = 32
+#: A key with more rows than this, and more than a 100,000th of all, is dealt to several tasks in a join.
+HOT = 2_000
+
+_own_dirs: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir. In local mode without it, a temporary folder."""
+    """The folder that all executors share: spark.checkpoint.dir.
+
+    Where that is unset, as in tests on a local master, a folder of this application in the warehouse, removed at exit."""
     if path := spark.conf.get("spark.checkpoint.dir", None):
         return path
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("spark.checkpoint.dir is not set: it must name a folder that all executors share")
     app = spark.sparkContext.applicationId
-    if app not in _local_dirs:
-        _local_dirs[app] = tempfile.mkdtemp(prefix="clausewright-")
-    return _local_dirs[app]
+    if app not in _own_dirs:
+        path = os.path.join(spark.conf.get("spark.sql.warehouse.dir").removeprefix("file:"), f"shared-{app}")
+        atexit.register(shutil.rmtree, path, ignore_errors=True)
+        _own_dirs[app] = path
+    return _own_dirs[app]
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -104,25 +116,6 @@ def word_bounds(buf: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.nda
     return begin, end, np.diff(np.searchsorted(begin, starts))
 
 
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_letters = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_powers: dict[int, np.ndarray] = {}
-
-
-def _power_table(base: int, n: int) -> np.ndarray:
-    have = _powers.get(base)
-    if have is None or len(have) < n:
-        size = max(n, 1 << 16)
-        have = np.full(size, base, dtype=np.uint64)
-        have[0] = 1
-        np.multiply.accumulate(have, out=have)
-        if size > 8 * BLOCK_BYTES:  # not kept: one very long document
-            return have
-        _powers[base] = have
-    return have
-
-
 def mix64(h: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values that spreads all bits."""
     h = h ^ (h >> np.uint64(33))
@@ -133,15 +126,66 @@ def mix64(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def word_hashes(buf: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the slices begin:end of buf, equal for equal bytes wherever they stand."""
-    if not len(begin):
-        return np.zeros(0, dtype=np.uint64)
-    n = len(buf)
-    total = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum(_letters[buf] * _power_table(_BASE, n)[:n], out=total[1:])
-    h = (total[end] - total[begin]) * _power_table(_INVERSE, n)[begin]
-    return mix64(h + (end - begin).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+def word_hashes(buf: np.ndarray, both: bool = False) -> np.ndarray:
+    """A 64-bit hash of each word of buf, in order; with both, two independent ones (n x 2). Equal for equal words.
+
+    The words of a very long text are made a piece at a time."""
+    at, out, digest = 0, [], xxhash.xxh3_128_digest if both else xxhash.xxh3_64_digest
+    while at < len(buf):
+        to = min(at + 2 * BLOCK_BYTES, len(buf))
+        if to < len(buf):  # up to the last white space before, or the next one after
+            space = np.flatnonzero(SPACE[buf[at:to]])
+            if len(space):
+                to = at + int(space[-1]) + 1
+            else:
+                space = np.flatnonzero(SPACE[buf[to:]])
+                to = to + int(space[0]) + 1 if len(space) else len(buf)
+        out.append(b"".join(map(digest, buf[at:to].tobytes().split())))
+        at = to
+    values = np.frombuffer(b"".join(out), dtype=">u8").astype(np.uint64)
+    return values.reshape(-1, 2) if both else values
+
+
+# --- sums of arrays ----------------------------------------------------------------------------------------------
+
+
+def packed(counts: np.ndarray) -> bytes:
+    return zlib.compress(counts.astype("<i8").tobytes(), 1)
+
+
+def summed(parts: DataFrame, size: int) -> np.ndarray:
+    """Element by element the sum of the packed() arrays in parts (x: binary), of that size; the driver gets one array."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size, dtype=np.int64)
+        for batch in batches:
+            for x in batch.column(0):
+                total += np.frombuffer(zlib.decompress(x.as_py()), dtype="<i8")
+        yield pa.record_batch([pa.array([packed(total)], pa.binary())], names=["x"])
+
+    got = parts.select("x").repartition(ADDING).mapInArrow(add, "x binary").repartition(1).mapInArrow(add, "x binary").collect()
+    return np.frombuffer(zlib.decompress(got[0]["x"]), dtype="<i8") if got else np.zeros(size, dtype=np.int64)
+
+
+# --- joins on skewed keys ----------------------------------------------------------------------------------------
+
+
+def salted_join(left: DataFrame, right: DataFrame, key: str, spread: str, how: str = "inner") -> DataFrame:
+    """left joined with right on key, where few keys may hold most rows of left.
+
+    Keys of more than HOT rows of left, and of more than a 100,000th of all, are dealt to parts by a hash of the column
+    spread; right's rows of such a key go to each part. At most 100,000 keys can be so many: they are broadcast."""
+    counts = left.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    total = counts.agg(F.sum("_n")).first()[0] or 0
+    limit = max(HOT, total // 100_000)
+    spark = left.sparkSession
+    hot = [(r[key], -(-r["_n"] // limit)) for r in counts.where((F.col("_n") > limit) & F.col(key).isNotNull()).collect()]
+    if not hot:
+        return left.join(right, key, how)
+    table = F.broadcast(spark.createDataFrame(hot, f"`{key}` {left.schema[key].dataType.simpleString()}, _parts long"))
+    one = left.join(table, key, "left").withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(spread), F.col("_parts")), F.lit(0).cast("long"))).drop("_parts")
+    two = right.join(table, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(F.col("_parts"), F.lit(1).cast("long")) - 1))).drop("_parts")
+    return one.join(two, [key, "_salt"], how).drop("_salt")
 
 
 # --- ranks of skewed groups ------------------------------------------------------------------------------------

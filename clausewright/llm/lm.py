@@ -57,7 +57,7 @@ def _tokens(parts: list[memoryview]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     buf, starts = C.joined(parts)
     buf = C.LOWER[buf]
     begin, end, count = C.word_bounds(buf, starts)
-    return C.word_hashes(buf, begin, end).view(np.int64), _shapes(buf, begin, end), count
+    return C.word_hashes(buf).view(np.int64), _shapes(buf, begin, end), count
 
 
 def word_counts(docs: DataFrame, held_rows: int = 1 << 20) -> DataFrame:

@@ -164,7 +164,7 @@ def test_near_duplicates_against_brute_force(spark, options):
     rng.shuffle(rows)
     rows = [(i * 3, " ".join(w)) for i, w in enumerate(rows)] + [(901, None), (902, "  "), (903, "one two"), (904, "ONE\ttwo")]
     docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, n int")
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(docs, **options).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(docs, percent=85, **options).collect()}
     assert got == near_brute(rows)
 
 
@@ -179,10 +179,42 @@ def test_near_duplicates_behind_unlike_pivots(spark):
         rows.append((10 + i, text([0, *some[1:]] if i < 6 else some)))
     rows += [(1, text(range(12))), (2, text(range(11, -1, -1)))]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(docs, short=1).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(docs, percent=85, short=1).collect()}
     assert got == near_brute(rows) and got[2][1] == 1
 
 
+def test_near_duplicates_not_by_colliding_hashes(spark):
+    a = "a"
+    while len(a) < 1024:  # the Thue-Morse words, on which polynomial hashes modulo a power of two collide
+        a += a.translate(str.maketrans("ab", "ba"))
+    rows = [(1, a + " one two three four"), (2, a.translate(str.maketrans("ab", "ba")) + " one two three four")]
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), percent=85).collect()
+    assert all(r.component_id == r.doc_id and r.kept for r in got)
+
+
+def test_near_duplicates_at_the_limit(spark):
+    """Pairs at exactly 85 %, and just below, in sets of 64 to 2,000 shingles; their lists are short or long."""
+    rows, doc = [], 0
+    for k, (shared, one, two) in enumerate([(68, 6, 6), (68, 6, 7), (340, 30, 30), (340, 31, 30), (1700, 150, 150), (1700, 150, 151), (85, 0, 15), (85, 0, 16)]):
+        base = [f"s{k}.{i}" for i in range(shared + 4)]
+        for own, name in ((one, "x"), (two, "y")):
+            rows.append((doc := doc + 1, " ".join(base + [f"{name}{k}.{i}" for i in range(own)])))
+    rows += [(1000 + i, " ".join([f"s2.{j}" for j in range(100)] + [f"q{i}.{j}" for j in range(5)])) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = near_brute(rows)
+    assert len({c for _, c in want.values()}) < len(rows) - 4
+    for options in ({}, {"short": 1, "rounds": 1}, {"short": 1, "rounds": 0, "bits": 4}):
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(docs, percent=85, **options).collect()} == want
+
+
+def test_salted_join(spark, monkeypatch):
+    monkeypatch.setattr(C, "HOT", 10)
+    left = spark.createDataFrame([(i % 3 if i < 30 else 7, i) for i in range(200)], "k long, i long")
+    right = spark.createDataFrame([(0, "a"), (7, "b"), (9, "c")], "k long, x string")
+    for how in ("inner", "left"):
+        assert sorted(map(str, C.salted_join(left, right, "k", "i", how).select("k", "i", "x").collect())) == sorted(map(str, left.join(right, "k", how).select("k", "i", "x").collect()))
+
+
 def test_near_duplicates_odd(spark, odd, none):
     got = neardup.near_duplicates(odd).collect()
     assert len(got) == 8 and Counter(r.component_id for r in got)[4] == 3

@@ -79,6 +79,38 @@ def test_nearest_against_brute_force(spark):
     assert (ann.probe_order(np.array([0.1, 0.6]), 3) == [[0, 0], [-1, 0], [0, 1]]).all()
 
 
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01", "sf0.1"])
+def test_nearest_recall_on_the_tables(spark, sf):
+    rows = spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet").collect()
+    ids, x = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], dtype=float)
+    got = defaultdict(list)
+    for r in ann.op2_nearest(spark, f"/root/testdata/{sf}").orderBy("query_id", "rank").collect():
+        got[r.query_id].append(r.vec_id)
+    hit = 0
+    for q in np.flatnonzero(ids % 100 == 0):
+        d = np.sqrt(((x - x[q]) ** 2).sum(1))
+        d[q] = np.inf
+        hit += len(set(got[ids[q]]) & set(ids[np.lexsort((ids, d))[:10]].tolist()))
+    assert hit >= 0.95 * 10 * len(got) and len(got) == (ids % 100 == 0).sum()
+
+
+def test_nearest_with_large_buckets_and_repeated_ids(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(300, 4))
+    rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)] + [(0, [float(v) for v in x[0]]), (5, [float(v) for v in x[9]])]
+    got = defaultdict(list)
+    for r in ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") < 20, params=ann.Params(chunk=7, width=50.0)).orderBy("query_id", "rank").collect():
+        got[r.query_id].append(r.vec_id)
+    ids, y = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
+    for q in range(20):
+        near = {}
+        for own in y[ids == q]:
+            for i, d in zip(ids, np.sqrt(((y - own) ** 2).sum(1)), strict=True):
+                if i != q:
+                    near[i] = min(near.get(i, 9e9), d)
+        assert got[q] == [i for i, _ in sorted(near.items(), key=lambda e: (e[1], e[0]))[:10]]
+
+
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 

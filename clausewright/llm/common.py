@@ -20,8 +20,9 @@ BLOCK_BYTES = 1 << 19
 
 #: Tasks that add arrays up before one does; the driver gets that one's sum.
 ADDING = 32
-#: A key with more rows than this, and more than a 100,000th of all, is dealt to several tasks in a join.
-HOT = 2_000
+#: A key with more rows than this is dealt to several tasks in a join; so are MANY keys at most.
+HOT = 5_000
+MANY = 100_000
 
 _own_dirs: dict[str, str] = {}
 
@@ -170,24 +171,33 @@ def summed(parts: DataFrame, size: int) -> np.ndarray:
 # --- joins on skewed keys ----------------------------------------------------------------------------------------
 
 
-def salted_join(left: DataFrame, right: DataFrame, key: str, spread: str, how: str = "inner") -> DataFrame:
-    """left joined with right on key, where few keys may hold most rows of left.
+def salted_join(left: DataFrame, right: DataFrame, key: str, spread: str, how: str = "inner", counts: DataFrame | None = None) -> DataFrame:
+    """left joined with right on key, where few keys may hold most rows of left; it is read twice: give a table.
 
-    Keys of more than HOT rows of left, and of more than a 100,000th of all, are dealt to parts by a hash of the column
-    spread; right's rows of such a key go to each part. At most 100,000 keys can be so many: they are broadcast."""
-    counts = left.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    total = counts.agg(F.sum("_n")).first()[0] or 0
-    limit = max(HOT, total // 100_000)
-    spark = left.sparkSession
-    hot = [(r[key], -(-r["_n"] // limit)) for r in counts.where((F.col("_n") > limit) & F.col(key).isNotNull()).collect()]
-    if not hot:
+    Keys of more than HOT rows of left are dealt to parts of that size by a hash of the column spread; right's rows of
+    such a key go to each part. Of more than MANY such keys, those with most rows are dealt, and into as large parts as
+    the others have rows. These keys, MANY at most, are broadcast. counts (key, n), if known, are the rows by key."""
+    if counts is None and left.limit(HOT + 1).count() <= HOT:
         return left.join(right, key, how)
-    table = F.broadcast(spark.createDataFrame(hot, f"`{key}` {left.schema[key].dataType.simpleString()}, _parts long"))
-    one = left.join(table, key, "left").withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(spread), F.col("_parts")), F.lit(0).cast("long"))).drop("_parts")
-    two = right.join(table, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(F.col("_parts"), F.lit(1).cast("long")) - 1))).drop("_parts")
+    if counts is None:
+        counts = left.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    most = counts.where((F.col("n") > HOT) & F.col(key).isNotNull()).orderBy(F.desc("n")).limit(MANY).collect()
+    if not most:
+        return left.join(right, key, how)
+    limit = most[-1]["n"] if len(most) == MANY else HOT
+    table = left.sparkSession.createDataFrame([(r[key], -(-r["n"] // limit)) for r in most], f"`{key}` {left.schema[key].dataType.simpleString()}, _parts long")
+    none = F.lit(0).cast("long")
+    one = left.join(F.broadcast(table), key, "left").withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(spread), F.col("_parts")), none)).drop("_parts")
+    two = right.join(F.broadcast(table), key, "left").withColumn("_salt", F.explode(F.sequence(none, F.coalesce(F.col("_parts") - 1, none)))).drop("_parts")
     return one.join(two, [key, "_salt"], how).drop("_salt")
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark remove the shuffle files of tables that nothing refers to any more, which it does when the driver's
+    JVM collects its garbage."""
+    spark.sparkContext._jvm.System.gc()
+
+
 # --- ranks of skewed groups ------------------------------------------------------------------------------------
 
 

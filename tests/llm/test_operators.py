@@ -241,6 +241,7 @@ def test_near_duplicates_at_the_limit(spark):
 
 def test_salted_join(spark, monkeypatch):
     monkeypatch.setattr(C, "HOT", 10)
+    monkeypatch.setattr(C, "MANY", 2)
     left = spark.createDataFrame([(i % 3 if i < 30 else 7, i) for i in range(200)], "k long, i long")
     right = spark.createDataFrame([(0, "a"), (7, "b"), (9, "c")], "k long, x string")
     for how in ("inner", "left"):

@@ -7,9 +7,9 @@ most as many counts as a sequence has tokens. There the program
     minimise the number of sequences, so that the configurations used cover the pieces of each length
 
 is solved by multiplicative weights: a dynamic program prices configurations (a knapsack over lengths under the
-weights), the best ones are used a little more, and the weights of the lengths they cover fall. The fractional
-solution is rounded down, and what it leaves is placed by best fit. Then each piece finds its place from its rank
-among the pieces of its length; the ranks are made in many tasks (common.salted_rank).
+weights), the best ones are used, and the weights of the lengths they cover fall. The weights that come out, a solution
+of the dual program, give the configurations, which are taken in whole numbers; best fit places what that leaves. Then
+each piece finds its place from its rank among the pieces of its length, made in many tasks (common.salted_rank).
 
 Defined results: null text is an empty document, which is the end id alone; repeated rows are documents of their own;
 an empty table gives no row. Texts are tokenised whole.
@@ -124,62 +124,118 @@ def _trace(lens: np.ndarray, item: np.ndarray, room: int) -> list[int]:
     return out
 
 
-def fractional(lens: np.ndarray, need: np.ndarray, room: int, rounds: int = 120, eps: float = 0.05, rate: float = 1.0, pace: float = 0.1) -> dict[tuple[int, ...], float]:
-    """Configurations (indexes of lens, ascending) and how often each is used, about covering need."""
+def _configurations(lens: np.ndarray, worth: np.ndarray, room: int, slack: float) -> tuple[float, list[tuple[np.ndarray, np.ndarray]]]:
+    """The most worth of a sequence, and for each length the best configuration with it (indexes of lens, how often),
+    if it is worth nearly as much."""
+    best, item = _price(lens, worth, room)
+    value = worth + best[room - lens]
+    good = np.flatnonzero(value >= (1 - slack) * value.max())
+    found = {tuple(sorted([int(j), *_trace(lens, item, room - int(lens[j]))])) for j in good}
+    return float(value.max()), [np.unique(c, return_counts=True) for c in sorted(found)]
+
+
+def weights(lens: np.ndarray, need: np.ndarray, room: int, rounds: int = 200, slack: float = 0.02, rate: float = 0.5) -> tuple[np.ndarray, float]:
+    """Weights of the lengths, at most 1 for any configuration, and the number of sequences that is needed at least.
+
+    Multiplicative weights for the covering program: each round the configurations that are worth most are used, each
+    as far as the pieces go round, and the weight of a length falls by what it was covered beyond its share (or rises).
+    The mean of the weights, scaled to a feasible solution of the dual program, is what comes out."""
     worth = lens / room
-    used: dict[tuple[int, ...], float] = {}
-    covered = np.zeros(len(lens))
-    for _ in range(rounds):
-        wanted = np.where(covered < need, worth, 0.0)  # what is covered is worth nothing
-        best, item = _price(lens, wanted, room)
-        value = wanted + best[room - lens]
-        good = np.flatnonzero(value >= (1 - eps) * value.max())
-        configs = sorted({tuple(sorted([int(j), *_trace(lens, item, room - int(lens[j]))])) for j in good})
-        parts = [np.unique(config, return_counts=True) for config in configs]
-        asked = np.zeros(len(lens))
-        for which, times in parts:
+    mean, least = np.zeros(len(lens)), 0.0
+    for turn in range(rounds):
+        top, configs = _configurations(lens, worth, room, slack)
+        feasible = worth / top
+        bound = float(need @ feasible)
+        least, mean = max(least, bound), mean + feasible
+        asked, use, used = np.zeros(len(lens)), np.zeros(len(lens)), 0.0
+        for which, times in configs:
             asked[which] += times
-        before = covered.copy()
-        for config, (which, times) in zip(configs, parts, strict=True):
-            step = pace * float((need[which] / asked[which]).min())
-            used[config] = used.get(config, 0.0) + step
-            covered[which] += times * step
-        worth *= np.exp(-rate * (covered - before) / need)
+        for which, times in configs:
+            step = float((need[which] / asked[which]).min())
+            use[which] += times * step
+            used += step
+        beyond = np.clip(use / need * (bound / used) - 1, -1, 3)
+        worth = worth * np.exp(-rate / np.sqrt(turn + 1) * beyond)
         worth /= worth.max()
-        if (covered >= need).all():
+    mean /= rounds
+    mean /= _price(lens, mean, room)[0][room]
+    return np.maximum(mean, 1e-6 * lens / room), max(least, float(need @ mean))
+
+
+def program(counts: np.ndarray, room: int, rounds: int = 600, slack: float = 0.0003, rate: float = 0.1, pace: float = 0.2) -> list[tuple[np.ndarray, np.ndarray, int]]:
+    """Whole numbers of configurations (lengths, how often each is in it, number), in the order in which they were taken.
+
+    The solution is rounded as it is made: configurations that are worth most under weights() are taken a whole number
+    of times, and the weights go on falling for lengths that go faster than the others."""
+    left = counts.copy()
+    total, worth = np.maximum(counts, 1).astype(float), np.zeros(room + 1)
+    lens = np.flatnonzero(left)
+    if not len(lens):
+        return []
+    worth[lens], bound = weights(lens, left[lens].astype(float), room)
+    out = []
+    for _ in range(rounds):
+        lens = np.flatnonzero(left)
+        if not len(lens):
             break
-    scale = float((need / np.maximum(covered, 1e-300)).min())  # so that no length is used more than there is
-    return {config: x * min(1.0, scale) for config, x in used.items()}
+        configs = _configurations(lens, worth[lens], room, slack)[1]
+        configs.sort(key=lambda c: -int(lens[c[0][-1]]))
+        asked, before, taken = np.zeros(len(lens)), left[lens], 0
+        for which, times in configs:
+            asked[which] += times
+        for which, times in configs:
+            sizes = lens[which]
+            n = min(int((left[sizes] // times).min()), max(1, int(pace * (before[which] / asked[which]).min())))
+            if n:
+                out.append((sizes, times, n))
+                left[sizes] -= n * times
+                taken += n
+        worth[lens] *= np.exp(-rate * ((before - left[lens]) / total[lens] - taken / max(bound, 1.0)))
+    return out
+
+
+#: Shares of the program's sequences that are tried; best fit places what is left.
+SHARES = (1.0, 0.98, 0.95, 0.9, 0.8, 0.65, 0.5, 0.35, 0.2, 0.1, 0.05, 0.0)
+
 
+def plan(counts: dict[int, int], room: int = SEQUENCE) -> list[tuple[tuple[int, ...], int]]:
+    """(lengths of a sequence, longest first; number of such sequences), placing all of counts (length to number).
 
-def plan(counts: dict[int, int], room: int = SEQUENCE, rounds: int = 120) -> list[tuple[tuple[int, ...], int]]:
-    """(lengths of a sequence, longest first; number of such sequences), placing all of counts (length to number)."""
+    The last configurations of the program use up what is left over, where best fit may need fewer sequences: of SHARES
+    that which needs fewest in all is taken, the largest of equal ones. 0 is best fit alone, which is thus never better."""
+    return planned(counts, room)[0]
+
+
+def planned(counts: dict[int, int], room: int = SEQUENCE) -> tuple[list[tuple[tuple[int, ...], int]], float]:
+    """plan(), and the share of its sequences, beside those of one full piece, that the program placed."""
     left = np.zeros(room + 1, dtype=np.int64)
     for size, n in counts.items():
         left[size] = n
-    out: list[tuple[tuple[int, ...], int]] = []
-    if left[room]:
-        out.append(((room,), int(left[room])))
-        left[room] = 0
-    lens = np.flatnonzero(left)
-    if len(lens):
-        used = fractional(lens, left[lens].astype(float), room, rounds)
-        # rounded down, the fullest first
-        for config, times in sorted(used.items(), key=lambda x: (-int(lens[list(x[0])].sum()), -x[1], x[0])):
-            sizes = lens[list(config)]
-            if sizes.sum() < room:
-                continue  # the rest fills better
-            which, each = np.unique(sizes, return_counts=True)
-            if n := min(int(times), int((left[which] // each).min())):
-                out.append((tuple(sorted((int(x) for x in sizes), reverse=True)), n))
-                left[which] -= each * n
-    while len(lens := np.flatnonzero(left)):
-        config = _best_fit(left, int(lens[-1]), room)
-        which, each = np.unique(config, return_counts=True)
-        n = int((left[which] // each).min())
-        out.append((tuple(config), n))
-        left[which] -= each * n
-    return out
+    full = [((room,), int(left[room]))] if left[room] else []
+    left[room] = 0
+    solved = program(left, room)
+    every = sum(n for *_, n in solved)
+    best: tuple[int, float, list] | None = None
+    for share in SHARES:
+        rest, room_for, out = left.copy(), round(share * every), []
+        for sizes, times, n in solved:
+            n = min(n, room_for)
+            if not n:
+                break
+            out.append((tuple(int(x) for x in np.repeat(sizes, times)[::-1]), n))
+            rest[sizes] -= n * times
+            room_for -= n
+        placed = sum(n for _, n in out)
+        while len(lens := np.flatnonzero(rest)):
+            config = _best_fit(rest, int(lens[-1]), room)
+            which, each = np.unique(config, return_counts=True)
+            n = int((rest[which] // each).min())
+            out.append((tuple(config), n))
+            rest[which] -= each * n
+        total = sum(n for _, n in out)
+        if best is None or total < best[0]:
+            best = total, placed / max(total, 1), out
+    return full + best[2], best[1]
 
 
 def _best_fit(left: np.ndarray, first: int, room: int) -> list[int]:
@@ -208,13 +264,13 @@ def _best_fit(left: np.ndarray, first: int, room: int) -> list[int]:
     return sorted(config, reverse=True)
 
 
-def place(cut_pieces: DataFrame, room: int = SEQUENCE, rounds: int = 120) -> DataFrame:
+def place(cut_pieces: DataFrame, room: int = SEQUENCE) -> DataFrame:
     """cut_pieces (doc_id, piece, length, ...) with sequence_id and offset. It is read several times: give a table."""
     counts = {r["length"]: r["n"] for r in cut_pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     slots: dict[int, list[tuple[int, int, int, int]]] = {}  # by length: first rank, first sequence, pieces a sequence, offset
     taken: dict[int, int] = {}
     base = 0
-    for config, n in plan(counts, room, rounds):
+    for config, n in plan(counts, room):
         at = 0
         for size in dict.fromkeys(config):
             each = config.count(size)

@@ -421,6 +421,71 @@ def test_plan_is_near_the_bound():
     assert sum(n for _, n in plan) <= bound * 1.002 + 5
 
 
+def best_fit_alone(counts):
+    left = np.zeros(1025, dtype=np.int64)
+    for size, n in counts.items():
+        left[size] = n
+    total = 0
+    while len(lens := np.flatnonzero(left)):
+        which, each = np.unique(packing._best_fit(left, int(lens[-1]), 1024), return_counts=True)
+        n = int((left[which] // each).min())
+        left[which] -= n * each
+        total += n
+    return total
+
+
+def documents_histogram():
+    import pyarrow.parquet as pq
+
+    out = Counter()
+    for t in pq.read_table("/root/testdata/sf0.01/documents.parquet").column("text").to_pylist():
+        n = len(packing.token_ids(memoryview((t or "").encode())))
+        out[1024] += n // 1024
+        out[n % 1024] += 1
+    return Counter({k: n for k, n in out.items() if k and n})
+
+
+def test_plan_is_of_the_program_and_at_most_best_fits():
+    rng = random.Random(13)
+    cases = [(Counter(rng.randint(1, 1023) for _ in range(20_000)), 0.1), (Counter(rng.randint(300, 420) for _ in range(20_000)), 0.5), (documents_histogram(), 0.5)]
+    cases.append((Counter({k: 1000 * n for k, n in cases[2][0].items()}), 0.1))
+    for counts, least in cases:
+        plan, share = packing.planned(dict(counts))
+        used = Counter()
+        for config, n in plan:
+            assert sum(config) <= 1024
+            for size in config:
+                used[size] += n
+        assert used == counts and sum(n for _, n in plan) <= best_fit_alone(counts) and share >= least
+    assert sum(n for _, n in packing.plan(dict(cases[1][0]))) < 0.96 * best_fit_alone(cases[1][0])
+
+
+def test_dual_weights_bound_the_program():
+    lens, need = np.array([3, 5, 7]), np.array([10.0, 4.0, 6.0])
+    worth, least = packing.weights(lens, need, 10)
+    fits = [(a, b, c) for a in range(4) for b in range(3) for c in range(2) if 3 * a + 5 * b + 7 * c <= 10]
+    assert max(np.array(f) @ worth for f in fits) <= 1 + 1e-9 and 9 < least <= 10 + 1e-9  # 6 of 7+3, 2 of 5+5 and 4/3 of 3+3+3
+
+
+def test_plan_of_few_pieces_against_all_packings():
+    rng, missed = random.Random(14), 0
+
+    def fewest(sizes, bins):
+        if not sizes:
+            return len(bins)
+        found = len(bins) + len(sizes)
+        for k in {b: i for i, b in enumerate(bins) if b + sizes[0] <= 1024}.values():
+            found = min(found, fewest(sizes[1:], [*bins[:k], bins[k] + sizes[0], *bins[k + 1 :]]))
+        return min(found, fewest(sizes[1:], [*bins, sizes[0]]))
+
+    for _ in range(12):
+        sizes = sorted((rng.choice([rng.randint(1, 1024), rng.randint(250, 520)]) for _ in range(8)), reverse=True)
+        got, want = sum(n for _, n in packing.plan(dict(Counter(sizes)))), fewest(sizes, [])
+        assert want <= got <= want + 1
+        missed += got > want
+    assert missed <= 2
+
+
 def test_salted_rank(spark):
     df = spark.createDataFrame([(None if i % 5 == 0 else i % 3, i) for i in range(300)], "k int, i int")
     got = C.salted_rank(df, ["k"], [F.col("i")], F.xxhash64("i"), "r").collect()

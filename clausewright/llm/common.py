@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import shutil
 import uuid
@@ -195,6 +196,7 @@ def salted_join(left: DataFrame, right: DataFrame, key: str, spread: str, how: s
 def release(spark: SparkSession) -> None:
     """Lets Spark remove the shuffle files of tables that nothing refers to any more, which it does when the driver's
     JVM collects its garbage."""
+    gc.collect()
     spark.sparkContext._jvm.System.gc()
 
 

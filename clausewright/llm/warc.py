@@ -11,7 +11,7 @@ that occur more than once is sent to all executors when it is small (SENT rows)
 
 Archives are gzip files with one member a record, in a folder that all executors share; any file system that pyarrow
 opens by its URI will do. A task writes under a name of its own and then renames, so a task that is run again replaces
-its file. Each file is listed with its size when it is written; reading goes by that list, one task a file.
+its file. Each file is listed with its size when it is written; reading goes by that list, several files a task.
 
 Defined results: a null payload is empty, and empty payloads are equal; a null url is an empty target; among rows with
 the largest page_id of a payload one is the response; a null page_id counts as the smallest and is read back as null;
@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 from . import common as C
 
 CHUNK = 1 << 16
+LINE = 1 << 20  # a header line is not longer
 SENT = 200_000
 DATE = "2000-01-01T00:00:00Z"
 _NULL_ID = 1 << 64
@@ -62,10 +63,17 @@ def planned(pages: DataFrame) -> DataFrame:
     keyed = pages.withColumn("digest", F.sha1(F.col("html").cast("binary"))).withColumn("size", F.octet_length("html"))
     narrow = keyed.select("digest", "size", "page_id")
     again = narrow.groupBy("digest", "size").agg(F.count(F.lit(1)).alias("n"), F.max("page_id").alias("page")).where("n > 1")
-    again = C.cut(again.select(F.col("digest").alias("d"), F.col("size").alias("s"), "page"))
+    again = C.cut(again.select(F.col("digest").alias("d"), F.col("size").alias("s"), "page", "n"))
     many = again.count()
-    small = F.broadcast(again) if many <= SENT else again
-    joined = keyed.join(small, (F.col("digest") == F.col("d")) & (F.col("size") == F.col("s")), "left")
+    small = F.broadcast(again.drop("n")) if many <= SENT else again.drop("n")
+    if many <= SENT:
+        joined = keyed.join(small, (F.col("digest") == F.col("d")) & (F.col("size") == F.col("s")), "left")
+    else:  # a payload may be on a third of all rows
+        mark = lambda d, s: F.concat(d, F.lit(":"), s.cast("string"))
+        joined = C.salted_join(
+            keyed.withColumn("_mark", mark(F.col("digest"), F.col("size"))).withColumn("_nth", F.xxhash64("page_id", "url")), again.withColumn("_mark", mark(F.col("d"), F.col("s"))),
+            "_mark", "_nth", "left", counts=again.select(mark(F.col("d"), F.col("s")).alias("_mark"), "n"),
+        )
     top = F.col("page_id").eqNullSafe(F.col("page"))
     # several rows may have the largest id: only these few are numbered, a row for each payload as a rule
     if many and not narrow.join(small, (F.col("digest") == F.col("d")) & (F.col("size") == F.col("s")) & top).groupBy("d", "s").count().where("count > 1").isEmpty():
@@ -83,7 +91,9 @@ def _header(pairs: list[tuple[str, str]]) -> bytes:
 
 def record_bytes(page_id, url, payload: memoryview, kind: str, refers_to, chunk: int = CHUNK) -> Iterator[bytes | memoryview]:
     """A record in pieces, before compression."""
-    digest = hashlib.sha1(payload)
+    digest = hashlib.sha1()
+    for at in range(0, len(payload), chunk):
+        digest.update(payload[at : at + chunk])
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     body = len(payload) if kind == "response" else 0
     target = re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url or "")
@@ -164,6 +174,8 @@ class _Member:
 
     def line(self) -> bytes | None:
         while (at := self.held.find(b"\r\n")) < 0:
+            if len(self.held) > LINE:
+                raise ValueError("a header line is too long")
             if not self.fill():
                 return None
         out = bytes(self.held[:at])
@@ -251,16 +263,37 @@ def read(files: DataFrame, chunk: int = CHUNK, with_bytes: bool = False, last_on
 
 
 def archived(pages: DataFrame, folder: str) -> DataFrame:
-    """Writes pages into folder; returns the list of files, one a task to read."""
+    """Writes pages into folder; returns the list of files, dealt evenly to the tasks that read them."""
     files = C.cut(write(planned(pages), folder))
-    return files.repartition(max(1, min(files.count(), 100_000)), "file")
+    return files.repartition(max(1, min(files.count(), 100_000)))
+
+
+def chunk_table(files: DataFrame, folder: str, chunk: int = CHUNK) -> DataFrame:
+    """The chunked record table of files with the chunks' bytes, written into folder as Parquet and read from there."""
+    read(files, chunk, with_bytes=True).write.option("compression", "zstd").parquet(folder)
+    return files.sparkSession.read.parquet(folder)
+
+
+def summaries(chunks: DataFrame) -> DataFrame:
+    """(page_id, payload_bytes, payload_digest, record_type, refers_to) of each record, from its last chunk.
+
+    A response's digest is the running digest there; one that its header contradicts is null. A revisit's is the one in
+    its header, if a response of the page that it refers to really has it, else null."""
+    last = C.cut(chunks.where("last").select("page_id", "payload_bytes", "running_digest", "claimed_digest", "record_type", "refers_to"))
+    sound = F.col("claimed_digest").isNull() | (F.col("claimed_digest") == F.col("running_digest"))
+    responses = last.where(F.col("record_type") != "revisit").withColumn("payload_digest", F.when(sound, F.col("running_digest")))
+    # a page is read back by id: of no id there may be many
+    key = lambda page, digest: F.concat(F.coalesce(page.cast("string"), F.lit("-")), F.lit(":"), digest)
+    have = responses.select(key(F.col("page_id"), F.col("payload_digest")).alias("_key")).where("_key IS NOT NULL").distinct().withColumn("_has", F.lit(True))
+    revisits = last.where("record_type = 'revisit'").withColumn("_key", key(F.col("refers_to"), F.col("claimed_digest"))).withColumn("_nth", F.xxhash64("page_id"))
+    held = C.salted_join(revisits, have, "_key", "_nth", "left").withColumn("payload_digest", F.when(F.col("_has"), F.col("claimed_digest")))
+    cols = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    return responses.select(*cols).unionByName(held.select(*cols))
 
 
 def op4_warc(spark, sf_dir: str) -> DataFrame:
     files = archived(spark.read.parquet(f"{sf_dir}/pages.parquet"), C.new_folder(spark, "warc"))
-    last = read(files, last_only=True).where("last")
-    revisit = F.col("record_type") == "revisit"
-    return last.select("page_id", "payload_bytes", F.when(revisit, F.col("claimed_digest")).otherwise(F.col("running_digest")).alias("payload_digest"), "record_type", "refers_to")
+    return summaries(chunk_table(files, C.new_folder(spark, "warc-chunks")))
 
 
 OP4_SQL = r"""

@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from clausewright.llm import ann, components, fingerprint, langid, lm, mixing, neardup, packing, pii, quality, warc
@@ -143,6 +144,10 @@ def test_personal_data_base(spark, none):
     assert [r.text for r in pii.redacted(more, model).orderBy("doc_id").collect()] == ["call [PHONE] or write to [EMAIL]", "order 212-555-0199, version 10.2.3, page 12"]
 
 
+def warc_row(page_id, payload_bytes, payload_digest, record_type, refers_to):
+    return Row(page_id=page_id, payload_bytes=payload_bytes, payload_digest=payload_digest, record_type=record_type, refers_to=refers_to)
+
+
 def test_warc_round_trip(spark, tmp_path):
     big = "é<p>" * 60_000
     rows = [(1, "http://a/ b", "<p>x</p>"), (2, None, None), (3, "http://c", ""), (5, "http://e", "<p>x</p>"), (5, "http://f", "<p>x</p>"), (-9, "http://d", big), (None, "http://n", "alone"), (8, "http://g", "WARC/1.1\r\n\r\nnot a record")]
@@ -159,6 +164,23 @@ def test_warc_round_trip(spark, tmp_path):
         assert r.running_digest == warc.base32(hashlib.sha1(big.encode()[: 1000 * (k + 1)]).digest())
     assert by[(1, "revisit", 5)][0].payload_bytes == 8
     assert warc.read(warc.archived(pages.where("page_id > 99"), str(tmp_path / "none"))).count() == 0
+    digest = lambda t: warc.base32(hashlib.sha1((t or "").encode()).digest())
+    rows_ = warc.summaries(warc.chunk_table(files, str(tmp_path / "chunks"), 1000)).collect()
+    assert sorted(map(str, rows_)) == sorted(str(warc_row(i, len((t or "").encode()), digest(t), *k)) for (i, _, t), k in zip(rows, [("revisit", 5), ("revisit", 3), ("response", None), ("response", None), ("revisit", 5), ("response", None), ("response", None), ("response", None)], strict=True))
+    # a header that lies: its digest is not given on
+    lied = warc.read(files, 1000, with_bytes=True).withColumn("claimed_digest", F.when(F.col("page_id") == 1, F.lit("A" * 32)).otherwise(F.col("claimed_digest")))
+    assert [r.payload_digest for r in warc.summaries(lied).where("page_id = 1").collect()] == [None]
+
+
+def test_warc_with_many_payloads(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "SENT", 0)
+    monkeypatch.setattr(C, "HOT", 3)
+    pages = spark.createDataFrame([(i, f"http://{i}", "same" if i % 3 else f"own {i // 2}") for i in range(40)], "page_id long, url string, html string")
+    got = {r.page_id: r.refers_to for r in warc.summaries(warc.chunk_table(warc.archived(pages, str(tmp_path / "w")), str(tmp_path / "c"))).collect()}
+    top = {}
+    for r in pages.collect():
+        top[r.html] = max(top.get(r.html, -1), r.page_id)
+    assert got == {r.page_id: top[r.html] if top[r.html] != r.page_id else None for r in pages.collect()}
 
 
 def near_brute(rows):

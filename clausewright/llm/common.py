@@ -69,6 +69,12 @@ def crc_mod(doc_id: Column, m: int) -> Column:
     return F.crc32(id_text(doc_id)) % F.lit(m)
 
 
+def row_key(rows: DataFrame) -> Column:
+    """A key of a row by its content: 128 bits of a digest of all of its columns, nulls told apart from texts."""
+    told = F.to_json(F.struct(*[F.col(f"`{c}`") for c in rows.columns]), {"ignoreNullFields": "false"})
+    return F.substring(F.sha2(told.cast("binary"), 256), 1, 32)
+
+
 # --- text blocks -----------------------------------------------------------------------------------------------
 
 

@@ -3,7 +3,8 @@
 Within a source each document is expected target / size copies. Documents are laid end to end by that expectation
 (a prefix sum), one random offset of the source is added, and a document is emitted once for every integer boundary it
 crosses. Documents of like size stand together, so that the words taken come near the target, and a document gets the
-expectation rounded down or up.
+expectation rounded down or up. The offset is one of OFFSETS equally spaced ones behind a random start: that whose words
+come nearest to the target, since in a small source one large document can make much of the difference.
 
 The prefix sum of a source runs in many tasks: its documents are dealt by class of size and a hash of the id, the
 parts are counted, and each part starts after the counts before it (common.salted_rank).
@@ -22,6 +23,9 @@ from . import common as C
 
 WORD = r"[^\x20\x09-\x0D]+"
 SEED = "mix-1"
+OFFSETS = 32
+#: Sources whose offsets are sent to all executors; more than these are joined by a shuffle.
+SENT = 100_000
 
 
 def word_count(text: Column) -> Column:
@@ -68,10 +72,17 @@ def copies(sized: DataFrame, seed: str = SEED, **options) -> DataFrame:
     ranked = C.salted_rank(sized, ["source", "_class"], [F.col("size"), F.col("doc_id").asc_nulls_first()], salt, "_rank")
     out = ranked.alias("l").join(facts.alias("r"), F.col("l.source").eqNullSafe(F.col("r.source")) & (F.col("l._class") == F.col("r._class"))).select("l.*", "_ahead", "source_size", "target")
     each = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    offset = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("source"), F.lit("")))), 1, 5), 16, 10).cast("double") / F.lit(float(1 << 20))
-    at = F.col("_ahead") + F.col("_rank")
-    crossed = F.floor((at + 1) * each + offset) - F.floor(at * each + offset)
-    return out.withColumn("copies", crossed.cast("long")).drop("_class", "_rank", "_ahead")
+    start = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("source"), F.lit("")))), 1, 5), 16, 10).cast("double") / F.lit(float(1 << 20))
+    offset = lambda k: (start + F.lit(float(k))) / F.lit(float(OFFSETS))
+    crossed = lambda o: (F.floor((F.col("_at") + 1) * F.col("_each") + o) - F.floor(F.col("_at") * F.col("_each") + o)).cast("long")
+    out = C.cut(out.withColumn("_at", F.col("_ahead") + F.col("_rank")).withColumn("_each", each).drop("_class", "_rank", "_ahead"))
+    words = out.groupBy("source").agg(F.first("target").alias("t"), *[F.sum(crossed(offset(k)) * F.col("size")).alias(f"w{k}") for k in range(OFFSETS)])
+    nearest = F.array_min(F.array(*[F.struct(F.abs(F.col(f"w{k}") - F.col("t")).alias("off"), F.lit(k).alias("k"), offset(k).alias("o")) for k in range(OFFSETS)]))
+    picked = C.cut(words.select("source", nearest["o"].alias("_offset")))
+    if picked.count() <= SENT:
+        picked = F.broadcast(picked)
+    out = out.alias("l").join(picked.alias("r"), F.col("l.source").eqNullSafe(F.col("r.source"))).select("l.*", "_offset")
+    return out.withColumn("copies", crossed(F.col("_offset"))).drop("_at", "_each", "_offset")
 
 
 def op7_mixing(spark, sf_dir: str) -> DataFrame:
@@ -81,12 +92,19 @@ def op7_mixing(spark, sf_dir: str) -> DataFrame:
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs, each as often as the mix takes it."""
-    keyed = docs.withColumn("_row", F.monotonically_increasing_id())
+    """The rows of docs, each as often as the mix takes it.
+
+    A row's key is its content (C.row_key), so that it is the same when a lost task is run again. Rows that are equal in
+    all columns share a key: their copies are added up and dealt to one of them."""
+    keyed = docs.withColumn("_row", C.row_key(docs))
     sized = C.cut(keyed.select("_row", "doc_id", "source", word_count(F.col("text")).alias("size")))
-    drawn = copies(sized, **options).where("copies > 0").select("_row", "copies")
-    out = keyed.join(drawn, "_row").withColumn("_each", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    return out.select(*docs.columns)
+    drawn = C.cut(copies(sized, **options).groupBy("_row").agg(F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_rows")).where("_copies > 0"))
+    out = keyed.join(drawn.where("_rows = 1"), "_row")
+    several = C.cut(drawn.where("_rows > 1"))
+    if not several.isEmpty():
+        more = C.salted_join(keyed.withColumn("_nth", F.spark_partition_id()), several, "_row", "_nth", counts=several.select("_row", F.col("_rows").alias("n")))
+        out = out.unionByName(more.dropDuplicates(["_row"]).select(*out.columns))
+    return out.withColumn("_each", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*docs.columns)
 
 
 OP7_SQL = r"""
@@ -115,12 +133,18 @@ WITH sized AS (
 ), placed AS (
   SELECT *, row_number() OVER (PARTITION BY source ORDER BY cls, part, size, doc_id NULLS FIRST) - 1 AS spot FROM parted
 ), joined AS (
-  SELECT p.doc_id, p.size, p.spot, r.source_size, r.target,
+  SELECT p.doc_id, p.source, p.size, p.spot, r.source_size, r.target,
     CASE WHEN r.source_size > 0 THEN r.target / r.source_size ELSE 0 END AS each,
-    ('0x' || substr(md5('mix-1:' || coalesce(p.source, '')), 1, 5))::BIGINT / 1048576.0::DOUBLE AS shift
+    ('0x' || substr(md5('mix-1:' || coalesce(p.source, '')), 1, 5))::BIGINT / 1048576.0::DOUBLE AS start
   FROM placed p JOIN per r ON p.source IS NOT DISTINCT FROM r.source
+), tried AS (
+  SELECT source, (start + k::DOUBLE) / 32.0::DOUBLE AS shift, k, abs(sum((floor((spot + 1) * each + (start + k::DOUBLE) / 32.0::DOUBLE)
+    - floor(spot * each + (start + k::DOUBLE) / 32.0::DOUBLE)) * size) - any_value(target)) AS off
+  FROM joined, range(32) AS o(k) GROUP BY source, start, k
+), picked AS (
+  SELECT source, shift FROM tried QUALIFY row_number() OVER (PARTITION BY source ORDER BY off, k) = 1
 )
 SELECT doc_id, size, source_size, target,
   ((floor((spot + 1) * each + shift) - floor(spot * each + shift)) * size)::BIGINT AS taken
-FROM joined
+FROM joined j JOIN picked p ON j.source IS NOT DISTINCT FROM p.source
 """

@@ -347,6 +347,21 @@ def test_mixing(spark, odd, none):
     assert [r[0] for r in spark.createDataFrame([("  a b\n",), ("",), (None,), ("\x0bx",)], "t string").select(mixing.word_count(F.col("t"))).collect()] == [2, 0, 0, 1]
 
 
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01", "sf0.1"])
+def test_mixing_comes_near_its_targets(spark, sf):
+    docs = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet").select("doc_id", "source")
+    per = mixing.op7_mixing(spark, f"/root/testdata/{sf}").join(docs, "doc_id").groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target"), F.max("size").alias("largest"))
+    assert per.where(F.abs(F.col("taken") - F.col("target")) > F.col("largest") / 2).isEmpty()
+
+
+def test_mixing_equal_rows_share_their_copies(spark, monkeypatch):
+    monkeypatch.setattr(C, "HOT", 20)
+    docs = table(spark, [(1, "a b c", "en", "s")] * 90 + [(i, "d e f", "en", "t") for i in range(2, 60)]).repartition(5)
+    sized = C.cut(docs.select("doc_id", "source", mixing.word_count(F.col("text")).alias("size")))
+    want = sorted((r.doc_id, int(r.n)) for r in mixing.copies(sized).groupBy("doc_id").agg(F.sum("copies").alias("n")).where("n > 0").collect())
+    assert sorted((r.doc_id, r["count"]) for r in mixing.mixed(docs).groupBy("doc_id").count().collect()) == want
+
+
 def test_lm_base_and_normalisation(spark, odd, none):
     rng = random.Random(9)
     rows = [(i, " ".join(rng.choice("The the cat dog sat, ran. on é5 zz".split()) for _ in range(rng.randint(0, 30))), None, "s") for i in range(60)]

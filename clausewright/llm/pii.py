@@ -24,12 +24,14 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
 from . import common as C
 
 KINDS = ("email", "ip", "card", "phone")
 SNIPPETS = 6000
-ROUNDS = 24
+ROUNDS = 32
+DEPTH = 3
 PRECISION = 0.98
 
 
@@ -49,6 +51,7 @@ GENERATORS = (
     Generator("card", r"[0-9](?:[\x20-]?[0-9])++", "digit", True),
     Generator("phone", r"\+[0-9][\x20().0-9-]+[0-9]", "+", True),
     Generator("email", rf"(?<!{_LOCAL}){_LOCAL}{{1,64}}+\x20?(?:\(at\)|\[at\])\x20?{_LABEL}{{1,63}}+(?:\x20?(?:\.|\(dot\)|\[dot\])\x20?{_LABEL}{{1,63}}+){{1,8}}+", "at"),
+    Generator("email", rf"(?<!{_LOCAL}){_LOCAL}{{1,64}}+\x20at\x20{_LABEL}{{1,63}}+(?:\x20dot\x20{_LABEL}{{1,63}}+){{1,8}}+", "dot"),
     Generator("ip", r"(?<![0-9])[0-9]{1,3}(?:\[\.\]|\(\.\)|\[dot\])[0-9]{1,3}(?:(?:\.|\[\.\]|\(\.\)|\[dot\])[0-9]{1,3}){2}(?![0-9])", "[digit"),
     Generator("card", r"(?<![0-9])[0-9]{4}(?:[./]|\x20[\x20-]\x20?)[0-9]{4}(?:[./]|\x20[\x20-]\x20?)[0-9]{4}(?:[./]|\x20[\x20-]\x20?)[0-9]{1,7}(?![0-9])", "digit"),
     Generator("phone", r"(?<![0-9+.-])(?:\([0-9]{2,5}\)\x20?|[0-9]{2,5}[\x20./-])[0-9]{3,4}[\x20.-]?[0-9]{3,4}(?![0-9])", "digit"),
@@ -59,16 +62,19 @@ _FOR = {
     "email": r"(?i)\b(?:e-?mail|mail|contact|write|reach|kontakt|correo|courriel|adresse)\b",
     "ip": r"(?i)\b(?:ip|host|server|address|login|from|addr|adresse|servidor|serveur)\b",
     "card": r"(?i)\b(?:card|visa|master ?card|amex|credit|debit|payment|karte|tarjeta|carte)\b",
-    "phone": r"(?i)\b(?:tel|phone|call|mobile|cell|fax|telephone|telefon|anruf|llamar|t[ée]l[ée]phone|whatsapp)\b",
+    "phone": r"(?i)\b(?:tel|ph|phone|call|mobile|cell|fax|telephone|telefon|anruf|llamar|t[ée]l[ée]phone|whatsapp)\b",
 }
 _AGAINST = r"(?i)\b(?:version|v|isbn|issn|order|invoice|build|ref|serial|page|section|chapter|fig|figure|table|art|doi|part|model|sku|id|item|lines?|total|score|date)\b"
 
+#: How host names often end.
+_ENDING = r"(?i)[^a-z](?:com|org|net|edu|gov|info|io|eu|de|fr|es|it|uk|us)$"
+
 
 def _needs(text: Column, what: str) -> Column:
     digit = text.rlike("[0-9]")
     return {
         "@": text.contains("@"), "digit": digit, "+": text.contains("+") & digit,
-        "at": text.contains("(at)") | text.contains("[at]"),
+        "at": text.contains("(at)") | text.contains("[at]"), "dot": text.contains(" at ") & text.contains(" dot "),
         "[digit": (text.contains("[") | text.contains("(")) & digit,
     }[what]
 
@@ -84,8 +90,13 @@ def proposals(docs: DataFrame, keep: list[str]) -> DataFrame:
         per.append(F.when(_needs(text, it.needs), F.struct(F.lit(g).alias("gen"), matches.alias("m"), between.alias("p"))))
     listed = F.filter(F.array(*per), lambda x: x.isNotNull() & (F.size(x["m"]) > 0))
 
+    def left(x: Column, k: Column) -> Column:
+        """What stands before a match, with the match before it."""
+        before = F.when(k > 0, F.concat(F.substring(F.get(x["p"], k - 1), -40, 40), F.get(x["m"], k - 1))).otherwise("")
+        return F.substring(F.concat(F.substring(before, -40, 40), F.substring(F.get(x["p"], k), -40, 40)), -40, 40)
+
     def each(x: Column) -> Column:
-        return F.transform(x["m"], lambda m, k: F.struct(k.alias("k"), m.alias("found"), F.length(F.get(x["p"], k)).alias("gap"), F.substring(F.get(x["p"], k), -40, 40).alias("left"), F.substring(F.get(x["p"], k + 1), 1, 12).alias("right")))
+        return F.transform(x["m"], lambda m, k: F.struct(k.alias("k"), m.alias("found"), F.length(F.get(x["p"], k)).alias("gap"), left(x, k).alias("left"), F.substring(F.get(x["p"], k + 1), 1, 12).alias("right")))
 
     small = F.transform(listed, lambda x: F.struct(x["gen"].alias("gen"), each(x).alias("e")))
     out = rows.select("_row", *keep, F.explode_outer(small).alias("g")).select("_row", *keep, "g.gen", F.explode_outer("g.e").alias("e"))
@@ -134,49 +145,70 @@ def described(rows: DataFrame) -> DataFrame:
         "*", F.col("kindno").alias("f_kind"), F.col("ok").cast("int").alias("f_ok"), F.coalesce(F.least(n, F.lit(20)), F.lit(0)).alias("f_digits"),
         F.least(groups, F.lit(8)).alias("f_groups"), favour.cast("int").alias("f_for"), F.col("left").rlike(_AGAINST).cast("int").alias("f_against"),
         beside(F.substring("left", -1, 1)).alias("f_left"), beside(F.substring("right", 1, 1)).alias("f_right"),
-        found.contains("(").cast("int").alias("f_bracket"), found.rlike("[./]").cast("int").alias("f_dotted"),
+        found.rlike(_ENDING).cast("int").alias("f_ending"), found.contains("(").cast("int").alias("f_bracket"), found.rlike("[./]").cast("int").alias("f_dotted"),
     )
 
 
 # --- the trees --------------------------------------------------------------------------------------------------
 
 
+#: Words before what is made up, for fitting and for calibrating; by kind those of personal data, then those of other numbers.
+_BEFORE = {
+    "email": (("write to ", "e-mail: ", "contact ", "und ", "ask ", "", "sent by ", "reach me: "), ("mail ", "reply to ", "from ", "see ", "")),
+    "ip": (("host ", "login from ", "server ", "at ", "the ", "", "blocked "), ("address ", "peer ", "ping ", "on ")),
+    "card": (("card ", "visa: ", "credit card no ", "paid with card ", "payment ", "", "number "), ("amex ", "charged to ", "debit ", "account ")),
+    "phone": (("call ", "tel. ", "phone: ", "mobile ", "fax ", "ph: ", "or call me, ", "telephone "), ("cell ", "whatsapp ", "call us: ", "phone no ")),
+    "": (
+        ("order ", "invoice no ", "version ", "isbn ", "ref ", "build ", "serial ", "page ", "the ", "total ", "part ", "fig. ", "", "and ", "score ", "between ", "from ", "mobile ", "card ", "mail "),
+        ("sku ", "docket ", "section ", "from ", "id ", "chapter ", "", "model "),
+    ),
+}
+
+
 def snippets(spark: SparkSession, n: int = SNIPPETS) -> DataFrame:
-    """(doc_id, text, label): labelled snippets, half of them personal data written in less strict ways."""
+    """(doc_id, text, label, held): labelled snippets, about half of them personal data written in less strict ways."""
     pick = lambda words, salt: F.element_at(F.array(*map(F.lit, words)), (F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(len(words))) + 1).cast("int"))
     num = lambda lo, hi, salt: (F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(hi - lo + 1)) + lo).cast("string")
     four = lambda salt: F.lpad(num(0, 9999, salt), 4, "0")
-    names, hosts = ["jane.doe", "k.meyer", "info", "sales7", "rob_t"], ["example", "mail-host", "firm2", "uni"]
+    held = F.pmod(F.col("id"), F.lit(3)) == 0
+    before = lambda kind: F.when(held, pick(_BEFORE[kind][1], 28)).otherwise(pick(_BEFORE[kind][0], 28))
+    names, hosts = ["jane.doe", "k.meyer", "info", "sales7", "rob_t", "j"], ["example", "mail-host", "firm2", "uni"]
     at, dot = ["(at)", "[at]", " (at) ", " [at] "], [".", "(dot)", "[dot]", " (dot) "]
     email = F.concat(pick(names, 1), pick(at, 2), pick(hosts, 3), pick(dot, 4), pick(["com", "org", "net", "de"], 5))
+    spelled = F.concat(pick(names, 1), F.lit(" at "), pick(hosts, 3), F.lit(" dot "), pick(["com", "org", "net", "de"], 5))
     ip = F.concat(num(1, 255, 6), F.lit("[.]"), num(0, 255, 7), F.lit("[.]"), num(0, 255, 8), F.lit("[.]"), num(1, 254, 9))
+    far = F.concat(num(256, 999, 6), F.lit("[.]"), num(0, 999, 7), F.lit("[.]"), num(0, 255, 8), F.lit("[.]"), num(1, 254, 9))
     sep = pick([".", "/", " - "], 10)
     stem = F.concat(F.lit("4"), F.lpad(num(0, 999, 11), 3, "0"), four(12), four(13), F.lpad(num(0, 999, 14), 3, "0"))
     check = F.expr("transform(sequence(0, 9), c -> concat(stem, c))")
     good = F.filter(check, lambda x: luhn(x))[0]
     grouped = lambda x: F.concat(F.substring(x, 1, 4), sep, F.substring(x, 5, 4), sep, F.substring(x, 9, 4), sep, F.substring(x, 13, 4))
     bad = F.concat("stem", F.pmod(F.substring(good, 16, 1).cast("int") + 1 + F.pmod(F.col("id"), F.lit(8)), F.lit(10)).cast("string"))
-    phone = F.concat(pick(["(", ""], 15), num(200, 989, 16))
-    phone = F.concat(phone, F.when(phone.startswith("("), ") ").otherwise(pick(["-", ".", " "], 17)), num(200, 999, 18), pick(["-", ".", " "], 19), four(20))
-    year = F.concat(num(10, 28, 21), pick([".", "/", "-"], 22), num(100, 999, 23), pick([" ", ".", "-"], 24), num(1900, 2030, 25))
-    words = {
-        "email": ["write to ", "e-mail: ", "contact ", "und ", "ask ", "by "], "ip": ["host ", "login from ", "server ", "at ", "the "],
-        "card": ["card ", "visa: ", "credit card no ", "paid with card ", "payment "], "phone": ["call ", "tel. ", "phone: ", "mobile ", "fax "],
-    }
-    decoy = ["order ", "invoice no ", "version ", "isbn ", "ref ", "build ", "serial ", "page ", "the ", "total ", "part ", "fig. "]
-    end = pick([".", ",", " and so on", "", ";"], 26)
-    case = F.pmod(F.xxhash64("id", F.lit(0)), F.lit(8))
+
+    def telephone(salt: int) -> Column:
+        area = F.concat(pick(["(", ""], salt), num(200, 989, salt + 1))
+        return F.concat(area, F.when(area.startswith("("), ") ").otherwise(pick(["-", ".", " "], salt + 2)), num(200, 999, salt + 3), pick(["-", ".", " "], salt + 4), four(salt + 5))
+
+    phone = telephone(15)
+    two = F.concat(phone, pick([" or ", " and ", ", "], 40), telephone(41))
+    date = F.concat(num(10, 28, 21), pick([".", "/", "-"], 22), num(100, 999, 23), pick([" ", ".", "-"], 24), num(1900, 2030, 25))
+    range_ = F.concat(num(100, 999, 50), F.lit("-"), num(100, 999, 51), F.lit(" "), num(100, 999, 52))
+    end = pick([".", ",", " and so on", "", ";", ")"], 26)
+    case = F.pmod(F.xxhash64("id", F.lit(0)), F.lit(13))
     glued = pick(["x", "ab", "9", "_"], 27)
+    prose = F.concat(pick(["we met", "look", "he was", "arrive", "aim"], 53), F.lit(" at "), pick(["noon", "the", "home", "a", "this"], 54), F.lit(" dot "), pick(["the", "and", "by", "matrix", "him"], 55))
     text = (
-        F.when(case == 0, F.concat(pick(words["email"], 28), email, end)).when(case == 1, F.concat(pick(words["ip"], 28), ip, end))
-        .when(case == 2, F.concat(pick(words["card"], 28), grouped(good), end)).when(case == 3, F.concat(pick(words["phone"], 28), phone, end))
-        .when(case == 4, F.concat(pick(decoy, 28), grouped(bad), end)).when(case == 5, F.concat(pick(decoy, 28), phone, end))
-        .when(case == 6, F.concat(pick(decoy, 28), year, end)).otherwise(F.concat(pick(decoy, 28), glued, phone, glued))
+        F.when(case == 0, F.concat(before("email"), email, end)).when(case == 1, F.concat(before("ip"), ip, end))
+        .when(case == 2, F.concat(before("card"), grouped(good), end)).when(case == 3, F.concat(before("phone"), phone, end))
+        .when(case == 4, F.concat(before("email"), spelled, end)).when(case == 5, F.concat(before("phone"), two, end))
+        .when(case == 6, F.concat(before(""), grouped(bad), end)).when(case == 7, F.concat(before(""), phone, end))
+        .when(case == 8, F.concat(before(""), date, end)).when(case == 9, F.concat(before(""), glued, phone, glued))
+        .when(case == 10, F.concat(before(""), far, end)).when(case == 11, F.concat(prose, end)).otherwise(F.concat(before(""), range_, end))
     )
-    return spark.range(n).withColumn("stem", stem).select(F.col("id").alias("doc_id"), text.alias("text"), (case < 4).cast("int").alias("label"), (F.pmod(F.col("id"), F.lit(3)) == 0).alias("held"))
+    return spark.range(n).withColumn("stem", stem).select(F.col("id").alias("doc_id"), text.alias("text"), (case < 6).cast("int").alias("label"), held.alias("held"))
 
 
-_FEATURES = ("f_kind", "f_ok", "f_digits", "f_groups", "f_for", "f_against", "f_left", "f_right", "f_bracket", "f_dotted")
+_FEATURES = ("f_kind", "f_ok", "f_digits", "f_groups", "f_for", "f_against", "f_left", "f_right", "f_bracket", "f_dotted", "f_ending")
 
 
 def _best_split(cells: list[dict], rows: list[int], grad: list[float], hess: list[float]) -> tuple[float, str, int] | None:
@@ -193,7 +225,7 @@ def _best_split(cells: list[dict], rows: list[int], grad: list[float], hess: lis
 
 
 def boost(cells: list[dict], rounds: int = ROUNDS, rate: float = 0.4) -> list:
-    """Trees of depth two, as (feature, cut, left, right) with a number at a leaf, by second-order boosting of cells."""
+    """Trees of DEPTH levels, as (feature, cut, left, right) with a number at a leaf, by second-order boosting of cells."""
     raw = [0.0] * len(cells)
 
     def grow(rows: list[int], depth: int, grad, hess):
@@ -208,7 +240,7 @@ def boost(cells: list[dict], rounds: int = ROUNDS, rate: float = 0.4) -> list:
         p = [1 / (1 + math.exp(-x)) for x in raw]
         grad = [c["pos"] - (c["pos"] + c["neg"]) * q for c, q in zip(cells, p, strict=True)]
         hess = [(c["pos"] + c["neg"]) * q * (1 - q) for c, q in zip(cells, p, strict=True)]
-        trees.append(grow(list(range(len(cells))), 2, grad, hess))
+        trees.append(grow(list(range(len(cells))), DEPTH, grad, hess))
         raw = [x + value(trees[-1], c) for x, c in zip(raw, cells, strict=True)]
     return trees
 
@@ -247,7 +279,7 @@ def fitted(spark: SparkSession, n: int = SNIPPETS, precision: float = PRECISION)
 def spans(docs: DataFrame, keep: list[str], model: tuple[list, dict[str, float]] | None = None) -> DataFrame:
     """Rows _row, keep, kindno, kind, start, finish, base, score of the spans taken; documents without any have kind null."""
     trees, limits = model or fitted(docs.sparkSession)
-    rows = described(proposals(docs, keep))
+    rows = described(C.cut(proposals(docs, keep)))
     score = F.lit(0.0)
     for t in trees:
         score = score + _expression(t)
@@ -257,15 +289,27 @@ def spans(docs: DataFrame, keep: list[str], model: tuple[list, dict[str, float]]
     rows = rows.withColumn("score", F.when(~F.col("base"), score))
     rows = rows.withColumn("takes", F.when(F.col("gen").isNull(), False).when(F.col("base"), F.col("ok")).otherwise(F.col("score") >= limit))
     # one row stands for a document whose proposals all fail
-    rows = rows.select("_row", *keep, "takes", *[F.when(F.col("takes"), F.col(c)).alias(c) for c in ("kindno", "kind", "start", "finish", "base", "score")])
+    cols = ("kindno", "kind", "start", "finish", "base", "score")
+    rows = rows.select("_row", *keep, "takes", *[F.when(F.col("takes"), F.col(c)).alias(c) for c in cols])
     order = Window.partitionBy("_row").orderBy("start", F.desc("base"), "finish")
     is_base, own = F.col("takes") & F.col("base"), F.col("takes") & ~F.col("base")
     past = F.max(F.when(is_base, F.col("finish"))).over(order.rowsBetween(Window.unboundedPreceding, -1))
     coming = F.min(F.when(is_base, F.col("start"))).over(order.rowsBetween(1, Window.unboundedFollowing))
-    rival = F.max(F.when(own, F.col("finish"))).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    clash = own & ((F.coalesce(past, F.lit(0)) > F.col("start")) | (F.coalesce(coming, F.col("finish")) < F.col("finish")) | (F.coalesce(rival, F.lit(0)) > F.col("start")))
+    clash = own & ((F.coalesce(past, F.lit(0)) > F.col("start")) | (F.coalesce(coming, F.col("finish")) < F.col("finish")))
     rows = rows.withColumn("clash", clash)
-    return rows.select("_row", *keep, *[F.when(~F.col("clash"), F.col(c)).alias(c) for c in ("kindno", "kind", "start", "finish", "base", "score")])
+    rows = rows.select("_row", *keep, *[F.when(~F.col("clash"), F.col(c)).alias(c) for c in cols])
+    # runs of added spans each of which overlaps one before it; a span alone is taken
+    added = F.col("kind").isNotNull() & ~F.col("base")
+    reach = F.max(F.when(added, F.col("finish"))).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("run", F.sum((added & (F.coalesce(reach, F.lit(0)) <= F.col("start"))).cast("int")).over(order))
+    rows = rows.withColumn("crowd", F.when(added, F.count_if(added).over(Window.partitionBy("_row", "run"))).otherwise(0))
+    rows = C.cut(rows)
+    crowded = rows.where("crowd > 1").select("_row", *keep, "run", F.struct((-F.col("score")).alias("a"), (F.col("start") - F.col("finish")).alias("b"), *cols).alias("x"))
+    crowded = crowded.groupBy("_row", "run").agg(*[F.first(c).alias(c) for c in keep], F.array_sort(F.collect_list("x")).alias("x"))
+    apart = lambda acc, e: ~F.exists(acc, lambda t: (t["start"] < e["finish"]) & (e["start"] < t["finish"]))
+    taken = F.aggregate("x", F.filter("x", lambda e: F.lit(False)), lambda acc, e: F.when(apart(acc, e), F.concat(acc, F.array(e))).otherwise(acc))
+    crowded = crowded.select("_row", *keep, F.explode(taken).alias("x")).select("_row", *keep, *[F.col(f"x.{c}").alias(c) for c in cols])
+    return rows.where("crowd <= 1").select("_row", *keep, *cols).unionByName(crowded)
 
 
 def found(docs: DataFrame, keep: list[str], model=None) -> DataFrame:
@@ -289,11 +333,15 @@ def op3_pii(spark, sf_dir: str) -> DataFrame:
 
 
 def redacted(docs: DataFrame, model=None) -> DataFrame:
-    """docs with each span in text replaced by its kind in brackets; of spans that overlap, the one that begins first."""
+    """docs with each span in text replaced by its kind in brackets; of base spans that overlap, the one that begins first."""
     keep = docs.columns
-    rows = docs.withColumn("_pii_row", F.monotonically_increasing_id())
-    taken = C.cut(found(rows.select("_pii_row", "text"), ["_pii_row"], model).where(F.size("spans") > 0).select("_pii_row", F.col("spans").alias("_spans")))
-    rows = rows.join(taken, "_pii_row", "left")
+    rows = docs.withColumn("_pii_key", F.substring(F.sha2(F.col("text").cast("binary"), 256), 1, 32))
+    taken = found(rows.select("_pii_key", "text"), ["_pii_key"], model).where(F.size("spans") > 0)
+    # equal texts have equal spans
+    taken = C.cut(taken.groupBy("_pii_key").agg(F.first("spans").alias("_spans"), F.count(F.lit(1)).alias("n")))
+    others = [F.col(f"`{c}`").cast("string") for c in keep if c != "text" and not isinstance(docs.schema[c].dataType, MapType)]
+    spread = rows.withColumn("_pii_nth", F.xxhash64(F.spark_partition_id(), *others))
+    rows = C.salted_join(spread, taken.drop("n"), "_pii_key", "_pii_nth", "left", counts=taken.select("_pii_key", "n"))
     ordered = F.array_sort(F.transform("_spans", lambda x: F.struct(x["start"].alias("start"), x["finish"].alias("finish"), x["kindno"].alias("kindno"))))
     kinds = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
     zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out"))

@@ -144,6 +144,43 @@ def test_personal_data_base(spark, none):
     assert [r.text for r in pii.redacted(more, model).orderBy("doc_id").collect()] == ["call [PHONE] or write to [EMAIL]", "order 212-555-0199, version 10.2.3, page 12"]
 
 
+def test_personal_data_added(spark):
+    model = pii.fitted(spark)
+    texts = ["card 4111.1111.1111.1111", "ph: 212 555 0199 or 212 555 0188", "jane at example dot com", "we met at noon dot the end", "host 10[.]0[.]0[.]7", "host 10[.]0[.]0[.]700", "pages 100-200 300", "a@b.example and call 212-555-0199"]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(0, texts[0]), (None, texts[2]), (9, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = ["card [CARD]", "ph: [PHONE] or [PHONE]", "[EMAIL]", texts[3], "host [IP]", texts[5], texts[6], "[EMAIL] and call [PHONE]"]
+    got = sorted((str(r.doc_id), r.text) for r in pii.redacted(docs, model).collect())
+    assert got == sorted([(str(i), t) for i, t in enumerate(want)] + [("0", want[0]), ("None", want[2]), ("9", "")])
+
+
+def test_personal_data_by_score(spark):
+    """Of overlapping added spans the best is taken, then the best that does not overlap it, found in another way."""
+    rng = random.Random(15)
+    parts = ["4111.1111", ".1111", " 212", " 555", "-0199", "/", "10[.]1", "[.]2[.]3", " ", "jane (at) x", ".com", "(dot)org", "call ", "4242 - 4242 - 4242 - 4242", "."]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(3, 25))) for _ in range(200)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    trees, _ = pii.fitted(spark)
+    limits = dict.fromkeys(pii.KINDS, -100.0)  # all of them are taken into account
+    every = pii.described(pii.proposals(docs, ["doc_id"]).where("gen IS NOT NULL")).collect()
+    got = defaultdict(set)
+    for r in pii.spans(docs, ["doc_id"], (trees, limits)).where("kind IS NOT NULL").collect():
+        got[r.doc_id].add((r.kind, r.start, r.finish))
+    crowds = 0
+    for i in range(200):
+        own = [r for r in every if r.doc_id == i]
+        taken = [(r.kind, r.start, r.finish) for r in own if r.base and r.ok]
+        added = sorted((-sum(pii.value(t, r.asDict()) for t in trees), r.start - r.finish, r.start, r.kind, r.finish) for r in own if not r.base)
+        free = [x for x in added if not any(x[2] < f and s < x[4] for _, s, f in taken)]
+        kept = []
+        for x in free:
+            if not any(x[2] < y[4] and y[2] < x[4] for y in kept):
+                kept.append(x)
+        crowds += len(free) > len(kept)
+        assert got[i] == {*taken, *((k, s, f) for _, _, s, k, f in kept)}, texts[i]
+    assert crowds > 20
+
+
 def warc_row(page_id, payload_bytes, payload_digest, record_type, refers_to):
     return Row(page_id=page_id, payload_bytes=payload_bytes, payload_digest=payload_digest, record_type=record_type, refers_to=refers_to)
 

@@ -1,8 +1,9 @@
 """Language identification by mixture inference.
 
 A document is taken as words drawn from several languages. Each language gives a word a likelihood by its byte
-4-grams; expectation-maximisation estimates the document's language proportions; the set of languages is the one with
-the best penalised likelihood (half a log of the word count for each language beyond the first).
+4-grams; expectation-maximisation estimates the document's language proportions; the set of languages grows
+by one as long as that improves the penalised likelihood (half a log of the word count for each language beyond the
+first); it may hold all of them.
 
 Defined results: null text or a text without letters gives `und` with score 0, as does every text when nothing was
 learned; equal texts get equal results; ties go to the language first in code-point order; columns of the input other
@@ -37,7 +38,6 @@ class Params:
     bits: int = 16  # log2 of the number of n-gram buckets of a language
     smoothing: float = 0.5
     rounds: int = 6  # of expectation-maximisation
-    most_languages: int = 3  # in one document's set
     penalty: float = 0.5  # times log(words), for each language beyond the first
 
 
@@ -131,28 +131,23 @@ def mixtures(parts: list[memoryview], table: np.ndarray, params: Params = Params
     share, _ = _fit(p, doc, first, share, params.rounds)
     order = np.argsort(-share, axis=1, kind="stable")
     best, best_at = np.zeros_like(share), np.full(len(has), -np.inf)
-    # the set grows by the language with the next largest share; texts of one language need no second look
-    unsure = np.flatnonzero(share.max(1) < 0.995)
-    best[np.arange(len(has)), order[:, 0]] = 1
-    if len(unsure) and langs > 1:
-        mark = np.zeros(len(has), dtype=bool)
-        mark[unsure] = True
-        sub = mark[doc]
-        p, n = p[sub], n[unsure]
-        doc = np.repeat(np.arange(len(unsure)), n)
-        first = np.concatenate(([0], np.cumsum(n)[:-1]))
-        share, order, best_at = share[unsure], order[unsure], best_at[unsure]
-        kept = best[unsure]
-        for size in range(1, min(params.most_languages, langs) + 1):
-            mask = np.zeros_like(share)
-            np.put_along_axis(mask, order[:, :size], 1, axis=1)
-            start = share * mask + 1e-6 * mask
-            start /= start.sum(1, keepdims=True)
-            fitted, like = _fit(p, doc, first, start, params.rounds if size > 1 else 0)
-            value = like - params.penalty * (size - 1) * np.log(n + 1.0)
-            better = value > best_at
-            kept[better], best_at[better] = fitted[better], value[better]
-        best[unsure] = kept
+    # the set grows by the language with the next largest share, as long as that improves the penalised likelihood
+    going = np.arange(len(has))
+    for size in range(1, langs + 1):
+        mask = np.zeros_like(share)
+        np.put_along_axis(mask, order[:, :size], 1, axis=1)
+        start = share * mask + 1e-6 * mask
+        start /= start.sum(1, keepdims=True)
+        fitted, like = _fit(p, doc, first, start, params.rounds if size > 1 else 0)
+        value = like - params.penalty * (size - 1) * np.log(n + 1.0)
+        better = value > best_at
+        best[going[better]], best_at = fitted[better], value[better]
+        if not better.any():
+            break
+        if not better.all():  # the others are done
+            p, n, going, share, order = p[better[doc]], n[better], going[better], share[better], order[better]
+            doc = np.repeat(np.arange(len(going)), n)
+            first = np.concatenate(([0], np.cumsum(n)[:-1]))
     out[has] = best
     return out
 

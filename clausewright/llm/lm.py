@@ -1,11 +1,12 @@
 """Language-model scoring with a log-bilinear neural model, trained in numpy by noise-contrastive estimation.
 
 Tokens are the lower-cased words of a text and an end. Their counts cover all training documents. The model's units
-are the most frequent words, the end, and one unit for each shape of the other words (how they end, length, letters
-beyond ASCII). A unit is predicted from the two before it: context matrices map their embeddings to a vector whose
-product with a unit's embedding, and a bias, is its score. Noise-contrastive estimation fits the embeddings (noise is
-the units' counts over the whole corpus): the driver makes a start on SAMPLE documents on average, by hash of the id,
-then each partition goes on from it over all of its training documents, and the parameters are averaged by tokens. A
+are the most frequent words (GROWTH times the fourth root of the number of distinct words, so that they grow with the
+corpus), the end, and one unit for each shape of the other words (how they end, length, letters beyond ASCII). A unit is
+predicted from the two before it: context matrices map their embeddings to a vector whose product with a unit's
+embedding, and a bias, is its score. Noise-contrastive estimation fits the embeddings (noise is the units' counts over
+the whole corpus) in two passes: over one training document in FIRST, by hash of the id, and over all of them. In a pass
+each task goes on from the same parameters over all of its documents, and the parameters are averaged by tokens. A
 word behind a shape then has its share of the shape's counts, with half a count for each word and for all that is
 unseen, so the model's probabilities of all texts sum to one.
 
@@ -30,12 +31,12 @@ from pyspark.sql import functions as F
 from . import common as C
 
 HEAD = 262_144  # words whose counts every executor has
-WORDS = 1_480  # of them units of the model
-SAMPLE = 3_000  # training documents that the driver starts the embeddings on, on average; then come all
+GROWTH = 48  # times the fourth root of the number of distinct words: the words that are units of the model
+FIRST = 8  # the first pass is over one training document in so many
+PASS_TOKENS = 1 << 20  # of a task in a pass, about and at least, where there are so many
 SHAPES = 48
 DIM = 32
 HELD_TOKENS = 1 << 18  # tokens that are shuffled and trained on at a time in a partition
-SUMMED = 32  # partial averages of the partitions' parameters that the driver gets
 
 
 def _shapes(buf: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -124,29 +125,33 @@ class Head:
         return own + 0.5
 
 
-def head_of(counts: DataFrame, ends: int, head: int = HEAD, words: int = WORDS) -> Head:
-    """The most frequent words, at most head of them: all those in the upper classes of counts that fit."""
-    steps = counts.groupBy(F.floor(F.log("n") * 16).cast("int").alias("step")).agg(F.count(F.lit(1)).alias("k")).orderBy(F.desc("step")).collect()
+def head_of(counts: DataFrame, ends: int, head: int = HEAD, words: int | None = None) -> Head:
+    """The most frequent words, head of them (of equally frequent ones those with smaller hashes), and the totals of all."""
+    step = F.floor(F.log("n") * 16).cast("int")
+    steps = counts.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("k")).orderBy(F.desc("step")).collect()
     floor, room = None, head
     for r in steps:
-        if r["k"] > room:
+        floor = r["step"]
+        if r["k"] >= room:
             break
-        floor, room = r["step"], room - r["k"]
-    rows = counts.where(F.floor(F.log("n") * 16).cast("int") >= F.lit(floor)).toPandas() if floor is not None else None
-    if rows is None or not len(rows):
+        room -= r["k"]
+    if floor is None:
         h, n, shape = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     else:
-        rows = rows.sort_values("h")
-        h, n, shape = (rows[c].to_numpy(np.int64) for c in ("h", "n", "shape"))
-    order = np.lexsort((h, -n))[:words]
-    words = len(order)
-    unit = words + shape
-    unit[order] = np.arange(words)
+        rows = counts.where(step > F.lit(floor)).toPandas()
+        rest = counts.where(step == F.lit(floor)).orderBy(F.desc("n"), "h").limit(room).toPandas()
+        h, n, shape = (np.concatenate([rows[c].to_numpy(np.int64), rest[c].to_numpy(np.int64)]) for c in ("h", "n", "shape"))
+        order = np.argsort(h)
+        h, n, shape = h[order], n[order], shape[order]
     by = counts.groupBy("shape").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect()
     total, distinct = np.zeros(SHAPES), np.zeros(SHAPES)
     for r in by:
         total[r["shape"]], distinct[r["shape"]] = r["n"], r["v"]
     all_n, all_v = int(total.sum()), int(distinct.sum())
+    order = np.lexsort((h, -n))[: words or int(GROWTH * all_v**0.25)]
+    words = len(order)
+    unit = words + shape
+    unit[order] = np.arange(words)
     total -= np.bincount(shape[order], weights=n[order], minlength=SHAPES)
     distinct -= np.bincount(shape[order], minlength=SHAPES)
     return Head(h, n, unit, all_n + ends, all_v + (ends > 0), ends, total, distinct, words)
@@ -179,24 +184,6 @@ def _sequences(units: np.ndarray, count: np.ndarray, head: Head) -> tuple[np.nda
     return target, one, two
 
 
-def _sampled(docs: DataFrame, head: Head, sample: int, training: int) -> np.ndarray:
-    """(target, unit before, unit before that) of about sample training documents, whole."""
-    every = max(1, -(-training // sample))
-    sent = docs.sparkSession.sparkContext.broadcast(head)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head = sent.value
-        for batch in batches:
-            for _, _, parts in C.text_blocks(batch.column(0)):
-                h, shape, count = _tokens(parts)
-                target, one, two = _sequences(_units(head, h, shape)[0], count, head)
-                yield pa.record_batch([pa.array([np.stack([target, one, two]).astype(np.int16).tobytes()], pa.binary())], names=["x"])
-
-    picked = docs.where(F.pmod(F.xxhash64(C.id_text(F.col("doc_id"))), F.lit(every)) == 0).select("text")
-    got = [np.frombuffer(r["x"], dtype=np.int16).reshape(3, -1) for r in picked.mapInArrow(run, "x binary").collect()]
-    return np.concatenate(got, axis=1).astype(np.int64) if got else np.zeros((3, 0), np.int64)
-
-
 def _gather(index: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
     """Sum of rows by index, as n rows."""
     out = np.zeros((n, rows.shape[1]), dtype=np.float32)
@@ -246,42 +233,42 @@ def _epoch(m: dict[str, np.ndarray], square: dict[str, np.ndarray], tokens: np.n
             m[name] += np.float32(rate) * g / np.sqrt(square[name])
 
 
-def train(tokens: np.ndarray, unit_counts: np.ndarray, dim: int = DIM, epochs: int = 2, batch: int = 2048, noise: int = 256, rate: float = 0.08, seed: int = 7, docs: DataFrame | None = None, head: Head | None = None) -> dict[str, np.ndarray]:
-    """Noise-contrastive estimation with AdaGrad; a batch shares its noise. tokens: rows target, before, before that.
+def train(docs: DataFrame, head: Head, dim: int = DIM, batch: int = 2048, noise: int = 256, rate: float = 0.08, seed: int = 7, first: int = FIRST) -> dict[str, np.ndarray]:
+    """Noise-contrastive estimation with AdaGrad on docs (doc_id, text); a batch shares its noise."""
+    unit_counts = head.unit_counts()
+    m, square = _start(unit_counts, dim, np.random.default_rng(seed))
+    some = docs.where(F.pmod(F.xxhash64(C.id_text(F.col("doc_id"))), F.lit(first)) == 0)
+    for turn, (rows, tokens) in enumerate(((some, head.total // first), (docs, head.total))):
+        m, square = _averaged(rows, max(1, tokens // PASS_TOKENS), head, m, square, batch, noise, rate, [seed, turn])
+    return m
 
-    With docs (text) and head, all of docs are trained on after tokens, each partition by itself, and averaged."""
-    rng = np.random.default_rng(seed)
-    m, square = _start(unit_counts, dim, rng)
-    for _ in range(epochs if tokens.shape[1] else 0):
-        _epoch(m, square, tokens, unit_counts, rng, batch, noise, rate)
-    return m if docs is None else _averaged(docs, head, m, square, unit_counts, batch, noise, rate, seed)
 
-
-def _averaged(docs: DataFrame, head: Head, m: dict[str, np.ndarray], square: dict[str, np.ndarray], unit_counts: np.ndarray, batch: int, noise: int, rate: float, seed: int) -> dict[str, np.ndarray]:
-    """m after each partition of docs was trained on from it: the mean of theirs by tokens."""
-    sent = docs.sparkSession.sparkContext.broadcast((head, m, square, unit_counts))
+def _averaged(docs: DataFrame, parts: int, head: Head, m: dict[str, np.ndarray], square: dict[str, np.ndarray], batch: int, noise: int, rate: float, seed: list[int]) -> tuple[dict[str, np.ndarray], dict[str, np.ndarray]]:
+    """m and square after each of at most that many parts of docs was trained on from them: the mean of theirs by tokens."""
+    unit_counts = head.unit_counts()
+    sent = docs.sparkSession.sparkContext.broadcast((head, m, square))
     row = lambda part, n, x: pa.record_batch([pa.array([part], pa.int64()), pa.array([n], pa.int64()), pa.array([x.astype(np.float32).tobytes()], pa.binary())], names=["part", "n", "x"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        head, m, square, unit_counts = sent.value
+        head, m, square = sent.value
         m, square = ({k: v.copy() for k, v in x.items()} for x in (m, square))
         part = TaskContext.get().partitionId()
-        rng = np.random.default_rng([seed, part])
+        rng = np.random.default_rng([*seed, part])
         some, held, n = [], 0, 0
         for got in batches:
             for _, _, parts in C.text_blocks(got.column(0)):
                 h, shape, count = _tokens(parts)
-                some.append(np.stack(_sequences(_units(head, h, shape)[0], count, head)).astype(np.int16))
+                some.append(np.stack(_sequences(_units(head, h, shape)[0], count, head)).astype(np.int32))
                 held += some[-1].shape[1]
                 if held >= HELD_TOKENS:
-                    _epoch(m, square, np.concatenate(some, axis=1).astype(np.int64), unit_counts, rng, batch, noise, rate)
+                    _epoch(m, square, np.concatenate(some, axis=1), unit_counts, rng, batch, noise, rate)
                     some, held, n = [], 0, n + held
         if held:
-            _epoch(m, square, np.concatenate(some, axis=1).astype(np.int64), unit_counts, rng, batch, noise, rate)
+            _epoch(m, square, np.concatenate(some, axis=1), unit_counts, rng, batch, noise, rate)
         if n + held:
-            yield row(part, n + held, np.concatenate([v.ravel() for v in m.values()]))
+            yield row(part, n + held, np.concatenate([v.ravel() for x in (m, square) for v in x.values()]))
 
     def mean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, n, total = 0, 0, 0.0
@@ -292,26 +279,43 @@ def _averaged(docs: DataFrame, head: Head, m: dict[str, np.ndarray], square: dic
             yield row(part, n, total / n)
 
     ddl = "part long, n long, x binary"
-    got = docs.select("text").mapInArrow(run, ddl).repartition(SUMMED, "part").mapInArrow(mean, ddl).collect()
+    got = docs.select("text").coalesce(parts).mapInArrow(run, ddl).repartition(C.ADDING, "part").mapInArrow(mean, ddl).collect()
     if not got:
-        return m
+        return m, square
     got.sort(key=lambda r: r["part"])
     flat = sum(r["n"] * np.frombuffer(r["x"], dtype=np.float32).astype(np.float64) for r in got) / sum(r["n"] for r in got)
-    cuts = np.split(flat.astype(np.float32), np.cumsum([v.size for v in m.values()])[:-1])
-    return {k: x.reshape(v.shape) for (k, v), x in zip(m.items(), cuts, strict=True)}
+    every = [(x, k, v) for x in (0, 1) for k, v in (m, square)[x].items()]
+    out: tuple[dict, dict] = {}, {}
+    for (x, k, v), own in zip(every, np.split(flat.astype(np.float32), np.cumsum([v.size for *_, v in every])[:-1]), strict=True):
+        out[x][k] = own.reshape(v.shape)
+    return out
+
+
+@dataclass
+class Model:
+    """Log10 scores of a unit after two others: (one[before] + two[before that]) . out + bias - z[before, before that]."""
+
+    one: np.ndarray
+    two: np.ndarray
+    out: np.ndarray
+    bias: np.ndarray
+    z: np.ndarray
+
+    def logs(self, target: np.ndarray, before: np.ndarray, second: np.ndarray) -> np.ndarray:
+        return np.einsum("ij,ij->i", self.one[before] + self.two[second], self.out[target]).astype(np.float64) + self.bias[target] - self.z[before, second]
 
 
-def tables(m: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Log10 scores of (unit before, unit), (unit before that, unit), and the normalisers of (before, before that)."""
-    one = (m["inp"] @ m["one"]) @ m["out"].T + m["bias"][:, 0]
-    two = (m["inp"] @ m["two"]) @ m["out"].T
+def model_of(m: dict[str, np.ndarray]) -> Model:
+    """The trained parameters with the normalisers of all pairs of contexts."""
+    before, second, bias = m["inp"] @ m["one"], m["inp"] @ m["two"], m["bias"][:, 0]
+    one, two = before @ m["out"].T + bias, second @ m["out"].T
     top1, top2 = one.max(1, keepdims=True), two.max(1, keepdims=True)
     z = np.log(np.exp(one - top1) @ np.exp(two - top2).T) + top1 + top2.T
     ten = np.float32(1 / np.log(10))
-    return (one * ten).astype(np.float32), (two * ten).astype(np.float32), (z * ten).astype(np.float32)
+    return Model(before * ten, second * ten, m["out"], bias * ten, z * ten)
 
 
-def score(docs: DataFrame, counts: DataFrame, head: Head, model: tuple[np.ndarray, np.ndarray, np.ndarray]) -> DataFrame:
+def score(docs: DataFrame, counts: DataFrame, head: Head, model: Model) -> DataFrame:
     """docs (doc_id, held_out, text) with n_tokens, n_known, train_tokens, base_score and score."""
     sent = docs.sparkSession.sparkContext.broadcast((head, model))
     schema = C.fields("n_tokens:l,known:l,base:d,score:d,tail_h:L,tail_n:I")
@@ -320,7 +324,7 @@ def score(docs: DataFrame, counts: DataFrame, head: Head, model: tuple[np.ndarra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        head, (one_t, two_t, z_t) = sent.value
+        head, model = sent.value
         row = TaskContext.get().partitionId() << 40
         base_z = np.log10(head.total + 0.5 * (head.distinct + 1))
         shape_z = np.log10(head.shape_total + 0.5 * (head.shape_distinct + 1))
@@ -329,7 +333,7 @@ def score(docs: DataFrame, counts: DataFrame, head: Head, model: tuple[np.ndarra
                 h, shape, count = _tokens(parts)
                 unit, n, known = _units(head, h, shape)
                 target, one, two = _sequences(unit, count, head)
-                logs = (one_t[one, target].astype(np.float64) + two_t[two, target] - z_t[one, two])
+                logs = model.logs(target, one, two)
                 ends = np.cumsum(count + 1) - 1
                 sums = np.concatenate(([0.0], np.cumsum(logs)))
                 total = sums[ends + 1] - sums[ends - count]
@@ -366,13 +370,11 @@ def score(docs: DataFrame, counts: DataFrame, head: Head, model: tuple[np.ndarra
     )
 
 
-def scored(docs: DataFrame, training: DataFrame, head: int = HEAD, words: int = WORDS, sample: int = SAMPLE, **options) -> DataFrame:
+def scored(docs: DataFrame, training: DataFrame, head: int = HEAD, words: int | None = None, **options) -> DataFrame:
     """Scores docs (doc_id, held_out, text) with a model of training (doc_id, text)."""
     counts = C.cut(word_counts(training))
-    ends = training.count()
-    top = head_of(counts, ends, head, words)
-    tokens = _sampled(training, top, sample, ends)
-    return score(docs, counts, top, tables(train(tokens, top.unit_counts(), docs=training, head=top, **options)))
+    top = head_of(counts, training.count(), head, words)
+    return score(docs, counts, top, model_of(train(training, top, **options)))
 
 
 def op8_lm_scoring(spark, sf_dir: str) -> DataFrame:

@@ -52,6 +52,20 @@ def test_language_held_out(spark):
     assert 0.6 < got[3].score < 0.9 and got[5].score == 0.0
 
 
+def test_language_sets_grow_as_far_as_they_help(spark):
+    rng = random.Random(2)
+    names = ["aa", "bb", "cc", "dd", "ee"]
+    letters = dict(zip(names, ["abcde", "fghij", "klmno", "pqrst", "uvwxy"], strict=True))
+    make = lambda lang, n: " ".join("".join(rng.choice(letters[lang]) for _ in range(6)) for _ in range(n))
+    langs, table_ = langid.learn(table(spark, [(i, make(k, 50), k, "s") for i, k in enumerate(names * 10)]))
+    assert langs == names
+    mix = " ".join(make(k, n) for k, n in zip(names, [100, 80, 60, 40, 20], strict=True))
+    got = langid.mixtures([memoryview(mix.encode()), memoryview((make("cc", 2000) + " " + make("aa", 8)).encode()), memoryview(make("dd", 30).encode())], table_)
+    assert np.allclose(got[0], np.array([100, 80, 60, 40, 20]) / 300, atol=0.01)  # all five
+    assert 0.002 < got[1][0] < 0.006 and got[1][2] > 0.99 and (got[1][[1, 3, 4]] == 0).all()  # a small minority
+    assert got[2].tolist() == [0, 0, 0, 1, 0]
+
+
 def test_language_odd(spark, odd, none):
     model = langid.learn(odd)
     assert langid.identify(odd, model, keep=["doc_id"]).count() == 8
@@ -403,7 +417,7 @@ def test_lm_base_and_normalisation(spark, odd, none):
     rng = random.Random(9)
     rows = [(i, " ".join(rng.choice("The the cat dog sat, ran. on é5 zz".split()) for _ in range(rng.randint(0, 30))), None, "s") for i in range(60)]
     docs = table(spark, rows).withColumn("held_out", C.crc_mod(F.col("doc_id"), 5) == 1)
-    got = lm.scored(docs, docs.where("NOT held_out"), head=4, words=3, sample=50).collect()
+    got = lm.scored(docs, docs.where("NOT held_out"), head=4, words=3).collect()
     train = [w for i, t, *_ in rows if zlib.crc32(str(i).encode()) % 5 != 1 for w in words(t)]
     ends = sum(zlib.crc32(str(r[0]).encode()) % 5 != 1 for r in rows)
     c, n = Counter(train), len(train) + ends
@@ -413,27 +427,47 @@ def test_lm_base_and_normalisation(spark, odd, none):
         w = words(text[r.doc_id])
         want = sum(np.log10(c[x] + 0.5) - z for x in w) + np.log10(ends + 0.5) - z
         assert r.base_score == pytest.approx(want, abs=1e-9) and (r.n_tokens, r.train_tokens) == (len(w) + 1, n) and r.n_known == sum(c[x] > 0 for x in w) + 1
-    counts = rng.choices(range(1, 9), k=12)
-    m = lm.train(np.array([[1, 2, 3], [12, 1, 2], [12, 12, 1]]), np.array(counts, float), dim=4, epochs=1, noise=8)
-    one, two, norm = lm.tables(m)
-    p = 10.0 ** (one[:, None, :] + two[None, :, :] - norm[:, :, None])
+    counts, draw = np.array(rng.choices(range(1, 9), k=12), float), np.random.default_rng(1)
+    m, square = lm._start(counts, 4, draw)
+    lm._epoch(m, square, np.array([[1, 2, 3], [12, 1, 2], [12, 12, 1]]), counts, draw, 2, 8, 0.08)
+    model, (a, b, w) = lm.model_of(m), np.meshgrid(range(13), range(13), range(12), indexing="ij")
+    p = 10.0 ** model.logs(w.ravel(), a.ravel(), b.ravel()).reshape(a.shape)
     assert np.allclose(p.sum(2), 1, atol=1e-4)
+    # the same values from the parameters, one at a time
+    for x, y, z in [(0, 1, 2), (12, 12, 5), (3, 3, 3)]:
+        raw = [float((m["inp"][x] @ m["one"] + m["inp"][y] @ m["two"]) @ m["out"][k] + m["bias"][k, 0]) for k in range(12)]
+        assert p[x, y, z] == pytest.approx(np.exp(raw[z]) / np.exp(raw).sum(), rel=1e-4)
     odd = odd.withColumn("held_out", F.lit(False))
-    assert lm.scored(odd, odd, sample=50).count() == 8
+    assert lm.scored(odd, odd).count() == 8
     assert lm.scored(odd, none).count() == 8 and lm.scored(none.withColumn("held_out", F.lit(True)), odd).count() == 0
 
 
-def test_lm_learns_from_all_documents(spark):
+def test_lm_learns_from_all_documents(spark, monkeypatch):
+    monkeypatch.setattr(lm, "PASS_TOKENS", 50_000)
     rng = random.Random(5)
     names = [f"w{i}" for i in range(20)]
-    ids = spark.range(200).withColumn("first", F.pmod(F.xxhash64(C.id_text(F.col("id"))), F.lit(200)) == 0).collect()
-    # the documents that the start is on are in no order; only the others can teach the order of words
+    ids = spark.range(200).withColumn("first", F.pmod(F.xxhash64(C.id_text(F.col("id"))), F.lit(lm.FIRST)) == 0).collect()
+    # the documents of the first pass are in no order; only the others can teach the order of words
     text = lambda first: " ".join(rng.choice(names) if first else names[j % 20] for j in range(1000))
     docs = table(spark, [(r.id, text(r.first), "en", "s") for r in ids]).withColumn("held_out", F.lit(False)).repartition(4)
-    got = lm.scored(docs, docs, sample=1).agg(F.sum("n_tokens").alias("n"), F.sum("base_score").alias("base"), F.sum("score").alias("score")).first()
+    got = lm.scored(docs, docs).agg(F.sum("n_tokens").alias("n"), F.sum("base_score").alias("base"), F.sum("score").alias("score")).first()
     assert (got.score - got.base) / got.n > 0.5
 
 
+def test_lm_scores_held_out_texts_above_the_base(spark):
+    got = lm.op8_lm_scoring(spark, "/root/testdata/sf0.01").where("held_out").agg(F.sum("n_tokens").alias("n"), F.sum("base_score").alias("base"), F.sum("score").alias("score")).first()
+    assert (got.score - got.base) / got.n > 0.1
+
+
+def test_lm_units_grow_and_a_large_class_of_counts_is_no_cliff(spark):
+    counts = lambda k, n: spark.range(k).select(F.col("id").alias("h"), F.lit(n).cast("long").alias("n"), (F.col("id") % 48).cast("int").alias("shape"))
+    small, large = lm.head_of(counts(1_000, 3), 10), lm.head_of(counts(16_000, 3), 10)
+    assert small.words == int(48 * 1_000**0.25) and large.words == int(48 * 16_000**0.25)
+    top = lm.head_of(counts(1_000, 3).unionByName(counts(5, 9).withColumn("h", F.col("h") + 5_000)), 10, head=100, words=50)
+    assert len(top.h) == 100 and set(range(5_000, 5_005)) < set(top.h) and set(range(95)) < set(top.h) and top.total == 3_055
+    assert lm.head_of(counts(0, 1), 0).words == 0
+
+
 def test_fingerprints(spark, odd, none):
     rng = random.Random(10)
     fresh = lambda n: " ".join("".join(rng.choice("abcdeé") for _ in range(rng.randint(2, 8))) for _ in range(n))

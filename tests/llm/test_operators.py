@@ -359,6 +359,56 @@ def test_quality_shrinks_sparse_sites(spark):
     assert quality.scored(docs, labels.where("quality > 5")).where("own = 0.5").count() == 203
 
 
+def area(score, good):
+    order = np.argsort(score, kind="stable")
+    rank = np.empty(len(score))
+    rank[order] = np.arange(1, len(score) + 1)
+    for v in set(score):  # ties share their mean rank
+        rank[score == v] = rank[score == v].mean()
+    return (rank[good].sum() - good.sum() * (good.sum() + 1) / 2) / (good.sum() * (~good).sum())
+
+
+def test_quality_sites_help_where_they_tell_something(spark):
+    rng = random.Random(16)
+    rows, label = [], {}
+    for i in range(3_000):
+        host = rng.randrange(40)
+        path = rng.randrange(3)
+        good = rng.random() < (0.9 if host % 2 else 0.2) * (0.4 if path == 2 else 1.0)
+        label[i] = good
+        # the texts themselves tell little
+        rows.append((i, "".join(rng.choice("etaoin" if rng.random() < (0.55 if good else 0.45) else "xqzjkv") + " " * (rng.random() < 0.2) for _ in range(60)), f"h{host}", f"p{path}"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, host string, path string")
+    known = spark.createDataFrame([(i, int(label[i])) for i in range(0, 3_000, 2)], "doc_id long, quality int")
+    got = [r for r in quality.scored(docs, known).collect() if r.doc_id % 2]  # labels of these were not seen
+    good = np.array([label[r.doc_id] for r in got])
+    own, score = (area(np.array([r[c] for r in got]), good) for c in ("own", "score"))
+    assert score > own + 0.05 and own > 0.6
+
+
+def test_quality_on_held_out_labels(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text", F.col("source").alias("host"), F.col("lang").alias("path"))
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    seen = F.crc32(F.col("doc_id").cast("string")) % 2 == 0
+    got = quality.scored(docs, labels.where(seen)).join(labels.where(~seen), "doc_id").collect()
+    good = np.array([r.quality > 0 for r in got])
+    own, score = (area(np.array([r[c] for r in got]), good) for c in ("own", "score"))
+    assert score > 0.99 and score >= own - 0.001  # these tables' sources and languages tell nothing
+    kept = np.array([r.kept for r in got])
+    assert kept[good].mean() > 0.95 and (~kept[~good]).mean() > 0.9
+
+
+def test_quality_odd(spark, odd, none):
+    rows = odd.select("*", F.col("source").alias("host"), F.col("lang").alias("path"), F.lit(1).alias("own"), F.lit("x").alias("odds"))
+    labels = spark.createDataFrame([(3, 1), (3, 1), (3, None), (4, 0), (4, 1), (2, 0), (None, 1), (99, 0)], "doc_id long, quality int")
+    got = quality.scored(rows, labels).collect()
+    assert len(got) == 8 and all(0 <= r.score <= 1 and r.kept is not None for r in got)
+    assert len({r.score for r in got if r.doc_id == 4}) == 1
+    assert quality.scored(none.select("*", F.col("source").alias("host"), F.col("lang").alias("path")), labels).count() == 0
+    long = spark.createDataFrame([(1, "ab " * 400_000, "h", "p"), (2, "x", "h", "p")], "doc_id long, text string, host string, path string")
+    assert quality.scored(long, labels).count() == 2
+
+
 def test_quality_level_is_of_all_good_labels(spark):
     rng = random.Random(6)
     rows = [(i, "".join(rng.choice("etaoin " if rng.random() < i / 400 else "*$#& 1") for _ in range(200)), f"h{i % 4}", "p") for i in range(400)]

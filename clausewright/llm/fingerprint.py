@@ -6,11 +6,12 @@ on for the labels, until few are left. Where labels have a local minimum a phras
 the names in it, and the names are the next level's symbols. Where a phrase begins depends on a few symbols around it
 alone, so equal substrings get equal names but for a short margin, wherever they stand.
 
-The fingerprint has the names of the phrases of one level, about DEPTH levels up, as a set (a name's
-second occurrence is an element of its own): the PICKED smallest of their hashes, in hexadecimal. A text too short for that level uses the highest level at which it has LEAST phrases. The
+Levels go on until a text is one phrase. The fingerprint has the names of the phrases of all levels from DEPTH up, as a
+set (a name's second occurrence in a level is an element of its own): the PICKED smallest of their hashes, in
+hexadecimal. A text with fewer than LEAST phrases at that level begins at the highest one at which it has as many. The
 likeness of two fingerprints estimates the Jaccard similarity of their sets (bottom-k sketches of one hash function).
 
-Defined results: null and empty text have the empty fingerprint ''; it is like another empty one with 1 and like others
+A text is in memory whole, with about eighty bytes for each of its own while it is parsed. Defined results: null and empty text have the empty fingerprint ''; it is like another empty one with 1 and like others
 with 0; equal texts have equal fingerprints. Documents follow one another by doc_id, nulls first, equal ids by text;
 after the last comes the first; a single document is its own next one.
 """
@@ -18,11 +19,12 @@ after the last comes the first; a single document is its own next one.
 from __future__ import annotations
 
 import hashlib
+import json
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
@@ -30,8 +32,9 @@ from . import common as C
 DEPTH = 2
 LEAST = 4
 PICKED = 64
-#: Documents (rows) of a block of neighbours, about.
+#: Documents (rows) of a block of neighbours, about; there are at most BLOCKS, of more rows then.
 NEIGHBOURS = 4096
+BLOCKS = 50_000
 
 _DEBRUIJN = np.uint64(0x03F79D71B4CB0A89)
 _PLACE = np.zeros(64, dtype=np.uint8)
@@ -105,17 +108,36 @@ def sets(parts: list[bytes | memoryview], depth: int = DEPTH, least: int = LEAST
     lengths = np.array([len(parts[i]) for i in whole])
     raw = np.frombuffer(b"".join(parts[i] for i in whole), dtype=np.uint8)
     names, first = _BYTE_NAMES[raw], np.concatenate(([0], np.cumsum(lengths)[:-1]))
+    count = len(whole)
+    base = np.full(count, -1)  # the level from which on a text's phrases are taken
     levels = [(names, first)]
-    for _ in range(depth):
+    while len(levels) <= depth or len(names) > count:
         names, first = _phrases(names, first)
         levels.append((names, first))
-    sizes = [np.diff(np.append(first, len(names))) for names, first in levels]
+    sizes = np.array([np.diff(np.append(first, len(names))) for names, first in levels])
+    for x in range(depth + 1):
+        base[sizes[x] >= least] = x
+    base[base < 0] = 0
+    texts, values = [], []
+    for x, (names, _) in enumerate(levels):
+        text = np.repeat(np.arange(count), sizes[x])
+        # a level repeats the one below where a text has become one phrase: that is its top
+        use = (base <= x) & ((sizes[x - 1] > 1) | (base == x) if x else base == 0)
+        text, own = text[use[text]], names[use[text]]
+        order = np.lexsort((own, text))
+        text, own = text[order], own[order]
+        new = np.ones(len(own), dtype=bool)
+        new[1:] = (own[1:] != own[:-1]) | (text[1:] != text[:-1])
+        at = np.flatnonzero(new)
+        again = np.arange(len(own)) - np.repeat(at, np.diff(np.append(at, len(own))))  # a second occurrence is another element
+        texts.append(text)
+        values.append(C.mix64(own ^ _SALT ^ (again.astype(np.uint64) << np.uint64(32)) ^ np.uint64(x)))
+    text, value = np.concatenate(texts), np.concatenate(values)
+    order = np.lexsort((value, text))
+    text, value = text[order], value[order]
+    at = np.searchsorted(text, np.arange(count + 1))
     for k, i in enumerate(whole):
-        level = next((x for x in range(depth, 0, -1) if sizes[x][k] >= least), 0)
-        names, first = levels[level]
-        own = np.sort(names[first[k] : first[k] + sizes[level][k]])
-        again = np.arange(len(own)) - np.searchsorted(own, own)  # a phrase's second occurrence is another element
-        out[i] = np.sort(C.mix64(own ^ _SALT ^ (again.astype(np.uint64) << np.uint64(32))))[:picked]
+        out[i] = value[at[k] : min(at[k + 1], at[k] + picked)]
     return out
 
 
@@ -150,34 +172,34 @@ def with_neighbours(docs: DataFrame, rows: int = NEIGHBOURS) -> DataFrame:
     A block ends with a guard row, the first document of the next block (the last block's is the first of all). Bounds
     come from quantiles of the ids; only they, one for each block, go to the driver."""
     n = docs.count()
-    blocks = max(1, -(-n // rows))
-    bounds = sorted(set(docs.select(F.percentile_approx("doc_id", [k / blocks for k in range(1, blocks)], 100_000)).first()[0] or [])) if blocks > 1 else []
+    blocks = max(1, min(-(-n // rows), BLOCKS))
+    bounds = sorted(set(docs.select(F.percentile_approx("doc_id", [k / blocks for k in range(1, blocks)], 1_000_000)).first()[0] or [])) if blocks > 1 else []
     # a block has the ids above the bound before it and not above its own
-    cuts = F.array(*[F.lit(b).cast("long") for b in bounds]) if bounds else F.array().cast("array<long>")
-    block = F.when(F.col("doc_id").isNull(), 0).otherwise(F.size(F.filter(cuts, lambda b: b < F.col("doc_id"))))
-    if len(bounds) > 64:  # found by bisection in whole numbers
-        block = _bisect(bounds)
+    block = F.when(F.col("doc_id").isNull(), 0).otherwise(_below(bounds, F.col("doc_id")))
     marked = docs.select(block.cast("int").alias("block"), "doc_id", "text")
     firsts = marked.groupBy("block").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("has"), "doc_id")).alias("m")).orderBy("block").collect()
     if not firsts:
         return marked.select("block", F.lit(False).alias("guard"), "doc_id", "text")
-    previous = {r["m"]["doc_id"]: firsts[k - 1]["block"] for k, r in enumerate(firsts)}
-    names = [(k, v) for k, v in previous.items()]
+    names = [(r["m"]["doc_id"], firsts[k - 1]["block"]) for k, r in enumerate(firsts)]
     small = docs.sparkSession.createDataFrame(names, "first_id long, to_block int")
     guards = docs.alias("d").join(F.broadcast(small), F.col("doc_id").eqNullSafe(F.col("first_id"))).select(F.col("to_block").alias("block"), F.lit(True).alias("guard"), "doc_id", "text")
     return marked.select("block", F.lit(False).alias("guard"), "doc_id", "text").unionByName(guards)
 
 
-def _bisect(bounds: list[int]):
-    """The number of bounds below doc_id, as nested conditions of logarithmic depth."""
+def _below(bounds: list[int], value: Column) -> Column:
+    """How many of the ascending bounds are below value, found by bisection."""
+    if not bounds:
+        return F.lit(0)
+    cuts = F.from_json(F.lit(json.dumps([int(b) for b in bounds])), "array<bigint>")  # one literal once it is folded
+    ends = lambda lo, hi: F.struct(lo.cast("int").alias("lo"), hi.cast("int").alias("hi"))
 
-    def part(lo: int, hi: int):
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(F.col("doc_id") <= F.lit(bounds[mid]), part(lo, mid)).otherwise(part(mid + 1, hi))
+    def step(s: Column, _: Column) -> Column:
+        mid = F.floor((s["lo"] + s["hi"]) / 2).cast("int")
+        halved = F.when(F.get(cuts, mid) < value, ends(mid + 1, s["hi"])).otherwise(ends(s["lo"], mid))
+        return F.when(s["lo"] < s["hi"], halved).otherwise(s)
 
-    return F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(part(0, len(bounds)))
+    rounds = F.sequence(F.lit(1), F.lit(len(bounds).bit_length()))
+    return F.aggregate(rounds, ends(F.lit(0), F.lit(len(bounds))), step)["lo"]
 
 
 def _prefix(text: bytes | memoryview, chars: int) -> bytes:

@@ -518,6 +518,71 @@ def test_lm_units_grow_and_a_large_class_of_counts_is_no_cliff(spark):
     assert lm.head_of(counts(0, 1), 0).words == 0
 
 
+M64 = (1 << 64) - 1
+
+
+def slow_mix(h):
+    h ^= h >> 33
+    h = h * 0xFF51AFD7ED558CCD & M64
+    h ^= h >> 33
+    h = h * 0xC4CEB9FE1A85EC53 & M64
+    return h ^ (h >> 33)
+
+
+def slow_parse(names):
+    """One level of locally consistent parsing of a list of names, symbol by symbol."""
+    salt, runs = 0xA24BAED4963EE407, []
+    for x in names:
+        if runs and runs[-1][0] == x:
+            runs[-1][1] += 1
+        else:
+            runs.append([x, 1])
+    names = [slow_mix(x ^ (k * salt & M64)) if k > 1 else x for x, k in runs]
+    labels = names
+    for _ in range(4):  # the lowest bit that differs from the symbol before, and its value
+        out = []
+        for i, x in enumerate(labels):
+            differ = x ^ (labels[i - 1] if i else 0)
+            low = (differ & -differ).bit_length() - 1 if differ else 0
+            out.append(2 * low + (x >> low & 1))
+        labels = out
+    cut = [i for i in range(len(names)) if i == 0 or (1 < i < len(names) - 1 and labels[i] < labels[i - 1] and labels[i] <= labels[i + 1])]
+    phrases = [names[a:b] for a, b in zip(cut, [*cut[1:], len(names)], strict=True)]
+    return [slow_mix(sum((x ^ (j * salt & M64)) * (2 * j + 0x9E3779B97F4A7C15) for j, x in enumerate(p)) & M64) for p in phrases]
+
+
+def slow_fingerprint(raw, depth=2, least=4, picked=64):
+    levels = [[slow_mix((b + 1) * 0x9E3779B97F4A7C15 & M64) for b in raw]]
+    while len(levels) <= depth or len(levels[-1]) > 1:
+        levels.append(slow_parse(levels[-1]))
+    base = max([x for x in range(depth + 1) if len(levels[x]) >= least], default=0)
+    values = []
+    for x in range(base, len(levels)):
+        if x == base or len(levels[x - 1]) > 1:
+            seen = Counter()
+            for name in levels[x]:
+                values.append(slow_mix(name ^ 0xA24BAED4963EE407 ^ (seen[name] << 32) ^ x))
+                seen[name] += 1
+    return sorted(values)[:picked]
+
+
+def test_fingerprints_against_slow_parsing():
+    rng = random.Random(17)
+    texts = [bytes(rng.choice(b"ab") for _ in range(rng.randint(1, 40))) for _ in range(60)]
+    texts += [bytes(rng.choice(b"abcdefgh  ") for _ in range(rng.randint(1, 3000))) for _ in range(25)] + [b"a" * 500, b"ab" * 300, "é—".encode() * 50, b"x", b"xy"]
+    got = fingerprint.sets(texts)
+    for t, own in zip(texts, got, strict=True):
+        assert own.tolist() == slow_fingerprint(t), t[:50]
+        assert own.tolist() == fingerprint.sets([t])[0].tolist()
+
+
+def test_fingerprint_blocks(spark):
+    bounds = [-5, 0, 3, 3 + 2**40, 2**62]
+    rows = [(v,) for b in bounds for v in (b - 1, b, b + 1)]
+    got = spark.createDataFrame(rows, "doc_id long").select("doc_id", fingerprint._below(bounds, F.col("doc_id")).alias("k")).collect()
+    assert all(r.k == sum(b < r.doc_id for b in bounds) for r in got)
+
+
 def test_fingerprints(spark, odd, none):
     rng = random.Random(10)
     fresh = lambda n: " ".join("".join(rng.choice("abcdeé") for _ in range(rng.randint(2, 8))) for _ in range(n))

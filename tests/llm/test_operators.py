@@ -234,7 +234,7 @@ def test_warc_with_many_payloads(spark, tmp_path, monkeypatch):
     assert got == {r.page_id: top[r.html] if top[r.html] != r.page_id else None for r in pages.collect()}
 
 
-def near_brute(rows):
+def near_brute(rows, percent=85):
     sets = []
     for _, t in rows:
         w = words(t)
@@ -248,7 +248,7 @@ def near_brute(rows):
 
     for i in range(len(rows)):
         for j in range(i):
-            if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j]):
+            if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j]):
                 root[max(find(i), find(j))] = min(find(i), find(j))
     return {rows[i][0]: (len(sets[i]), min(rows[k][0] for k in range(len(rows)) if find(k) == find(i))) for i in range(len(rows))}
 
@@ -738,3 +738,81 @@ def test_pipeline_stages(spark, tmp_path):
         out.write.parquet(str(tmp_path / name))
         docs = spark.read.parquet(str(tmp_path / name))
     assert docs.agg(F.sum("length")).first()[0] > 0
+
+
+def test_pipeline_stages_on_odd_tables(spark, odd, none, tmp_path):
+    """Nulls, empty and very long texts, ties, repeated rows and ids, extra columns, an empty table, in every stage."""
+    import corpus_pipeline as P
+
+    same = "the cat sat on the mat and then some more words of it"
+    more = [(8, same, "en", "b"), (8, "another text under the same id, as it happens", "en", "b"), (None, same, None, None), (None, "12 34", None, "b"), (9, None, "en", "a"), (9, None, "en", "a"), (-3, same + " x", "en", "b")]
+    docs = odd.select(*P.DOCUMENTS).unionByName(table(spark, more)).withColumn("_key", F.lit("clash")).withColumn("_row", F.lit(1)).withColumn("_pii_key", F.lit("x")).withColumn("score", F.lit(0))
+    languages = P.identify_language(spark, docs, "")
+    assert sorted(str(r.doc_id) for r in languages.collect()) == sorted(["3", "4", "4", "5", "7", "8", "8", "None", "-3"]) and languages.columns == P.DOCUMENTS
+    kept = P.drop_near_duplicates(spark, docs, "").collect()
+    assert sorted((str(r.doc_id), r.text and r.text[:7]) for r in kept) == sorted([("1", None), ("2", ""), ("3", "word wo"), ("4", "the cat"), ("None", "12 34 \u2014"), ("7", "a"), ("8", "another"), ("None", "12 34"), ("9", None), ("-3", "the cat")])
+    changed = P.redact_personal_data(spark, docs.withColumn("text", F.when(F.col("doc_id") == 4, "write to a@b.org").otherwise(F.col("text"))), "").collect()
+    assert len(changed) == 15 and [r.text for r in changed if r.doc_id == 4] == ["write to [EMAIL]"] * 2 and {r.n_chars for r in changed if r.text is None} == {None}
+    mix = P.mix_sources(spark, docs, "")
+    assert mix.columns == P.DOCUMENTS and sorted(map(str, mix.collect())) == sorted(map(str, P.mix_sources(spark, docs.repartition(7), "").collect()))
+    places = P.pack_sequences(spark, docs, "").collect()
+    assert sum(r.length == 1 and r.piece == 0 for r in places) == 4 and len({(r.sequence_id, r.offset) for r in places}) == len(places)
+    for name, stage in P.STAGES:
+        out = stage(spark, none.withColumn("rank", F.lit(1)), "")
+        assert out.count() == 0 and (name == "packing" or out.columns == P.DOCUMENTS)
+
+
+def test_pipeline_against_brute_force(spark, tmp_path):
+    import duckdb
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline as P
+    import public_tokenizers
+
+    rng = random.Random(18)
+    letters = {"aa": "abcdef", "bb": "ghijkl", "cc": "mnopqr", "dd": "stuvwx"}
+    word = lambda k: "".join(rng.choice(letters[k]) for _ in range(rng.randint(3, 8)))
+    rows = []
+    for i in range(160):
+        k = rng.choice(list(letters))
+        rows.append([i, " ".join(word(k) for _ in range(rng.choice([6, 40, 200, 900]))), rng.choice([k, k, None]), rng.choice(["s", "t", "u", None]), 0])
+    for i in range(160, 230):  # copies with up to ten words changed, some of them
+        of = rng.choice(rows[:40])
+        own = of[1].split()
+        for _ in range(rng.choice([0, 0, 1, 2, 10])):
+            own[rng.randrange(len(own))] = word("aa")
+        rows.append([i, " ".join(own), of[2], rng.choice(["s", "t"]), 0])
+    for r in rows[50:90]:
+        r[1] += f" me{r[0]}@host.org"
+    junk = [[300, "123 456", None, "s", 0], [301, None, "aa", "s", 0], [302, " ".join(word(k) for k in letters for _ in range(30)), "aa", "s", 0]]  # no letters, no text, four languages alike
+    for r in rows + junk:
+        r[4] = len(r[1] or "")
+    (tmp_path / "in").mkdir()
+    pq.write_table(pa.table({n: pa.array([r[i] for r in rows + junk], t) for i, (n, t) in enumerate([("doc_id", pa.int64()), ("text", pa.string()), ("lang", pa.string()), ("source", pa.string()), ("n_chars", pa.int64())])}), tmp_path / "in/documents.parquet")
+    got = P.run(spark, str(tmp_path / "in")).collect()
+
+    groups = near_brute([(r[0], r[1]) for r in rows], 80)
+    left = [r for r in rows if groups[r[0]][1] == r[0]]
+    assert 160 <= len(left) < 230
+    left = [[r[0], re.sub(PATTERNS["email"], "[EMAIL]", r[1]), *r[2:]] for r in left]
+    documents = pa.table({"doc_id": [r[0] for r in left], "text": [r[1] for r in left], "source": pa.array([r[3] for r in left], pa.string())})  # noqa: F841  read by the SQL
+    copies = {i: round(taken / size) for i, size, taken in duckdb.sql(f"SELECT doc_id, size, taken FROM ({mixing.OP7_SQL})").fetchall()}
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    want = Counter()
+    for r in left:
+        ids = t.encode(r[1], add_special_tokens=False).ids + [2]
+        first = len(ids) % 1024 or 1024
+        at, piece = 0, 0
+        while at < len(ids):
+            n = first if not at else 1024
+            want[(r[0], piece, at, min(n, len(ids)), zlib.crc32(np.array(ids[at : at + n], "<u4").tobytes()))] += copies[r[0]]
+            at, piece = at + n, piece + 1
+    assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got) == Counter({k: n for k, n in want.items() if n})
+    by = defaultdict(list)
+    for r in got:
+        by[r.sequence_id].append((r.offset, r.length))
+    for places in by.values():
+        places.sort()
+        assert [p[0] for p in places] == [0, *np.cumsum([p[1] for p in places])[:-1]] and sum(p[1] for p in places) <= 1024

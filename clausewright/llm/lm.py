@@ -22,6 +22,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -184,14 +185,12 @@ def _sequences(units: np.ndarray, count: np.ndarray, head: Head) -> tuple[np.nda
     return target, one, two
 
 
-def _gather(index: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
-    """Sum of rows by index, as n rows."""
-    out = np.zeros((n, rows.shape[1]), dtype=np.float32)
+def _gather(index: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values of index, and the sum of rows for each."""
     order = np.argsort(index, kind="stable")
     ordered = index[order]
     at = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
-    out[ordered[at]] = np.add.reduceat(rows[order], at, axis=0)
-    return out
+    return ordered[at], np.add.reduceat(rows[order], at, axis=0)
 
 
 def _start(unit_counts: np.ndarray, dim: int, rng: np.random.Generator) -> tuple[dict[str, np.ndarray], dict[str, np.ndarray]]:
@@ -206,34 +205,41 @@ def _start(unit_counts: np.ndarray, dim: int, rng: np.random.Generator) -> tuple
 
 
 def _epoch(m: dict[str, np.ndarray], square: dict[str, np.ndarray], tokens: np.ndarray, unit_counts: np.ndarray, rng: np.random.Generator, batch: int, noise: int, rate: float) -> None:
-    """One pass over tokens, which changes m and square."""
+    """One pass over tokens (rows target, before, before that), which changes m and square."""
     n = len(unit_counts)
     p_noise = unit_counts / unit_counts.sum()
     log_kp = np.log(noise * p_noise).astype(np.float32)
     edges = np.cumsum(p_noise)
-    size = tokens.shape[1]
-    order = rng.permutation(size)
-    for at in range(0, size, batch):
+    # a unit's bias is one more number of its embedding, which a context multiplies by one
+    out, out_square = np.hstack([m["out"], m["bias"]]), np.hstack([square["out"], square["bias"]])
+    inp, one, two, rate = m["inp"], m["one"], m["two"], np.float32(rate)
+    order = rng.permutation(tokens.shape[1])
+
+    def climb(what: np.ndarray, squares: np.ndarray, g: np.ndarray, rows=slice(None)) -> None:
+        squares[rows] += g * g
+        what[rows] += rate * g / np.sqrt(squares[rows])
+
+    for at in range(0, tokens.shape[1], batch):
         w, a, b = tokens[:, order[at : at + batch]]
         k = np.minimum(np.searchsorted(edges, rng.random(noise)), n - 1)
-        qa, qb = m["inp"][a], m["inp"][b]
-        r = qa @ m["one"] + qb @ m["two"]
-        pw, pk = m["out"][w], m["out"][k]
-        up = 1 / (1 + np.exp((r * pw).sum(1) + m["bias"][w, 0] - log_kp[w]))  # 1 - probability that it is data
-        down = -1 / (1 + np.exp(-(r @ pk.T + m["bias"][k, 0] - log_kp[k])))
+        qa, qb = inp[a], inp[b]
+        r = np.ones((len(w), inp.shape[1] + 1), dtype=np.float32)
+        np.add(qa @ one, qb @ two, out=r[:, :-1])
+        pw, pk = out[w], out[k]
         scale = np.float32(1 / len(w))
-        dr = (up[:, None] * pw + down @ pk) * scale
-        grads = {
-            "out": _gather(w, up[:, None] * r * scale, n) + _gather(k, down.T @ r * scale, n),
-            "bias": _gather(w, up[:, None] * scale, n) + _gather(k, down.sum(0)[:, None] * scale, n),
-            "one": qa.T @ dr, "two": qb.T @ dr, "inp": _gather(a, dr @ m["one"].T, n + 1) + _gather(b, dr @ m["two"].T, n + 1),
-        }
-        for name, g in grads.items():
-            square[name] += g * g
-            m[name] += np.float32(rate) * g / np.sqrt(square[name])
-
-
-def train(docs: DataFrame, head: Head, dim: int = DIM, batch: int = 2048, noise: int = 256, rate: float = 0.08, seed: int = 7, first: int = FIRST) -> dict[str, np.ndarray]:
+        up = scale / (1 + np.exp(np.einsum("ij,ij->i", r, pw) - log_kp[w]))  # 1 - probability that it is data
+        down = -scale / (1 + np.exp(log_kp[k] - r @ pk.T))
+        dr = (up[:, None] * pw + down @ pk)[:, :-1]
+        rows, g = _gather(np.concatenate([w, k]), np.concatenate([up[:, None] * r, down.T @ r]))
+        climb(out, out_square, g, rows)
+        rows, g = _gather(np.concatenate([a, b]), np.concatenate([dr @ one.T, dr @ two.T]))
+        climb(one, square["one"], qa.T @ dr)
+        climb(two, square["two"], qb.T @ dr)
+        climb(inp, square["inp"], g, rows)
+    m["out"], m["bias"], square["out"], square["bias"] = out[:, :-1].copy(), out[:, -1:].copy(), out_square[:, :-1].copy(), out_square[:, -1:].copy()
+
+
+def train(docs: DataFrame, head: Head, dim: int = DIM, batch: int = 2048, noise: int = 128, rate: float = 0.08, seed: int = 7, first: int = FIRST) -> dict[str, np.ndarray]:
     """Noise-contrastive estimation with AdaGrad on docs (doc_id, text); a batch shares its noise."""
     unit_counts = head.unit_counts()
     m, square = _start(unit_counts, dim, np.random.default_rng(seed))
@@ -293,26 +299,28 @@ def _averaged(docs: DataFrame, parts: int, head: Head, m: dict[str, np.ndarray],
 
 @dataclass
 class Model:
-    """Log10 scores of a unit after two others: (one[before] + two[before that]) . out + bias - z[before, before that]."""
+    """Log scores of a unit after two others: (one[before] + two[before that]) . out + bias - z[before, before that]."""
 
     one: np.ndarray
     two: np.ndarray
     out: np.ndarray
     bias: np.ndarray
-    z: np.ndarray
+
+    @cached_property
+    def z(self) -> np.ndarray:
+        """The normalisers of all pairs of contexts. They are not sent: a worker makes them once for all of its tasks."""
+        one, two = self.one @ self.out.T + self.bias, self.two @ self.out.T
+        top1, top2 = one.max(1, keepdims=True), two.max(1, keepdims=True)
+        return np.log(np.exp(one - top1) @ np.exp(two - top2).T) + top1 + top2.T
 
     def logs(self, target: np.ndarray, before: np.ndarray, second: np.ndarray) -> np.ndarray:
-        return np.einsum("ij,ij->i", self.one[before] + self.two[second], self.out[target]).astype(np.float64) + self.bias[target] - self.z[before, second]
+        """Log10 probabilities of units after two others."""
+        raw = np.einsum("ij,ij->i", self.one[before] + self.two[second], self.out[target]).astype(np.float64)
+        return (raw + self.bias[target] - self.z[before, second]) / np.log(10)
 
 
 def model_of(m: dict[str, np.ndarray]) -> Model:
-    """The trained parameters with the normalisers of all pairs of contexts."""
-    before, second, bias = m["inp"] @ m["one"], m["inp"] @ m["two"], m["bias"][:, 0]
-    one, two = before @ m["out"].T + bias, second @ m["out"].T
-    top1, top2 = one.max(1, keepdims=True), two.max(1, keepdims=True)
-    z = np.log(np.exp(one - top1) @ np.exp(two - top2).T) + top1 + top2.T
-    ten = np.float32(1 / np.log(10))
-    return Model(before * ten, second * ten, m["out"], bias * ten, z * ten)
+    return Model(m["inp"] @ m["one"], m["inp"] @ m["two"], m["out"], m["bias"][:, 0])
 
 
 def score(docs: DataFrame, counts: DataFrame, head: Head, model: Model) -> DataFrame:

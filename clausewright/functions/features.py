@@ -11,13 +11,18 @@ from . import text as T
 ALONE = 1.4054651081081644
 
 
-def grams(x: Column, bigrams: bool = True) -> Column:
-    """Tokens of two word characters or more, and pairs of neighbours."""
-    t = F.regexp_extract_all(F.lower(F.coalesce(x, F.lit(""))), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0))
+def grams(x: Column, bigrams: bool = True, accents: bool = True) -> Column:
+    """Tokens of two word characters or more, and pairs of neighbours; without accents, letters lose theirs first."""
+    x = x if accents else T.strip_accents(x)
+    tokens = F.regexp_extract_all(F.lower(F.coalesce(x, F.lit(""))), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0))
     if not bigrams:
-        return t
-    pairs = F.transform(F.sequence(F.lit(1), F.size(t) - 1), lambda i: F.concat_ws(" ", F.get(t, i - 1), F.get(t, i)))
-    return F.when(F.size(t) > 1, F.concat(t, pairs)).otherwise(t)
+        return tokens
+
+    def both(t: Column) -> Column:
+        pairs = F.zip_with(F.slice(t, F.lit(1), F.size(t) - 1), F.slice(t, F.lit(2), F.size(t) - 1), lambda a, b: F.concat(a, F.lit(" "), b))
+        return F.when(F.size(t) > 1, F.concat(t, pairs)).otherwise(t)
+
+    return bound(tokens, both)
 
 
 def bound(x: Column, f) -> Column:
@@ -50,6 +55,7 @@ def pair_cosine(a: Column, b: Column) -> Column:
 
 
 def modality_conflict(a: Column, b: Column) -> Column:
+    a, b = F.lower(a), F.lower(b)
     hit = ((a == "prohibition") & b.isin("obligation", "permission")) | ((b == "prohibition") & a.isin("obligation", "permission"))
     return F.coalesce(hit, F.lit(False)).cast("double")
 
@@ -82,13 +88,47 @@ def conflict_type(mod_a: Column, mod_b: Column, neg: Column, sem: Column) -> Col
     return out.when(neg == 1, "positive_vs_negative").when(sem >= 0.40, "potential_semantic_conflict").otherwise("no_clear_conflict")
 
 
+# --- fixed values: the sentences of explanations ------------------------------------------------------------------
+PAIR_REASONS = (
+    "the clauses discuss semantically related content", "their modalities indicate opposing obligations, permissions, or prohibitions", "one clause contains negation while the other does not",
+    "the clauses refer to the same detected party", "their conditions are similar",
+)
+NO_REASON = "No strong structured conflict indicators were detected."
+DRAFT_REASONS = ("opposing negation", "compatible legal scope", "similar core proposition", "substantial proposition overlap", "similar conditions")
+NO_DRAFT_REASON = "semantic and structural conflict signals"
+# --- end of fixed values ------------------------------------------------------------------------------------------
+
+
+def fixed(x: Column, places: int) -> Column:
+    """A number with so many places, halves of its decimal form to the even digit."""
+    return F.bround(x.cast("decimal(38,17)"), places).cast(f"decimal(38,{places})").cast("string")
+
+
 def reasons(kind: Column, mod: Column, neg: Column, party: Column, cond: Column, sem: Column) -> Column:
-    text = F.concat_ws(
-        "; ",
-        F.when(mod == 1, F.lit("incompatible modalities")), F.when(neg == 1, F.lit("one clause is negated")), F.when(party, F.lit("same party")),
-        F.when(cond > 0, F.lit("conditions overlap")), F.when(sem >= 0.40, F.lit("similar wording")),
-    )
-    return F.when(kind == "no_clear_conflict", F.lit("No clear conflict was found.")).when(text == "", F.lit("The clauses may conflict.")).otherwise(text)
+    """The explanation of a pair's structured result."""
+    test = (sem >= 0.40, mod > 0, neg > 0, party, cond > 0.50)
+    text = F.concat_ws("; ", *[F.when(t, F.lit(r)) for t, r in zip(test, PAIR_REASONS, strict=True)])
+    return F.when(text == "", NO_REASON).otherwise(F.concat(F.lit("Potential conflict type: "), kind, F.lit(". "), text, F.lit(".")))
+
+
+def hybrid_reasons(label: Column, p: Column, score: Column, kind: Column, temporal_score: Column, temporal_type: Column) -> Column:
+    """The explanation of a pair's hybrid result, probabilities and scores to two places."""
+    by_model = (
+        F.when(label == "Contradiction", F.concat(F.lit("Legal-BERT detected contradiction with probability "), fixed(p, 2)))
+        .when(label == "Entailment", F.concat(F.lit("Legal-BERT detected entailment with probability "), fixed(1 - p, 2)))
+        .otherwise("Legal-BERT did not detect a strong contradiction")
+    )
+    found = F.when(score >= 0.50, "structured reasoning detected conflict indicators (score=").otherwise("structured reasoning found limited conflict indicators (score=")
+    pattern = F.when(kind != "no_clear_conflict", F.concat(F.lit("conflict pattern: "), kind))
+    temporal = F.when(temporal_score > 0, F.concat(F.lit("temporal analysis detected "), temporal_type, F.lit(" (score="), fixed(temporal_score, 2), F.lit(")")))
+    return F.concat(F.lit("Hybrid reasoning: "), F.concat_ws("; ", by_model, F.concat(found, fixed(score, 2), F.lit(")")), pattern, temporal), F.lit("."))
+
+
+def draft_reasons(mod_a: Column, mod_b: Column, mod: Column, neg: Column, scope: Column, core: Column, jac: Column, cond: Column) -> Column:
+    first = F.when(mod == 1, F.concat(F.lit("modality conflict: "), mod_a, F.lit(" vs "), mod_b))
+    test = (neg == 1, scope >= 0.8, core >= 0.4, jac >= 0.3, cond >= 0.7)
+    text = F.concat_ws("; ", first, *[F.when(t, F.lit(r)) for t, r in zip(test, DRAFT_REASONS, strict=True)])
+    return F.when(text == "", NO_DRAFT_REASON).otherwise(text)
 
 
 def hybrid_score(p: Column, structured: Column, temporal: Column, weights=(0.95, 0.05, 0.0)) -> Column:
@@ -147,8 +187,14 @@ def scope_compatibility(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).when((F.size(a) == 0) | (F.size(b) == 0), 0.5).when(F.arrays_overlap(a, b), 1.0).otherwise(0.0)
 
 
-# --- score families of the drafts: weights and penalties are fixed values ---------------------------------------------
+def draft_similarity(clean_a: Column, tokens_a: Column, clean_b: Column, tokens_b: Column) -> Column:
+    """Of two propositions 1 if they are equal and not empty, else the Jaccard similarity of their words."""
+    return F.when((clean_a == clean_b) & (clean_a != ""), 1.0).otherwise(jaccard(tokens_a, tokens_b))
+
+
+# --- score families of the drafts: weights, penalties and bounds are fixed values -------------------------------------
 def draft_scores(sem, prop, mod, neg, cond, party, overlap, jac, core, exception) -> dict[str, Column]:
+    """The first families, from similarities (prop: of propositions) and conflicts of a pair."""
     aligned = (jac >= 0.30) & (mod == 1)
     penal = lambda x, test, by: F.when(test, x * by).otherwise(x)
     strict = penal(overlap * 0.55 + prop * 0.20 + mod * 0.15 + cond * 0.10, overlap < 0.35, 0.25)
@@ -163,6 +209,58 @@ def draft_scores(sem, prop, mod, neg, cond, party, overlap, jac, core, exception
     }
 
 
+def later_scores(mod, neg, cond, party, jac, core, scope, strict, aligned, scope_aware, reasoning, confidence) -> dict[str, Column]:
+    """The later families over those of draft_scores(): five versions of the conflict score, evidence, novelty, flags."""
+    first = core * 0.30 + jac * 0.20 + scope_aware * 0.20 + aligned * 0.15 + mod * 0.10 + neg * 0.05
+    v1 = F.when(core < 0.25, first * 0.25).otherwise(first)
+    v2 = core * 0.30 + jac * 0.20 + scope * 0.15 + mod * 0.20 + confidence * 0.15
+    v3 = strict * 0.35 + aligned * 0.30 + scope_aware * 0.20 + mod * 0.10 + neg * 0.05
+    v4 = core * 0.20 + jac * 0.10 + scope * 0.10 + strict * 0.25 + aligned * 0.10 + reasoning * 0.05 + mod * 0.10 + neg * 0.05 + cond * 0.025 + party * 0.025
+    v5 = strict * 0.35 + aligned * 0.25 + mod * 0.20 + neg * 0.15 + scope * 0.05
+    strong_modality = (mod == 1) & (core >= 0.30) & (scope_aware >= 0.50)
+    evidence = core * 0.25 + jac * 0.15 + scope * 0.10 + strict * 0.15 + aligned * 0.15 + mod * 0.10 + neg * 0.05 + reasoning * 0.05
+    similar = core * 0.35 + jac * 0.20 + scope * 0.15 + cond * 0.15 + party * 0.15
+    signal = strict * 0.35 + aligned * 0.25 + mod * 0.20 + neg * 0.10 + reasoning * 0.10
+    return {
+        "final_conflict_score_1": v1, "final_conflict_score_2": v2, "final_conflict_score_3": v3, "final_conflict_score_4": v4, "final_conflict_score_5": v5,
+        "strong_conflict": (v1 >= 0.50) & (strong_modality | (aligned >= 0.50)), "candidate_conflict": (v2 >= 0.30) & ((core >= 0.35) | (jac >= 0.30)) & (mod == 1),
+        "hybrid_evidence_score": evidence, "novelty_conflict_score": evidence * 0.50 + v4 * 0.50, "novelty_evidence_score_1": similar * 0.60 + signal * 0.40,
+        "novelty_evidence_score_2": (core * 0.50 + jac * 0.50) * 0.60 + (strict * 0.70 + aligned * 0.30) * 0.40, "novelty_evidence_score_3": (core * 0.5 + jac * 0.5) * 0.6 + (strict * 0.5 + aligned * 0.5) * 0.4,
+    }
+
+
+def mean_evidence(parts: list[Column]) -> Column:
+    """The mean of the components that there are; 0 without any."""
+    total = F.lit(0.0)
+    for p in parts:
+        total = total + T.safe_number(p)
+    return total / len(parts) if parts else total
+
+
+def normed_evidence(ml, strict, aligned, core, jac) -> Column:
+    """Of components scaled to 0 to 1 over all pairs."""
+    return ml * 0.40 + strict * 0.25 + aligned * 0.15 + core * 0.10 + jac * 0.10
+
+
+def rerank_of(retrieval: Column, reasoning: Column) -> Column:
+    return retrieval * 0.60 + reasoning * 0.40
+
+
+def draft_class(sem: Column, prop: Column, mod: Column, neg: Column, cond: Column | None = None) -> Column:
+    """likely_conflict, needs_review or likely_non_conflict; with cond, a conflict needs like conditions too."""
+    likely = (mod == 1) & (prop >= 0.45) & (sem >= 0.30)
+    if cond is not None:
+        likely = likely & (cond >= 0.50)
+    return F.when(likely, "likely_conflict").when(((mod == 1) | (neg == 1)) & (prop >= 0.20) & (sem >= 0.25), "needs_review").otherwise("likely_non_conflict")
+
+
+def conflict_category(mod: Column, core: Column, exception: Column) -> Column:
+    return (
+        F.when(mod == 0, "not_conflicting").when(core < 0.30, "different_proposition").when(exception == 1, "scope_dependent_review")
+        .when(core >= 0.70, "strong_conflict").otherwise("potential_conflict")
+    )
+
+
 # --- durations ----------------------------------------------------------------------------------------------------
 def temporal_conflict(times_a, times_b, stems_a, stems_b, party_a, party_b, mod_a, mod_b) -> Column:
     """struct(score, type, same_party, shared_terms, first: the first pair of like units with unlike values).

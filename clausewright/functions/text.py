@@ -5,6 +5,8 @@ Keyword lists and patterns below are fixed values: results must follow them.
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -30,20 +32,51 @@ TIMES = (
     r"\bwithin\s+\d+\s+(?:day|days|hour|hours|month|months|year|years)\b", r"\bafter\s+\d+\s+(?:day|days|month|months|year|years)\b",
     r"\bbefore\s+\d+\s+(?:day|days|month|months|year|years)\b", r"\bfor\s+\d+\s+(?:day|days|month|months|year|years)\b", r"\buntil\b[^,.;]*", r"\bfrom\b[^,.;]*\buntil\b[^,.;]*",
 )
-NUMBERS = (r"\b\d+(?:\.\d+)?\s*%", r"\b\d+\s+(?:day|days|month|months|year|years|hour|hours)\b", r"\b(?:USD|EUR|GBP|\$)\s*\d+(?:,\d{3})*(?:\.\d+)?", r"\b\d+(?:,\d{3})*(?:\.\d+)?\b")
-DRAFT_CONDITIONS = ("if", "unless", "provided that", "subject to", "in the event that", "where", "only if", "except", "except that", "with respect to")
+NUMBERS = (
+    r"\b\d+(?:\.\d+)?\s*%", r"\b\d+(?:\.\d+)?\s+(?:day|days|hour|hours|month|months|year|years)\b", r"\b(?:USD|EUR|GBP|INR|\$|€|£)\s*\d+(?:,\d{3})*(?:\.\d+)?\b", r"\b\d+(?:,\d{3})*(?:\.\d+)?\b",
+)
+DRAFT_CONDITIONS = (
+    r"\bif\b[^,.;]*", r"\bunless\b[^,.;]*", r"\bprovided that\b[^,.;]*", r"\bsubject to\b[^,.;]*", r"\bin the event that\b[^,.;]*", r"\bwhere\b[^,.;]*", r"\bonly if\b[^,.;]*",
+    r"\bexcept\b[^,.;]*", r"\bexcept that\b[^,.;]*", r"\bfor\b[^,.;]*transactions", r"\bwith respect to\b[^,.;]*",
+)
 EXCEPTIONS = ("unless", "except", "except as", "except that", "provided that", "subject to", "notwithstanding", "in the event that", "to the extent that", "if", "only if")
-PROPOSITION_STOP = "the and or of to a an any such this that shall must may will not be is are for in on with by from under as its their party parties".split()
-FILLERS = "the a an any such this that herein thereof thereto therein foregoing agreement section article party parties".split()
-BOILERPLATE = ("the foregoing", "notwithstanding the foregoing", "without limiting the foregoing", "for the avoidance of doubt", "in addition", "provided that", "subject to", "in the event that", "except as set forth in", "except as provided in", "with respect to", "on behalf of")
-LEGAL_TERMS = "shall must may will prohibited prohibit required require permitted permission terminate termination confidential disclose disclosure liable liability indemnify indemnification consent notice agreement obligation duty rights right breach default payment license licence assignment restriction".split()
-STEM_STOP = "the a an and or of to within from on in for by after before upon all any such that this shall must may will can should be is are was were has have had not no their its customer supplier company party parties".split()
-VERBS = ("disclose", "use", "receive", "provide", "return", "destroy", "retain", "assign", "transfer", "notify", "pay", "deliver", "terminate", "modify", "reverse")
+ACTION_DROPS = ("shall not", "must not", "may not", "will not", "cannot", "shall", "must", "may", "will")
+DRAFT_DROPS = ("shall", "shall not", "must", "must not", "may", "may not", "will", "will not", "cannot", "is required to", "are required to", "is permitted to", "are permitted to")
+DRAFT_FILLERS = ("the", "a", "an", "any", "such", "herein", "thereof", "thereto", "provided that", "notwithstanding the foregoing")
+NORMAL_DROPS = ("shall not", "must not", "may not", "will not", "shall", "must", "may", "will", "cannot", "is required to", "are required to", "is permitted to", "are permitted to")
+PARTS_DROPS = ("shall not", "shall", "must not", "must", "may not", "may", "will not", "will", "cannot", "is required to", "are required to", "is permitted to", "are permitted to")
+PARTS_TAILS = ("provided that", "notwithstanding", "subject to", "in the event that")
+PARTS_PARTIES = ("receiving party", "disclosing party", "company", "contractor", "buyer", "seller", "vendor", "customer", "employer", "employee", "party", "parties")
+PARTS_VERBS = (
+    "disclose", "discloses", "disclosing", "use", "uses", "using", "receive", "receives", "receiving", "provide", "provides", "providing", "return", "returns", "returning",
+    "destroy", "destroys", "destroying", "retain", "retains", "retaining", "assign", "assigns", "assigning", "transfer", "transfers", "transferring", "notify", "notifies", "notifying",
+    "pay", "pays", "paying", "deliver", "delivers", "delivering", "terminate", "terminates", "terminating", "modify", "modifies", "modifying", "reverse", "reverse-engineer",
+)
+PARTS_FILLERS = ("the", "and", "or", "any", "such", "information", "agreement", "foregoing")
+POSITIVE = ("shall", "must", "may", "will")
+NEGATIVE = ("shall not", "must not", "may not", "will not", "cannot")
+PROPOSITION_STOP = (
+    "the", "and", "or", "of", "to", "a", "an", "any", "such", "this", "that", "shall", "must", "may", "will", "not", "be", "is", "are", "for", "in", "on", "with", "by", "from", "under", "as",
+    "its", "their", "party", "parties",
+)
+FILLERS = ("the", "a", "an", "any", "such", "this", "that", "herein", "thereof", "thereto", "therein", "foregoing", "agreement", "section", "article", "party", "parties")
+BOILERPLATE = (
+    "the foregoing", "notwithstanding the foregoing", "without limiting the foregoing", "for the avoidance of doubt", "in addition", "provided that", "subject to", "in the event that",
+    "except as set forth in", "except as provided in", "with respect to", "on behalf of",
+)
+LEGAL_TERMS = (
+    "shall", "must", "may", "will", "prohibited", "prohibit", "required", "require", "permitted", "permission", "terminate", "termination", "confidential", "disclose", "disclosure",
+    "liable", "liability", "indemnify", "indemnification", "consent", "notice", "agreement", "obligation", "duty", "rights", "right", "breach", "default", "payment", "license", "licence",
+    "assignment", "restriction",
+)
+STEM_STOP = (
+    "the", "a", "an", "and", "or", "of", "to", "within", "from", "on", "in", "for", "by", "after", "before", "upon", "all", "any", "such", "that", "this", "shall", "must", "may", "will", "can",
+    "should", "be", "is", "are", "was", "were", "has", "have", "had", "customer", "supplier", "company", "party", "parties", "not", "no", "their", "its",
+)
 FRAGMENT = r"(?i)^(?:[a-z]\)|\([a-z]\)|[ivxlcdm]+\)|\([ivxlcdm]+\)|\d+\.|\(\d+\))"
 SEGMENT = r"(?s).+?(?:[.!?](?=\s|$)|\n|$)"
 EXPLICIT_START = r"^(?:\d+(?:\.\d+)*[.)]|\(\d+\)|\([a-zA-Z]\)|[a-zA-Z]\))\s+"
 SENTENCE_END = r"""[.!?]["')\]]*$"""
-ACCENTED, PLAIN = "áàâäãåéèêëíìîïóòôöõúùûüçñýÁÀÂÄÃÅÉÈÊËÍÌÎÏÓÒÔÖÕÚÙÛÜÇÑÝ", "aaaaaaeeeeiiiiooooouuuucnyAAAAAAEEEEIIIIOOOOOUUUUCNY"
 # --- end of fixed values ------------------------------------------------------------------------------------------
 
 
@@ -136,8 +169,10 @@ def draft_parties(x: Column) -> Column:
     return F.array_distinct(_all_of(F.lower(x), [rf"\b{p}\b" for p in DRAFT_PARTIES]))
 
 
-def draft_conditions(x: Column) -> Column:
-    return F.transform(_all_of(F.lower(x), [rf"\b{p}\b[^,.;]*" for p in DRAFT_CONDITIONS]), strip)
+def draft_conditions(x: Column, keep_case: bool = False) -> Column:
+    """Conditions in the order of the patterns; lower-cased and stripped, or as they are written."""
+    found = _all_of(x, [f"(?i){p}" for p in DRAFT_CONDITIONS])
+    return found if keep_case else F.array_distinct(F.transform(found, lambda c: strip(F.lower(c))))
 
 
 def exception_flag(x: Column) -> Column:
@@ -148,19 +183,51 @@ def normalize_clause(x: Column) -> Column:
     return strip(F.regexp_replace(F.lower(x), r"\s+", " "))
 
 
+def _spaced(x: Column, phrases, ordered: bool = True) -> Column:
+    """x with a space in place of each phrase: one after the other, or (not ordered) of any the first that is listed."""
+    if not ordered:
+        return F.regexp_replace(x, r"\b(?:" + "|".join(phrases) + r")\b", " ")
+    for p in phrases:
+        x = F.regexp_replace(x, rf"\b{p}\b", " ")
+    return x
+
+
 def action_core(x: Column) -> Column:
-    return normalize_clause(_without(F.lower(x), PROPOSITION_DROPS))
+    return normalize_clause(_spaced(normalize_clause(x), ACTION_DROPS))
+
+
+def clean_proposition(x: Column) -> Column:
+    """The draft's proposition: "shall" goes before "shall not" is tried, so that "not" stays."""
+    return normalize_clause(_spaced(_spaced(normalize_clause(x), DRAFT_DROPS, False), DRAFT_FILLERS, False))
+
+
+def draft_proposition(x: Column) -> Column:
+    """struct(text, modality, negation, temporal, numbers)."""
+    return F.struct(x.alias("text"), draft_modality(x).alias("modality"), draft_negation(x).alias("negation"), times(x).alias("temporal"), numbers(x).alias("numbers"))
+
+
+def explicit_negation_conflict(a: Column, b: Column) -> Column:
+    """1 if one text has a modal and the other one a negated modal, the first without such."""
+    low_a, low_b = normalize_clause(a), normalize_clause(b)
+    negative = lambda x: x.rlike(words_pattern(NEGATIVE))
+    positive = lambda x: x.rlike(words_pattern(POSITIVE)) & ~negative(x)
+    return ((positive(low_a) & negative(low_b)) | (positive(low_b) & negative(low_a))).cast("int")
 
 
 def normalize_proposition(x: Column) -> Column:
-    x = _without(_without(F.lower(x), BOILERPLATE), PROPOSITION_DROPS)
-    kept = F.filter(F.regexp_extract_all(x, F.lit(r"[a-z]+"), F.lit(0)), lambda w: ~w.isin(FILLERS))
+    x = _spaced(_spaced(normalize_clause(x), BOILERPLATE), NORMAL_DROPS, False)
+    kept = F.filter(F.regexp_extract_all(x, F.lit(r"\b[a-z]{3,}\b"), F.lit(0)), lambda w: ~w.isin(*FILLERS))
     return F.array_join(kept, " ")
 
 
+def core_tokens(normal: Column) -> Column:
+    """The distinct words of three letters or more of a normalised proposition."""
+    return F.array_distinct(F.regexp_extract_all(normal, F.lit(r"\b[a-z]{3,}\b"), F.lit(0)))
+
+
 def proposition_tokens(x: Column) -> Column:
     found = F.array_distinct(F.regexp_extract_all(F.lower(x), F.lit(r"\b[a-z]{3,}\b"), F.lit(0)))
-    return F.array_sort(F.filter(found, lambda w: ~w.isin(PROPOSITION_STOP)))
+    return F.array_sort(F.filter(found, lambda w: ~w.isin(*PROPOSITION_STOP)))
 
 
 def words(x: Column) -> Column:
@@ -180,19 +247,23 @@ def stem_tokens(x: Column, more_stop: tuple[str, ...] = ()) -> Column:
 
 
 def subject_action_object(x: Column) -> Column:
-    """struct(subject, action, object): the first party phrase, the first listed verb, up to twelve words after it."""
-    low = F.lower(x)
-    tokens = F.regexp_extract_all(low, F.lit(r"[a-z]+"), F.lit(0))
-    subject = F.lit(None).cast("string")
-    for p in reversed(DRAFT_PARTIES):
-        subject = F.when(low.contains(p), p).otherwise(subject)
-    forms = [f for v in VERBS for f in (v, f"{v}s", f"{v}d" if v.endswith("e") else f"{v}ed", f"{v[:-1]}ing" if v.endswith("e") else f"{v}ing")]
-    verbs = F.filter(tokens, lambda w: w.isin(forms))
-    action = F.get(verbs, F.lit(0))
-    at = F.array_position(tokens, action)
-    after = F.when(action.isNull(), F.array().cast("array<string>")).otherwise(F.slice(tokens, (at + 1).cast("int"), F.lit(12)))
-    kept = F.filter(after, lambda w: ~w.isin(["the", "and", "or", "any", "such", "information", "agreement", "foregoing"]))
-    return F.struct(subject.alias("subject"), action.alias("action"), F.array_join(kept, " ").alias("object"))
+    """struct(subject, action, object), empty strings where there is none.
+
+    What follows a condition is cut off and modals are removed. The subject is the first listed party that the rest
+    contains, the action its first listed verb, the object the first twelve words after it (all, without a verb) that are
+    no fillers."""
+    cut = F.regexp_replace(normalize_clause(x), r"\b(?:" + "|".join(PARTS_TAILS) + r")\b.*", "")
+    rest = normalize_clause(_spaced(cut, PARTS_DROPS, False))
+    tokens = F.regexp_extract_all(rest, F.lit(r"\b[a-z]{3,}\b"), F.lit(0))
+    subject = F.lit("")
+    for p in reversed(PARTS_PARTIES):
+        subject = F.when(rest.contains(p), p).otherwise(subject)
+    action = F.get(F.filter(tokens, lambda w: w.isin(*PARTS_VERBS)), F.lit(0))
+    at = F.when(action.isNull(), F.lit(0)).otherwise(F.array_position(tokens, action)).cast("int")
+    after = F.slice(tokens, at + 1, F.greatest(F.size(tokens) - at, F.lit(0)))
+    kept = F.slice(F.filter(after, lambda w: ~w.isin(*PARTS_FILLERS)), 1, 12)
+    some = F.size(tokens) > 0
+    return F.struct(F.when(some, subject).otherwise("").alias("subject"), F.coalesce(action, F.lit("")).alias("action"), F.array_join(kept, " ").alias("object"))
 
 
 def normalize_line(x: Column) -> Column:
@@ -218,8 +289,19 @@ def document_id_of(stem: Column) -> Column:
     return F.coalesce(absent(x), F.lit("uploaded_contract"))
 
 
+def _unaccented() -> tuple[str, str]:
+    """Latin and Greek letters with marks, then the marks themselves; the letters without. By Unicode decomposition."""
+    letters = [chr(c) for first, last in ((0xC0, 0x24F), (0x370, 0x3FF), (0x1E00, 0x1EFF)) for c in range(first, last + 1)]
+    plain = ["".join(y for y in unicodedata.normalize("NFKD", x) if not unicodedata.combining(y)) for x in letters]
+    some = [(x, y) for x, y in zip(letters, plain, strict=True) if len(y) == 1 and x != y]
+    return "".join(x for x, _ in some) + "".join(chr(c) for c in range(0x300, 0x370)), "".join(y for _, y in some)
+
+
+_MARKED, _PLAIN = _unaccented()
+
+
 def strip_accents(x: Column) -> Column:
-    return F.translate(x, ACCENTED, PLAIN)
+    return F.translate(x, _MARKED, _PLAIN)
 
 
 def safe_number(x: Column) -> Column:
@@ -237,6 +319,14 @@ def pair_text(hypothesis: Column, clause: Column) -> Column:
     return F.concat(F.lit("Hypothesis: "), hypothesis, F.lit(" [SEP] Clause: "), clause)
 
 
+def context_text(hypothesis: Column, context: Column) -> Column:
+    return F.concat(F.lit("Hypothesis: "), hypothesis, F.lit(" [SEP] Contract Context: "), context)
+
+
+def plain_pair_text(hypothesis: Column, context: Column) -> Column:
+    return F.concat(hypothesis, F.lit(" [SEP] "), context)
+
+
 # --- durations ----------------------------------------------------------------------------------------------------
 _DAY_UNITS = r"(\d+(?:\.\d+)?)\s*(business days?|calendar days?|days?|weeks?|months?|years?)\b"
 _CLOCK_UNITS = r"(\d+(?:\.\d+)?)\s*(hours?|minutes?)\b"

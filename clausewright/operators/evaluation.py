@@ -98,3 +98,94 @@ def failures(hits: DataFrame, worse_than: int = 2, n: int = 50) -> DataFrame:
     """The n queries with the worst first rank; none at all is worst."""
     rows = hits.where(F.col("first_rank").isNull() | (F.col("first_rank") > worse_than))
     return rows.withColumn("key", F.coalesce("first_rank", F.lit(999_999))).orderBy(F.desc("key"), "query_id").limit(n)
+
+
+def best_threshold(swept: DataFrame, by: str = "f1") -> DataFrame:
+    """Of sweep() rows the first with the best value."""
+    return swept.orderBy(F.desc(F.round(by, 12)), "threshold").limit(1)
+
+
+def class_report(rows: DataFrame) -> DataFrame:
+    """(label, precision, recall, f1, support) of rows (label, predicted) for each class that either has; 0 without a divisor."""
+    counts = rows.groupBy("label", "predicted").agg(F.count(F.lit(1)).alias("n"))
+    ends = counts.select(F.col("label").alias("c"), F.lit(0).alias("said"), F.col("n").alias("support"), F.when(F.col("label") == F.col("predicted"), F.col("n")).otherwise(0).alias("hit"))
+    ends = ends.unionByName(counts.select(F.col("predicted").alias("c"), F.col("n").alias("said"), F.lit(0).alias("support"), F.lit(0).alias("hit")))
+    c = ends.groupBy(F.col("c").alias("label")).agg(*[F.sum(x).cast("long").alias(x) for x in ("said", "support", "hit")])
+    ratio = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
+    c = c.withColumn("precision", ratio(F.col("hit"), F.col("said"))).withColumn("recall", ratio(F.col("hit"), F.col("support")))
+    f1 = ratio(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall"))
+    return c.select("label", "precision", "recall", f1.alias("f1"), "support")
+
+
+def with_evidence(rows: DataFrame, gold: DataFrame) -> DataFrame:
+    """rows (document_id, label_id, span_id, ...) with evidence_span_ids of gold (document_id, label_id, evidence_span_ids)
+    and is_evidence; 0 where there is no list."""
+    held = rows.join(gold, ["document_id", "label_id"], "left")
+    return held.withColumn("is_evidence", F.coalesce(F.array_contains("evidence_span_ids", F.col("span_id")), F.lit(False)).cast("int"))
+
+
+def evidence_recall(rows: DataFrame) -> DataFrame:
+    """(document_id, label_id, gold, found, recall) of with_evidence() rows; examples without gold are left out."""
+    per = rows.groupBy("document_id", "label_id").agg(
+        F.array_distinct(F.flatten(F.collect_set("evidence_span_ids"))).alias("g"), F.collect_set(F.when(F.col("is_evidence") == 1, F.col("span_id"))).alias("r")
+    ).where(F.size("g") > 0)
+    found = F.size(F.array_intersect("g", F.col("r").cast(per.schema["g"].dataType)))
+    return per.select("document_id", "label_id", F.size("g").cast("long").alias("gold"), found.cast("long").alias("found"), (found / F.size("g")).alias("recall"))
+
+
+def gold_touch(pairs: DataFrame) -> DataFrame:
+    """pairs (span_a, span_b, gold_spans) with a_is_gold, b_is_gold, pair_touches_gold, pair_both_gold and evidence_hit."""
+    has = lambda c: F.coalesce(F.array_contains("gold_spans", F.col(c)), F.lit(False))
+    rows = pairs.withColumn("a_is_gold", has("span_a")).withColumn("b_is_gold", has("span_b"))
+    rows = rows.withColumn("pair_touches_gold", F.col("a_is_gold") | F.col("b_is_gold")).withColumn("pair_both_gold", F.col("a_is_gold") & F.col("b_is_gold"))
+    return rows.withColumn("evidence_hit", F.col("pair_touches_gold").cast("int"))
+
+
+def rolled_up(pairs: DataFrame, columns: list[str], by: list[str], sums: list[str] = ()) -> DataFrame:
+    """A row for each group: max and mean of each column, sums as <column>_count, and pair_count."""
+    parts = [f(c).alias(f"{c}_{n}") for n, f in (("max", F.max), ("mean", F.avg)) for c in columns]
+    return pairs.groupBy(*by).agg(*parts, *[F.sum(c).cast("long").alias(f"{c}_count") for c in sums], F.count(F.lit(1)).alias("pair_count"))
+
+
+def set_coverage(pairs: DataFrame, by: list[str]) -> DataFrame:
+    """(by..., gold, candidates, found, recall, retrievable) of pairs (by..., span_a, span_b, gold_spans) for groups with gold:
+    what share of the gold the pairs' spans have, and whether any of it."""
+    spans = pairs.groupBy(*by).agg(F.array_distinct(F.flatten(F.collect_set("gold_spans"))).alias("g"), F.array_union(F.collect_set("span_a"), F.collect_set("span_b")).alias("s")).where(F.size("g") > 0)
+    found = F.size(F.array_intersect("g", F.col("s").cast(spans.schema["g"].dataType)))
+    return spans.select(*by, F.size("g").cast("long").alias("gold"), F.size("s").cast("long").alias("candidates"), found.cast("long").alias("found"), (found / F.size("g")).alias("recall"), (found > 0).alias("retrievable"))
+
+
+def retrieval_ceiling(covered: DataFrame) -> DataFrame:
+    """One row of set_coverage(): examples with gold, those whose gold is among the candidates, their share, mean recall."""
+    return covered.agg(F.count(F.lit(1)).alias("examples"), F.count_if("retrievable").alias("retrievable"), F.avg(F.col("retrievable").cast("int")).alias("ceiling"), F.avg("recall").alias("mean_recall"))
+
+
+def method_matrix(rows: DataFrame, methods: dict[str, str], by: list[str], tie: list[str], ks=(1, 3, 5, 10)) -> DataFrame:
+    """(method, recall_k...) of rows (by..., hit and a score column for each method): the share of groups with a hit among
+    the k best by that score, ties in the order of tie."""
+    scores = F.explode(F.array(*[F.struct(F.lit(name).alias("method"), F.col(c).cast("double").alias("score")) for name, c in methods.items()])).alias("m")
+    long = rows.select(*by, *tie, "hit", scores).select(*by, *tie, "hit", "m.*")
+    order = Window.partitionBy("method", *by).orderBy(F.desc(F.round("score", 9)), *tie)
+    per = long.withColumn("rank", F.row_number().over(order)).groupBy("method", *by).agg(F.min(F.when(F.col("hit"), F.col("rank"))).alias("first"))
+    return per.groupBy("method").agg(*[F.avg(F.coalesce(F.col("first") <= k, F.lit(False)).cast("double")).alias(f"recall_{k}") for k in ks])
+
+
+def best_methods(matrix: DataFrame, ks=(1, 3, 5, 10)) -> DataFrame:
+    """(k, method, recall): the best method for each k, ties by name."""
+    long = matrix.select(F.explode(F.array(*[F.struct(F.lit(k).alias("k"), "method", F.round(f"recall_{k}", 12).alias("recall")) for k in ks])).alias("r")).select("r.*")
+    return long.groupBy("k").agg(F.min(F.struct((-F.col("recall")).alias("a"), "method")).alias("b")).select("k", "b.method", (-F.col("b.a")).alias("recall"))
+
+
+def retrieval_report(ranked: DataFrame, relevant_clauses: DataFrame, asked: DataFrame, ks=(1, 2, 5, 10)) -> DataFrame:
+    """One row: evaluated queries, those skipped as no clause meets their gold, recall at each k and the mean reciprocal
+    rank, to four places.
+
+    asked (document_id, query_id): queries that have gold; relevant_clauses (document_id, query_id, clause_id); ranked
+    (document_id, query_id, candidate_id, rank): all clauses of the document."""
+    key = ["document_id", "query_id"]
+    wanted = relevant_clauses.select(*key, F.col("clause_id").alias("candidate_id")).distinct().withColumn("hit", F.lit(True))
+    evaluated = asked.join(wanted.select(*key).distinct(), key, "left_semi")
+    hits = ranked.join(evaluated, key, "left_semi").join(wanted, [*key, "candidate_id"], "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
+    metrics = ranking_metrics(first_hits(hits, key), ks)
+    skipped = asked.join(wanted.select(*key).distinct(), key, "left_anti").agg(F.count(F.lit(1)).alias("skipped"))
+    return metrics.crossJoin(skipped).select(F.col("queries").alias("evaluated"), "skipped", *[F.round(f"recall_{k}", 4).alias(f"recall_{k}") for k in ks], F.round("mrr", 4).alias("mrr"))  # one row each

@@ -29,8 +29,11 @@ def analyzed(pairs: DataFrame, similarity: Column | None = None, threshold: floa
     """pairs of prepared and extracted clauses (a.*, b.*) with the structured features, score, type and reasons."""
     a, b = (lambda n: F.col(f"a.{n}")), (lambda n: F.col(f"b.{n}"))
     sem = similarity if similarity is not None else X.pair_cosine(a("grams"), b("grams"))
+    have = pairs.columns
+    context = lambda side: F.coalesce(T.absent(F.col(f"{side}.context_text")), F.col(f"{side}.text")) if have.count("context_text") == 2 else F.col(f"{side}.text")
+    found = [c for c in ("retrieval_score", "retrieval_rank") if have.count(c) == 1]
     rows = pairs.select(
-        a("document_id").alias("document_id"), a("clause_id").alias("clause_a"), b("clause_id").alias("clause_b"), a("text").alias("text_a"), b("text").alias("text_b"),
+        context("a").alias("hypothesis"), context("b").alias("evidence"), *found, a("document_id").alias("document_id"), a("clause_id").alias("clause_a"), b("clause_id").alias("clause_b"), a("text").alias("text_a"), b("text").alias("text_b"),
         a("party").alias("party_a"), b("party").alias("party_b"), a("modality").alias("modality_a"), b("modality").alias("modality_b"),
         sem.alias("semantic_similarity"), X.modality_conflict(a("modality"), b("modality")).alias("modality_conflict"), (a("negated") != b("negated")).cast("double").alias("negation_conflict"),
         X.same_party(a("party"), b("party")).alias("same_party"), X.pair_cosine(a("cgrams"), b("cgrams")).alias("condition_similarity"),
@@ -43,6 +46,16 @@ def analyzed(pairs: DataFrame, similarity: Column | None = None, threshold: floa
     return rows.withColumn("reasons", X.reasons(c("structured_type"), c("modality_conflict"), c("negation_conflict"), c("same_party"), c("condition_similarity"), c("semantic_similarity")))
 
 
+def inference_pairs(rows: DataFrame) -> DataFrame:
+    """Of analyzed() rows what a language-inference model is given, and whether context was used.
+
+    hypothesis and evidence are the texts with the context of their parents where there is one, else the texts."""
+    own = [F.col("text_b").alias("clause_text"), F.col("clause_b").alias("clause_id"), "document_id", F.col("clause_a").alias("query_clause_id")]
+    found = [c for c in ("retrieval_rank", "retrieval_score") if c in rows.columns]
+    used = [(F.col("hypothesis") != F.col("text_a")).alias("query_context_used"), (F.col("evidence") != F.col("text_b")).alias("candidate_context_used")]
+    return rows.select("hypothesis", "evidence", *own, *found, F.col("text_a").alias("query_text"), F.col("text_b").alias("candidate_text"), *used)
+
+
 def rule_inference(rows: DataFrame) -> DataFrame:
     """Stand-in for a language-inference model, by rule: never to be reported as a model's quality."""
     p = F.when(((F.col("modality_conflict") == 1) | (F.col("negation_conflict") == 1)) & F.col("same_party"), 0.90).otherwise(0.05)
@@ -57,6 +70,7 @@ def hybrid(rows: DataFrame, weights=BATCH["weights"], threshold: float = BATCH["
     rows = rows.withColumn("p_contradiction", X.contradiction_probability(c("probabilities"), c("nli_label")))
     rows = rows.withColumn("hybrid_score", X.hybrid_score(c("p_contradiction"), c("structured_score"), c("temporal_score"), weights))
     rows = rows.withColumn("conflict_type", X.final_type(c("structured_type"), c("temporal_score"), c("temporal_type")))
+    rows = rows.withColumn("explanation", X.hybrid_reasons(c("nli_label"), c("p_contradiction"), c("structured_score"), c("structured_type"), c("temporal_score"), c("temporal_type")))
     return rows.withColumn("is_conflict", c("hybrid_score") >= threshold).withColumn("confidence_level", X.confidence_level(c("hybrid_score")))
 
 
@@ -84,25 +98,73 @@ def with_texts(rows: DataFrame, clauses: DataFrame, a: str = "clause_a", b: str
     return rows
 
 
-def draft_pairs(clauses: DataFrame) -> DataFrame:
-    """Pairs of a document's clauses with the drafts' feature and score families."""
+def draft_pairs(clauses: DataFrame, group: str | None = None) -> DataFrame:
+    """Pairs of a document's clauses (of its groups in a column, such as label_id) with the drafts' features and scores."""
     x = F.col("text")
     made = clauses.select(
-        "document_id", "rn", "clause_id", "text", T.draft_modality(x).alias("mod"), T.draft_negation(x).alias("neg"), T.draft_parties(x).alias("parties"), T.draft_conditions(x).alias("conds"),
-        T.proposition_tokens(x).alias("prop"), F.array_distinct(F.split(T.normalize_proposition(x), " ")).alias("core"), T.exception_flag(x).alias("exc"), X.gram_weights(x).alias("grams"),
+        "document_id", "rn", "clause_id", "text", T.draft_modality(x).alias("mod"), T.draft_parties(x).alias("parties"), T.draft_conditions(x).alias("conds"),
+        T.proposition_tokens(x).alias("prop"), T.core_tokens(T.normalize_proposition(x)).alias("core"), T.clean_proposition(x).alias("clean"), T.core_tokens(T.clean_proposition(x)).alias("said"), T.exception_flag(x).alias("exc"), X.gram_weights(x).alias("grams"),
     )
-    pairs = pairs_within(made).where("a.text <> b.text")
+    made = made if group is None else made.join(clauses.select("clause_id", F.col(group).alias("_group")), "clause_id")
+    pairs = pairs_within(made) if group is None else pairs_within(made).where("a._group = b._group")
     a, b = (lambda n: F.col(f"a.{n}")), (lambda n: F.col(f"b.{n}"))
     rows = pairs.select(
         a("clause_id").alias("clause_a"), b("clause_id").alias("clause_b"), a("mod").alias("mod_a"), b("mod").alias("mod_b"),
-        X.pair_cosine(a("grams"), b("grams")).alias("sem"), X.jaccard(a("prop"), b("prop")).alias("prop"), X.modality_conflict(a("mod"), b("mod")).alias("mod"), (a("neg") != b("neg")).cast("double").alias("neg"),
+        X.pair_cosine(a("grams"), b("grams")).alias("sem"), X.jaccard(a("prop"), b("prop")).alias("prop"), X.modality_conflict(a("mod"), b("mod")).alias("mod"), T.explicit_negation_conflict(a("text"), b("text")).cast("double").alias("neg"),
         X.jaccard(a("conds"), b("conds"), 1.0).alias("cond"), X.jaccard(a("parties"), b("parties"), 1.0).alias("party"), X.overlap_coefficient(a("prop"), b("prop")).alias("overlap"),
-        X.jaccard(a("core"), b("core")).alias("core"), F.greatest(a("exc"), b("exc")).alias("exception"), X.scope_compatibility(a("parties"), b("parties")).alias("scope"),
+        X.jaccard(a("core"), b("core")).alias("core"), a("text").alias("text_a"), b("text").alias("text_b"), F.greatest(a("exc"), b("exc")).alias("exception"), X.scope_compatibility(a("conds"), b("conds")).alias("scope"), X.draft_similarity(a("clean"), a("said"), b("clean"), b("said")).alias("prop_similarity"),
     )
     c = F.col
-    scores = X.draft_scores(c("sem"), c("prop"), c("mod"), c("neg"), c("cond"), c("party"), c("overlap"), c("prop"), c("core"), c("exception"))
-    return rows.withColumns(scores)
+    similar = c("prop_similarity")
+    rows = rows.withColumns(X.draft_scores(c("sem"), similar, c("mod"), c("neg"), c("cond"), c("party"), c("overlap"), c("prop"), c("core"), c("exception")))
+    later = X.later_scores(
+        c("mod"), c("neg"), c("cond"), c("party"), c("prop"), c("core"), c("scope"), c("strict_conflict_score"), c("aligned_conflict_score"), c("scope_aware_score"),
+        c("clause_reasoning_score"), c("clause_reasoning_score"),
+    )
+    classes = {
+        "structured_class": X.draft_class(c("sem"), similar, c("mod"), c("neg")), "final_class": X.draft_class(c("sem"), similar, c("mod"), c("neg"), c("cond")),
+        "conflict_category": X.conflict_category(c("mod"), c("core"), c("exception")), "explanation_basis": X.draft_reasons(c("mod_a"), c("mod_b"), c("mod"), c("neg"), c("scope"), c("core"), c("prop"), c("cond")),
+    }
+    return rows.withColumns(later | classes)
 
 
-def class_of(score: Column) -> Column:
-    return X.ladder(score, (0.75, "strong_conflict"), (0.50, "possible_conflict"), (0.25, "weak_signal"), otherwise="no_conflict")
+def evidence_records(rows: DataFrame, score: str = "final_conflict_score_3") -> DataFrame:
+    """Pairs as records of evidence: both clauses, their modalities, a conflict score and its explanation."""
+    return rows.select("clause_a", "clause_b", "text_a", "text_b", F.col("mod_a").alias("modality_a"), F.col("mod_b").alias("modality_b"), F.col(score).alias("conflict_score"), F.col("explanation_basis").alias("explanation"))
+
+
+def clause_combinations(clauses: DataFrame, sample: int | None = None) -> DataFrame:
+    """Pairs of a document's clauses that have a modality, each once with the facts of both; of sample documents in the
+    order of a hash of their ids, if given."""
+    x = F.col("text")
+    if sample is not None:
+        some = clauses.select("document_id").distinct().orderBy(F.md5(F.col("document_id").cast("string")), "document_id").limit(sample)
+        clauses = clauses.join(F.broadcast(some) if sample <= 100_000 else some, "document_id", "left_semi")
+    facts = {"modality": T.draft_modality(x), "negation": T.draft_negation(x), "temporal": T.times(x), "numbers": T.numbers(x), "parties": T.draft_parties(x), "conditions": T.draft_conditions(x, True)}
+    made = clauses.select("document_id", "rn", "clause_id", "text", *[v.alias(k) for k, v in facts.items()]).where("modality <> 'none'")
+    pairs = pairs_within(made)
+    return pairs.select(F.col("a.document_id"), *[F.col(f"{side}.{c}").alias(f"{c}_{side}") for side in "ab" for c in ("clause_id", "text", *facts)])
+
+
+def candidate_conflicts(rows: DataFrame, least: float = 0.15, strong: float = 0.30) -> DataFrame:
+    """Pairs (sem, mod, neg) from a similarity of least, with strong_candidate: similar still more, and in conflict."""
+    return rows.where(F.col("sem") >= least).withColumn("strong_candidate", (F.col("sem") >= strong) & ((F.col("mod") == 1) | (F.col("neg") == 1)))
+
+
+def clause_facts(keys: DataFrame, clauses: DataFrame) -> DataFrame:
+    """keys (document_id, span_id) with conditions, temporal, numbers and parties of that clause; empty where it is not there.
+
+    Of several clauses of one key the first by text counts."""
+    names = ("conditions", "temporal", "numbers", "parties")
+    one = clauses.groupBy("document_id", "span_id").agg(F.min_by(F.struct(*names), "text").alias("f"))
+    held = keys.join(one, ["document_id", "span_id"], "left")
+    return held.select("document_id", "span_id", *[F.coalesce(F.col(f"f.{n}"), F.array().cast("array<string>")).alias(n) for n in names])
+
+
+def structured_clauses(clauses: DataFrame) -> DataFrame:
+    """clauses (text) with the drafts' structured features."""
+    x = F.col("text")
+    return clauses.withColumns({
+        "modality": T.draft_modality(x), "negation": T.draft_negation(x), "conditions": T.draft_conditions(x), "temporal": T.times(x), "numbers": T.numbers(x), "parties": T.draft_parties(x),
+        "proposition": T.clean_proposition(x),
+    })

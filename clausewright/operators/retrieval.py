@@ -6,25 +6,119 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import features as X
+from .tables import kept
 
 
-def tfidf(rows: DataFrame, scope: list[str] | None = None, bigrams: bool = True, sublinear: bool = True, max_features: int | None = 20_000, min_df: int = 1) -> DataFrame:
-    """(scope..., id, term, weight) of rows (scope..., id, text): L2-normalised TF-IDF.
+def validated(clauses: DataFrame) -> DataFrame:
+    """clauses, if there are any and each has a clause_id; else a ValueError."""
+    r = clauses.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("clause_id").isNull() | (F.col("clause_id") == "")).alias("without")).first()
+    if not r["n"]:
+        raise ValueError("there are no clauses to index")
+    if r["without"]:
+        raise ValueError(f"{r['without']} clauses have no clause_id")
+    return clauses
 
-    idf = ln((1 + n) / (1 + df)) + 1 over the rows of a scope (all rows without one). The max_features terms with the
-    largest counts stay, ties by term. Term counts are combined before each shuffle."""
-    scope = scope or []
-    tf = rows.select(*scope, "id", F.explode(X.grams(F.col("text"), bigrams)).alias("term")).groupBy(*scope, "id", "term").agg(F.count(F.lit(1)).alias("tf"))
+
+def term_counts(rows: DataFrame, keys: list[str], bigrams: bool = True, accents: bool = False) -> DataFrame:
+    """(keys..., term, tf) of rows (keys..., text)."""
+    return rows.select(*keys, F.explode(X.grams(F.col("text"), bigrams, accents)).alias("term")).groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("tf"))
+
+
+def vocabulary(tf: DataFrame, rows: DataFrame, scope: list[str], max_features: int | None = 20_000, min_df: int = 1) -> DataFrame:
+    """(scope..., term, idf) of term counts of rows: idf = ln((1 + n) / (1 + df)) + 1 over the rows of a scope (all without one).
+
+    The max_features terms with the largest counts stay, ties by term."""
     n = rows.groupBy(*scope).agg(F.count(F.lit(1)).alias("n"))
     terms = tf.groupBy(*scope, "term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total")).where(F.col("df") >= min_df)
     if max_features:
         w = Window.partitionBy(*scope).orderBy(F.desc("total"), "term") if scope else None
         terms = terms.withColumn("r", F.row_number().over(w)).where(F.col("r") <= max_features).drop("r") if scope else terms.orderBy(F.desc("total"), "term").limit(max_features)
     terms = terms.join(n, scope) if scope else terms.crossJoin(F.broadcast(n))  # n is one row
-    terms = terms.select(*scope, "term", (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1).alias("idf"))
+    return terms.select(*scope, "term", (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1).alias("idf"))
+
+
+def weighted(tf: DataFrame, terms: DataFrame, keys: list[str], scope: list[str], sublinear: bool = True) -> DataFrame:
+    """(keys..., term, weight): L2-normalised TF-IDF; terms that are not in the vocabulary are left out before."""
     raw = tf.join(terms, [*scope, "term"]).withColumn("w", (F.log(F.col("tf").cast("double")) + 1 if sublinear else F.col("tf").cast("double")) * F.col("idf"))
-    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(*scope, "id")))
-    return raw.select(*scope, "id", "term", (F.col("w") / norm).alias("weight"))
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(*keys)))
+    return raw.select(*keys, "term", (F.col("w") / norm).alias("weight"))
+
+
+def tfidf(rows: DataFrame, scope: list[str] | None = None, bigrams: bool = True, sublinear: bool = True, max_features: int | None = 20_000, min_df: int = 1, accents: bool = False) -> DataFrame:
+    """(scope..., id, term, weight) of rows (scope..., id, text): L2-normalised TF-IDF, letters without their accents.
+
+    Term counts are combined before each shuffle; a vocabulary of max_features terms is sent to all executors."""
+    scope = scope or []
+    tf = kept(term_counts(rows, [*scope, "id"], bigrams, accents))
+    terms = vocabulary(tf, rows, scope, max_features, min_df)
+    if max_features and max_features <= 200_000 and not scope:
+        terms = F.broadcast(terms)
+    return weighted(tf, terms, [*scope, "id"], scope, sublinear)
+
+
+def score_candidates(queries: DataFrame, candidates: DataFrame, clauses: DataFrame, max_features: int | None = 20_000, accents: bool = True) -> DataFrame:
+    """(query_id, id, score) of the candidates (query_id, id): cosines of queries (query_id, text) and clauses (id, text),
+    the vocabulary that of all clauses."""
+    tf = kept(term_counts(clauses, ["id"], accents=accents))
+    terms = kept(vocabulary(tf, clauses, [], max_features))
+    one = weighted(term_counts(queries, ["query_id"], accents=accents), terms, ["query_id"], []).withColumnRenamed("weight", "wq")
+    two = weighted(tf, terms, ["id"], [])
+    dots = candidates.join(one, "query_id").join(two, ["id", "term"]).groupBy("query_id", "id").agg(F.sum(F.col("wq") * F.col("weight")).alias("dot"))
+    return candidates.join(dots, ["query_id", "id"], "left").select("query_id", "id", F.coalesce("dot", F.lit(0.0)).alias("score"))
+
+
+def retrieve(queries: DataFrame, clauses: DataFrame, k: int = 5, max_features: int | None = 30_000) -> DataFrame:
+    """(document_id, query_id, id, score, rank): for queries (document_id, query_id, text) the k best clauses (document_id,
+    id, ord, text) of the document; the vocabulary is that of all clauses. Of equal ones the later clause comes first."""
+    pairs = queries.select("document_id", "query_id").join(clauses.select("document_id", "id", "ord"), "document_id")
+    keyed = pairs.select(F.struct("document_id", "query_id").alias("query_id"), "id", "ord")
+    scored = score_candidates(queries.select(F.struct("document_id", "query_id").alias("query_id"), "text"), keyed.select("query_id", "id"), clauses.select("id", "text"), max_features)
+    order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), F.desc("ord"))
+    ranked = scored.join(keyed, ["query_id", "id"]).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return ranked.select("query_id.document_id", "query_id.query_id", "id", "score", "rank")
+
+
+def clause_pairs(examples: DataFrame, clauses: DataFrame, k: int = 5) -> DataFrame:
+    """Examples (document_id, label_id, hypothesis, ...) each with its k retrieved clauses: span_id, clause, retrieval_score."""
+    asked = examples.select("document_id", F.col("label_id").alias("query_id"), F.col("hypothesis").alias("text"))
+    found = retrieve(asked, clauses, k).join(clauses.select("document_id", "id", F.col("text").alias("clause")), ["document_id", "id"])
+    return examples.join(found.select("document_id", F.col("query_id").alias("label_id"), F.col("id").alias("span_id"), "clause", F.col("score").alias("retrieval_score")), ["document_id", "label_id"])
+
+
+def candidate_ids(listed: Column, scores: Column) -> Column:
+    """Distinct ids of a list of candidates in its order; where it is null or empty the keys of the score map."""
+    none = F.array().cast("array<string>")
+    return F.array_distinct(F.when(F.size(F.coalesce(listed, none)) > 0, listed).otherwise(F.coalesce(F.map_keys(scores), none)))
+
+
+def clean_candidates(queries: DataFrame, candidates: DataFrame, gold: DataFrame, clauses: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Candidates that can be evaluated, and one row of counts of what was left out.
+
+    queries (document_id, query_id, has_scores), candidates (document_id, query_id, clause_id), gold (the same), clauses
+    (clause_id, document_id). In this order a query goes that has no gold, no candidate, no scores, or no candidate left
+    once those go that are unknown or of another document; unknown ones are counted."""
+    key = ["document_id", "query_id"]
+    with_gold = queries.join(gold.select(*key).distinct().withColumn("_g", F.lit(True)), key, "left")
+    listed = candidates.join(clauses.select("clause_id", F.col("document_id").alias("_own")), "clause_id", "left").withColumn("_good", F.col("_own") == F.col("document_id"))
+    per = listed.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"), F.count_if(F.col("_own").isNull()).alias("_unknown"), F.count_if("_good").alias("_kept"))
+    q = with_gold.join(per, key, "left")
+    no_gold, no_list = F.col("_g").isNull(), F.col("_n").isNull()
+    no_scores = ~F.coalesce("has_scores", F.lit(False))
+    reached = ~no_gold & ~no_list & ~no_scores
+    none_left = reached & (F.col("_kept") == 0)
+    counts = q.agg(
+        F.count_if(no_gold).alias("missing_gold"), F.count_if((~no_gold & no_list) | none_left).alias("missing_candidates"), F.count_if(~no_gold & ~no_list & no_scores).alias("missing_scores"),
+        F.coalesce(F.sum(F.when(reached, F.col("_unknown"))), F.lit(0)).alias("missing_clause_ids"), F.count_if(reached & (F.col("_kept") > 0)).alias("queries"),
+    )
+    kept_queries = q.where(reached & (F.col("_kept") > 0)).select(*key)
+    return listed.where("_good").select(*key, "clause_id").join(kept_queries, key, "left_semi"), counts
+
+
+def coverage(candidates: DataFrame, gold: DataFrame) -> DataFrame:
+    """One row: queries, those with gold among their candidates, and their share (0 without queries)."""
+    key = ["document_id", "query_id"]
+    hit = candidates.join(gold.select(*key, "clause_id").distinct().withColumn("_g", F.lit(1)), [*key, "clause_id"], "left").groupBy(*key).agg(F.max("_g").alias("hit"))
+    return hit.agg(F.count(F.lit(1)).alias("queries"), F.count("hit").alias("covered")).withColumn("coverage", F.coalesce(F.try_divide("covered", "queries"), F.lit(0.0)))
 
 
 def top_k_similar(clauses: DataFrame, weights: DataFrame, k: int = 10, group: str | None = "document_id") -> DataFrame:
@@ -56,7 +150,7 @@ def rank_for_queries(queries: DataFrame, clauses: DataFrame) -> DataFrame:
 
     queries: document_id, query_id, text; clauses: document_id, id, ord, text. The corpus is the document's clauses."""
     n = clauses.groupBy("document_id").agg(F.count(F.lit(1)).alias("n"))
-    tf = clauses.select("document_id", "id", F.explode(X.grams(F.col("text"))).alias("term")).groupBy("document_id", "id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    tf = clauses.select("document_id", "id", F.explode(X.grams(F.col("text"), accents=False)).alias("term")).groupBy("document_id", "id", "term").agg(F.count(F.lit(1)).alias("tf"))
     idf = tf.groupBy("document_id", "term").agg(F.count(F.lit(1)).alias("df")).join(n, "document_id").select("document_id", "term", (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1).alias("idf"))
 
     def weighted(t: DataFrame, key: str) -> DataFrame:
@@ -64,7 +158,7 @@ def rank_for_queries(queries: DataFrame, clauses: DataFrame) -> DataFrame:
         norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("document_id", key)))
         return w.select("document_id", key, "term", (F.col("w") / norm).alias(f"w_{key}"))
 
-    asked = queries.select("document_id", "query_id", F.explode(X.grams(F.col("text"))).alias("term")).groupBy("document_id", "query_id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    asked = queries.select("document_id", "query_id", F.explode(X.grams(F.col("text"), accents=False)).alias("term")).groupBy("document_id", "query_id", "term").agg(F.count(F.lit(1)).alias("tf"))
     dots = weighted(asked, "query_id").join(weighted(tf, "id"), ["document_id", "term"]).groupBy("document_id", "query_id", "id").agg(F.sum(F.col("w_query_id") * F.col("w_id")).alias("dot"))
     every = queries.select("document_id", "query_id").join(clauses.select("document_id", "id", "ord"), "document_id")
     scored = every.join(dots, ["document_id", "query_id", "id"], "left").withColumn("score", F.coalesce("dot", F.lit(0.0)))
@@ -99,6 +193,11 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, v: s + v)
 
 
+def cosine(a: Column, b: Column) -> Column:
+    """Of two dense vectors; 0 where one of them is zero."""
+    return F.coalesce(F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))), F.lit(0.0))
+
+
 def contexts(ranked: DataFrame, k: int) -> DataFrame:
     """(query_id, context): the texts of the first k candidates, joined in the order of their ranks."""
     held = ranked.where(F.col("rank") <= k).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "text"))).alias("x"))

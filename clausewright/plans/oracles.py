@@ -73,8 +73,8 @@ tiled AS (
   SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS rn, {strip("piece")} AS text FROM tiled WHERE length({strip("piece")}) >= 10
 )"""
 
-SYNTH = f"synth AS ({SYNTH_SQL})"
-FACTS = f"""{SYNTH}, facts AS (
+SYNTH = f"synth AS MATERIALIZED ({SYNTH_SQL})"
+FACTS = f"""{SYNTH}, facts AS MATERIALIZED (
   SELECT *, {first_class("text", T.MODALITIES)} AS modality, {first_class("text", T.PARTIES)} AS party, {condition("text")} AS condition, {has("text", T.NEGATIONS)} AS negated FROM synth
 )"""
 
@@ -90,7 +90,7 @@ PAIRS = f"""{FACTS}, tf AS (
   SELECT document_id, rn, clause_id, g, 1 + ln(count(*)) AS t FROM ({grams("synth", "document_id, rn, clause_id")}) GROUP BY ALL
 ), size2 AS (
   SELECT clause_id, sum(t * t) AS s2 FROM tf GROUP BY clause_id
-), pairs AS (
+), pairs AS MATERIALIZED (
   SELECT a.document_id, a.clause_id AS clause_a, b.clause_id AS clause_b, a.text AS text_a, b.text AS text_b, a.modality AS ma, b.modality AS mb, a.party AS pa, b.party AS pb, a.condition AS ca, b.condition AS cb, a.negated AS na, b.negated AS nb
   FROM facts a JOIN facts b ON a.document_id = b.document_id AND a.rn < b.rn
 ), dots AS (
@@ -103,7 +103,7 @@ PAIRS = f"""{FACTS}, tf AS (
 ), cdots AS (
   SELECT x.clause_id AS clause_a, y.clause_id AS clause_b, sum(x.t * y.t) AS dot, sum(x.t * x.t) AS sa, sum(y.t * y.t) AS sb
   FROM ctf x JOIN ctf y ON x.document_id = y.document_id AND x.g = y.g AND x.rn < y.rn GROUP BY ALL
-), featured AS (
+), featured AS MATERIALIZED (
   SELECT p.*,
     coalesce(d.dot / sqrt((d.sa + {LN3_2}::DOUBLE ** 2 * (u.s2 - d.sa)) * (d.sb + {LN3_2}::DOUBLE ** 2 * (v.s2 - d.sb))), 0) AS sem,
     coalesce(c.dot / sqrt((c.sa + {LN3_2}::DOUBLE ** 2 * (cu.s2 - c.sa)) * (c.sb + {LN3_2}::DOUBLE ** 2 * (cv.s2 - c.sb))), 0) AS cond,
@@ -133,42 +133,46 @@ def stems(x: str) -> str:
 _UNIT = "CASE WHEN regexp_matches(u, 'hour|minute') THEN 'short' WHEN contains(u, 'day') THEN 'day' WHEN contains(u, 'week') THEN 'week' WHEN contains(u, 'month') THEN 'month' WHEN contains(u, 'year') THEN 'year' END"
 
 
-def _times(side: str) -> str:
-    day = T._DAY_UNITS
-    clock = T._CLOCK_UNITS
-    part = lambda p, g: f"unnest(regexp_extract_all(lower(text_{side}), {q(chr(92) + 'b' + p)}, {g}))"
-    sub = lambda p, o: f"SELECT clause_a, clause_b, {part(p, 1)} AS v, {part(p, 2)} AS u, {o} + generate_subscripts(regexp_extract_all(lower(text_{side}), {q(chr(92) + 'b' + p)}, 1), 1) AS k FROM pairs"
-    return f"SELECT clause_a, clause_b, v::DOUBLE AS v, {_UNIT} AS f, k FROM ({sub(day, 0)} UNION ALL {sub(clock, 1000)})"
+def _durations(pattern: str, first: int) -> str:
+    found = lambda g: f"regexp_extract_all(lower(text), {q(chr(92) + 'b' + pattern)}, {g})"
+    return f"SELECT clause_id, unnest({found(1)}) AS v, unnest({found(2)}) AS u, {first} + generate_subscripts({found(1)}, 1) AS k FROM synth"
 
 
-TEMPORAL = f"""{PAIRS}, ta AS ({_times("a")}), tb AS ({_times("b")}), differing AS (
-  SELECT ta.clause_a, ta.clause_b, count(*) AS n, arg_min(ta.v, ta.k * 10000 + tb.k) AS va, arg_min(tb.v, ta.k * 10000 + tb.k) AS vb
-  FROM ta JOIN tb ON ta.clause_a = tb.clause_a AND ta.clause_b = tb.clause_b AND ta.f = tb.f AND ta.v <> tb.v GROUP BY ALL
+TEMPORAL = f"""{PAIRS}, told AS MATERIALIZED (
+  SELECT clause_id, v::DOUBLE AS v, {_UNIT} AS f, k FROM ({_durations(T._DAY_UNITS, 0)} UNION ALL {_durations(T._CLOCK_UNITS, 1000)})
+), stemmed AS MATERIALIZED (
+  SELECT clause_id, {stems("text")} AS st FROM synth
+), told_a AS MATERIALIZED (
+  SELECT p.clause_a, p.clause_b, t.v, t.f, t.k FROM pairs p JOIN told t ON t.clause_id = p.clause_a
+), differing AS MATERIALIZED (
+  SELECT x.clause_a, x.clause_b, count(*) AS n, arg_min(x.v, x.k * 10000 + y.k) AS va, arg_min(y.v, x.k * 10000 + y.k) AS vb
+  FROM told_a x JOIN told y ON y.clause_id = x.clause_b AND x.f = y.f WHERE x.v <> y.v GROUP BY ALL
+), met AS MATERIALIZED (
+  SELECT d.*, len(list_intersect(x.st, y.st)) AS shared FROM differing d JOIN stemmed x ON x.clause_id = d.clause_a JOIN stemmed y ON y.clause_id = d.clause_b
 ), timed AS (
-  SELECT s.*, d.va, d.vb, len(list_intersect({stems("text_a")}, {stems("text_b")})) AS shared,
-    CASE WHEN d.n > 0 AND len(list_intersect({stems("text_a")}, {stems("text_b")})) > 0 THEN least(1.0, 0.75::DOUBLE + CASE WHEN party THEN 0.10 ELSE 0 END::DOUBLE
+  SELECT s.*, d.va, d.vb, d.shared, CASE WHEN d.n > 0 AND d.shared > 0 THEN least(1.0, 0.75::DOUBLE + CASE WHEN party THEN 0.10 ELSE 0 END::DOUBLE
       + CASE WHEN (ma = 'obligation' AND mb = 'permission') OR (ma = 'permission' AND mb = 'obligation') THEN 0.10 WHEN ma = 'obligation' AND mb = 'obligation' THEN 0.05 ELSE 0 END::DOUBLE) ELSE 0 END AS temporal
-  FROM scored s LEFT JOIN differing d USING (clause_a, clause_b)
-), hybrid AS (
+  FROM scored s LEFT JOIN met d USING (clause_a, clause_b)
+), hybrid AS MATERIALIZED (
   SELECT *, CASE WHEN (mod = 1 OR neg = 1) AND party THEN 0.90 ELSE 0.05 END::DOUBLE AS p,
     least(greatest(CASE WHEN (mod = 1 OR neg = 1) AND party THEN 0.90 ELSE 0.05 END::DOUBLE * 0.95::DOUBLE + score * 0.05::DOUBLE, 0), 1) AS hybrid,
     CASE WHEN temporal > 0 THEN 'temporal_deadline_conflict' ELSE kind END AS final
   FROM timed
 )"""
 
-GRAPH = f"""{TEMPORAL}, edges AS (
+GRAPH = f"""{TEMPORAL}, edges AS MATERIALIZED (
   SELECT clause_a AS src, clause_b AS dst, CASE WHEN hybrid >= 0.71 THEN 'conflict' ELSE 'related' END AS relationship, hybrid AS weight, final AS conflict_type FROM hybrid
-), adj AS (
+), adj AS MATERIALIZED (
   SELECT src AS node_id, dst AS other, weight AS w FROM edges WHERE relationship = 'conflict' UNION ALL SELECT dst, src, weight FROM edges WHERE relationship = 'conflict'
-), base AS (
+), base AS MATERIALIZED (
   SELECT s.clause_id AS node_id, CASE WHEN count(w) > 0 THEN least(max(w), 1) ELSE 0 END AS direct, count(w) AS degree FROM synth s LEFT JOIN adj ON adj.node_id = s.clause_id GROUP BY s.clause_id
 )""" + "".join(
-    f""", r{i} AS (
+    f""", r{i} AS MATERIALIZED (
   SELECT b.node_id, least(greatest(any_value(b.direct) * 0.70::DOUBLE + 0.30::DOUBLE * coalesce(sum(a.w * p.score) / nullif(sum(a.w), 0), 0), 0), 1) AS score
   FROM base b LEFT JOIN adj a ON a.node_id = b.node_id LEFT JOIN {"(SELECT node_id, direct AS score FROM base)" if i == 1 else f"r{i - 1}"} p ON p.node_id = a.other GROUP BY b.node_id
 )"""
     for i in (1, 2, 3)
-) + """, propagated AS (
+) + """, propagated AS MATERIALIZED (
   SELECT b.*, r3.score AS propagated, CASE WHEN r3.score >= 0.80 THEN 'high' WHEN r3.score >= 0.60 THEN 'medium' WHEN r3.score >= 0.30 THEN 'low' ELSE 'none' END AS hotspot FROM base b JOIN r3 USING (node_id)
 )"""
 

@@ -73,40 +73,66 @@ def gold_spans(rows: DataFrame, documents: DataFrame) -> DataFrame:
     return joined.select("document_id", "query_id", F.col("s")[0].alias("start"), F.col("s")[1].alias("finish"))
 
 
-def _pdf_text(content: Column) -> Column:
-    """Text of PDF pages, joined by newlines; pages that fail or are empty are left out. Needs the optional pypdf."""
+def pdf_texts(rows: DataFrame) -> DataFrame:
+    """rows with text in place of content: the pages of PDF files, joined by newlines. Needs the optional pypdf.
 
-    @F.udf("string")
-    def read(data):
+    Pages that fail or are empty are left out; a file that does not open has null."""
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "content")
+    names = [c for c in rows.columns if c != "content"]
+
+    def read(data: bytes) -> str | None:
         import io
 
         from pypdf import PdfReader
 
+        try:
+            pages = list(PdfReader(io.BytesIO(data)).pages)
+        except Exception:  # noqa: BLE001  a broken file costs only itself
+            return None
         found = []
-        for page in PdfReader(io.BytesIO(data)).pages:
+        for page in pages:
             try:
                 found.append((page.extract_text() or "").strip())
             except Exception:  # noqa: BLE001  a broken page costs only itself
                 continue
         return "\n".join(x for x in found if x).strip()
 
-    return read(content)
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            texts = pa.array([None if x is None else read(x) for x in batch.column(batch.num_columns - 1).to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], texts], names=[*names, "text"])
+
+    return rows.select(*names, "content").mapInArrow(run, f"{kinds}, text string")
 
 
 def uploaded(spark: SparkSession, path: str) -> DataFrame:
-    """(document_id, text) of .txt and .pdf files below path; another extension is an error."""
+    """(document_id, text) of .txt and .pdf files below path; another extension is an error, a broken PDF has null."""
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     name = F.element_at(F.split("path", "/"), -1)
-    ext = F.lower(F.regexp_extract(name, r"\.([^.]+)$", 1))
-    txt = T.strip(F.make_valid_utf8(F.col("content").cast("string")))
-    text = F.when(ext == "txt", txt).when(ext == "pdf", _pdf_text(F.col("content"))).otherwise(F.raise_error(F.concat(F.lit("unsupported file type: "), name)))
-    return rows.select(T.document_id_of(F.regexp_replace(name, r"\.[^.]+$", "")).alias("document_id"), text.alias("text"))
+    rows = rows.select(T.document_id_of(F.regexp_replace(name, r"\.[^.]+$", "")).alias("document_id"), name.alias("name"), F.lower(F.regexp_extract(name, r"\.([^.]+)$", 1)).alias("ext"), "content")
+    text = F.when(F.col("ext") == "txt", T.strip(F.make_valid_utf8(F.col("content").cast("string")))).otherwise(F.raise_error(F.concat(F.lit("unsupported file type: "), F.col("name"))))
+    plain = rows.where("ext <> 'pdf'").select("document_id", text.alias("text"))
+    return plain.unionByName(pdf_texts(rows.where("ext = 'pdf'").select("document_id", "content")))
 
 
 def validated(raw: DataFrame) -> DataFrame:
-    """One row on an NLI corpus file: number of documents and labels, whether the first document is whole, its length."""
-    first = F.get("documents", F.lit(0))
-    return raw.select(F.size("documents").alias("documents"), F.size(F.map_keys("labels")).alias("labels"), (first["id"].isNotNull() & first["text"].isNotNull() & first["spans"].isNotNull()).alias("first_is_whole"), F.length(first["text"]).alias("first_length"))
+    """One row on a corpus file: the top-level keys, numbers of documents and labels (null where there are none), whether
+    the first document is whole, and its length. A file that is not there is an error when it is read."""
+    have = raw.columns
+    documents = F.col("documents") if "documents" in have else F.lit(None).cast("array<struct<id:bigint,text:string,spans:array<array<int>>>>")
+    labels = F.col("labels") if "labels" in have else F.lit(None).cast("map<string,string>")
+    first = F.get(documents, F.lit(0))
+    return raw.select(
+        F.array(*[F.lit(c) for c in sorted(have)]).alias("keys"), F.when(documents.isNotNull(), F.size(documents)).alias("documents"), F.when(labels.isNotNull(), F.size(F.map_keys(labels))).alias("labels"),
+        F.coalesce(first["id"].isNotNull() & first["text"].isNotNull() & first["spans"].isNotNull(), F.lit(False)).alias("first_is_whole"), F.length(first["text"]).alias("first_length"),
+    )
+
+
+def listed_hypotheses(raw: DataFrame) -> DataFrame:
+    """(label_id, hypothesis) where labels are a list of (id, hypothesis)."""
+    return raw.select(F.explode("labels").alias("v")).select(F.col("v.id").cast("string").alias("label_id"), "v.hypothesis")
 
 
 def read_clauses(spark: SparkSession, path: str) -> DataFrame:
@@ -127,3 +153,46 @@ def write_json(rows: DataFrame, path: str) -> None:
 def write_audit(rows: DataFrame, path: str) -> None:
     """CSV with the two columns that reviewers fill in."""
     rows.withColumn("human_relevance", F.lit("")).withColumn("review_notes", F.lit("")).write.mode("overwrite").option("header", True).csv(path)
+
+
+def write_json_array(rows: DataFrame, path: str, most: int = 1_000_000) -> None:
+    """A report of at most so many rows as one JSON file: an array, indented by two, fields that are null included."""
+    import json
+
+    n = rows.count()
+    if n > most:
+        raise ValueError(f"{n} rows are too many for one file: use write_json")
+    with open(path, "w", encoding="utf-8") as f:
+        f.write("[")
+        for k, row in enumerate(rows.toLocalIterator()):
+            f.write(("," if k else "") + "\n" + "\n".join("  " + x for x in json.dumps(row.asDict(True), indent=2, ensure_ascii=False, default=str).split("\n")))
+        f.write("\n]" if n else "]")
+
+
+def write_csv(rows: DataFrame, path: str) -> None:
+    rows.write.mode("overwrite").option("header", True).csv(path)
+
+
+def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    return spark.read.schema(schema).option("header", True).csv(path)
+
+
+def write_pickle(rows: DataFrame, path: str, most: int = 1_000_000) -> None:
+    """A table of at most so many rows as one pickled pandas frame, for notebooks."""
+    if (n := rows.count()) > most:
+        raise ValueError(f"{n} rows are too many for one frame")
+    rows.toPandas().to_pickle(path)
+
+
+def read_pickle(spark: SparkSession, path: str) -> DataFrame:
+    """A pickled frame of one's own; pickles of others can run code when they are read."""
+    import pandas as pd
+
+    return spark.createDataFrame(pd.read_pickle(path))
+
+
+def qa_clauses(raw: DataFrame) -> DataFrame:
+    """Full clause rows of a question-answering corpus."""
+    from ..operators.clauses import preprocess
+
+    return preprocess(qa_documents(raw), "cuad")

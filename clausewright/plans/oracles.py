@@ -126,8 +126,8 @@ def _stem(w: str) -> str:
     return f"CASE WHEN {w} LIKE '%ies' AND {n} > 4 THEN {cut(3)} || 'y' WHEN {w} LIKE '%ing' AND {n} > 5 THEN {cut(3)} WHEN {w} LIKE '%ed' AND {n} > 4 THEN {cut(2)} WHEN {w} LIKE '%s' AND {n} > 4 THEN {cut(1)} ELSE {w} END"
 
 
-def stems(x: str) -> str:
-    return f"list_sort(list_distinct(list_transform(list_filter(regexp_extract_all(lower({x}), '[a-z]{{3,}}'), lambda w: NOT ({within('w', T.STEM_STOP)})), lambda w: {_stem('w')})))"
+def stems(x: str, more: tuple[str, ...] = ()) -> str:
+    return f"list_sort(list_distinct(list_transform(list_filter(regexp_extract_all(lower({x}), '[a-z]{{3,}}'), lambda w: NOT ({within('w', (*T.STEM_STOP, *more))})), lambda w: {_stem('w')})))"
 
 
 _UNIT = "CASE WHEN regexp_matches(u, 'hour|minute') THEN 'short' WHEN contains(u, 'day') THEN 'day' WHEN contains(u, 'week') THEN 'week' WHEN contains(u, 'month') THEN 'month' WHEN contains(u, 'year') THEN 'year' END"

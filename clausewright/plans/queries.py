@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -14,12 +13,14 @@ from ..operators import graph as G
 from ..operators import inference as J
 from ..operators import reasoning as R
 from ..operators import retrieval as S
+from ..operators.tables import kept
 from ..sources.synth import synth_clauses
 from . import contracts as P
+from . import draft_queries
 from . import oracles as O
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+QUERIES: dict = dict(draft_queries.QUERIES)
+ORACLES: dict[str, str] = dict(draft_queries.ORACLES)
 
 
 def query(name: str, oracle: str | None = None):
@@ -97,25 +98,10 @@ def b18(spark, d):
     return synth_clauses(spark, d).select("clause_id", T.draft_modality(x).alias("modality"), T.draft_negation(x).alias("negated"), T.exception_flag(x).alias("exception"))
 
 
-@query("b20_extractors", f"""WITH {O.SYNTH} SELECT clause_id, {O.joined(O.all_of("text", [f"(?i){p}" for p in T.TIMES]))} AS times, {O.joined(O.all_of("text", [f"(?i){p}" for p in T.NUMBERS]))} AS numbers,
- {O.joined(O.all_of("lower(text)", [rf"{chr(92)}b{p}{chr(92)}b" for p in T.DRAFT_PARTIES]))} AS parties,
- {O.joined("list_transform(" + O.all_of("lower(text)", [rf"{chr(92)}b{p}{chr(92)}b[^,.;]*" for p in T.DRAFT_CONDITIONS]) + ", lambda x: " + O.strip("x") + ")")} AS conditions FROM synth""")
-def b20(spark, d):
+@query("b34_stems", f"WITH {O.SYNTH} SELECT clause_id, array_to_string({O.stems('text')}, '|') AS stems, array_to_string({O.stems('text', ('employee',))}, '|') AS action_stems FROM synth")
+def b34(spark, d):
     x = F.col("text")
-    return synth_clauses(spark, d).select("clause_id", _joined(T.times(x)).alias("times"), _joined(T.numbers(x)).alias("numbers"), _joined(T.draft_parties(x)).alias("parties"), _joined(T.draft_conditions(x)).alias("conditions"))
-
-
-@query("b26_normal_forms", f"""WITH {O.SYNTH} SELECT clause_id, {O.strip(O.rep("lower(text)", chr(92) + "s+", "' '"))} AS clause, {O.strip(O.rep("lower(" + O.without("lower(text)", T.PROPOSITION_DROPS) + ")", chr(92) + "s+", "' '"))} AS core,
- array_to_string(list_filter(regexp_extract_all({O.without(O.without("lower(text)", T.BOILERPLATE), T.PROPOSITION_DROPS)}, '[a-z]+'), lambda w: NOT ({O.within("w", T.FILLERS)})), ' ') AS proposition,
- {O.joined("list_filter(regexp_extract_all(lower(text), '\\b[a-z]{3,}\\b'), lambda w: NOT (" + O.within("w", T.PROPOSITION_STOP) + "))")} AS tokens, array_to_string({O.stems("text")}, '|') AS stems FROM synth""")
-def b26(spark, d):
-    x = F.col("text")
-    return synth_clauses(spark, d).select("clause_id", T.normalize_clause(x).alias("clause"), T.action_core(x).alias("core"), T.normalize_proposition(x).alias("proposition"), F.array_join(T.proposition_tokens(x), "|").alias("tokens"), F.array_join(T.stem_tokens(x), "|").alias("stems"))
-
-
-@query("b31_subject_action_object")
-def b31(spark, d):
-    return synth_clauses(spark, d).select("clause_id", T.subject_action_object(F.col("text")).alias("s")).select("clause_id", "s.*")
+    return synth_clauses(spark, d).select("clause_id", F.array_join(T.stem_tokens(x), "|").alias("stems"), F.array_join(T.stem_tokens(x, ("employee",)), "|").alias("action_stems"))
 
 
 @query("c18_word_sets", "SELECT doc_id, len(list_distinct(regexp_extract_all(regexp_replace(lower(text), '[^\\x00-\\x7F]', '_', 'g'), '\\b[a-z]{3,}\\b')))::BIGINT AS n FROM documents")
@@ -280,30 +266,6 @@ def d26(spark, d):
     return rows.where("found_a <> '[CLAUSE TEXT NOT FOUND]'").groupBy("conflict_type").agg(F.count(F.lit(1)).alias("n"))
 
 
-_DRAFT = f"""{O.SYNTH}, made AS (SELECT document_id, rn, clause_id, text, coalesce({O.first_class("text", (("prohibition", T.DRAFT_PROHIBITION), ("obligation", T.DRAFT_OBLIGATION), ("permission", T.DRAFT_PERMISSION)))}, 'none') AS m,
-   list_distinct({O.all_of("lower(text)", [rf"{chr(92)}b{p}{chr(92)}b" for p in T.DRAFT_PARTIES])}) AS parties,
-   list_distinct(list_filter(regexp_extract_all(lower(text), '\\b[a-z]{{3,}}\\b'), lambda w: NOT ({O.within("w", T.PROPOSITION_STOP)}))) AS prop FROM synth),
- dp AS (SELECT a.clause_id AS clause_a, b.clause_id AS clause_b,
-   CASE WHEN (a.m = 'prohibition' AND b.m IN ('obligation', 'permission')) OR (b.m = 'prohibition' AND a.m IN ('obligation', 'permission')) THEN 1.0 ELSE 0.0 END::DOUBLE AS mod,
-   len(list_intersect(a.prop, b.prop)) AS i, len(list_distinct(list_concat(a.prop, b.prop))) AS u, least(len(a.prop), len(b.prop)) AS s,
-   CASE WHEN len(a.parties) = 0 AND len(b.parties) = 0 THEN 1.0 WHEN len(a.parties) = 0 OR len(b.parties) = 0 THEN 0.5 WHEN len(list_intersect(a.parties, b.parties)) > 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS scope
-   FROM made a JOIN made b ON a.document_id = b.document_id AND a.rn < b.rn AND a.text <> b.text)"""
-
-
-@query("d27_draft_pair_features", f"""WITH {_DRAFT} SELECT clause_a, clause_b, mod, round(CASE WHEN u > 0 THEN i / u::DOUBLE ELSE 0 END, 6) AS jaccard, round(CASE WHEN s > 0 THEN i / s::DOUBLE ELSE 0 END, 6) AS overlap, scope,
- ((CASE WHEN u > 0 THEN i / u::DOUBLE ELSE 0 END) >= 0.30 AND mod = 1)::INT AS aligned FROM dp""")
-def d27(spark, d):
-    rows = R.draft_pairs(synth_clauses(spark, d))
-    return rows.select("clause_a", "clause_b", "mod", F.round("prop", 6).alias("jaccard"), F.round("overlap", 6).alias("overlap"), "scope", F.col("aligned_conflict").alias("aligned"))
-
-
-@query("d30_score_families")
-def d30(spark, d):
-    rows = R.draft_pairs(synth_clauses(spark, d))
-    names = ["structured_score", "final_structured_score", "structured_conflict_score", "strict_conflict_score", "aligned_conflict_score", "scope_aware_score", "clause_reasoning_score"]
-    return rows.select("clause_a", "clause_b", *names, R.class_of(F.col("strict_conflict_score")).alias("class"))
-
-
 @query("e04_temporal_conflicts", f"WITH {O.TEMPORAL} SELECT clause_a, clause_b, round(temporal, 6) AS score, va AS value_a, vb AS value_b, shared::BIGINT AS shared FROM timed WHERE temporal > 0")
 def e04(spark, d):
     rows = _hybrid(spark, d).where("temporal_score > 0")
@@ -321,7 +283,7 @@ def e01(spark, d):
 # --- F, G, H: graph, risk, resolutions --------------------------------------------------------------------------------
 def _graph(spark, d):
     rows = synth_clauses(spark, d)
-    edges = G.edges_of(_hybrid(spark, d)).persist(StorageLevel.MEMORY_AND_DISK)  # read once a round; recomputed if lost
+    edges = kept(G.edges_of(_hybrid(spark, d)))  # read once a round
     nodes = G.nodes_of(rows)
     return nodes, edges, G.propagate(nodes, edges)
 

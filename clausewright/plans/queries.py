@@ -67,6 +67,14 @@ def b05(spark, d):
     return rows.select("clause_id", T.is_fragment(F.col("text")).alias("fragment"), "modality", "party", "condition", "proposition", T.contains_negation(F.col("text")).alias("negated"))
 
 
+@query("b09_documents_to_clauses", f"""WITH {O.SEGMENTS}, marked AS (SELECT *, (NOT {O.fragment("text")}) OR rn = 1 AS own FROM segments) SELECT doc_id || '_clause_' || lpad(rn::VARCHAR, greatest(4, length(rn::VARCHAR)), '0') AS clause_id, length(text)::BIGINT AS n,
+ {O.first_class("text", T.MODALITIES)} AS modality, {O.first_class("text", T.PARTIES)} AS party, md5({O.proposition("text")}) AS proposition FROM marked""")
+def b09(spark, d):
+    docs = spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").cast("string").alias("id"), F.lit("").alias("title"), "text")
+    rows = C.preprocess(docs, "corpus")
+    return rows.select("clause_id", F.length("text").cast("long").alias("n"), "modality", "party", F.md5("proposition").alias("proposition"))
+
+
 @query("b10_report", f"""WITH {O.FACTS} SELECT 'modality' AS kind, modality AS value, count(*) AS n, count(condition) AS with_condition FROM facts GROUP BY modality
  UNION ALL SELECT 'party', party, count(*), count(condition) FROM facts GROUP BY party""")
 def b10(spark, d):
@@ -231,11 +239,44 @@ def d11(spark, d):
     return _analyzed(spark, d).select("clause_a", "clause_b", F.round("semantic_similarity", 6).alias("semantic_similarity"), "modality_conflict", "negation_conflict", "same_party", F.round("condition_similarity", 6).alias("condition_similarity"), F.round("structured_score", 6).alias("score"), F.col("structured_type").alias("conflict_type"), F.col("is_structured_conflict").alias("is_conflict"))
 
 
-@query("d10_reasons")
+@query("d10_reasons", f"""WITH {O.PAIRS}, told AS (SELECT *, concat_ws('; ', CASE WHEN round(sem, 9) >= 0.40 THEN 'the clauses discuss semantically related content' END, CASE WHEN mod > 0 THEN 'their modalities indicate opposing obligations, permissions, or prohibitions' END,
+   CASE WHEN neg > 0 THEN 'one clause contains negation while the other does not' END, CASE WHEN party THEN 'the clauses refer to the same detected party' END, CASE WHEN round(cond, 9) > 0.50 THEN 'their conditions are similar' END) AS r FROM scored)
+ SELECT clause_a, clause_b, CASE WHEN r = '' THEN 'No strong structured conflict indicators were detected.' ELSE 'Potential conflict type: ' || kind || '. ' || r || '.' END AS reasons FROM told""")
 def d10(spark, d):
     return _analyzed(spark, d).select("clause_a", "clause_b", "reasons")
 
 
+_TWO = "format('{{:.2f}}', {0})"
+
+
+@query("d15_hybrid_reasons", f"""WITH {O.TEMPORAL} SELECT clause_a, clause_b, 'Hybrid reasoning: ' || concat_ws('; ', CASE WHEN p > 0.5 THEN 'Legal-BERT detected contradiction with probability ' || {_TWO.format('p')} ELSE 'Legal-BERT did not detect a strong contradiction' END,
+   CASE WHEN score >= 0.50 THEN 'structured reasoning detected conflict indicators (score=' ELSE 'structured reasoning found limited conflict indicators (score=' END || {_TWO.format('score')} || ')',
+   CASE WHEN kind <> 'no_clear_conflict' THEN 'conflict pattern: ' || kind END, CASE WHEN temporal > 0 THEN 'temporal analysis detected temporal_deadline_conflict (score=' || {_TWO.format('temporal')} || ')' END) || '.' AS explanation FROM hybrid""")
+def d15(spark, d):
+    return _hybrid(spark, d).select("clause_a", "clause_b", "explanation")
+
+
+@query("d17_inference_pairs", f"""WITH {O.SYNTH}, marked AS (SELECT *, (NOT {O.fragment("text")}) OR rn = 1 AS own FROM synth),
+ held AS (SELECT *, CASE WHEN NOT own THEN max(CASE WHEN own THEN rn END) OVER (PARTITION BY document_id ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) END AS prn FROM marked),
+ ctx AS MATERIALIZED (SELECT h.clause_id, h.document_id, h.rn, h.text, CASE WHEN p.clause_id IS NULL THEN h.text ELSE p.text || ' ' || h.text END AS context FROM held h LEFT JOIN synth p ON p.document_id = h.document_id AND p.rn = h.prn)
+ SELECT a.clause_id AS query_clause_id, b.clause_id AS clause_id, md5(a.context || '|' || b.context) AS digest, a.context <> a.text AS query_context_used, b.context <> b.text AS candidate_context_used FROM ctx a JOIN ctx b ON a.document_id = b.document_id AND a.rn < b.rn""")
+def d17(spark, d):
+    rows = R.inference_pairs(R.analyzed(R.pairs_within(R.prepared(C.extract(C.add_context(synth_clauses(spark, d)))))))
+    return rows.select("query_clause_id", "clause_id", F.md5(F.concat("hypothesis", F.lit("|"), "evidence")).alias("digest"), "query_context_used", "candidate_context_used")
+
+
+@query("d18_first_pairs", f"WITH {_TOP} SELECT query_id, candidate_id, rank FROM ranked WHERE rank <= 2 ORDER BY query_id, rank LIMIT 1000")
+def d18(spark, d):
+    """A limit on pairs is what the operator is for."""
+    return _ranked(spark, d, 2)[1].orderBy("query_id", "rank").limit(1000).select("query_id", "candidate_id", F.col("rank").cast("long").alias("rank"))
+
+
+@query("d24_reason_report", f"WITH {O.PAIRS} SELECT clause_a, count(*) AS pairs, count(*) FILTER (WHERE score >= 0.5 AND kind <> 'no_clear_conflict') AS conflicts, round(max(score), 6) AS best FROM scored GROUP BY clause_a")
+def d24(spark, d):
+    rows = _analyzed(spark, d).groupBy("clause_a")
+    return rows.agg(F.count(F.lit(1)).alias("pairs"), F.count_if("is_structured_conflict").alias("conflicts"), F.round(F.max("structured_score"), 6).alias("best"))
+
+
 @query("d16_hybrid_pairs", f"""WITH {O.TEMPORAL} SELECT clause_a, clause_b, p AS p_contradiction, round(hybrid, 6) AS hybrid_score, final AS conflict_type, hybrid >= 0.71 AS is_conflict,
  CASE WHEN hybrid >= 0.75 THEN 'High' WHEN hybrid >= 0.50 THEN 'Medium' ELSE 'Low' END AS confidence_level FROM hybrid""")
 def d16(spark, d):
@@ -309,17 +350,61 @@ def f14(spark, d):
     return _graph(spark, d)[2].select("node_id", F.round("direct", 6).alias("direct"), F.round("propagated", 6).alias("propagated"), "degree", "hotspot")
 
 
-@query("f16_hotspot_counts", f"WITH {O.GRAPH} SELECT v.hotspot, count(p.node_id) AS n FROM (VALUES ('high'), ('medium'), ('low'), ('none')) v(hotspot) LEFT JOIN propagated p USING (hotspot) GROUP BY 1")
+@query("f05_degrees_by_hand", f"WITH {O.GRAPH} SELECT (SELECT count(*) FROM synth) AS nodes, count(*) AS edges, count(*) FILTER (WHERE relationship = 'conflict') AS conflicts FROM edges")
+def f05(spark, d):
+    nodes, edges, _ = _graph(spark, d)
+    return G.graph_summary(nodes, G.checked(nodes, edges))
+
+
+@query("f06_conflicts_of_node", f"WITH {O.GRAPH}, c AS (SELECT * FROM edges WHERE relationship = 'conflict'), one AS (SELECT min(src) AS x FROM c) SELECT src, dst, round(weight, 6) AS weight, conflict_type FROM c, one WHERE src = x OR dst = x")
+def f06(spark, d):
+    edges = _graph(spark, d)[1]
+    first = G.conflicts_of(edges).agg(F.min("src")).first()[0]
+    return G.conflicts_of(edges, first).select("src", "dst", F.round("weight", 6).alias("weight"), "conflict_type")
+
+
+@query("f16_hotspot_report", f"""WITH {O.GRAPH}, lv AS (SELECT 'level' AS kind, v.hotspot AS key, count(p.node_id)::DOUBLE AS value FROM (VALUES ('high'), ('medium'), ('low'), ('none')) v(hotspot) LEFT JOIN propagated p USING (hotspot) GROUP BY 2),
+ tp AS (SELECT 'top' AS kind, node_id AS key, round(propagated, 4) AS value FROM propagated WHERE propagated > 0 ORDER BY round(propagated, 9) DESC, node_id LIMIT 10) SELECT * FROM lv UNION ALL SELECT * FROM tp""")
 def f16(spark, d):
-    levels = spark.sql("SELECT explode(array('high', 'medium', 'low', 'none')) AS hotspot")
-    counts = _graph(spark, d)[2].groupBy("hotspot").agg(F.count(F.lit(1)).alias("n"))
-    return levels.join(counts, "hotspot", "left").select("hotspot", F.coalesce("n", F.lit(0)).alias("n"))
+    return G.hotspot_report(_graph(spark, d)[2])
 
 
-@query("f17_strongest_edges", f"WITH {O.GRAPH} SELECT src, dst, round(weight, 6) AS weight, conflict_type FROM edges WHERE relationship = 'conflict' ORDER BY round(weight, 9) DESC, src, dst LIMIT 10")
+@query("f17_graph_analysis", f"""WITH {O.GRAPH}, c AS (SELECT * FROM edges WHERE relationship = 'conflict'), dg AS (SELECT x AS key, count(*)::DOUBLE AS value FROM (SELECT src AS x FROM c UNION ALL SELECT dst FROM c) GROUP BY 1)
+ SELECT 'type' AS kind, conflict_type AS key, count(*)::DOUBLE AS value FROM c GROUP BY 2 UNION ALL (SELECT 'degree', key, value FROM dg ORDER BY value DESC, key LIMIT 10)
+ UNION ALL (SELECT 'edge', src || '>' || dst, round(weight, 6) FROM c ORDER BY round(weight, 9) DESC, src, dst LIMIT 10)""")
 def f17(spark, d):
-    edges = _graph(spark, d)[1].where("relationship = 'conflict'")
-    return edges.orderBy(F.desc(F.round("weight", 9)), "src", "dst").limit(10).select("src", "dst", F.round("weight", 6).alias("weight"), "conflict_type")
+    edges = _graph(spark, d)[1]
+    kinds = G.type_counts(edges).select(F.lit("type").alias("kind"), F.col("conflict_type").alias("key"), F.col("n").cast("double").alias("value"))
+    degrees = G.degree_hotspots(edges).select(F.lit("degree").alias("kind"), F.col("node_id").alias("key"), F.col("degree").cast("double").alias("value"))
+    best = G.strongest(edges).select(F.lit("edge").alias("kind"), F.concat("src", F.lit(">"), "dst").alias("key"), F.round("weight", 6).alias("value"))
+    return kinds.unionByName(degrees).unionByName(best)
+
+
+_THREE = "format('{{:.3f}}', {0})"
+
+
+@query("g03_risk_texts", f"""WITH {O.RISK}, l AS (SELECT *, {O.LEVEL.format('risk')} AS level, coalesce(density, 0) AS dn FROM risk)
+ SELECT node_id, CASE WHEN degree = 0 THEN 'Clause ' || node_id || ' has no detected conflict connections in the current graph. Its risk is therefore ' || level || ' with a score of ' || {_THREE.format('risk')} || '.'
+  ELSE 'Clause ' || node_id || ' has a direct conflict score of ' || {_THREE.format('direct')} || ' and a propagated conflict score of ' || {_THREE.format('propagated')} || '. It is connected to ' || degree || ' conflict edge(s), giving a connectivity value of '
+   || {_THREE.format('dn')} || '. The strongest detected conflict type is ' || replace(types, ' ', ', ') || '. These factors produce a final risk score of ' || {_THREE.format('risk')} || ', classified as ' || level || '.' END AS text FROM l""")
+def g03(spark, d):
+    return G.risk_text(_risk(spark, d)).select("node_id", "text")
+
+
+@query("g05_risk_from_reports", f"WITH {O.RISK} SELECT node_id, round(risk, 6) AS risk, {O.LEVEL.format('risk')} AS level FROM risk")
+def g05(spark, d):
+    """The same risk from tables under the names that reports use."""
+    _, edges, p = _graph(spark, d)
+    nodes = p.select(F.col("node_id").alias("id"), F.col("direct").alias("direct_conflict_score"), F.col("propagated").alias("propagated_conflict_score"), F.col("degree").alias("conflict_degree"))
+    kept_nodes, kept_edges = G.risk_inputs(nodes, edges.select(F.col("src").alias("source"), F.col("dst").alias("target"), F.col("relationship").alias("relation"), "conflict_type"))
+    return G.node_risk(kept_nodes, kept_edges).select("node_id", F.round("risk", 6).alias("risk"), "level")
+
+
+@query("g09_risk_report", f"""WITH {O.RISK}, l AS (SELECT *, {O.LEVEL.format('risk')} AS level FROM risk), one AS (SELECT count(*) AS n, round(avg(risk), 4) AS mean, round(max(risk), 4) AS most FROM l)
+ SELECT 'summary' AS kind, 'nodes' AS key, n::DOUBLE AS value, NULL AS level FROM one UNION ALL SELECT 'summary', 'average_risk', mean, NULL FROM one UNION ALL SELECT 'summary', 'maximum_risk', most, {O.LEVEL.format('most')} FROM one
+ UNION ALL SELECT 'level', level, count(*)::DOUBLE, level FROM l GROUP BY level UNION ALL (SELECT 'top', node_id, round(risk, 4), level FROM l ORDER BY round(risk, 9) DESC, node_id LIMIT 10)""")
+def g09(spark, d):
+    return G.risk_report(_risk(spark, d))
 
 
 @query("g04_node_risk", f"WITH {O.RISK} SELECT node_id, round(coalesce(density, 0), 6) AS density, severity, round(risk, 6) AS risk, {O.LEVEL.format('risk')} AS level FROM risk")
@@ -338,7 +423,10 @@ def g08(spark, d):
     return G.document_risk(_risk(spark, d)).select("document_id", "clauses", F.round("max_risk", 6).alias("max_risk"), F.round("mean_risk", 6).alias("mean_risk"), "high_risk", "connected", "level")
 
 
-_ADVICE = "CASE conflict_type " + " ".join(f"WHEN {O.q(k)} THEN {O.q(v)}" for k, v in G.ADVICE.items()) + f" ELSE {O.q(G.REVIEW)} END"
+_ADVICE = """CASE conflict_type WHEN 'obligation_vs_prohibition' THEN 'Review the clauses and determine whether the action is mandatory or prohibited.' WHEN 'prohibition_vs_obligation' THEN 'Clarify whether the action is permitted or forbidden.'
+ WHEN 'permission_vs_prohibition' THEN 'Clarify the circumstances under which the action is permitted or prohibited.' WHEN 'prohibition_vs_permission' THEN 'Clarify the circumstances under which the action is permitted or prohibited.'
+ WHEN 'positive_vs_negative' THEN 'Remove contradictory affirmative and negative statements.' WHEN 'temporal_deadline_conflict' THEN 'Standardize the conflicting time periods so that the contract contains one clearly defined deadline.'
+ WHEN 'potential_semantic_conflict' THEN 'Review the related clauses manually and clarify any inconsistent wording.' WHEN 'no_clear_conflict' THEN 'Manual legal review recommended.' ELSE 'Manual legal review required.' END"""
 
 
 @query("h03_resolutions", f"""WITH {O.GRAPH} SELECT src, dst, conflict_type, CASE WHEN conflict_type = 'temporal_deadline_conflict' THEN 'high' WHEN weight >= 0.90 THEN 'Critical' WHEN weight >= 0.70 THEN 'High' WHEN weight >= 0.50 THEN 'Medium' ELSE 'Low' END AS severity, {_ADVICE} AS advice FROM edges""")
@@ -346,24 +434,80 @@ def h03(spark, d):
     return G.resolved(_graph(spark, d)[1]).select("src", "dst", "conflict_type", "severity", "advice")
 
 
-@query("h04_explanations", f"""WITH {O.RISK} SELECT node_id, concat_ws(' ', CASE WHEN direct > 0 THEN CASE WHEN direct >= 0.80 THEN 'very strong' WHEN direct >= 0.60 THEN 'strong' WHEN direct >= 0.40 THEN 'moderate' ELSE 'weak' END || ' direct conflict' END,
- CASE WHEN degree = 0 THEN 'no propagation' WHEN propagated >= 0.80 THEN 'strong propagation' WHEN propagated >= 0.50 THEN 'moderate propagation' ELSE 'limited propagation' END,
- CASE WHEN severity > 0 THEN CASE WHEN severity >= 0.80 THEN 'severe type' WHEN severity >= 0.50 THEN 'notable type' ELSE 'minor type' END END, types) AS explanation,
- CASE WHEN risk >= 0.60 THEN CASE WHEN degree > 1 THEN 'resolve together with its neighbours' ELSE 'resolve first' END WHEN risk >= 0.35 THEN 'review' ELSE 'monitor' END AS action FROM risk""")
+_EXPLAINED = f"""{O.RISK}, near AS (SELECT node_id, list_sort(list_distinct(list(other))) AS ns FROM adj GROUP BY node_id), l AS (SELECT r.*, {O.LEVEL.format('risk')} AS level, coalesce(density, 0) AS dn, ns FROM risk r LEFT JOIN near USING (node_id)),
+ said AS (SELECT node_id, risk, level, 'Clause ' || node_id || ' has a risk score of ' || {_THREE.format('risk')} || ', classified as ' || level || '. '
+  || CASE WHEN direct >= 0.80 THEN 'The clause has a very strong direct conflict signal.' WHEN direct >= 0.60 THEN 'The clause has a strong direct conflict signal.' WHEN direct >= 0.40 THEN 'The clause has a moderate direct conflict signal.'
+     WHEN direct > 0 THEN 'The clause has a relatively weak direct conflict signal.' ELSE 'No direct conflict signal was detected.' END || ' '
+  || CASE WHEN degree = 0 THEN 'The clause is not connected to any detected conflict edges.' WHEN propagated >= 0.80 THEN 'Conflict propagation is strong, indicating that connected conflicting clauses increase the clause''s risk.'
+     WHEN propagated >= 0.50 THEN 'The clause receives a moderate conflict signal from connected clauses.' ELSE 'The clause has some conflict connectivity, but propagated conflict remains limited.' END || ' '
+  || CASE WHEN degree = 0 THEN 'There are no conflict connections.' ELSE 'The clause is connected to ' || degree || ' conflict edge(s), with a conflict density of ' || {_THREE.format('dn')} || '.' END || ' '
+  || CASE WHEN severity >= 0.80 THEN 'The detected conflict has high severity.' WHEN severity >= 0.50 THEN 'The detected conflict has moderate severity.' WHEN severity > 0 THEN 'The detected conflict has relatively low severity.' ELSE 'No significant severity contribution was detected.' END || ' '
+  || CASE WHEN types IS NULL THEN 'No specific conflict type was recorded.' ELSE 'Detected conflict types include: ' || replace(types, ' ', ', ') || '.' END || ' '
+  || CASE WHEN ns IS NULL THEN 'No conflicting neighboring clauses were identified.' ELSE 'The clause is connected to the following conflicting clauses: ' || array_to_string(ns, ', ') || '.' END AS explanation,
+  CASE WHEN level = 'critical' THEN 'Immediate review recommended. Examine this clause together with all connected conflicting clauses and determine which requirement should prevail.'
+   WHEN level = 'high' AND degree > 0 THEN 'Review this clause and its connected conflicting clauses. Verify whether the conflicting obligations, permissions, or prohibitions can coexist.'
+   WHEN level = 'high' THEN 'Review this clause for potential contractual conflict before finalizing the agreement.' WHEN level = 'medium' THEN 'Consider reviewing this clause and checking its related contractual provisions.'
+   ELSE 'No immediate action is required based on the current conflict analysis.' END AS action FROM l)"""
+
+
+def _explained(spark, d):
+    _, edges, p = _graph(spark, d)
+    near = G.neighbours(G.conflicts_of(edges))
+    return G.explained(G.node_risk(p, edges).join(near, "node_id", "left"))
+
+
+@query("h04_explanations", f"WITH {_EXPLAINED} SELECT node_id, explanation, action FROM said")
 def h04(spark, d):
-    return G.explained(_risk(spark, d)).select("node_id", "explanation", "action")
+    return _explained(spark, d).select("node_id", "explanation", "action")
+
+
+@query("h07_explanation_report", f"WITH {_EXPLAINED} SELECT 'level' AS kind, level AS key, count(*)::DOUBLE AS value FROM said GROUP BY level UNION ALL (SELECT 'top', node_id, round(risk, 4) FROM said ORDER BY round(risk, 9) DESC, node_id LIMIT 10)")
+def h07(spark, d):
+    return G.explanation_report(_explained(spark, d))
 
 
 # --- I, J: evaluation, estimators -------------------------------------------------------------------------------------
-_GOLD = f"""{O.SEGMENTS}, cleaned AS (SELECT doc_id, length({O.clean("text")}) AS n FROM documents), offs AS (SELECT doc_id, pos, length(piece) AS l, sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY pos) AS e, piece FROM tiled)"""
+#: Clauses with their places. A mark stands where a sentence ends before white space, as these patterns can't look ahead.
+_MARKED = f"regexp_replace({O.clean('text')}, '([.!?])(\\s)', '\\1' || chr(1) || '\\2', 'g')"
+_PIECES = f"regexp_extract_all({_MARKED}, '(?s).+?(?:' || chr(1) || '|\\n|$)')"
+_PLACED = f"""tiled AS (SELECT doc_id, replace(unnest({_PIECES}), chr(1), '') AS piece, generate_subscripts({_PIECES}, 1) AS pos FROM documents),
+ offs AS (SELECT doc_id, pos, piece, sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY pos) AS e, {O.strip("piece")} AS text FROM tiled),
+ placed AS MATERIALIZED (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS rn, e - length(piece) AS b, e, text FROM offs WHERE length(text) >= 10)"""
 
 
-@query("i05_interval_join")
+@query("i05_interval_join", f"""WITH {_PLACED}, spans AS (SELECT doc_id, k, length(text) * k // 4 AS b, length(text) * k // 4 + 40 AS e FROM documents, (VALUES (0), (1), (2)) v(k) WHERE text IS NOT NULL)
+ SELECT DISTINCT p.doc_id AS document_id, k AS query_id, rn AS clause_id FROM placed p JOIN spans s ON p.doc_id = s.doc_id AND greatest(p.b, s.b) < least(p.e, s.e)""")
 def i05(spark, d):
     docs = _docs(spark, d)
-    rows = C.segment(docs).withColumn("clause_id", F.col("rn"))
-    gold = docs.select("document_id", F.explode(F.array(*[F.struct(F.lit(k).alias("query_id"), (F.length("text") * k / 4).cast("int").alias("start"), (F.length("text") * k / 4 + 40).cast("int").alias("finish")) for k in range(3)])).alias("g")).select("document_id", "g.*")
-    return E.relevant(rows, gold)
+    start = lambda k: F.floor(F.length("text") * k / 4).cast("int")
+    spans = [F.struct(F.lit(k).alias("query_id"), start(k).alias("start"), (start(k) + 40).alias("finish")) for k in range(3)]
+    gold = docs.where("text IS NOT NULL").select("document_id", F.explode(F.array(*spans)).alias("g")).select("document_id", "g.*")
+    rows = E.relevant(C.segment(docs).withColumn("clause_id", F.col("rn")), gold)
+    return rows.select("document_id", F.col("query_id").cast("long").alias("query_id"), F.col("clause_id").cast("long").alias("clause_id"))
+
+
+@query("i08_evidence_evaluation", f"""WITH {_PLACED}, spans AS (SELECT doc_id, item_id, length(text) * (item_id % 4) // 4 AS b, length(text) * (item_id % 4) // 4 + 40 AS e FROM (SELECT doc_id, text FROM documents WHERE text IS NOT NULL), (SELECT item_id FROM benchmark)),
+ rel AS MATERIALIZED (SELECT DISTINCT p.doc_id, s.item_id, p.rn FROM placed p JOIN spans s ON p.doc_id = s.doc_id AND greatest(p.b, s.b) < least(p.e, s.e)),
+ tfc AS MATERIALIZED (SELECT doc_id, rn, g, count(*) AS tf FROM ({O.grams("placed", "doc_id, rn", "strip_accents(text)")}) GROUP BY ALL),
+ idf AS MATERIALIZED (SELECT doc_id, g, ln((1 + n) / (1 + df)::DOUBLE) + 1 AS idf FROM (SELECT doc_id, g, count(*) AS df FROM tfc GROUP BY ALL) JOIN (SELECT doc_id, count(*) AS n FROM placed GROUP BY doc_id) USING (doc_id)),
+ wcn AS MATERIALIZED (SELECT *, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id, rn)) AS v FROM (SELECT doc_id, rn, g, (1 + ln(tf)) * idf AS w FROM tfc JOIN idf USING (doc_id, g))),
+ tq AS (SELECT item_id, g, count(*) AS tf FROM ({O.grams("benchmark", "item_id", "strip_accents(text)")}) GROUP BY ALL),
+ wqn AS MATERIALIZED (SELECT *, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id, item_id)) AS v FROM (SELECT doc_id, item_id, g, (1 + ln(tf)) * idf AS w FROM tq JOIN idf USING (g))),
+ dd AS MATERIALIZED (SELECT doc_id, item_id, rn, sum(wqn.v * wcn.v) AS dot FROM wqn JOIN wcn USING (doc_id, g) GROUP BY ALL),
+ rk AS (SELECT p.doc_id, i.item_id, p.rn, row_number() OVER (PARTITION BY p.doc_id, i.item_id ORDER BY round(coalesce(dot, 0), 9) DESC, p.rn) AS rank FROM placed p CROSS JOIN (SELECT item_id FROM benchmark) i LEFT JOIN dd ON dd.doc_id = p.doc_id AND dd.item_id = i.item_id AND dd.rn = p.rn),
+ fst AS (SELECT doc_id, item_id, min(rank) AS f FROM rk JOIN rel USING (doc_id, item_id, rn) GROUP BY ALL)
+ SELECT count(*) AS evaluated, (SELECT count(*) FROM spans) - count(*) AS skipped, round(avg((f <= 1)::INT), 4) AS recall_1, round(avg((f <= 2)::INT), 4) AS recall_2, round(avg((f <= 5)::INT), 4) AS recall_5, round(avg((f <= 10)::INT), 4) AS recall_10, round(avg(1.0::DOUBLE / f), 4) AS mrr FROM fst""")
+def i08(spark, d):
+    """Each document's clauses are ranked for every benchmark item; an item's gold is forty characters of the document."""
+    docs = _docs(spark, d).where("text IS NOT NULL")
+    rows = C.segment(docs)
+    items = spark.read.parquet(f"{d}/benchmark.parquet").select(F.col("item_id").alias("query_id"), "text")
+    each = docs.crossJoin(F.broadcast(items.select("query_id")) if items.count() <= 10_000 else items.select("query_id"))
+    start = F.floor(F.length("text") * (F.col("query_id") % 4) / 4).cast("int")
+    gold = each.select("document_id", "query_id", start.alias("start"), (start + 40).alias("finish"))
+    asked = gold.select("document_id", "query_id")
+    ranked = S.rank_for_queries(asked.join(F.broadcast(items), "query_id"), rows.select("document_id", F.col("rn").alias("id"), F.col("rn").alias("ord"), "text"))
+    return E.retrieval_report(ranked, E.relevant(rows.withColumn("clause_id", F.col("rn")), gold), asked)
 
 
 @query("i07_ranking_metrics", f"""WITH {_DENSE}, hits AS (SELECT query_id, min(CASE WHEN hit THEN rank END) AS r FROM dense GROUP BY query_id)
@@ -404,6 +548,11 @@ def i14(spark, d):
     return m.select("threshold", "tp", "fp", "fn", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
 
 
+@query("i14_best_threshold", f"WITH {_SWEEP} SELECT threshold, round(coalesce(2 * p * r / nullif(p + r, 0), 0), 6) AS f1 FROM pr ORDER BY round(coalesce(2 * p * r / nullif(p + r, 0), 0), 12) DESC, threshold LIMIT 1")
+def i14_best(spark, d):
+    return E.best_threshold(E.sweep(_labelled(spark, d), (0.2, 0.4, 0.6, 0.8))).select("threshold", F.round("f1", 6).alias("f1"))
+
+
 @query("i15_areas", f"""WITH {_LABELLED}, c AS (SELECT score, count(*) FILTER (WHERE label = 1) AS pos, count(*) FILTER (WHERE label <> 1) AS neg FROM lab GROUP BY score),
  u AS (SELECT *, sum(pos) OVER (ORDER BY score DESC) AS tp, sum(neg) OVER (ORDER BY score DESC) AS fp FROM c)
  SELECT round(sum(neg * (tp - pos / 2.0::DOUBLE)) / (sum(pos) * sum(neg)), 6) AS auc, round(sum(pos * tp / (tp + fp)::DOUBLE) / sum(pos), 6) AS average_precision FROM u""")
@@ -418,6 +567,14 @@ def i16(spark, d):
     return m.withColumns({c: F.round(c, 6) for c in ("accuracy", "balanced_accuracy")})
 
 
+@query("i16_class_report", f"""WITH {_LABELLED}, q AS (SELECT label, (score >= 0.5)::INT AS said FROM lab), c AS (SELECT v AS label, count(*) FILTER (WHERE q.label = v AND said = v) AS hit, count(*) FILTER (WHERE said = v) AS said, count(*) FILTER (WHERE q.label = v) AS support FROM q, (VALUES (0), (1)) t(v) GROUP BY v),
+ r AS (SELECT label, coalesce(hit / nullif(said, 0)::DOUBLE, 0) AS p, coalesce(hit / nullif(support, 0)::DOUBLE, 0) AS rc, support FROM c)
+ SELECT label::BIGINT AS label, round(p, 6) AS precision, round(rc, 6) AS recall, round(coalesce(2 * p * rc / nullif(p + rc, 0), 0), 6) AS f1, support FROM r""")
+def i16_report(spark, d):
+    rows = E.class_report(_labelled(spark, d).withColumn("predicted", (F.col("score") >= 0.5).cast("int")))
+    return rows.select(F.col("label").cast("long").alias("label"), *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")], "support")
+
+
 @query("i18_group_features", f"WITH {_LABELLED} SELECT doc_id, round(avg(score) OVER (PARTITION BY source), 6) AS score_mean, round(max(score) OVER (PARTITION BY source), 6) AS score_max, count(*) OVER (PARTITION BY source) AS score_count FROM lab")
 def i18(spark, d):
     rows = J.grouped_features(_labelled(spark, d), ["score"], ["source"])
@@ -475,10 +632,15 @@ def i29(spark, d):
     )
 
 
-@query("i30_token_lengths", "SELECT lang, round(avg(n), 6) AS mean, max(n) AS most, count(*) FILTER (WHERE n > 512) AS over_512 FROM (SELECT lang, len(string_split(text, ' ')) AS n FROM documents) GROUP BY lang")
+@query("i29_top_pairs", f"WITH {_TOP} SELECT query_id, candidate_id, round(score, 6) AS score FROM ranked WHERE rank <= 2 ORDER BY round(score, 9) DESC, query_id, candidate_id LIMIT 15")
+def i29_top(spark, d):
+    return _ranked(spark, d, 2)[1].orderBy(F.desc(F.round("score", 9)), "query_id", "candidate_id").limit(15).select("query_id", "candidate_id", F.round("score", 6).alias("score"))
+
+
+@query("i30_token_lengths", "SELECT lang, round(avg(n), 6) AS mean, median(n) AS median, max(n) AS most, count(*) FILTER (WHERE n > 512) AS over_512 FROM (SELECT lang, len(string_split(text, ' ')) AS n FROM documents) GROUP BY lang")
 def i30(spark, d):
     rows = spark.read.parquet(f"{d}/documents.parquet").select("lang", F.size(F.split("text", " ")).cast("long").alias("n"))
-    return rows.groupBy("lang").agg(F.round(F.avg("n"), 6).alias("mean"), F.max("n").alias("most"), F.count_if(F.col("n") > 512).alias("over_512"))
+    return rows.groupBy("lang").agg(F.round(F.avg("n"), 6).alias("mean"), F.percentile("n", 0.5).alias("median"), F.max("n").alias("most"), F.count_if(F.col("n") > 512).alias("over_512"))
 
 
 @query("j05_class_weights", "SELECT quality, count(*) AS n, round(sum(count(*)) OVER () / (count(*) OVER () * count(*))::DOUBLE, 6) AS weight FROM labels GROUP BY quality")
@@ -494,11 +656,32 @@ def j06(spark, d):
     return J.class_probability(model.transform(rows)).select("doc_id", "p_conflict")
 
 
-@query("p01_batch_risk")
+_SMALL = _TOP.replace(O.SYNTH + ", ", "", 1)
+
+
+def _flow(k: int, weights: tuple, threshold: float, best: bool) -> str:
+    """The whole dataflow in SQL: candidates, structured and temporal signals, edges, propagation, risk."""
+    hybrid = f"least(greatest(p * {weights[0]}::DOUBLE + score * {weights[1]}::DOUBLE + temporal * {weights[2]}::DOUBLE, 0), 1)"
+    pairs = "pairs AS MATERIALIZED (\n  SELECT a.document_id, a.clause_id AS clause_a, b.clause_id AS clause_b, a.text AS text_a, b.text AS text_b, a.modality AS ma, b.modality AS mb, a.party AS pa, b.party AS pb, a.condition AS ca, b.condition AS cb, a.negated AS na, b.negated AS nb\n"
+    made = O.TEMPORAL.replace("FROM facts a JOIN facts b ON a.document_id = b.document_id AND a.rn < b.rn", f"FROM facts a JOIN facts b ON a.document_id = b.document_id JOIN ranked r ON r.query_id = a.clause_id AND r.candidate_id = b.clause_id AND r.rank <= {k}")
+    assert made != O.TEMPORAL and pairs in made
+    made = made.replace("), pairs AS MATERIALIZED (", f"), {_SMALL}, pairs AS MATERIALIZED (", 1)
+    # both directions of a pair are there: the joins on terms must not take one only
+    made = made.replace("x.g = y.g AND x.rn < y.rn GROUP BY ALL", "x.g = y.g AND x.rn <> y.rn GROUP BY ALL")
+    kept_rows = f"SELECT *, {hybrid} AS h, row_number() OVER (PARTITION BY least(clause_a, clause_b), greatest(clause_a, clause_b) ORDER BY round({hybrid}, 12) DESC, clause_a, clause_b) AS nth FROM hybrid"
+    some = " WHERE nth = 1 AND h >= {t} AND final <> 'no_clear_conflict'".format(t=threshold) if best else ""
+    edges = f"edges AS MATERIALIZED (SELECT clause_a AS src, clause_b AS dst, CASE WHEN h >= {threshold} THEN 'conflict' ELSE 'related' END AS relationship, h AS weight, final AS conflict_type FROM ({kept_rows}){some})"
+    return made + ", " + edges + O.RISK[O.RISK.index(", adj AS MATERIALIZED (") :] if ", adj AS MATERIALIZED (" in O.RISK else made + ", " + edges + ", " + O.RISK[O.RISK.index("adj AS MATERIALIZED (") :]
+
+
+_P = "SELECT node_id, round(direct, 6) AS direct, round(propagated, 6) AS propagated, degree, round(risk, 6) AS risk, " + O.LEVEL.format("risk") + " AS level FROM risk"
+
+
+@query("p01_batch_risk", f"WITH {_flow(2, (0.95, 0.05, 0.0), 0.71, False)} {_P}")
 def p01(spark, d):
-    return P.risks(synth_clauses(spark, d)).select("node_id", "direct", "propagated", "degree", "risk", "level")
+    return P.risks(synth_clauses(spark, d)).select("node_id", *[F.round(c, 6).alias(c) for c in ("direct", "propagated")], "degree", F.round("risk", 6).alias("risk"), "level")
 
 
-@query("p02_interactive_risk")
+@query("p02_interactive_risk", f"WITH {_flow(5, (0.25, 0.25, 0.50), 0.50, True)} {_P}")
 def p02(spark, d):
-    return P.risks(synth_clauses(spark, d), P.INTERACTIVE).select("node_id", "direct", "propagated", "degree", "risk", "level")
+    return P.risks(synth_clauses(spark, d), P.INTERACTIVE).select("node_id", *[F.round(c, 6).alias(c) for c in ("direct", "propagated")], "degree", F.round("risk", 6).alias("risk"), "level")

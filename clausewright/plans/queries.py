@@ -67,7 +67,7 @@ def b05(spark, d):
     return rows.select("clause_id", T.is_fragment(F.col("text")).alias("fragment"), "modality", "party", "condition", "proposition", T.contains_negation(F.col("text")).alias("negated"))
 
 
-@query("b09_documents_to_clauses", f"""WITH {O.SEGMENTS}, marked AS (SELECT *, (NOT {O.fragment("text")}) OR rn = 1 AS own FROM segments) SELECT doc_id || '_clause_' || lpad(rn::VARCHAR, greatest(4, length(rn::VARCHAR)), '0') AS clause_id, length(text)::BIGINT AS n,
+@query("b09_documents_to_clauses", f"""WITH {O.SEGMENTS}, marked AS (SELECT *, (NOT {O.fragment("text")}) OR rn = 1 AS own FROM segments) SELECT doc_id || '_clause_' || lpad(rn::VARCHAR, greatest(4, length(rn::VARCHAR))::INT, '0') AS clause_id, length(text)::BIGINT AS n,
  {O.first_class("text", T.MODALITIES)} AS modality, {O.first_class("text", T.PARTIES)} AS party, md5({O.proposition("text")}) AS proposition FROM marked""")
 def b09(spark, d):
     docs = spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").cast("string").alias("id"), F.lit("").alias("title"), "text")

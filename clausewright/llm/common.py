@@ -22,7 +22,7 @@ BLOCK_BYTES = 1 << 19
 #: Tasks that add arrays up before one does; the driver gets that one's sum.
 ADDING = 32
 #: A key with more rows than this is dealt to several tasks in a join; so are MANY keys at most.
-HOT = 5_000
+HOT = 500
 MANY = 100_000
 
 _own_dirs: dict[str, str] = {}

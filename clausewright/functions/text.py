@@ -301,7 +301,7 @@ _MARKED, _PLAIN = _unaccented()
 
 
 def strip_accents(x: Column) -> Column:
-    return F.translate(x, _MARKED, _PLAIN)
+    return F.when(x.rlike(r"[^\x00-\x7F]"), F.translate(x, _MARKED, _PLAIN)).otherwise(x)
 
 
 def safe_number(x: Column) -> Column:

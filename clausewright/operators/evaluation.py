@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .tables import kept
+
 
 def overlaps(a0: Column, a1: Column, b0: Column, b1: Column) -> Column:
     """Do half-open intervals share a point? An empty one shares none."""
@@ -51,11 +53,24 @@ def by_score(rows: DataFrame) -> DataFrame:
     return rows.groupBy("score").agg(F.count_if(F.col("label") == 1).alias("pos"), F.count_if(F.col("label") != 1).alias("neg"))
 
 
+def running_totals(rows: DataFrame, by: str, sums: dict[str, str], buckets: int = 256) -> DataFrame:
+    """rows with the sums (name: column) of each row and those with a larger value of by, which is distinct.
+
+    Rows are dealt to buckets by quantiles and summed within each; the buckets' totals, a few rows, are sent to all."""
+    cuts = rows.agg(F.percentile_approx(by, [k / buckets for k in range(1, buckets)], 10_000)).first()[0] or []
+    bounds = F.array(*[F.lit(x) for x in sorted(set(cuts))]) if cuts else F.array().cast("array<double>")
+    dealt = kept(rows.withColumn("_b", F.size(F.filter(bounds, lambda x: x < F.col(by)))))
+    totals = dealt.groupBy("_b").agg(*[F.sum(c).alias(n) for n, c in sums.items()])
+    above = Window.orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)  # over buckets rows at most
+    before = totals.select("_b", *[F.coalesce(F.sum(n).over(above), F.lit(0)).alias(f"_{n}") for n in sums])
+    within = Window.partitionBy("_b").orderBy(F.desc(by)).rowsBetween(Window.unboundedPreceding, 0)
+    out = dealt.join(F.broadcast(before), "_b")
+    return out.withColumns({n: F.col(f"_{n}") + F.sum(c).over(within) for n, c in sums.items()}).drop("_b", *[f"_{n}" for n in sums])
+
+
 def areas(rows: DataFrame) -> DataFrame:
     """auc (ties count half) and average_precision of rows (score, label)."""
-    c = by_score(rows)
-    up = Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    c = c.withColumn("tp", F.sum("pos").over(up)).withColumn("fp", F.sum("neg").over(up))
+    c = running_totals(by_score(rows), "score", {"tp": "pos", "fp": "neg"})
     sums = c.agg(F.sum(F.col("neg") * (F.col("tp") - F.col("pos") / 2)).alias("won"), F.sum("pos").alias("p"), F.sum("neg").alias("n"), F.sum(F.col("pos") * F.col("tp") / (F.col("tp") + F.col("fp"))).alias("ap"))
     return sums.select(F.try_divide("won", F.col("p") * F.col("n")).alias("auc"), F.try_divide("ap", "p").alias("average_precision"))
 
@@ -76,7 +91,8 @@ def described(rows: DataFrame, column: str, by: list[str]) -> DataFrame:
 
 def value_counts(rows: DataFrame, column: str, keep_null: bool = False) -> DataFrame:
     some = rows if keep_null else rows.where(F.col(column).isNotNull())
-    return some.groupBy(column).agg(F.count(F.lit(1)).alias("n")).withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy()))
+    total = some.agg(F.count(F.lit(1)).alias("_all"))
+    return some.groupBy(column).agg(F.count(F.lit(1)).alias("n")).crossJoin(F.broadcast(total)).withColumn("share", F.col("n") / F.col("_all")).drop("_all")  # total is one row
 
 
 def class_weights(rows: DataFrame, label: str) -> DataFrame:

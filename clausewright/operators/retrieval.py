@@ -44,16 +44,18 @@ def weighted(tf: DataFrame, terms: DataFrame, keys: list[str], scope: list[str],
     return raw.select(*keys, "term", (F.col("w") / norm).alias("weight"))
 
 
-def tfidf(rows: DataFrame, scope: list[str] | None = None, bigrams: bool = True, sublinear: bool = True, max_features: int | None = 20_000, min_df: int = 1, accents: bool = False) -> DataFrame:
-    """(scope..., id, term, weight) of rows (scope..., id, text): L2-normalised TF-IDF, letters without their accents.
+def tfidf(rows: DataFrame, scope: list[str] | None = None, bigrams: bool = True, sublinear: bool = True, max_features: int | None = 20_000, min_df: int = 1, accents: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(scope..., id, carry..., term, weight) of rows (scope..., id, carry..., text): L2-normalised TF-IDF, letters without
+    their accents. carry: columns that go with the id.
 
     Term counts are combined before each shuffle; a vocabulary of max_features terms is sent to all executors."""
     scope = scope or []
-    tf = kept(term_counts(rows, [*scope, "id"], bigrams, accents))
+    keys = [*scope, "id", *carry]
+    tf = kept(term_counts(rows, keys, bigrams, accents))
     terms = vocabulary(tf, rows, scope, max_features, min_df)
     if max_features and max_features <= 200_000 and not scope:
         terms = F.broadcast(terms)
-    return weighted(tf, terms, [*scope, "id"], scope, sublinear)
+    return weighted(tf, terms, keys, scope, sublinear)
 
 
 def score_candidates(queries: DataFrame, candidates: DataFrame, clauses: DataFrame, max_features: int | None = 20_000, accents: bool = True) -> DataFrame:
@@ -124,25 +126,28 @@ def coverage(candidates: DataFrame, gold: DataFrame) -> DataFrame:
 def top_k_similar(clauses: DataFrame, weights: DataFrame, k: int = 10, group: str | None = "document_id") -> DataFrame:
     """(query_id, candidate_id, score, rank): for each clause the k most similar others.
 
-    clauses: id, ord (the order of ties) and, unless None, group. With a group only its clauses are compared, all of
-    them: those without a common term score 0 and fill up the ranks. Without one, only clauses with a common term are
-    found, by the inverted lists of terms."""
-    one, two = weights.select(F.col("id").alias("query_id"), "term", F.col("weight").alias("a")), weights.select(F.col("id").alias("candidate_id"), "term", F.col("weight").alias("b"))
-    if group:
-        side = clauses.select("id", group)
-        one, two = one.join(side.withColumnRenamed("id", "query_id"), "query_id"), two.join(side.withColumnRenamed("id", "candidate_id"), "candidate_id")
-        dots = one.join(two, [group, "term"]).where("query_id <> candidate_id")
-    else:
-        dots = one.join(two, "term").where("query_id <> candidate_id")
-    dots = dots.groupBy("query_id", "candidate_id").agg(F.sum(F.col("a") * F.col("b")).alias("dot"))
-    if group:
-        q, c = clauses.select(F.col("id").alias("query_id"), group), clauses.select(F.col("id").alias("candidate_id"), group, "ord")
-        dots = q.join(c, group).where("query_id <> candidate_id").join(dots, ["query_id", "candidate_id"], "left")
-    else:
-        dots = dots.join(clauses.select(F.col("id").alias("candidate_id"), "ord"), "candidate_id")
-    scored = dots.select("query_id", "candidate_id", "ord", F.coalesce("dot", F.lit(0.0)).alias("score"))
+    clauses: id, ord (the order of ties) and, unless None, group. With a group only its clauses are compared: those with
+    a common term by the inverted lists of its terms; where fewer than k are found, others with score 0 fill up the
+    ranks. Without one, only clauses with a common term are found. weights may bring the group along."""
+    if group and group not in weights.columns:
+        weights = weights.join(clauses.select("id", group), "id")
+    on = [group, "term"] if group else ["term"]
+    one, two = weights.select(F.col("id").alias("query_id"), *on, F.col("weight").alias("a")), weights.select(F.col("id").alias("candidate_id"), *on, F.col("weight").alias("b"))
+    dots = one.join(two, on).where("query_id <> candidate_id").groupBy("query_id", "candidate_id").agg(F.sum(F.col("a") * F.col("b")).alias("score"))
+    dots = dots.where(F.round("score", 9) > 0) if group else dots
+    scored = dots.join(clauses.select(F.col("id").alias("candidate_id"), "ord"), "candidate_id")
     order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "ord")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "candidate_id", "score", "rank")
+    top = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "candidate_id", "score", "rank")
+    if not group:
+        return top
+    top = kept(top)
+    found = top.groupBy("query_id").agg(F.max("rank").alias("found"))
+    sized = clauses.select(F.col("id").alias("query_id"), group, F.count(F.lit(1)).over(Window.partitionBy(group)).alias("n")).join(found, "query_id", "left")
+    short = sized.withColumn("found", F.coalesce("found", F.lit(0))).where(F.col("found") < F.least(F.lit(k), F.col("n") - 1)).select("query_id", group, "found")
+    # of these all that have a common term are in top
+    others = short.join(clauses.select(F.col("id").alias("candidate_id"), group, "ord"), group).where("query_id <> candidate_id").join(top.select("query_id", "candidate_id"), ["query_id", "candidate_id"], "left_anti")
+    filled = others.withColumn("rank", F.col("found") + F.row_number().over(Window.partitionBy("query_id").orderBy("ord"))).where(F.col("rank") <= k)
+    return top.unionByName(filled.select("query_id", "candidate_id", F.lit(0.0).alias("score"), F.col("rank").cast("int").alias("rank")))
 
 
 def rank_for_queries(queries: DataFrame, clauses: DataFrame) -> DataFrame:

@@ -129,7 +129,7 @@ _TOP = f"""{_TFIDF}, dots0 AS (SELECT x.clause_id AS qi, y.clause_id AS ci, sum(
 
 def _weights(spark, d):
     rows = synth_clauses(spark, d)
-    return rows, S.tfidf(rows.select(F.col("clause_id").alias("id"), "text"))
+    return rows, S.tfidf(rows.select(F.col("clause_id").alias("id"), "document_id", "text"), carry=("document_id",))
 
 
 @query("c01_tfidf_weights", f"WITH {_TFIDF} SELECT clause_id, count(*) AS terms, round(max(weight), 6) AS top, round(sum(weight * weight), 6) AS norm FROM weights GROUP BY clause_id")
@@ -205,20 +205,22 @@ _QW, _CW = _W.format("a.text"), _W.format("b.text")
 _LEGAL = f"list_filter({_QW}, lambda w: {O.within('w', T.LEGAL_TERMS)})"
 
 
-@query("c22_legal_rerank", f"""WITH {O.FACTS}, {_TOP[len(O.SYNTH) + 2 :]}, parts AS (SELECT r.query_id, r.candidate_id, r.score AS sparse,
+@query("c22_legal_rerank", f"""WITH {O.FACTS}, {_TOP[len(O.SYNTH) + 2 :]}, marked AS (SELECT *, (NOT {O.fragment("text")}) OR rn = 1 AS own FROM synth),
+ held AS (SELECT *, CASE WHEN NOT own THEN max(CASE WHEN own THEN rn END) OVER (PARTITION BY document_id ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) END AS prn FROM marked),
+ ctx AS MATERIALIZED (SELECT h.clause_id, CASE WHEN p.clause_id IS NULL THEN h.text ELSE p.text || ' ' || h.text END AS text FROM held h LEFT JOIN synth p ON p.document_id = h.document_id AND p.rn = h.prn), parts AS (SELECT r.query_id, r.candidate_id, r.score AS sparse,
    CASE WHEN len({_LEGAL}) > 0 THEN len(list_intersect({_LEGAL}, {_CW})) / len({_LEGAL})::DOUBLE ELSE 0 END AS legal,
-   CASE WHEN len({_QW}) > 0 THEN len(list_intersect({_QW}, {_CW})) / len({_QW})::DOUBLE ELSE 0 END AS context,
+   CASE WHEN len({_QW}) > 0 THEN len(list_intersect({_QW}, {_W.format('x.text')})) / len({_QW})::DOUBLE ELSE 0 END AS context,
    (contains(lower(a.text), coalesce(b.modality, 'none')) OR list_contains({_QW}, coalesce(b.modality, 'none')))::INT::DOUBLE AS hit
-   FROM ranked r JOIN facts a ON a.clause_id = r.query_id JOIN facts b ON b.clause_id = r.candidate_id WHERE r.rank <= 10)
+   FROM ranked r JOIN facts a ON a.clause_id = r.query_id JOIN facts b ON b.clause_id = r.candidate_id JOIN ctx x ON x.clause_id = r.candidate_id WHERE r.rank <= 10)
  SELECT query_id, candidate_id, round(sparse * 0.70::DOUBLE + legal * 0.15::DOUBLE + hit * 0.10::DOUBLE + context * 0.05::DOUBLE, 6) AS rerank_score,
    row_number() OVER (PARTITION BY query_id ORDER BY round(sparse * 0.70::DOUBLE + legal * 0.15::DOUBLE + hit * 0.10::DOUBLE + context * 0.05::DOUBLE, 9) DESC, candidate_id) AS rank FROM parts""")
 def c22(spark, d):
     rows, found = _ranked(spark, d, 10)
-    rows = rows.select("clause_id", "text", T.modality(F.col("text")).alias("m"), T.words(F.col("text")).alias("w"))
+    rows = C.add_context(rows).select("clause_id", "text", T.modality(F.col("text")).alias("m"), T.words(F.col("text")).alias("w"), T.words(F.col("context_text")).alias("x"))
     a = rows.select(F.col("clause_id").alias("query_id"), F.col("text").alias("qt"), F.col("w").alias("qw"))
-    b = rows.select(F.col("clause_id").alias("candidate_id"), F.col("m").alias("cm"), F.col("w").alias("cw"))
+    b = rows.select(F.col("clause_id").alias("candidate_id"), F.col("m").alias("cm"), F.col("w").alias("cw"), F.col("x").alias("cx"))
     both = found.join(a, "query_id").join(b, "candidate_id").select(
-        "query_id", "candidate_id", F.col("score").alias("sparse"), X.legal_overlap(F.col("qw"), F.col("cw")).alias("legal"), X.share_of(F.col("cw"), F.col("qw")).alias("context"),
+        "query_id", "candidate_id", F.col("score").alias("sparse"), X.legal_overlap(F.col("qw"), F.col("cw")).alias("legal"), X.share_of(F.col("cx"), F.col("qw")).alias("context"),
         X.modality_match(F.col("qt"), F.col("qw"), F.col("cm")).alias("modality_hit"),
     )
     return S.rerank(both).select("query_id", "candidate_id", F.round("rerank_score", 6).alias("rerank_score"), F.col("rank").cast("long").alias("rank"))
@@ -650,10 +652,23 @@ def j05(spark, d):
 
 @query("j06_forest")
 def j06(spark, d):
+    """Fitted on four fifths of each class; the probabilities are those of the others."""
     rows = _labelled(spark, d).withColumn("n_chars", F.col("n_chars").cast("double"))
-    rows = rows.join(E.class_weights(rows, "label").select("label", "weight"), "label")
-    model = J.forest(rows, ["n_chars", "score"], trees=20)
-    return J.class_probability(model.transform(rows)).select("doc_id", "p_conflict")
+    rows = kept(J.stratified(rows, "label", "doc_id"))
+    train = rows.where("is_train")
+    model = J.forest(train.join(E.class_weights(train, "label").select("label", "weight"), "label"), ["n_chars", "score"])
+    return J.class_probability(model.transform(rows.where("NOT is_train"))).select("doc_id", "p_conflict")
+
+
+@query("j07_stratified_split", "WITH n AS (SELECT doc_id, quality AS label, row_number() OVER (PARTITION BY quality ORDER BY md5(doc_id::VARCHAR), doc_id) AS k, count(*) OVER (PARTITION BY quality) AS c FROM labels) SELECT doc_id, label, k <= round(c * 0.8::DOUBLE) AS is_train FROM n")
+def j07(spark, d):
+    return J.stratified(spark.read.parquet(f"{d}/labels.parquet").withColumnRenamed("quality", "label"), "label", "doc_id").select("doc_id", "label", "is_train")
+
+
+@query("j08_reconstructed", f"WITH {_LABELLED} SELECT doc_id, round(avg(score) OVER (PARTITION BY source), 6) AS score_mean, round(min(score) OVER (PARTITION BY source), 6) AS score_min, count(*) OVER (PARTITION BY source) AS score_count FROM lab")
+def j08(spark, d):
+    rows = J.reconstructed(_labelled(spark, d), ["score", "score_mean", "score_min", "score_count"], ["source"])
+    return rows.select("doc_id", F.round("score_mean", 6).alias("score_mean"), F.round("score_min", 6).alias("score_min"), "score_count")
 
 
 _SMALL = _TOP.replace(O.SYNTH + ", ", "", 1)

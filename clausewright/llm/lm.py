@@ -285,15 +285,15 @@ def _averaged(docs: DataFrame, parts: int, head: Head, m: dict[str, np.ndarray],
             yield row(part, n, total / n)
 
     ddl = "part long, n long, x binary"
-    got = docs.select("text").coalesce(parts).mapInArrow(run, ddl).repartition(C.ADDING, "part").mapInArrow(mean, ddl).collect()
+    some = docs.select("text").coalesce(parts).mapInArrow(run, ddl).repartition(C.ADDING, "part").mapInArrow(mean, ddl)
+    got = some.repartition(1).mapInArrow(mean, ddl).collect()
     if not got:
         return m, square
-    got.sort(key=lambda r: r["part"])
-    flat = sum(r["n"] * np.frombuffer(r["x"], dtype=np.float32).astype(np.float64) for r in got) / sum(r["n"] for r in got)
+    flat = np.frombuffer(got[0]["x"], dtype=np.float32)
     every = [(x, k, v) for x in (0, 1) for k, v in (m, square)[x].items()]
     out: tuple[dict, dict] = {}, {}
-    for (x, k, v), own in zip(every, np.split(flat.astype(np.float32), np.cumsum([v.size for *_, v in every])[:-1]), strict=True):
-        out[x][k] = own.reshape(v.shape)
+    for (x, k, v), own in zip(every, np.split(flat, np.cumsum([v.size for *_, v in every])[:-1]), strict=True):
+        out[x][k] = own.reshape(v.shape).copy()
     return out
 
 

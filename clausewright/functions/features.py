@@ -31,11 +31,11 @@ def bound(x: Column, f) -> Column:
 
 
 def gram_weights(x: Column, bigrams: bool = True, sublinear: bool = True) -> Column:
-    """map from gram to its term weight in the text."""
+    """map from gram, as its 64-bit hash, to its term weight in the text."""
 
     def weigh(g: Column) -> Column:
         n = lambda w: F.size(F.filter(g, lambda y: y == w)).cast("double")
-        return bound(F.array_distinct(g), lambda k: F.map_from_arrays(k, F.transform(k, lambda w: 1 + F.log(n(w)) if sublinear else n(w))))
+        return bound(F.array_distinct(g), lambda k: F.map_from_arrays(F.transform(k, lambda w: F.xxhash64(w)), F.transform(k, lambda w: 1 + F.log(n(w)) if sublinear else n(w))))
 
     return bound(grams(x, bigrams), weigh)
 

@@ -13,3 +13,9 @@ def kept(rows: DataFrame) -> DataFrame:
     if spark.conf.get("spark.checkpoint.dir", None):
         return rows.checkpoint()
     return rows.persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """rows of a small table, such as one of a single file, dealt to all cores; a table of many files stays as it is."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() * 2 <= cores else rows

@@ -13,7 +13,7 @@ from ..operators import graph as G
 from ..operators import inference as J
 from ..operators import reasoning as R
 from ..operators import retrieval as S
-from ..operators.tables import kept
+from ..operators.tables import kept, spread
 from ..sources.synth import synth_clauses
 from . import contracts as P
 from . import draft_queries
@@ -34,7 +34,7 @@ def query(name: str, oracle: str | None = None):
 
 
 def _docs(spark: SparkSession, d: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("document_id"), "text")
+    return spread(spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("document_id"), "text"))
 
 
 def _joined(x):

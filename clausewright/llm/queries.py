@@ -15,12 +15,18 @@ _WHERE = {
     "op8_lm_scoring": "lm",
     "op9_fingerprints": "fingerprint",
     "op10_packing": "packing",
+    "op11_line_dedup": "linededup",
+    "op12_prefix_trie": "prefixtrie",
+    "op13_filter_audit": "audit",
 }
 
 _SQL = {
     "op4_warc": ("warc", "OP4_SQL"),
     "op5_near_duplicates": ("neardup", "OP5_SQL"),
     "op7_mixing": ("mixing", "OP7_SQL"),
+    "op11_line_dedup": ("linededup", "OP11_SQL"),
+    "op12_prefix_trie": ("prefixtrie", "OP12_SQL"),
+    "op13_filter_audit": ("audit", "OP13_SQL"),
 }
 
 

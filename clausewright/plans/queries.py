@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import features as X
 from ..functions import text as T
 from ..operators import clauses as C
+from ..operators import dense as D
 from ..operators import evaluation as E
 from ..operators import graph as G
 from ..operators import inference as J
@@ -16,10 +17,10 @@ from ..operators import retrieval as S
 from ..operators.tables import kept, spread
 from ..sources.synth import synth_clauses
 from . import contracts as P
-from . import draft_queries
+from . import draft_queries, model_queries
 from . import oracles as O
 
-QUERIES: dict = dict(draft_queries.QUERIES)
+QUERIES: dict = draft_queries.QUERIES | model_queries.QUERIES
 ORACLES: dict[str, str] = dict(draft_queries.ORACLES)
 
 
@@ -168,12 +169,10 @@ def c08(spark, d):
 
 
 def _dense(spark, d):
+    """Queries and all vectors, as the blocked products take them."""
     v = spark.read.parquet(f"{d}/embeddings.parquet")
-    q = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("label").alias("ql"), F.col("embedding").alias("q"))
-    rows = F.broadcast(q) if q.count() <= 10_000 else q
-    both = v.crossJoin(rows).where("vec_id <> query_id")
-    rows = both.select("query_id", F.col("vec_id").alias("candidate_id"), S.dot(F.col("q"), F.col("embedding")).alias("score"), (F.col("label") == F.col("ql")).alias("hit"))
-    return rows.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "candidate_id")))
+    rows = D.as_vectors(v, F.col("vec_id"), F.col("embedding"), F.col("label"), ("candidate_id", "v"))
+    return D.as_vectors(v.where("vec_id % 50 = 0"), F.col("vec_id"), F.col("embedding"), F.col("label"), ("query_id", "q")), rows
 
 
 _DENSE = """dense0 AS (SELECT q.vec_id AS query_id, v.vec_id AS candidate_id, list_sum(list_transform(range(1, len(q.embedding) + 1), lambda i: q.embedding[i]::DOUBLE * v.embedding[i]::DOUBLE)) AS score, q.label = v.label AS hit
@@ -183,7 +182,7 @@ _DENSE = """dense0 AS (SELECT q.vec_id AS query_id, v.vec_id AS candidate_id, li
 
 @query("c13_dense_ranking", f"WITH {_DENSE} SELECT query_id, candidate_id, round(score, 6) AS score, rank FROM dense WHERE rank <= 10")
 def c13(spark, d):
-    return _dense(spark, d).where("rank <= 10").select("query_id", "candidate_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+    return D.top_k(*_dense(spark, d), 10).select("query_id", "candidate_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
 _FUSED = f"""{_TOP}, both0 AS (SELECT r.query_id, r.candidate_id, r.score AS sparse, len(list_intersect({O.stems("a.text")}, {O.stems("b.text")})) / len(list_distinct(list_concat({O.stems("a.text")}, {O.stems("b.text")})))::DOUBLE AS dense
@@ -515,7 +514,7 @@ def i08(spark, d):
 @query("i07_ranking_metrics", f"""WITH {_DENSE}, hits AS (SELECT query_id, min(CASE WHEN hit THEN rank END) AS r FROM dense GROUP BY query_id)
  SELECT count(*) AS queries, round(avg((coalesce(r <= 1, false))::INT), 6) AS recall_1, round(avg((coalesce(r <= 2, false))::INT), 6) AS recall_2, round(avg((coalesce(r <= 5, false))::INT), 6) AS recall_5, round(avg((coalesce(r <= 10, false))::INT), 6) AS recall_10, round(avg(coalesce(1.0::DOUBLE / r, 0)), 6) AS mrr FROM hits""")
 def i07(spark, d):
-    m = E.ranking_metrics(E.first_hits(_dense(spark, d), ["query_id"]))
+    m = E.ranking_metrics(D.first_hits(*_dense(spark, d)))
     return m.select("queries", *[F.round(c, 6).alias(c) for c in m.columns if c != "queries"])
 
 
@@ -523,14 +522,14 @@ def i07(spark, d):
  own AS (SELECT threshold, k, query_id, count(*) FILTER (WHERE rank <= k AND score >= threshold) AS n, max((rank <= k AND score >= threshold AND hit)::INT) AS found FROM dense, g GROUP BY ALL)
  SELECT threshold, k, round(avg(found), 6) AS recall, round(avg(n), 6) AS mean_candidates, round(avg((n = 0)::INT), 6) AS none_rate FROM own GROUP BY ALL""")
 def i09(spark, d):
-    m = E.threshold_grid(_dense(spark, d), (0.0, 0.1, 0.2), (1, 2, 5))
+    m = E.threshold_grid(D.top_k(*_dense(spark, d), 5), (0.0, 0.1, 0.2), (1, 2, 5))
     return m.select("threshold", "k", *[F.round(c, 6).alias(c) for c in ("recall", "mean_candidates", "none_rate")])
 
 
 @query("i10_failures", f"""WITH {_DENSE}, hits AS (SELECT query_id, min(CASE WHEN hit THEN rank END) AS r FROM dense GROUP BY query_id)
  SELECT query_id, r AS first_rank, coalesce(r, 999999)::BIGINT AS key FROM hits WHERE r IS NULL OR r > 2 ORDER BY coalesce(r, 999999) DESC, query_id LIMIT 50""")
 def i10(spark, d):
-    return E.failures(E.first_hits(_dense(spark, d), ["query_id"])).select("query_id", F.col("first_rank").cast("long").alias("first_rank"), F.col("key").cast("long").alias("key"))
+    return E.failures(D.first_hits(*_dense(spark, d))).select("query_id", F.col("first_rank").cast("long").alias("first_rank"), F.col("key").cast("long").alias("key"))
 
 
 def _labelled(spark, d):

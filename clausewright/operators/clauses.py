@@ -46,9 +46,9 @@ def preprocess(docs: DataFrame, dataset: str | None = None) -> DataFrame:
     return extract(add_context(segment(rows))).withColumn("dataset", F.lit(dataset)).withColumn("source_label", F.lit(None).cast("string"))
 
 
-def report(clauses: DataFrame, kind: str) -> DataFrame:
-    """Counts by a column; a null is a group."""
-    return clauses.groupBy(F.col(kind).alias("value")).agg(F.count(F.lit(1)).alias("n"), F.count("condition").alias("with_condition"))
+def report(clauses: DataFrame, kind: str, by: list[str] | None = None) -> DataFrame:
+    """Counts by a column, and by others such as a file's name; a null is a group."""
+    return clauses.groupBy(*(by or []), F.col(kind).alias("value")).agg(F.count(F.lit(1)).alias("n"), F.count("condition").alias("with_condition"))
 
 
 def parse_uploaded(docs: DataFrame, min_length: int = 15) -> DataFrame:

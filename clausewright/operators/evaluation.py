@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,10 +15,16 @@ def overlaps(a0: Column, a1: Column, b0: Column, b1: Column) -> Column:
     return F.greatest(a0, b0) < F.least(a1, b1)
 
 
-def relevant(clauses: DataFrame, gold: DataFrame, key: str = "document_id") -> DataFrame:
-    """(key, query_id, clause_id): the clauses (key, clause_id, start_char, end_char) that a gold span (key, query_id, start, finish) meets."""
-    test = (F.col("c." + key) == F.col("g." + key)) & overlaps(F.col("start_char"), F.col("end_char"), F.col("start"), F.col("finish"))
-    return clauses.alias("c").join(gold.alias("g"), test).select("c." + key, "query_id", "clause_id").distinct()
+def relevant(clauses: DataFrame, gold: DataFrame, key: str = "document_id", width: int = 512) -> DataFrame:
+    """(key, query_id, clause_id): the clauses (key, clause_id, start_char, end_char) that a gold span (key, query_id, start, finish) meets.
+
+    Both are cut at multiples of width, and only pieces of one stretch of a text are held against each other: those that
+    meet, do so where the later one of the two begins."""
+    piece = lambda a, b: F.explode(F.when(F.col(b) > F.col(a), F.sequence(F.floor(F.col(a) / width), F.floor((F.col(b) - 1) / width)))).alias("_at")
+    one = clauses.select(key, "clause_id", "start_char", "end_char", piece("start_char", "end_char"))
+    two = gold.select(key, "query_id", "start", "finish", piece("start", "finish"))
+    test = overlaps(F.col("start_char"), F.col("end_char"), F.col("start"), F.col("finish")) & (F.floor(F.greatest("start_char", "start") / width) == F.col("_at"))
+    return one.join(two, [key, "_at"]).where(test).select(key, "query_id", "clause_id").distinct()
 
 
 def first_hits(ranked: DataFrame, by: list[str]) -> DataFrame:
@@ -84,9 +92,49 @@ def confusion(rows: DataFrame) -> DataFrame:
     return c.withColumn("accuracy", acc).withColumn("balanced_accuracy", (half("tp", "fn") + half("tn", "fp")) / 2)
 
 
+def quantiles(rows: DataFrame, column: str, by: list[str], shares: tuple[float, ...], bins: int = 1024) -> DataFrame:
+    """(by..., q0, q1, ...) exact quantiles of a column, as doubles, with linear interpolation; nulls don't count.
+
+    Histograms are refined: of each group and wanted rank the bin that holds it is cut into bins again, between the
+    smallest and the largest value there, until it holds one value. So no task sorts or holds the values of a group.
+    Groups without a value have no row."""
+    keys = [f"_k{i}" for i in range(len(by))]
+    x = rows.select(*[F.col(c).alias(k) for c, k in zip(by, keys, strict=True)], F.col(column).cast("double").alias("_x")).where(F.col("_x").isNotNull())
+    x = kept(x)
+    same = lambda a, b: reduce(lambda s, k: s & F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")), keys, F.lit(True))
+    whole = x.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min("_x").alias("_lo"), F.max("_x").alias("_hi"))
+    at = lambda q: (F.col("_n") - 1) * F.lit(q)
+    ranks = F.explode(F.array_distinct(F.flatten(F.array(*[F.array(F.floor(at(q)), F.ceil(at(q))) for q in shares])))).alias("_rank")
+    state = kept(whole.select(*keys, "_lo", "_hi", ranks, F.lit(0).cast("long").alias("_below")))
+    found = None
+    while True:
+        done = state.where("_lo = _hi").select(*keys, "_rank", F.col("_lo").alias("_value"))
+        found = done if found is None else found.unionByName(done)
+        state = state.where("_lo < _hi")
+        if state.isEmpty():
+            break
+        ranges = state.groupBy(*keys, "_lo", "_hi", "_below").agg(F.collect_list("_rank").alias("_ranks"))
+        inside = x.alias("x").join(ranges.alias("r"), same("x", "r") & (F.col("_x") >= F.col("_lo")) & (F.col("_x") <= F.col("_hi"))).select("r.*", "_x")
+        share = (F.col("_x") / 2 - F.col("_lo") / 2) / (F.col("_hi") / 2 - F.col("_lo") / 2)  # halves: a range may be wider than a double
+        bin_ = F.least(F.floor(share * bins), F.lit(bins - 1))
+        of = [*keys, "_lo", "_hi", "_below"]
+        cells = inside.withColumn("_bin", bin_).groupBy(*of, "_bin").agg(F.first("_ranks").alias("_ranks"), F.count(F.lit(1)).alias("_c"), F.min("_x").alias("_least"), F.max("_x").alias("_most"))
+        before = Window.partitionBy(*of).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)  # over bins rows at most
+        cells = cells.withColumn("_from", F.col("_below") + F.coalesce(F.sum("_c").over(before), F.lit(0)))
+        hit = F.filter("_ranks", lambda r: (r >= F.col("_from")) & (r < F.col("_from") + F.col("_c")))
+        state = kept(cells.select(*keys, F.col("_least").alias("_lo"), F.col("_most").alias("_hi"), F.explode(hit).alias("_rank"), F.col("_from").alias("_below")))
+    values = whole.alias("w").join(found.alias("f"), same("w", "f")).groupBy(*[F.col(f"w.{k}") for k in keys], "_n").agg(F.map_from_entries(F.collect_list(F.struct("_rank", "_value"))).alias("_v"))
+    low, high = (lambda q: F.element_at("_v", F.floor(at(q)))), (lambda q: F.element_at("_v", F.ceil(at(q))))
+    made = [(low(q) + (high(q) - low(q)) * (at(q) - F.floor(at(q)))).alias(f"q{i}") for i, q in enumerate(shares)]
+    return values.select(*[F.col(k).alias(c) for c, k in zip(by, keys, strict=True)], *made)
+
+
 def described(rows: DataFrame, column: str, by: list[str]) -> DataFrame:
     x = F.col(column)
-    return rows.groupBy(*by).agg(F.count(x).alias("count"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"), F.percentile(x, 0.25).alias("q25"), F.percentile(x, 0.5).alias("q50"), F.percentile(x, 0.75).alias("q75"), F.max(x).alias("max"))
+    whole = rows.groupBy(*by).agg(F.count(x).alias("count"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max"))
+    cuts = quantiles(rows, column, by, (0.25, 0.5, 0.75))
+    both = whole.alias("a").join(cuts.alias("b"), reduce(lambda s, c: s & F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")), by, F.lit(True)), "left")
+    return both.select("a.*", F.col("q0").alias("q25"), F.col("q1").alias("q50"), F.col("q2").alias("q75"))
 
 
 def value_counts(rows: DataFrame, column: str, keep_null: bool = False) -> DataFrame:

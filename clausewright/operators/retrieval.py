@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -150,6 +152,65 @@ def top_k_similar(clauses: DataFrame, weights: DataFrame, k: int = 10, group: st
     return top.unionByName(filled.select("query_id", "candidate_id", F.lit(0.0).alias("score"), F.col("rank").cast("int").alias("rank")))
 
 
+#: Decimals below which a bound on a score is not trusted.
+SLACK = 1e-7
+
+
+def across_bounds(weights: DataFrame, k: int, champions: int) -> DataFrame:
+    """(query_id, least): a score that the k-th best candidate of each query has at least, 0 if none is known.
+
+    It is the k-th largest sum over those terms of which the candidate is among the champions, the rows with the largest
+    weights of a term. Weights aren't negative, so a sum over some terms is no more than the score."""
+    best = Window.partitionBy("term").orderBy(F.desc("weight"), "id")
+    top = weights.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= champions).select("term", F.col("id").alias("candidate_id"), F.col("weight").alias("b"))
+    some = weights.select(F.col("id").alias("query_id"), "term", F.col("weight").alias("a")).join(top, "term").where("query_id <> candidate_id")
+    sums = some.groupBy("query_id", "candidate_id").agg(F.sum(F.col("a") * F.col("b")).alias("sum"))
+    order = Window.partitionBy("query_id").orderBy(F.desc("sum"))
+    nth = sums.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= k)
+    return nth.groupBy("query_id").agg(F.when(F.count(F.lit(1)) == k, F.min("sum")).otherwise(0.0).alias("least"))
+
+
+def across_candidates(weights: DataFrame, k: int, champions: int | None = None, parts: int = 16, hot: int = 1000) -> DataFrame:
+    """(query_id, candidate_id): distinct pairs among which each row's k most similar ones are.
+
+    Of a row's terms, those that bring the least go without being looked up, as long as all of them together, each by the
+    term's largest weight in any row, stay below the bound of across_bounds(). Lists of more than hot rows are dealt to parts."""
+    weights = kept(weights)
+    bounds = across_bounds(weights, k, champions or 8 * k)
+    terms = weights.groupBy("term").agg(F.max("weight").alias("most"), F.count(F.lit(1)).alias("n"))
+    held = weights.join(terms, "term").join(bounds.withColumnRenamed("query_id", "id"), "id", "left")
+    up = Window.partitionBy("id").orderBy(F.col("weight") * F.col("most"), "term").rowsBetween(Window.unboundedPreceding, 0)
+    asked = held.withColumn("_sum", F.sum(F.col("weight") * F.col("most")).over(up)).where(F.col("_sum") >= F.coalesce("least", F.lit(0.0)) - SLACK)
+    spread = F.when(F.col("n") > hot, parts).otherwise(1)
+    asked = asked.select(F.col("id").alias("query_id"), "term", F.explode(F.sequence(F.lit(0), spread - 1)).alias("_part"))
+    lists = weights.join(terms.select("term", "n"), "term").select("term", F.col("id").alias("candidate_id"), F.pmod(F.xxhash64("id"), spread).cast("int").alias("_part"))
+    return asked.join(lists, ["term", "_part"]).where("query_id <> candidate_id").select("query_id", "candidate_id").distinct()
+
+
+def top_k_across(rows: DataFrame, weights: DataFrame, k: int = 10, **options) -> DataFrame:
+    """(query_id, candidate_id, score, rank): for each of rows (id, ord) the k most similar others of all, of those with a
+    common term; weights (id, term, weight) as tfidf() gives them. Nothing is left out that top_k_similar() finds."""
+    pairs = across_candidates(weights, k, **options)
+    cells = F.sort_array(F.collect_list(F.struct(F.xxhash64("term").alias("t"), "weight")))
+    vectors = weights.groupBy("id").agg(cells.alias("x")).select("id", F.col("x")["t"].alias("t"), F.col("x")["weight"].alias("w"))
+    side = lambda key, n: vectors.select(F.col("id").alias(key), F.col("t").alias(f"t{n}"), F.col("w").alias(f"w{n}"))
+    both = pairs.join(side("query_id", 1), "query_id").join(side("candidate_id", 2), "candidate_id")
+
+    @F.pandas_udf("double")
+    def score(t1: pd.Series, w1: pd.Series, t2: pd.Series, w2: pd.Series) -> pd.Series:
+        out = []
+        for a, x, b, y in zip(t1, w1, t2, w2, strict=True):
+            at = np.minimum(np.searchsorted(b, a), len(b) - 1)
+            same = b[at] == a
+            out.append(float(x[same] @ y[at[same]]))
+        return pd.Series(out, dtype="float64")
+
+    both = both.select("query_id", "candidate_id", score("t1", "w1", "t2", "w2").alias("score"))
+    scored = both.join(rows.select(F.col("id").alias("candidate_id"), "ord"), "candidate_id")
+    order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "ord")
+    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "candidate_id", "score", "rank")
+
+
 def rank_for_queries(queries: DataFrame, clauses: DataFrame) -> DataFrame:
     """(document_id, query_id, candidate_id, score, rank): the clauses of a document by similarity to its queries.
 

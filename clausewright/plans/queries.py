@@ -302,6 +302,19 @@ def d25(spark, d):
     return _hybrid(spark, d).agg(F.count(F.lit(1)).alias("pairs"), F.count_if("is_conflict").alias("conflicts"), F.round(F.avg(F.col("is_conflict").cast("int")), 6).alias("rate"))
 
 
+@query("d25_retrieved_conflict_rate", f"""WITH {_TOP}, {O.FACTS[len(O.SYNTH) + 2 :]}, kept_pairs AS (SELECT query_id, candidate_id, score FROM ranked WHERE rank <= 2),
+ pairs AS (SELECT k.score AS sem, a.modality AS ma, b.modality AS mb, a.negated <> b.negated AS neg FROM kept_pairs k JOIN facts a ON a.clause_id = k.query_id JOIN facts b ON b.clause_id = k.candidate_id)
+ SELECT count(*) AS pairs, round(avg(sem), 6) AS mean_similarity, count(*) FILTER (WHERE neg) AS negations FROM pairs""")
+def d25_retrieved(spark, d):
+    """The detection as it is run: over retrieved candidates, with their retrieval score as the similarity."""
+    clauses = synth_clauses(spark, d)
+    made = R.prepared(C.extract(clauses))
+    found = P.candidate_pairs(clauses, 2)
+    pairs = found.join(made.alias("a"), F.col("clause_a") == F.col("a.clause_id")).join(made.alias("b"), F.col("clause_b") == F.col("b.clause_id"))
+    rows = R.analyzed(pairs, similarity=F.col("retrieval_score"))
+    return rows.agg(F.count(F.lit(1)).alias("pairs"), F.round(F.avg("semantic_similarity"), 6).alias("mean_similarity"), F.count_if(F.col("negation_conflict") == 1).alias("negations"))
+
+
 @query("d26_conflict_types", f"WITH {O.TEMPORAL} SELECT final AS conflict_type, count(*) AS n FROM hybrid WHERE hybrid >= 0.71 GROUP BY 1")
 def d26(spark, d):
     rows = R.with_texts(_hybrid(spark, d).where("is_conflict"), synth_clauses(spark, d))
@@ -641,7 +654,9 @@ def i29_top(spark, d):
 @query("i30_token_lengths", "SELECT lang, round(avg(n), 6) AS mean, median(n) AS median, max(n) AS most, count(*) FILTER (WHERE n > 512) AS over_512 FROM (SELECT lang, len(string_split(text, ' ')) AS n FROM documents) GROUP BY lang")
 def i30(spark, d):
     rows = spark.read.parquet(f"{d}/documents.parquet").select("lang", F.size(F.split("text", " ")).cast("long").alias("n"))
-    return rows.groupBy("lang").agg(F.round(F.avg("n"), 6).alias("mean"), F.percentile("n", 0.5).alias("median"), F.max("n").alias("most"), F.count_if(F.col("n") > 512).alias("over_512"))
+    whole = rows.groupBy("lang").agg(F.round(F.avg("n"), 6).alias("mean"), F.max("n").alias("most"), F.count_if(F.col("n") > 512).alias("over_512"))
+    half = E.quantiles(rows, "n", ["lang"], (0.5,)).select(F.col("lang").alias("of"), F.col("q0").alias("median"))
+    return whole.join(half, F.col("lang").eqNullSafe(F.col("of")), "left").select("lang", "mean", "median", "most", "over_512")
 
 
 @query("j05_class_weights", "SELECT quality, count(*) AS n, round(sum(count(*)) OVER () / (count(*) OVER () * count(*))::DOUBLE, 6) AS weight FROM labels GROUP BY quality")
@@ -659,6 +674,31 @@ def j06(spark, d):
     return J.class_probability(model.transform(rows.where("NOT is_train"))).select("doc_id", "p_conflict")
 
 
+def _three_classes(spark, d):
+    """Labelled documents by class (0 good, 1 poor, 2 toxic) with counts of their texts, four fifths of each class marked."""
+    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text", "n_chars")
+    x = F.coalesce("text", F.lit(""))
+    facts = {"chars": F.length(x), "words": F.size(F.split(x, " ")), "digits": F.regexp_count(x, F.lit("[0-9]")), "stops": F.regexp_count(x, F.lit(r"[.!?]")), "distinct": F.size(F.array_distinct(F.split(x, " ")))}
+    label = F.when(F.col("toxic") == 1, 2).when(F.col("quality") == 1, 0).otherwise(1)
+    rows = docs.join(spark.read.parquet(f"{d}/labels.parquet").select("doc_id", label.alias("label")), "doc_id").select("doc_id", "label", *[v.cast("double").alias(k) for k, v in facts.items()])
+    rows = kept(J.stratified(rows, "label", "doc_id"))
+    train = rows.where("is_train")
+    return rows, J.forest(train.join(F.broadcast(E.class_weights(train, "label").select("label", "weight")), "label"), list(facts), trees=100), list(facts)
+
+
+@query("j06_multiclass_forest")
+def j06_multiclass(spark, d):
+    """Of documents that the forest wasn't fitted on, the probability of any class above the first."""
+    rows, model, _ = _three_classes(spark, d)
+    return J.class_probability(model.transform(rows.where("NOT is_train"))).select("doc_id", "label", F.col("prediction").cast("int").alias("predicted"), "p_conflict")
+
+
+@query("j07_importances")
+def j07_importances(spark, d):
+    _, model, features = _three_classes(spark, d)
+    return spark.createDataFrame(J.importances(model, features), "feature string, importance double")
+
+
 @query("j07_stratified_split", "WITH n AS (SELECT doc_id, quality AS label, row_number() OVER (PARTITION BY quality ORDER BY md5(doc_id::VARCHAR), doc_id) AS k, count(*) OVER (PARTITION BY quality) AS c FROM labels) SELECT doc_id, label, k <= round(c * 0.8::DOUBLE) AS is_train FROM n")
 def j07(spark, d):
     return J.stratified(spark.read.parquet(f"{d}/labels.parquet").withColumnRenamed("quality", "label"), "label", "doc_id").select("doc_id", "label", "is_train")

@@ -153,12 +153,12 @@ def mixtures(parts: list[memoryview], table: np.ndarray, params: Params = Params
 
 
 def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], params: Params = Params(), keep: list[str] | None = None) -> DataFrame:
-    """Columns keep of docs (all by default) with lang_pred, score (its proportion) and mixture ('en:0.91,fr:0.09')."""
+    """Columns keep of docs (all by default) with lang_pred, score (its proportion) and mixture ('en:0.91,fr:0.09').
+
+    Columns of docs by these three names are replaced."""
     langs, table = model
-    names = docs.columns if keep is None else keep
+    names = [n for n in (docs.columns if keep is None else keep) if n not in ("lang_pred", "score", "mixture")]
     sent = docs.sparkSession.sparkContext.broadcast(table)
-    schema = docs.select(*names).schema
-    out = schema.simpleString()[len("struct<") : -1]
     kinds = [docs.schema[n].dataType for n in names]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,8 +179,10 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], params: Param
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(preds, pa.string()), pa.array(scores, pa.float64()), pa.array(mixes, pa.string())], names=[*names, "lang_pred", "score", "mixture"])
 
     ddl = ", ".join(f"`{n}` {k.simpleString()}" for n, k in zip(names, kinds, strict=True))
-    del out
-    return docs.select(*[F.col(f"`{n}`") for n in names], F.col("text").alias("_text")).mapInArrow(run, f"{ddl}, lang_pred string, score double, mixture string")
+    own = "_text"
+    while own in names:
+        own += "_"
+    return docs.select(*[F.col(f"`{n}`") for n in names], F.col("text").alias(own)).mapInArrow(run, f"{ddl}, lang_pred string, score double, mixture string")
 
 
 _ASCII_LETTER = re.compile(rb"[A-Za-z]")

@@ -62,7 +62,13 @@ def size_class(size: Column) -> Column:
 
 
 def copies(sized: DataFrame, seed: str = SEED, **options) -> DataFrame:
-    """sized (doc_id, source, size, ...) with source_size, target and copies. It is read several times: give a table."""
+    """sized (doc_id, source, size, ...) with source_size, target and copies. It is read several times: give a table.
+
+    Other columns go along, but for any by these three names, which are replaced."""
+    own, made = ["doc_id", "source", "size"], ["source_size", "target", "copies"]
+    others = [c for c in sized.columns if c not in own + made]
+    # others in one column, so that no name of theirs meets one of ours
+    sized = sized.select(*own, *([F.struct(*[F.col(f"`{c}`") for c in others]).alias("_others")] if others else []))
     sized = sized.withColumn("_class", size_class(F.col("size")))
     per = targets(sized, **options)
     classes = sized.groupBy("source", "_class").agg(F.count(F.lit(1)).alias("_n"))
@@ -82,7 +88,7 @@ def copies(sized: DataFrame, seed: str = SEED, **options) -> DataFrame:
     if picked.count() <= SENT:
         picked = F.broadcast(picked)
     out = out.alias("l").join(picked.alias("r"), F.col("l.source").eqNullSafe(F.col("r.source"))).select("l.*", "_offset")
-    return out.withColumn("copies", crossed(F.col("_offset"))).drop("_at", "_each", "_offset")
+    return out.select(*own, *[F.col(f"_others.`{c}`") for c in others], "source_size", "target", crossed(F.col("_offset")).alias("copies"))
 
 
 def op7_mixing(spark, sf_dir: str) -> DataFrame:
@@ -96,15 +102,16 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
 
     A row's key is its content (C.row_key), so that it is the same when a lost task is run again. Rows that are equal in
     all columns share a key: their copies are added up and dealt to one of them."""
-    keyed = docs.withColumn("_row", C.row_key(docs))
-    sized = C.cut(keyed.select("_row", "doc_id", "source", word_count(F.col("text")).alias("size")))
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), C.row_key(docs).alias("_row"), F.col("doc_id").alias("_id"), F.col("source").alias("_source"), word_count(F.col("text")).alias("_size"))
+    sized = C.cut(keyed.select("_row", F.col("_id").alias("doc_id"), F.col("_source").alias("source"), F.col("_size").alias("size")))
+    keyed = keyed.select("row", "_row")
     drawn = C.cut(copies(sized, **options).groupBy("_row").agg(F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_rows")).where("_copies > 0"))
     out = keyed.join(drawn.where("_rows = 1"), "_row")
     several = C.cut(drawn.where("_rows > 1"))
     if not several.isEmpty():
         more = C.salted_join(keyed.withColumn("_nth", F.spark_partition_id()), several, "_row", "_nth", counts=several.select("_row", F.col("_rows").alias("n")))
         out = out.unionByName(more.dropDuplicates(["_row"]).select(*out.columns))
-    return out.withColumn("_each", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*docs.columns)
+    return out.withColumn("_each", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select("row.*")
 
 
 OP7_SQL = r"""

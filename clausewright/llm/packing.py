@@ -265,7 +265,11 @@ def _best_fit(left: np.ndarray, first: int, room: int) -> list[int]:
 
 
 def place(cut_pieces: DataFrame, room: int = SEQUENCE) -> DataFrame:
-    """cut_pieces (doc_id, piece, length, ...) with sequence_id and offset. It is read several times: give a table."""
+    """cut_pieces (doc_id, piece, length, ...) with sequence_id and offset. It is read several times: give a table.
+
+    Pieces of one length are dealt by a hash of id, number, start and ids, and ordered by these, so that only equal pieces
+    are tied. Columns by
+    the names of the two results are replaced."""
     counts = {r["length"]: r["n"] for r in cut_pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     slots: dict[int, list[tuple[int, int, int, int]]] = {}  # by length: first rank, first sequence, pieces a sequence, offset
     taken: dict[int, int] = {}
@@ -280,14 +284,16 @@ def place(cut_pieces: DataFrame, room: int = SEQUENCE) -> DataFrame:
         base += n
     tables = {size: np.array(x, dtype=np.int64) for size, x in slots.items()}
     sent = cut_pieces.sparkSession.sparkContext.broadcast(tables)
-    ranked = C.salted_rank(cut_pieces, ["length"], [F.col("doc_id"), F.col("piece")], F.xxhash64("doc_id", "piece"), "_rank")
-    names = cut_pieces.columns
+    names = [c for c in cut_pieces.columns if c not in ("sequence_id", "offset")]
+    whole = F.struct(*[F.col(f"`{c}`") for c in names]).alias("row")
+    known = [c for c in ("doc_id", "piece", "start", "ids_crc32") if c in names]
+    rows = cut_pieces.select(whole, "length")
+    ranked = C.salted_rank(rows, ["length"], [F.col(f"row.{c}") for c in known], F.xxhash64(*[F.col(f"row.{c}") for c in known]), "_rank")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = sent.value
         for batch in batches:
-            size = np.asarray(batch.column(batch.schema.get_field_index("length")))
-            rank = np.asarray(batch.column(batch.schema.get_field_index("_rank")))
+            size, rank = (np.asarray(batch.column(i)) for i in (1, 2))
             seq, off = np.zeros(len(size), dtype=np.int64), np.zeros(len(size), dtype=np.int64)
             for own in np.unique(size):
                 i = np.flatnonzero(size == own)
@@ -295,10 +301,10 @@ def place(cut_pieces: DataFrame, room: int = SEQUENCE) -> DataFrame:
                 row = table[np.searchsorted(table[:, 0], rank[i], side="right") - 1]
                 k = rank[i] - row[:, 0]
                 seq[i], off[i] = row[:, 1] + k // row[:, 2], row[:, 3] + k % row[:, 2] * own
-            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(n)) for n in names), pa.array(seq), pa.array(off)], names=[*names, "sequence_id", "offset"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(seq), pa.array(off)], names=["row", "sequence_id", "offset"])
 
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cut_pieces.schema.fields)
-    return ranked.select(*names, "_rank").mapInArrow(run, f"{ddl}, sequence_id long, offset long")
+    placed = ranked.select("row", "length", "_rank").mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, sequence_id long, offset long")
+    return placed.select("row.*", "sequence_id", "offset")
 
 
 def sequences(docs: DataFrame, placed: DataFrame, **options) -> DataFrame:

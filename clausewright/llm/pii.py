@@ -335,11 +335,12 @@ def op3_pii(spark, sf_dir: str) -> DataFrame:
 def redacted(docs: DataFrame, model=None) -> DataFrame:
     """docs with each span in text replaced by its kind in brackets; of base spans that overlap, the one that begins first."""
     keep = docs.columns
-    rows = docs.withColumn("_pii_key", F.substring(F.sha2(F.col("text").cast("binary"), 256), 1, 32))
+    # the columns of docs in one, so that no name of theirs meets one of ours
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep if c != "text"], F.lit(1).alias("text")).alias("row"), "text", F.substring(F.sha2(F.col("text").cast("binary"), 256), 1, 32).alias("_pii_key"))
     taken = found(rows.select("_pii_key", "text"), ["_pii_key"], model).where(F.size("spans") > 0)
     # equal texts have equal spans
     taken = C.cut(taken.groupBy("_pii_key").agg(F.first("spans").alias("_spans"), F.count(F.lit(1)).alias("n")))
-    others = [F.col(f"`{c}`").cast("string") for c in keep if c != "text" and not isinstance(docs.schema[c].dataType, MapType)]
+    others = [F.col(f"row.`{c}`").cast("string") for c in keep if c != "text" and not isinstance(docs.schema[c].dataType, MapType)]
     spread = rows.withColumn("_pii_nth", F.xxhash64(F.spark_partition_id(), *others))
     rows = C.salted_join(spread, taken.drop("n"), "_pii_key", "_pii_nth", "left", counts=taken.select("_pii_key", "n"))
     ordered = F.array_sort(F.transform("_spans", lambda x: F.struct(x["start"].alias("start"), x["finish"].alias("finish"), x["kindno"].alias("kindno"))))
@@ -352,4 +353,5 @@ def redacted(docs: DataFrame, model=None) -> DataFrame:
         return F.when(mine, F.struct(x["finish"].cast("long").alias("at"), F.concat(acc["out"], F.array(piece)).alias("out"))).otherwise(F.struct(F.greatest(acc["at"], x["finish"].cast("long")).alias("at"), acc["out"].alias("out")))
 
     text = F.aggregate(ordered, zero, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(F.col("text"), (acc["at"] + 1).cast("int"), F.length("text"))))
-    return rows.withColumn("text", F.when(F.size("_spans") > 0, text).otherwise(F.col("text"))).select(*keep)
+    changed = F.when(F.size("_spans") > 0, text).otherwise(F.col("text")).alias("text")
+    return rows.select(*[changed if c == "text" else F.col(f"row.`{c}`") for c in keep])

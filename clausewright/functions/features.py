@@ -31,27 +31,39 @@ def bound(x: Column, f) -> Column:
 
 
 def gram_weights(x: Column, bigrams: bool = True, sublinear: bool = True) -> Column:
-    """map from gram, as its 64-bit hash, to its term weight in the text."""
+    """The grams of a text as struct(keys: their 64-bit hashes, heavy: map of the weights of those that occur more than
+    once, squares: sum of all squared weights). A gram that occurs once weighs 1."""
+    none = F.array().cast("array<bigint>")
 
     def weigh(g: Column) -> Column:
-        n = lambda w: F.size(F.filter(g, lambda y: y == w)).cast("double")
-        return bound(F.array_distinct(g), lambda k: F.map_from_arrays(F.transform(k, lambda w: F.xxhash64(w)), F.transform(k, lambda w: 1 + F.log(n(w)) if sublinear else n(w))))
+        n = lambda k: F.size(F.filter(g["all"], lambda y: y == k)).cast("double")
+        often = F.when(F.size(g["all"]) == F.size(g["keys"]), none).otherwise(F.filter(g["keys"], lambda k: n(k) > 1))
+        weight = lambda k: 1 + F.log(n(k)) if sublinear else n(k)
+        heavy = bound(often, lambda o: F.map_from_arrays(o, F.transform(o, weight)))
+        squares = lambda h: F.size(g["keys"]) + F.aggregate(F.map_values(h), F.lit(0.0), lambda s, v: s + v * v - 1)
+        return bound(heavy, lambda h: F.struct(g["keys"].alias("keys"), h.alias("heavy"), squares(h).alias("squares")))
 
-    return bound(grams(x, bigrams), weigh)
+    return bound(bound(F.transform(grams(x, bigrams), lambda w: F.xxhash64(w)), lambda h: F.struct(h.alias("all"), F.array_distinct(h).alias("keys"))), weigh)
 
 
 def pair_cosine(a: Column, b: Column) -> Column:
-    """TF-IDF cosine of two weight maps where the two texts are the corpus; 0 if either has no gram."""
-    zero = F.lit(0.0)
-    square = lambda m, keys: F.aggregate(keys, zero, lambda s, k: s + F.element_at(m, k) * F.element_at(m, k))
-    every = lambda m: F.aggregate(F.map_values(m), zero, lambda s, v: s + v * v)
+    """TF-IDF cosine of the gram_weights() of two texts that are the corpus; 0 if either has no gram.
 
-    def cosine(shared: Column) -> Column:
-        dot = F.aggregate(shared, zero, lambda s, k: s + F.element_at(a, k) * F.element_at(b, k))
-        norm = lambda m: bound(square(m, shared), lambda both: both + F.lit(ALONE**2) * (every(m) - both))
-        return dot / F.sqrt(norm(a) * norm(b))
+    Shared grams count 1 each, but for those that one of the texts has more than once."""
+    none = F.array().cast("array<bigint>")
+    weight = lambda m, k: F.coalesce(F.try_element_at(m["heavy"], k), F.lit(1.0))
 
-    return F.when((F.size(a) > 0) & (F.size(b) > 0), bound(F.array_intersect(F.map_keys(a), F.map_keys(b)), cosine)).otherwise(zero)
+    def cosine(e: Column) -> Column:
+        more = lambda f: F.size(e["shared"]) + F.aggregate(e["often"], F.lit(0.0), lambda s, k: s + f(k) - 1)
+        norm = lambda m: bound(more(lambda k: weight(m, k) * weight(m, k)), lambda both: both + F.lit(ALONE**2) * (m["squares"] - both))
+        return more(lambda k: weight(a, k) * weight(b, k)) / F.sqrt(norm(a) * norm(b))
+
+    def with_often(shared: Column) -> Column:
+        plain = (F.size(a["heavy"]) == 0) & (F.size(b["heavy"]) == 0)
+        often = F.when(plain, none).otherwise(F.array_intersect(shared, F.array_union(F.map_keys(a["heavy"]), F.map_keys(b["heavy"]))))
+        return bound(F.struct(shared.alias("shared"), often.alias("often")), cosine)
+
+    return F.when((F.size(a["keys"]) > 0) & (F.size(b["keys"]) > 0), bound(F.array_intersect(a["keys"], b["keys"]), with_often)).otherwise(F.lit(0.0))
 
 
 def modality_conflict(a: Column, b: Column) -> Column:

@@ -31,6 +31,11 @@ def edges_of(rows: DataFrame) -> DataFrame:
     )
 
 
+def bare(edges: DataFrame) -> DataFrame:
+    """edges without what only explains them: what propagation and risk read."""
+    return edges.select("src", "dst", "relationship", "weight", "conflict_type")
+
+
 def checked(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """edges, if both ends of each are nodes; a ValueError that names some that are not."""
     lost = [r.node_id for r in unknown_endpoints(nodes, edges).orderBy("node_id").limit(5).collect()]

@@ -338,7 +338,7 @@ def e01(spark, d):
 # --- F, G, H: graph, risk, resolutions --------------------------------------------------------------------------------
 def _graph(spark, d):
     rows = synth_clauses(spark, d)
-    edges = kept(G.edges_of(_hybrid(spark, d)))  # read once a round
+    edges = kept(G.bare(G.edges_of(_hybrid(spark, d))))  # read once a round
     nodes = G.nodes_of(rows)
     return nodes, edges, G.propagate(nodes, edges)
 
@@ -373,8 +373,8 @@ def f05(spark, d):
 @query("f06_conflicts_of_node", f"WITH {O.GRAPH}, c AS (SELECT * FROM edges WHERE relationship = 'conflict'), one AS (SELECT min(src) AS x FROM c) SELECT src, dst, round(weight, 6) AS weight, conflict_type FROM c, one WHERE src = x OR dst = x")
 def f06(spark, d):
     edges = _graph(spark, d)[1]
-    first = G.conflicts_of(edges).agg(F.min("src")).first()[0]
-    return G.conflicts_of(edges, first).select("src", "dst", F.round("weight", 6).alias("weight"), "conflict_type")
+    first = G.conflicts_of(edges).agg(F.min("src").alias("of"))  # one row
+    return G.conflicts_of(edges).join(F.broadcast(first), (F.col("src") == F.col("of")) | (F.col("dst") == F.col("of"))).select("src", "dst", F.round("weight", 6).alias("weight"), "conflict_type")
 
 
 @query("f16_hotspot_report", f"""WITH {O.GRAPH}, lv AS (SELECT 'level' AS kind, v.hotspot AS key, count(p.node_id)::DOUBLE AS value FROM (VALUES ('high'), ('medium'), ('low'), ('none')) v(hotspot) LEFT JOIN propagated p USING (hotspot) GROUP BY 2),

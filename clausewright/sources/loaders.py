@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import json
+import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -155,18 +160,56 @@ def write_audit(rows: DataFrame, path: str) -> None:
     rows.withColumn("human_relevance", F.lit("")).withColumn("review_notes", F.lit("")).write.mode("overwrite").option("header", True).csv(path)
 
 
-def write_json_array(rows: DataFrame, path: str, most: int = 1_000_000) -> None:
-    """A report of at most so many rows as one JSON file: an array, indented by two, fields that are null included."""
-    import json
+def _json_lines(rows: DataFrame) -> DataFrame:
+    """(value): each row as an element of an array, indented by two and with a comma behind, made in the tasks."""
+    names = rows.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                told = json.dumps(dict(zip(names, row, strict=True)), indent=2, ensure_ascii=False, default=str)
+                out.append("\n".join("  " + x for x in told.split("\n")) + ",")
+            yield pa.record_batch([pa.array(out, pa.string())], names=["value"])
+
+    return rows.mapInArrow(run, "value string")
 
-    n = rows.count()
-    if n > most:
+
+def write_json_array(rows: DataFrame, path: str, most: int | None = None) -> None:
+    """rows as one JSON file: an array, indented by two, fields that are null included; of at most so many rows, if given.
+
+    The tasks write the elements as Spark commits them; then the files are joined, byte by byte, and only the whole file
+    gets its name. Where a task fails, no file is left. Works on any file system that Spark writes to."""
+    if most is not None and (n := rows.count()) > most:
         raise ValueError(f"{n} rows are too many for one file: use write_json")
-    with open(path, "w", encoding="utf-8") as f:
-        f.write("[")
-        for k, row in enumerate(rows.toLocalIterator()):
-            f.write(("," if k else "") + "\n" + "\n".join("  " + x for x in json.dumps(row.asDict(True), indent=2, ensure_ascii=False, default=str).split("\n")))
-        f.write("\n]" if n else "]")
+    spark = rows.sparkSession
+    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    of = jvm.org.apache.hadoop.fs.Path
+    mark = uuid.uuid4().hex
+    parent = path.rstrip("/").rpartition("/")[0] or "."
+    parts, whole, last = of(f"{parent}/.parts-{mark}"), of(f"{parent}/.whole-{mark}"), of(path)
+    fs = last.getFileSystem(conf)
+    try:
+        _json_lines(rows).write.text(parts.toString())
+        files = sorted((x for x in fs.listStatus(parts) if x.getPath().getName().startswith("part-") and x.getLen() > 0), key=lambda x: x.getPath().getName())
+        out = fs.create(whole, True)
+        try:
+            out.write(bytearray(b"[\n" if files else b"["))
+            for k, x in enumerate(files):
+                source = fs.open(x.getPath())
+                try:  # the last element has no comma
+                    some = jvm.org.apache.commons.io.input.BoundedInputStream(source, x.getLen() - (2 if k == len(files) - 1 else 0))
+                    jvm.org.apache.hadoop.io.IOUtils.copyBytes(some, out, 1 << 16, False)
+                finally:
+                    source.close()
+            out.write(bytearray(b"\n]" if files else b"]"))
+        finally:
+            out.close()
+        fs.delete(last, True)
+        fs.rename(whole, last)
+    finally:
+        for x in (parts, whole):
+            fs.delete(x, True)
 
 
 def write_csv(rows: DataFrame, path: str) -> None:

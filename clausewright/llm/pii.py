@@ -4,8 +4,8 @@ Generators with high recall propose spans of four kinds: e-mail and IP addresses
 four are the base: what they find and their check confirms is always taken. The others also propose what is written in
 less strict ways ("name (at) host (dot) org", numbers without a country code, dots between digits). Boosted trees rate
 these by format and context (digits, groups, check sums, the characters beside, words before), and a threshold of each
-kind, calibrated on labelled snippets that the trees were not fitted on, selects. A proposal that overlaps a base
-span, or a selected one that begins before it, is left out.
+kind, calibrated on labelled snippets that the trees were not fitted on, selects. A proposal that overlaps a base span is
+left out; of selected ones that overlap each other those with the better scores are taken.
 
 The trees are fitted on SNIPPETS labelled snippets made from templates by SQL; the driver gets a row for each
 combination of features in them. Expressions of the trees run inside the JVM.

@@ -437,6 +437,7 @@ def g08(spark, d):
     return G.document_risk(_risk(spark, d)).select("document_id", "clauses", F.round("max_risk", 6).alias("max_risk"), F.round("mean_risk", 6).alias("mean_risk"), "high_risk", "connected", "level")
 
 
+# --- fixed values: the sentences of resolutions and explanations, as the SQL says them ---------------------------------
 _ADVICE = """CASE conflict_type WHEN 'obligation_vs_prohibition' THEN 'Review the clauses and determine whether the action is mandatory or prohibited.' WHEN 'prohibition_vs_obligation' THEN 'Clarify whether the action is permitted or forbidden.'
  WHEN 'permission_vs_prohibition' THEN 'Clarify the circumstances under which the action is permitted or prohibited.' WHEN 'prohibition_vs_permission' THEN 'Clarify the circumstances under which the action is permitted or prohibited.'
  WHEN 'positive_vs_negative' THEN 'Remove contradictory affirmative and negative statements.' WHEN 'temporal_deadline_conflict' THEN 'Standardize the conflicting time periods so that the contract contains one clearly defined deadline.'
@@ -463,6 +464,8 @@ _EXPLAINED = f"""{O.RISK}, near AS (SELECT node_id, list_sort(list_distinct(list
    WHEN level = 'high' THEN 'Review this clause for potential contractual conflict before finalizing the agreement.' WHEN level = 'medium' THEN 'Consider reviewing this clause and checking its related contractual provisions.'
    ELSE 'No immediate action is required based on the current conflict analysis.' END AS action FROM l)"""
 
+# --- end of fixed values ------------------------------------------------------------------------------------------------
+
 
 def _explained(spark, d):
     _, edges, p = _graph(spark, d)

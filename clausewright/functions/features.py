@@ -229,13 +229,14 @@ def later_scores(mod, neg, cond, party, jac, core, scope, strict, aligned, scope
     v3 = strict * 0.35 + aligned * 0.30 + scope_aware * 0.20 + mod * 0.10 + neg * 0.05
     v4 = core * 0.20 + jac * 0.10 + scope * 0.10 + strict * 0.25 + aligned * 0.10 + reasoning * 0.05 + mod * 0.10 + neg * 0.05 + cond * 0.025 + party * 0.025
     v5 = strict * 0.35 + aligned * 0.25 + mod * 0.20 + neg * 0.15 + scope * 0.05
-    strong_modality = (mod == 1) & (core >= 0.30) & (scope_aware >= 0.50)
+    at = lambda x, least: F.round(x, 9) >= least  # noqa: E731  (whichever way x was summed)
+    strong_modality = (mod == 1) & at(core, 0.30) & at(scope_aware, 0.50)
     evidence = core * 0.25 + jac * 0.15 + scope * 0.10 + strict * 0.15 + aligned * 0.15 + mod * 0.10 + neg * 0.05 + reasoning * 0.05
     similar = core * 0.35 + jac * 0.20 + scope * 0.15 + cond * 0.15 + party * 0.15
     signal = strict * 0.35 + aligned * 0.25 + mod * 0.20 + neg * 0.10 + reasoning * 0.10
     return {
         "final_conflict_score_1": v1, "final_conflict_score_2": v2, "final_conflict_score_3": v3, "final_conflict_score_4": v4, "final_conflict_score_5": v5,
-        "strong_conflict": (v1 >= 0.50) & (strong_modality | (aligned >= 0.50)), "candidate_conflict": (v2 >= 0.30) & ((core >= 0.35) | (jac >= 0.30)) & (mod == 1),
+        "strong_conflict": at(v1, 0.50) & (strong_modality | at(aligned, 0.50)), "candidate_conflict": at(v2, 0.30) & (at(core, 0.35) | at(jac, 0.30)) & (mod == 1),
         "hybrid_evidence_score": evidence, "novelty_conflict_score": evidence * 0.50 + v4 * 0.50, "novelty_evidence_score_1": similar * 0.60 + signal * 0.40,
         "novelty_evidence_score_2": (core * 0.50 + jac * 0.50) * 0.60 + (strict * 0.70 + aligned * 0.30) * 0.40, "novelty_evidence_score_3": (core * 0.5 + jac * 0.5) * 0.6 + (strict * 0.5 + aligned * 0.5) * 0.4,
     }
@@ -260,6 +261,7 @@ def rerank_of(retrieval: Column, reasoning: Column) -> Column:
 
 def draft_class(sem: Column, prop: Column, mod: Column, neg: Column, cond: Column | None = None) -> Column:
     """likely_conflict, needs_review or likely_non_conflict; with cond, a conflict needs like conditions too."""
+    sem = F.round(sem, 9)
     likely = (mod == 1) & (prop >= 0.45) & (sem >= 0.30)
     if cond is not None:
         likely = likely & (cond >= 0.50)

@@ -8,6 +8,7 @@ from ..functions import text as T
 from ..operators import evaluation as E
 from ..operators import reasoning as R
 from ..operators import retrieval as S
+from ..operators.repeated import once
 from ..sources.synth import DRAFT_SQL, synth_drafts
 from . import oracles as O
 
@@ -112,7 +113,8 @@ def b23(spark, d):
     """Lists in their order, the conditions as they are written."""
     x = F.col("text")
     cols = {"times": T.times(x), "numbers": T.numbers(x), "parties": T.draft_parties(x), "conditions_kept": T.draft_conditions(x, True)}
-    return synth_drafts(spark, d).select("clause_id", *[F.array_join(v, "|").alias(k) for k, v in cols.items()])
+    rows = once(synth_drafts(spark, d).select("clause_id", "text"), lambda texts: texts.withColumns({k: F.array_join(v, "|") for k, v in cols.items()}))
+    return rows.drop("text")
 
 
 @query("b24_proposition_struct", f"WITH {_DRAFTS} SELECT clause_id, {_MODALITY} AS modality, {_NEGATION} AS negation, len({_TIMES})::BIGINT AS temporal, len({_NUMBERS})::BIGINT AS numbers FROM drafts")
@@ -124,16 +126,15 @@ def b24(spark, d):
 @query("b27_normal_forms", f"WITH {_DRAFTS} SELECT clause_id, {_norm('text')} AS clause, {_norm(_CORE)} AS core, {_CLEAN} AS clean, {_NORMAL} AS normal, {_bar(f'list_sort({_TOKENS})')} AS tokens FROM drafts")
 def b27(spark, d):
     x = F.col("text")
-    return synth_drafts(spark, d).select(
-        "clause_id", T.normalize_clause(x).alias("clause"), T.action_core(x).alias("core"), T.clean_proposition(x).alias("clean"), T.normalize_proposition(x).alias("normal"), F.array_join(T.proposition_tokens(x), "|").alias("tokens")
-    )
+    forms = {"clause": T.normalize_clause(x), "core": T.action_core(x), "clean": T.clean_proposition(x), "normal": T.normalize_proposition(x), "tokens": F.array_join(T.proposition_tokens(x), "|")}
+    return once(synth_drafts(spark, d).select("clause_id", "text"), lambda texts: texts.withColumns(forms)).drop("text")
 
 
 @query("b29_structured_clauses", f"""WITH {_DRAFTS} SELECT clause_id, {_MODALITY} AS modality, {_NEGATION} AS negation, {_bar(f"list_sort(list_distinct(list_transform({_CONDITIONS}, lambda c: {_rep('lower(c)', r'^\s+|\s+$', '')})))")} AS conditions,
  {_bar(_PARTIES)} AS parties, {_CLEAN} AS proposition, {_EXCEPTION} AS exception FROM drafts""")
 def b29(spark, d):
-    rows = R.structured_clauses(synth_drafts(spark, d))
-    return rows.select("clause_id", "modality", "negation", F.array_join(F.array_sort("conditions"), "|").alias("conditions"), F.array_join("parties", "|").alias("parties"), "proposition", T.exception_flag(F.col("text")).alias("exception"))
+    rows = once(synth_drafts(spark, d).select("clause_id", "text"), lambda texts: R.structured_facts(texts).withColumn("exception", T.exception_flag(F.col("text"))))
+    return rows.select("clause_id", "modality", "negation", F.array_join(F.array_sort("conditions"), "|").alias("conditions"), F.array_join("parties", "|").alias("parties"), "proposition", "exception")
 
 
 @query("b31_proposition_parts", f"""WITH {_DRAFTS}, cut AS (SELECT clause_id, {_CUT} AS rest FROM drafts), toks AS (SELECT *, {_words("rest")} AS t FROM cut),
@@ -141,7 +142,8 @@ def b29(spark, d):
  SELECT clause_id, CASE WHEN len(t) > 0 THEN {_SUBJECT} ELSE '' END AS subject, coalesce(act, '') AS action,
   array_to_string(list_slice(list_filter(CASE WHEN act IS NULL THEN t ELSE t[list_position(t, act) + 1:] END, lambda w: w NOT IN ('the', 'and', 'or', 'any', 'such', 'information', 'agreement', 'foregoing')), 1, 12), ' ') AS object FROM acts""")
 def b31(spark, d):
-    return synth_drafts(spark, d).select("clause_id", T.subject_action_object(F.col("text")).alias("s")).select("clause_id", "s.*")
+    rows = once(synth_drafts(spark, d).select("clause_id", "text"), lambda texts: texts.withColumn("s", T.subject_action_object(F.col("text"))))
+    return rows.select("clause_id", "s.*")
 
 
 @query("b37_pair_texts", f"WITH {_DRAFTS} SELECT clause_id, 'Hypothesis: ' || document_id || ' [SEP] Clause: ' || text AS pair, 'Hypothesis: ' || document_id || ' [SEP] Contract Context: ' || text AS context, document_id || ' [SEP] ' || text AS plain FROM drafts")

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from ..functions import features as X
 from . import inference
 from . import retrieval as S
+from .repeated import numbered
 from .tables import added, dealt, kept, packed, summed
 
 #: Between the grams of a text that is given to the encoder.
@@ -49,15 +50,22 @@ def gram_text(x: Column) -> Column:
     return F.array_join(X.grams(x, accents=False), SEP)
 
 
-def sparse_rows(rows: DataFrame, max_features: int = 20_000, min_df: int = 1) -> tuple[DataFrame, list[str], np.ndarray]:
-    """(id, cells: array of k, weight) of rows (id, text), L2-normalised TF-IDF; the terms by number k; their idf."""
-    tf = kept(S.term_counts(rows, ["id"]))
-    found = S.vocabulary(tf, rows, [], max_features, min_df).collect()  # max_features at most
+def sparse_rows(rows: DataFrame, max_features: int = 20_000, min_df: int = 1, most: int | None = 0) -> tuple[DataFrame, list[str], np.ndarray]:
+    """(id, cells: array of k, weight) of rows (id, text), L2-normalised TF-IDF; the terms by number k; their idf.
+
+    Where most allows it (operators.repeated), a row for each distinct text, times the root of how often it comes."""
+    texts = numbered(rows, most)
+    if texts is None:
+        texts = rows.select("id", "text", F.lit(1).cast("long").alias("n"))
+    else:  # a text that comes n times is one row, sqrt(n) times as long: A'A is the same
+        texts = texts.select(F.col("tid").alias("id"), "text", "n")
+    tf = kept(S.term_counts(texts, ["id", "n"]))
+    found = S.counted_vocabulary(tf, texts, max_features, min_df).collect()  # max_features at most
     found.sort(key=lambda r: r["term"])
     terms = rows.sparkSession.createDataFrame([(r["term"], r["idf"], k) for k, r in enumerate(found)], "term string, idf double, k int")
-    raw = tf.join(F.broadcast(terms), "term").select("id", F.struct("k", ((F.log(F.col("tf").cast("double")) + 1) * F.col("idf")).alias("w")).alias("cell"))
-    made = raw.groupBy("id").agg(F.sort_array(F.collect_list("cell")).alias("cells"))
-    norm = F.sqrt(F.aggregate("cells", F.lit(0.0), lambda s, c: s + c["w"] * c["w"]))
+    raw = tf.join(F.broadcast(terms), "term").select("id", "n", F.struct("k", ((F.log(F.col("tf").cast("double")) + 1) * F.col("idf")).alias("w")).alias("cell"))
+    made = raw.groupBy("id").agg(F.first("n").alias("n"), F.sort_array(F.collect_list("cell")).alias("cells"))
+    norm = F.sqrt(F.aggregate("cells", F.lit(0.0), lambda s, c: s + c["w"] * c["w"])) / F.sqrt(F.col("n").cast("double"))
     made = made.select("id", F.transform("cells", lambda c: F.struct(c["k"].alias("k"), (c["w"] / norm).alias("w"))).alias("cells"))
     return kept(dealt(made, "id")), [r["term"] for r in found], np.array([r["idf"] for r in found])
 
@@ -100,9 +108,9 @@ def decomposed(matrix: DataFrame, width: int, dims: int, over: int = 8, rounds:
     return np.sqrt(np.maximum(squares[best], 0)), vectors * np.where(sign == 0, 1, sign)
 
 
-def fit(rows: DataFrame, dims: int = 32, max_features: int = 20_000, **options) -> Encoder:
+def fit(rows: DataFrame, dims: int = 32, max_features: int = 20_000, most: int | None = None, **options) -> Encoder:
     """An encoder of rows (id, text): as many dims as the vocabulary allows."""
-    matrix, terms, idf = sparse_rows(rows, max_features)
+    matrix, terms, idf = sparse_rows(rows, max_features, most=most)
     singular, vectors = decomposed(matrix, len(terms), dims, **options)
     return Encoder({t: k for k, t in enumerate(terms)}, vectors * idf[:, None] if len(terms) else np.zeros((0, dims)), singular)
 

@@ -69,12 +69,17 @@ def tfidf(rows: DataFrame, scope: list[str] | None = None, bigrams: bool = True,
 def text_weights(texts: DataFrame, bigrams: bool = True, sublinear: bool = True, max_features: int | None = 20_000, min_df: int = 1, accents: bool = False) -> DataFrame:
     """(tid, term, weight) of numbered texts (text, tid, n), as tfidf() gives them to rows of which n have a text."""
     tf = kept(term_counts(texts, ["tid", "n"], bigrams, accents))
+    terms = counted_vocabulary(tf, texts, max_features, min_df)
+    return kept(weighted(tf.drop("n"), terms, ["tid"], [], sublinear))
+
+
+def counted_vocabulary(tf: DataFrame, texts: DataFrame, max_features: int | None, min_df: int = 1) -> DataFrame:
+    """(term, idf) as vocabulary() gives them, of term counts (term, tf, n) of texts of which each stands for n rows."""
     total = texts.agg(F.sum("n").alias("n"))
     terms = tf.groupBy("term").agg(F.sum("n").alias("df"), F.sum(F.col("tf") * F.col("n")).alias("total")).where(F.col("df") >= min_df)
     if max_features:
         terms = terms.orderBy(F.desc("total"), "term").limit(max_features)
-    terms = terms.crossJoin(F.broadcast(total)).select("term", (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1).alias("idf"))
-    return kept(weighted(tf.drop("n"), terms, ["tid"], [], sublinear))
+    return terms.crossJoin(F.broadcast(total)).select("term", (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1).alias("idf"))  # total is one row
 
 
 #: Terms of all numbered texts up to which their weights are sent to all executors as arrays.

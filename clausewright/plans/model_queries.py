@@ -12,6 +12,7 @@ from ..operators import inference as J
 from ..operators import reasoning as R
 from ..operators import retrieval as S
 from ..operators import training as L
+from ..operators.repeated import coded, numbered
 from ..operators.tables import kept
 from ..sources.synth import synth_clauses
 from . import contracts as P
@@ -33,9 +34,17 @@ def query(name: str):
 def c12(spark, d):
     """The encoded clauses: length of the vector, its largest part, and how near it is to its document's first clause."""
     rows = synth_clauses(spark, d).select(F.col("clause_id").alias("id"), "document_id", "rn", "text")
-    made = kept(N.encoded(rows, N.fit(rows.select("id", "text"))))
-    first = made.where("rn = 1").select("document_id", F.col("embedding").alias("first"))
-    return made.join(first, "document_id").select(F.col("id").alias("clause_id"), S.dot(F.col("embedding"), F.col("embedding")).alias("norm"), F.array_max("embedding").alias("most"), S.dot(F.col("embedding"), F.col("first")).alias("nearness"))
+    model = N.fit(rows.select("id", "text"))
+    texts = numbered(rows)
+    if texts is None:
+        made = kept(N.encoded(rows, model)).select("id", "document_id", "rn", "embedding")
+        both = made.join(made.where("rn = 1").select("document_id", F.col("embedding").alias("first")), "document_id")
+    else:  # vectors are looked up once the clauses are beside their document's first
+        vectors = kept(N.encoded(texts.select("tid", "text"), model)).select("tid", "embedding")
+        named = coded(rows, texts)
+        both = named.join(named.where("rn = 1").select("document_id", F.col("tid").alias("_first")), "document_id").join(F.broadcast(vectors), "tid")
+        both = both.join(F.broadcast(vectors.select(F.col("tid").alias("_first"), F.col("embedding").alias("first"))), "_first")
+    return both.select(F.col("id").alias("clause_id"), S.dot(F.col("embedding"), F.col("embedding")).alias("norm"), F.array_max("embedding").alias("most"), S.dot(F.col("embedding"), F.col("first")).alias("nearness"))
 
 
 @query("c15_encoder_fusion")

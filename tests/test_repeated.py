@@ -1,9 +1,11 @@
 """What is made once for each distinct text against the same made row by row; bounds of scores that sums may miss by a hair."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from clausewright.functions import features as X
 from clausewright.functions import text as T
+from clausewright.operators import encoder as E
 from clausewright.operators import reasoning as R
 from clausewright.operators import repeated as N
 from clausewright.operators import retrieval as S
@@ -54,3 +56,10 @@ def test_retrieval_by_numbers(spark):
     assert pairs[0] == pairs[1] and len(pairs[0]) == 80
     weights = [sorted((r.id, r.term, round(r.weight, 9)) for r in S.tfidf(rows.select("id", "text"), most=most).collect()) for most in (None, 0)]
     assert weights[0] == weights[1]
+
+
+def test_encoder_of_repeated_texts(spark):
+    rows = clauses(spark).select(F.col("clause_id").alias("id"), "text")
+    one, each = (E.fit(rows, dims=2, most=most) for most in (None, 0))
+    assert one.terms == each.terms and np.allclose(one.singular, each.singular)
+    assert np.allclose(one.vectors, each.vectors, atol=1e-6)

@@ -240,6 +240,13 @@ def best_methods(matrix: DataFrame, ks=(1, 3, 5, 10)) -> DataFrame:
     return long.groupBy("k").agg(F.min(F.struct((-F.col("recall")).alias("a"), "method")).alias("b")).select("k", "b.method", (-F.col("b.a")).alias("recall"))
 
 
+def first_rank_report(hits: DataFrame, asked: int, ks=(1, 2, 5, 10)) -> DataFrame:
+    """The row of retrieval_report(), of hits (first_rank), a row for each evaluated query, and how many were asked."""
+    found = ranking_metrics(hits, ks)
+    rounded = [F.round(c, 4).alias(c) for c in (*[f"recall_{k}" for k in ks], "mrr")]
+    return found.select(F.col("queries").alias("evaluated"), (F.lit(asked) - F.col("queries")).alias("skipped"), *rounded)
+
+
 def retrieval_report(ranked: DataFrame, relevant_clauses: DataFrame, asked: DataFrame, ks=(1, 2, 5, 10)) -> DataFrame:
     """One row: evaluated queries, those skipped as no clause meets their gold, recall at each k and the mean reciprocal
     rank, to four places.

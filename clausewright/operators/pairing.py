@@ -121,7 +121,8 @@ def paired(rows: DataFrame, keep: tuple[str, ...], measures: Callable | None, na
 
     way: once, a before b in ord; both, both ways but for rows with one value of the first of keep; across, a with
     side 1, b with side 0 (a column of rows). best: of each a the best b by its measure by, to nine places, ties in ord (last:
-    the last first), with rank and back, the rank of the pair the other way, null if it isn't there. after(a, ta, tb, values):
+    the last first), with rank and back, the rank of the pair the other way, null if it isn't there. after(a, ta, tb, values), values
+    with candidate, the place of b's first of keep in their order:
     further rows (index of the pair) and columns of more (a schema), of pairs with the same a, in ord."""
     rows = rows.where("document_id IS NOT NULL").select("document_id", *(["side"] if way == "across" else []), "ord", "tid", *keep)
     order = ["side", "ord"] if way == "across" else ["ord"]
@@ -183,7 +184,11 @@ def paired(rows: DataFrame, keep: tuple[str, ...], measures: Callable | None, na
         yield from told(col, tid, a, b, values, [pa.array(rank.astype(np.int32)), back])
 
     def told(col, tid, a, b, values, ranks) -> Iterator[pa.RecordBatch]:
-        which, extra = (None, []) if after is None else after(a, tid[a], tid[b], dict(zip(names, values, strict=True)))
+        which, extra = None, []
+        if after is not None:
+            place = np.empty(len(tid), dtype=np.int64)
+            place[pc.sort_indices(col(keep[0])).to_numpy()] = np.arange(len(tid))
+            which, extra = after(a, tid[a], tid[b], dict(zip(names, values, strict=True)) | {"candidate": place[b]})
         if which is not None:
             a, b, values, ranks = a[which], b[which], [v[which] for v in values], [r.take(pa.array(which)) for r in ranks]
         for k in range(0, len(a), BLOCK):

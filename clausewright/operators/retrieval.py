@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -109,6 +111,54 @@ def top_k_numbered(rows: DataFrame, k: int, max_features: int | None = 20_000, m
     return found.withColumnsRenamed({"a_id": "query_id", "b_id": "candidate_id"}).drop("document_id", "ta", "tb")
 
 
+def fused_numbered(rows: DataFrame, k: int, dense: Callable, alphas=(0.25, 0.50, 0.75), most: int | None = None) -> DataFrame | None:
+    """What fuse() gives of the k most similar clauses of each of rows (id, document_id, ord, text), made and ranked where the
+    document lies: query_id, candidate_id, alpha, fused, rank. dense(texts) gives a function of arrays of numbers of texts
+    (text, tid from 1), from 0, or None. None where texts, weights or what dense needs are many."""
+    texts = numbered(rows, most)
+    sparse = None if texts is None else text_scores(texts, text_weights(texts))
+    score = None if sparse is None else dense(texts)
+    if score is None:
+        return None
+
+    def scaled(x: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+        low, high = (np.repeat(f.reduceat(x, first), size) for f in (np.minimum, np.maximum))
+        return np.divide(x - low, high - low, out=np.zeros(len(x)), where=high > low)
+
+    def after(a: np.ndarray, ta: np.ndarray, tb: np.ndarray, values: dict) -> tuple[np.ndarray, list[np.ndarray]]:
+        which, made = [np.zeros(0, dtype=np.int64)], [(np.zeros(0), np.zeros(0), np.zeros(0, dtype=np.int32))]
+        if len(a):
+            first = np.concatenate(([0], np.flatnonzero(a[1:] != a[:-1]) + 1))
+            size = np.diff(np.append(first, len(a)))
+            s, d = scaled(values["sparse"], first, size), scaled(values["dense"], first, size)
+            for alpha in alphas:
+                fused = alpha * s + (1 - alpha) * d
+                order = np.lexsort((values["candidate"], -np.round(fused, 9), a))
+                which.append(order)
+                made.append((np.full(len(a), alpha), fused[order], (np.arange(len(a)) - np.repeat(first, size) + 1).astype(np.int32)))
+        return np.concatenate(which), [np.concatenate(x) for x in zip(*made, strict=True)]
+
+    made = coded(rows.select("id", "document_id", "ord", "text"), texts)
+    found = paired(made, ("id",), lambda a, b: (*sparse(a, b), score(a, b)), ("sparse", "dense"), "both", best=k, by="sparse", after=after, more="alpha double, fused double, place int")
+    return found.select(F.col("a_id").alias("query_id"), F.col("b_id").alias("candidate_id"), "alpha", "fused", F.col("place").alias("rank"))
+
+
+def set_likeness(texts: DataFrame, items: Column) -> Callable | None:
+    """For fused_numbered(): the Jaccard similarity of the sets items of texts; None where these are large."""
+    made = texts.select("tid", F.explode(F.array_distinct(items)).alias("term"), F.lit(1.0).alias("weight"))
+    table = cells(made, texts.count(), CELLS)
+    if table is None:
+        return None
+    sent = texts.sparkSession.sparkContext.broadcast(table)
+
+    def score(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        both = sent.value.shared(a, b)
+        union = sent.value.squares[a] + sent.value.squares[b] - both
+        return np.divide(both, union, out=np.zeros(len(a)), where=union > 0)
+
+    return score
+
+
 def score_candidates(queries: DataFrame, candidates: DataFrame, clauses: DataFrame, max_features: int | None = 20_000, accents: bool = True) -> DataFrame:
     """(query_id, id, score) of the candidates (query_id, id): cosines of queries (query_id, text) and clauses (id, text),
     the vocabulary that of all clauses."""

@@ -51,6 +51,10 @@ def c12(spark, d):
 def c15(spark, d):
     """TF-IDF candidates ranked again by both scores: theirs and the encoder's."""
     rows = synth_clauses(spark, d)
+    named = rows.select(F.col("clause_id").alias("id"), "document_id", F.col("clause_id").alias("ord"), "text")
+    fused = S.fused_numbered(named, 10, lambda t: N.likeness(t, N.fit(named.select("id", "text"))))
+    if fused is not None:
+        return fused.select("query_id", "candidate_id", "alpha", F.round("fused", 6).alias("fused"), F.col("rank").cast("long").alias("rank"))
     found = P.candidate_pairs(rows, 10).select(F.col("clause_a").alias("query_id"), F.col("clause_b").alias("candidate_id"), F.col("retrieval_score").alias("sparse"))
     texts = rows.select(F.col("clause_id").alias("id"), "text")
     made = kept(N.encoded(texts, N.fit(texts)).select("id", "embedding"))

@@ -2,6 +2,8 @@
 
 from pyspark.sql import functions as F
 
+from clausewright.functions import text as T
+from clausewright.functions import features as X
 from clausewright.operators import evaluation as E
 from clausewright.operators import ranking as K
 from clausewright.operators import retrieval as S
@@ -28,3 +30,15 @@ def test_items_ranked_by_document(spark):
 def test_many_items_are_left_to_joins(spark, monkeypatch):
     monkeypatch.setattr(K, "ITEMS", 1)
     assert K.sent_items(spark.createDataFrame([(1, "a b"), (2, "c")], "query_id long, text string")) is None
+
+
+def test_fusion_where_pairs_are_made(spark):
+    """Min-max scaling, fused scores and ranks as by windows over pairs that were joined with the clauses (c15)."""
+    rows = spark.createDataFrame([(f"d{i // 7}", f"d{i // 7}_{6 - i % 7}", TEXTS[(i * i + i // 7) % 7]) for i in range(60)], "document_id string, id string, text string").withColumn("ord", F.col("id"))
+    got = S.fused_numbered(rows, 4, lambda t: S.set_likeness(t, T.stem_tokens(F.col("text"))))
+    found = S.top_k_numbered(rows, 4).select("query_id", "candidate_id", F.col("score").alias("sparse"))
+    side = lambda q, c: rows.select(F.col("id").alias(q), T.stem_tokens(F.col("text")).alias(c))
+    both = found.join(side("query_id", "a"), "query_id").join(side("candidate_id", "b"), "candidate_id").select("query_id", "candidate_id", "sparse", X.jaccard(F.col("a"), F.col("b")).alias("dense"))
+    told = lambda r: sorted((x.query_id, x.candidate_id, x.alpha, round(x.fused, 9), x["rank"]) for x in r.collect())
+    assert told(got) == told(S.fuse(both)) and len(got.columns) == 5
+    assert S.fused_numbered(rows, 4, lambda t: None) is None

@@ -31,6 +31,11 @@ def edges_of(rows: DataFrame) -> DataFrame:
     )
 
 
+def ends_of(pairs: DataFrame) -> DataFrame:
+    """The ends (src, dst) of edges_of() rows, from the names of the pairs alone."""
+    return pairs.where("clause_a <> clause_b").select(F.col("clause_a").alias("src"), F.col("clause_b").alias("dst"))
+
+
 def bare(edges: DataFrame) -> DataFrame:
     """edges without what only explains them: what propagation and risk read."""
     return edges.select("src", "dst", "relationship", "weight", "conflict_type")
@@ -100,7 +105,8 @@ def adjacency(edges: DataFrame, conflicts_only: bool = True) -> DataFrame:
 
 def neighbours(edges: DataFrame) -> DataFrame:
     """(node_id, neighbours): all that any edge joins, sorted."""
-    return adjacency(edges, False).groupBy("node_id").agg(F.array_sort(F.collect_set("other")).alias("neighbours"))
+    ends = edges.select(F.inline(F.array(F.struct(F.col("src").alias("node_id"), F.col("dst").alias("other")), F.struct(F.col("dst").alias("node_id"), F.col("src").alias("other")))))
+    return ends.groupBy("node_id").agg(F.array_sort(F.collect_set("other")).alias("neighbours"))
 
 
 def propagate(nodes: DataFrame, edges: DataFrame, alpha: float = 0.70, iterations: int = 3) -> DataFrame:
